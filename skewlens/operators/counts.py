@@ -18,8 +18,21 @@ CUBE_KEYS = ("publication_year", "birth_region", "birth_state", "crime_family",
 
 
 def case_cube(df: DataFrame, keys: Sequence[str] = CUBE_KEYS) -> DataFrame:
-    """Row counts per combination of the analysis dimensions: one scan, one shuffle."""
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    """One row per combination of the analysis dimensions: one scan, one shuffle.
+
+    Holds all that the counting analyses need: rows, the size of the unit, rows
+    without weapon text, the date range and the sum of case ages.
+    """
+    measures = {
+        "n": F.count(F.lit(1)),
+        "birth_state_population": F.max("birth_state_population"),
+        "weapon_text_missing": F.count_if(F.col("weapon_raw").isNull() | (F.col("weapon_raw") == "")),
+        "first_publication": F.min("publication_date"),
+        "last_publication": F.max("publication_date"),
+        "case_age_sum": F.sum("case_age_days"),
+        "case_age_count": F.count("case_age_days"),
+    }
+    return df.groupBy(*keys).agg(*[c.alias(name) for name, c in measures.items()])
 
 
 def label_counts(df: DataFrame, key: str, weight: str | None = None) -> DataFrame:
@@ -39,7 +52,9 @@ def distribution(df: DataFrame, key: str, weight: str | None = None, over: str =
     ``over='all'`` divides by every row, ``over='known'`` by rows with a label.
     """
     counts = df.groupBy(key).agg(rows(weight).alias("n"))
-    known = counts.where(F.col(key).isNotNull())
+    # Tested on the count, not on the label alone: a plain null test would be
+    # pushed below the count, which then could not share its shuffle with the total.
+    known = counts.where(F.when(F.col(key).isNotNull(), F.col("n")) >= 0)
     total = (counts if over == "all" else known).agg(F.sum("n")).scalar()
     return known.withColumn("proportion", share(F.col("n"), total)).withColumn(
         "percentage", F.col("proportion") * 100.0
@@ -54,8 +69,12 @@ def cells(df: DataFrame, a: str, b: str, weight: str | None = None) -> DataFrame
 
 
 def _labels(counted: DataFrame, key: str, max_labels: int) -> Column:
-    """The distinct labels of ``key`` as one array; an error beyond ``max_labels``."""
-    some = counted.select(key).distinct().limit(max_labels + 1).agg(F.collect_list(key).alias("labels")).scalar()
+    """The distinct labels of ``key`` as one array; an error beyond ``max_labels``.
+
+    The always-true test on ``n`` keeps the plan of ``counted`` as it is, so that
+    its shuffle is reused instead of the data being read again.
+    """
+    some = counted.where("n >= 0").select(key).distinct().limit(max_labels + 1).agg(F.collect_list(key).alias("labels")).scalar()
     refused = F.raise_error(F.lit(f"{key} has more than {max_labels} labels; use the sparse table of cells()"))
     return F.when(F.size(some) <= max_labels, some).otherwise(refused)
 
@@ -142,23 +161,37 @@ def distinct_labels(df: DataFrame, columns: Sequence[str], approximate: bool = F
     """
     if approximate:
         return df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns])
-    counted = [df.where(F.col(c).isNotNull()).groupBy(c).agg(F.lit(1)).agg(F.count(F.lit(1))).scalar() for c in columns]
-    return df.sparkSession.range(1).select(*[n.alias(c) for c, n in zip(columns, counted)])
+    return df.sparkSession.range(1).select(*[_distinct(df, c).alias(c) for c in columns])
+
+
+def _distinct(df: DataFrame, column: str) -> Column:
+    """Number of distinct non-null labels, through one small groupBy."""
+    return df.where(F.col(column).isNotNull()).select(column).distinct().agg(F.count(F.lit(1))).scalar()
 
 
 def overview(df: DataFrame) -> DataFrame:
     """One row: cases, distinct families and states, date range, mean case age."""
-    one = df.agg(
-        F.count(F.lit(1)).alias("total_cases"),
-        F.min("publication_date").alias("first_publication"),
-        F.max("publication_date").alias("last_publication"),
-        F.avg("case_age_days").alias("mean_case_age_days"),
+    return overview_from_cube(
+        df.groupBy("crime_family", "birth_state").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("publication_date").alias("first_publication"),
+            F.max("publication_date").alias("last_publication"),
+            F.sum("case_age_days").alias("case_age_sum"),
+            F.count("case_age_days").alias("case_age_count"),
+        )
+    )
+
+
+def overview_from_cube(cube: DataFrame) -> DataFrame:
+    """The same from counted rows; distinct labels come out of the small table, not the data."""
+    return cube.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_cases"),
+        F.countDistinct("crime_family").alias("crime_categories"),
+        F.countDistinct("birth_state").alias("states_represented"),
+        F.min("first_publication").alias("first_publication"),
+        F.max("last_publication").alias("last_publication"),
+        share(F.sum("case_age_sum"), F.sum("case_age_count")).alias("mean_case_age_days"),
     )
-    families, states = [
-        df.where(F.col(c).isNotNull()).groupBy(c).agg(F.lit(1)).agg(F.count(F.lit(1))).scalar()
-        for c in ("crime_family", "birth_state")
-    ]
-    return one.withColumns({"crime_categories": families, "states_represented": states})
 
 
 def concentration(

@@ -23,31 +23,69 @@ def value_counts(df: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def moments(counted: DataFrame, key: str, value: str) -> DataFrame:
-    """Rows, values, mean, sum of squared deviations, min and max per category."""
-    v, n = F.col(value).cast("double"), F.col("n")
-    known = F.when(F.col(value).isNotNull(), n)
-    means = counted.groupBy(key).agg(
-        F.sum("n").alias("rows"),
-        F.coalesce(F.sum(known), F.lit(0)).alias("count"),
-        F.try_divide(F.sum(v * n), F.sum(known)).alias("mean"),
-        F.min(value).alias("min"),
-        F.max(value).alias("max"),
+    """Rows, values, mean, sum of squared deviations, min and max per category.
+
+    Deviations are taken from the mean of all values before they are squared, so
+    that large values lose no digits; one pass, no join.
+    """
+    n = F.when(F.col(value).isNotNull(), F.col("n"))
+    v = F.col(value).cast("double")
+    centre = counted.agg(F.try_divide(F.sum(v * n), F.sum(n))).scalar()
+    gap = v - F.col("_centre")
+    return (
+        counted.withColumn("_centre", centre)
+        .groupBy(key)
+        .agg(
+            F.max("_centre").alias("_centre"),
+            F.sum("n").alias("rows"),
+            F.coalesce(F.sum(n), F.lit(0)).alias("count"),
+            F.sum(gap * n).alias("_d1"),
+            F.sum(gap * gap * n).alias("_d2"),
+            F.min(value).alias("min"),
+            F.max(value).alias("max"),
+        )
+        .select(
+            key, "rows", "count",
+            (F.col("_centre") + F.try_divide(F.col("_d1"), F.col("count").cast("double"))).alias("mean"),
+            F.greatest(
+                F.col("_d2") - F.try_divide(F.col("_d1") * F.col("_d1"), F.col("count").cast("double")), F.lit(0.0)
+            ).alias("squares"),
+            "min", "max",
+        )
     )
-    gap = v - F.col("mean")
-    squares = counted.join(means.select(key, "mean"), key).groupBy(key).agg(F.sum(gap * gap * n).alias("squares"))
-    return means.join(squares, key)
 
 
 def quantiles(
-    counted: DataFrame, key: str, value: str, probabilities: Sequence[float] = BOX, buckets: int = 4096
+    counted: DataFrame,
+    key: str,
+    value: str,
+    probabilities: Sequence[float] = BOX,
+    few_values: bool | None = None,
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles per category, one row per category and probability.
+    """Exact linear-interpolated quantiles per category: one row with an array ``quantiles``.
 
-    Two steps keep any one task small: equal-width buckets are counted first,
-    then only the buckets that hold a wanted rank are ordered value by value.
+    ``few_values`` says that a category has a bounded number of distinct values
+    (whole days: fewer than 40,000 in a century), which then fit one task. The
+    default takes that for 32-bit integers; other values go through buckets.
     """
-    v = F.col(value).cast("double")
-    data = counted.where(F.col(value).isNotNull()).withColumn("_v", v)
+    if few_values is None:
+        few_values = counted.schema[value].dataType.typeName() in ("byte", "short", "integer")
+    if not few_values:
+        return _bucketed_quantiles(counted, key, value, probabilities)
+    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    return counted.groupBy(key).agg(F.percentile(value, wanted, F.col("n")).alias("quantiles"))
+
+
+def _bucketed_quantiles(
+    counted: DataFrame, key: str, value: str, probabilities: Sequence[float], buckets: int = 4096
+) -> DataFrame:
+    """Quantiles in two steps that keep any one task small.
+
+    Equal-width buckets are counted first, then only the buckets that hold a
+    wanted rank are ordered value by value.
+    """
+    known = F.when(F.col(value).isNotNull(), F.col("n")) >= 0
+    data = counted.where(known).withColumn("_v", F.col(value).cast("double"))
     span = data.groupBy(key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("n").alias("_total"))
     width = (F.col("_hi") - F.col("_lo")) / float(buckets)
     bucketed = data.join(span, key).withColumn(
@@ -59,29 +97,33 @@ def quantiles(
         .withColumn("_through", F.sum("_in").over(by_bucket))
         .withColumn("_before", F.col("_through") - F.col("_in"))
     )
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
-    place = F.col("probability") * (F.col("_total") - 1)
-    ranks = coarse.select(key, "_b", "_before", "_through", "_total", F.explode(wanted).alias("probability")).select(
-        key, "_b", "_before", "_through", "probability", (place - F.floor(place)).alias("_part"),
-        F.explode(F.array(F.floor(place), F.ceil(place))).alias("_rank"),
-    ).where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_through"))).distinct()
+    wanted = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probabilities)
+    ])
+    place = F.col("_q")["p"] * (F.col("_total") - 1)
+    ranks = (
+        coarse.withColumn("_q", F.explode(wanted))
+        .select(
+            key, "_b", "_before", "_through", F.col("_q")["i"].alias("_i"), (place - F.floor(place)).alias("_part"),
+            F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("_rank"),
+        )
+        .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_through")))
+    )
     by_value = Window.partitionBy(key, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     fine = (
         bucketed.join(ranks.select(key, "_b", "_before").distinct(), [key, "_b"])
-        .groupBy(key, "_b", "_v", "_before").agg(F.sum("n").alias("_in"))
-        .withColumn("_to", F.col("_before") + F.sum("_in").over(by_value))
-        .withColumn("_from", F.col("_to") - F.col("_in"))
-        .drop("_before")
+        .select(key, "_b", "_v", "_before", "n")
+        .withColumn("_to", F.col("_before") + F.sum("n").over(by_value))
+        .withColumn("_from", F.col("_to") - F.col("n"))
+        .drop("_before", "n")
     )
     found = ranks.join(fine, [key, "_b"]).where(
         (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     )
     low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
-    return found.groupBy(key, "probability").agg((low + (high - low) * F.max("_part")).alias("quantile"))
-
-
-def medians(counted: DataFrame, key: str, value: str) -> DataFrame:
-    return quantiles(counted, key, value, (0.5,)).select(key, F.col("quantile").alias("median"))
+    each = found.groupBy(key, "_i").agg((low + (high - low) * F.max("_part")).alias("_value"))
+    in_order = F.array_sort(F.collect_list(F.struct("_i", "_value")))
+    return each.groupBy(key).agg(F.transform(in_order, lambda s: s["_value"]).alias("quantiles"))
 
 
 def persistence(df: DataFrame, key: str = "crime_family", value: str = "case_age_days") -> DataFrame:
@@ -90,8 +132,8 @@ def persistence(df: DataFrame, key: str = "crime_family", value: str = "case_age
 
 
 def persistence_from_counts(counted: DataFrame, key: str, value: str) -> DataFrame:
-    m = moments(counted, key, value)
-    return m.join(medians(counted, key, value), key, "left").select(
+    middle = quantiles(counted, key, value, (0.5,)).select(key, F.get("quantiles", F.lit(0)).alias("median"))
+    return moments(counted, key, value).join(middle, key, "left").select(
         key, "count", "mean", "median",
         F.sqrt(F.when(F.col("count") > 1, F.col("squares") / (F.col("count") - 1))).alias("std"),
         "min", "max",
@@ -100,10 +142,13 @@ def persistence_from_counts(counted: DataFrame, key: str, value: str) -> DataFra
 
 def box_stats(df: DataFrame, key: str = "crime_family", value: str = "case_age_days") -> DataFrame:
     """Five-number summary per category (box plot)."""
-    q = quantiles(value_counts(df, key, value), key, value, BOX)
+    return box_from_counts(value_counts(df, key, value), key, value)
+
+
+def box_from_counts(counted: DataFrame, key: str, value: str) -> DataFrame:
     names = ("min", "q1", "median", "q3", "max")
-    return q.groupBy(key).agg(
-        *[F.max(F.when(F.col("probability") == p, F.col("quantile"))).alias(n) for p, n in zip(BOX, names)]
+    return quantiles(counted, key, value).select(
+        key, *[F.get("quantiles", F.lit(i)).alias(name) for i, name in enumerate(names)]
     )
 
 
@@ -127,11 +172,15 @@ def anova_from_moments(
     categories of the longest and shortest mean among all categories.
     """
     used = F.col("rows") >= min_rows
-    grand = table.where(used).agg(F.try_divide(F.sum(F.col("mean") * F.col("count")), F.sum("count"))).scalar()
-    gap = F.col("mean") - grand
+    # All columns are named so that the subquery shares the shuffle of ``table``.
+    grand = table.where(used).agg(F.struct(
+        F.try_divide(F.sum(F.col("mean") * F.col("count")), F.sum("count")).alias("mean"),
+        *[F.max(c).alias(f"_{c}") for c in table.columns if c not in (key, "mean", "count")],
+    )).scalar()
+    gap = F.col("mean") - F.col("_grand")
     mean = shown(F.col("mean"))
     named = F.when(mean.isNotNull(), F.struct(F.col(key).alias("k"), mean.alias("m")))
-    one = table.agg(
+    one = table.withColumn("_grand", grand["mean"]).agg(
         F.count_if(used).alias("groups"),
         F.coalesce(F.sum(F.when(used, F.col("count"))), F.lit(0)).alias("sample_size"),
         F.min(F.when(used, F.col("count"))).alias("_least"),

@@ -32,16 +32,22 @@ def _scored(per_unit: DataFrame, unit: str, over: float, under: float, min_sampl
             F.sum(F.when(known, F.col("population_millions"))).alias("size"),
         )
     ).scalar()
-    ratio = F.col("representation_ratio")
+    ratio, cases = F.col("representation_ratio"), F.col("_whole")["cases"]
     return (
-        per_unit.withColumn("expected_cases", share(F.col("population_millions"), whole["size"]) * whole["cases"])
+        per_unit.withColumn("_whole", whole)
+        .withColumn("expected_cases", share(F.col("population_millions"), F.col("_whole")["size"]) * cases)
         .withColumn("representation_ratio", share(F.col("observed_cases"), F.col("expected_cases")))
         .withColumns({
             "over_represented": ratio > over,
             "under_represented": ratio < under,
-            "_sample": whole["cases"],
-            "_shown": known & (F.col("population_millions") > 0) & (whole["cases"] >= min_sample),
+            "_sample": cases,
+            # One test on an aggregate: a plain null test would be pushed below the
+            # count, which then could not share its shuffle with the totals.
+            "_shown": F.coalesce(
+                F.when(known & (cases >= min_sample), F.col("population_millions")) > 0, F.lit(False)
+            ),
         })
+        .drop("_whole")
     )
 
 

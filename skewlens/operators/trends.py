@@ -22,7 +22,8 @@ def trend_from_cells(
     that exist are merged in closed form with the block of zero cells, so one
     small aggregate per category is enough, whatever the number of periods.
     """
-    periods = counted.select(period).distinct().agg(
+    # The always-true test on n keeps the plan of the counts, so their shuffle is reused.
+    periods = counted.where("n >= 0").select(period).distinct().agg(
         F.struct(
             F.count(F.lit(1)).alias("m"),
             F.min(period).alias("first"),
@@ -31,28 +32,28 @@ def trend_from_cells(
             F.var_pop(period).alias("var"),
         )
     ).scalar()
-    m = periods["m"].cast("double")
-    y, n = F.col(period).cast("double"), F.col("n").cast("double")
-    per = counted.groupBy(key).agg(
+    y, n, at = F.col(period).cast("double"), F.col("n").cast("double"), F.col("_periods")
+    per = counted.withColumn("_periods", periods).groupBy(key).agg(
+        F.any_value("_periods").alias("_periods"),
         F.count(F.lit(1)).alias("_k"),
         F.avg(y).alias("_y"),
         F.avg(n).alias("_n"),
         F.var_pop(n).alias("_var"),
         F.covar_pop(y, n).alias("_cov"),
         F.sum("n").alias("total_cases"),
-        F.coalesce(F.max(F.when(F.col(period) == periods["first"], F.col("n"))), F.lit(0)).alias("first_cases"),
-        F.coalesce(F.max(F.when(F.col(period) == periods["last"], F.col("n"))), F.lit(0)).alias("last_cases"),
+        F.coalesce(F.max(F.when(F.col(period) == at["first"], F.col("n"))), F.lit(0)).alias("first_cases"),
+        F.coalesce(F.max(F.when(F.col(period) == at["last"], F.col("n"))), F.lit(0)).alias("last_cases"),
     )
-    k = F.col("_k")
+    k, m = F.col("_k"), F.col("_m")
     spread = F.col("_var") * k + F.col("_n") * F.col("_n") * k * (m - k) / m
-    joint = F.col("_cov") * k + (F.col("_y") - periods["mean"]) * F.col("_n") * k
-    r = F.try_divide(joint, F.sqrt(spread * periods["var"] * m))
+    joint = F.col("_cov") * k + (F.col("_y") - at["mean"]) * F.col("_n") * k
+    r = F.try_divide(joint, F.sqrt(spread * at["var"] * m))
     first, last = F.col("first_cases"), F.col("last_cases")
     return (
-        per.where((periods["m"] >= min_periods) & (F.col("total_cases") > 0))
+        per.withColumn("_m", at["m"].cast("double"))
+        .where((m >= min_periods) & (F.col("total_cases") > 0))
         .withColumn("correlation_with_time", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
-        .withColumn("_m", m)
-        .withColumn("trend_p_value", correlation_p_value(F.col("correlation_with_time"), F.col("_m")))
+        .withColumn("trend_p_value", correlation_p_value(F.col("correlation_with_time"), m))
         .select(
             key,
             "correlation_with_time",

@@ -31,11 +31,15 @@ def weapon_distribution(df: DataFrame, weight: str | None = None) -> DataFrame:
 def weapon_quality(df: DataFrame, weight: str | None = None) -> DataFrame:
     """One row: unknown and missing weapon rows with percentages and the completeness score.
 
-    A row that is both unknown and missing lowers the score twice.
+    A row that is both unknown and missing lowers the score twice. Counted rows
+    bring their rows without weapon text in ``weapon_text_missing``.
     """
     total = rows(weight)
     unknown = rows_where(F.col("weapon_category") == K.UNKNOWN_WEAPON, weight)
-    missing = rows_where(F.col("weapon_raw").isNull() | (F.col("weapon_raw") == ""), weight)
+    if weight is None:
+        missing = F.count_if(F.col("weapon_raw").isNull() | (F.col("weapon_raw") == ""))
+    else:
+        missing = F.coalesce(F.sum("weapon_text_missing"), F.lit(0))
     zero = F.lit(0.0)
     return df.agg(
         total.alias("total_records"),
@@ -161,17 +165,16 @@ def analyze_weapons(df: DataFrame, weight: str | None = None) -> dict[str, DataF
     serious = serious_only(df)
     totals = weapon_totals(df, weight)
     counts = weapon_distribution(serious, weight)
-    tables = {
+    unknown = unknown_trend(serious, "publication_year", weight)
+    quality = weapon_quality(serious, weight)
+    return {
         "totals": totals,
         "weapon_distribution": counts,
         "most_and_least": extremes(counts, "weapon_category"),
         "temporal_trends": weapon_shares(serious, "publication_year", weight),
-        "unknown_weapon_trend": unknown_trend(serious, "publication_year", weight),
+        "unknown_weapon_trend": unknown,
         "regional_patterns": weapon_shares(serious, "birth_region", weight),
+        "data_quality": quality,
         "serious_vs_all_comparison": compare_subset(df, weight=weight),
+        "summary": weapon_summary(totals, counts, quality, unknown_direction(unknown)),
     }
-    direction = unknown_direction(tables["unknown_weapon_trend"])
-    if "weapon_raw" in df.columns:
-        tables["data_quality"] = weapon_quality(serious, weight)
-        tables["summary"] = weapon_summary(totals, counts, tables["data_quality"], direction)
-    return tables

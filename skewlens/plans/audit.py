@@ -8,54 +8,65 @@ from pyspark.sql import DataFrame
 
 from .. import constants as K
 from ..operators.category import analyze_categories
-from ..operators.counts import CUBE_KEYS, case_cube
-from ..operators.features import engineer_features, serious_only
-from ..operators.persistence import analyze_persistence
+from ..operators.counts import case_cube, overview_from_cube
+from ..operators.features import engineer_features
+from ..operators.persistence import anova_from_moments, moments, persistence_from_counts, value_counts
 from ..operators.representation import analyze_geography
 from ..operators.results import findings, result_table
 from ..operators.trends import analyze_trends
-from ..operators.weapons import analyze_weapons, unknown_direction, weapon_quality, weapon_summary
+from ..operators.weapons import analyze_weapons
 from .report import badges, dataset_summary
 
+_FAMILY, _AGE = "crime_family", "case_age_days"
 
-def analyze_features(
-    features: DataFrame,
+
+def analyze_counts(
+    cube: DataFrame,
+    ages: DataFrame,
     baseline: DataFrame | None = None,
     crosswalk: Mapping[str, str] | None = K.BASELINE_CROSSWALK,
     confidence: float = K.CONFIDENCE,
 ) -> dict[str, DataFrame]:
-    """All analyses of engineered rows, keyed ``analysis.table``.
-
-    Counting analyses read one cube (``features`` scanned once for it); only
-    persistence, weapon-text quality and the date range read rows again, each
-    from a few columns. Nothing is collected.
-    """
-    cube = case_cube(features, [*CUBE_KEYS, "birth_state_population"])
+    """All analyses, keyed ``analysis.table``, from the case cube and the case-age counts."""
     geography = analyze_geography(cube, confidence=confidence, weight="n")
     categories = analyze_categories(cube, baseline, crosswalk, confidence, weight="n")
     trends = analyze_trends(cube, confidence, weight="n")
-    persistence = analyze_persistence(features, confidence=confidence)
-    weapons = analyze_weapons(cube, weight="n")
-    serious = serious_only(features)
-    weapons["data_quality"] = weapon_quality(serious)
-    weapons["summary"] = weapon_summary(
-        weapons["totals"], weapons["weapon_distribution"], weapons["data_quality"],
-        unknown_direction(weapons["unknown_weapon_trend"]),
-    )
+    persistence = {
+        "persistence_by_category": persistence_from_counts(ages, _FAMILY, _AGE),
+        "test": anova_from_moments(moments(ages, _FAMILY, _AGE), _FAMILY, confidence),
+    }
     results = result_table(geography["test"], categories.get("test"), persistence["test"])
+    one = overview_from_cube(cube)
     report = {
-        "dataset_summary": dataset_summary(features),
+        "overview": one,
+        "dataset_summary": dataset_summary(one),
         "results": results,
         "badges": badges(results, trends["trend"]),
         "findings": findings(results, trends["trend"]),
     }
     analyses = {
         "geographic": geography, "categorical": categories, "temporal": trends,
-        "persistence": persistence, "weapons": weapons, "report": report,
+        "persistence": persistence, "weapons": analyze_weapons(cube, weight="n"), "report": report,
     }
     return {f"{a}.{t}": frame for a, tables in analyses.items() for t, frame in tables.items()}
 
 
+def analyze_features(
+    features: DataFrame,
+    baseline: DataFrame | None = None,
+    crosswalk: Mapping[str, str] | None = K.BASELINE_CROSSWALK,
+    confidence: float = K.CONFIDENCE,
+) -> dict[str, DataFrame]:
+    """All analyses of engineered rows, lazily: every result table counts ``features`` anew."""
+    return analyze_counts(case_cube(features), value_counts(features, _FAMILY, _AGE), baseline, crosswalk, confidence)
+
+
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    """Write ``df`` and read it back: cuts the lineage, and a lost executor costs a re-read only."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def run_audit(
     notices: DataFrame,
     baseline: DataFrame,
@@ -63,15 +74,19 @@ def run_audit(
     crosswalk: Mapping[str, str] | None = K.BASELINE_CROSSWALK,
     confidence: float = K.CONFIDENCE,
 ) -> dict[str, DataFrame]:
-    """Engineer once, store the features, analyse the stored table.
+    """Engineer once, count twice, analyse the counts.
 
     ``output`` must be a folder every executor reaches. The text rules run once,
-    on the way into the stored table; a lost executor costs a re-read of its
-    files, not a re-run of the rules.
+    on the way into the stored features. Two narrow scans of those give the case
+    cube and the case-age counts, stored as well; with the baseline totals they
+    are all that the some thirty result tables read, at any size of the data.
     """
-    spark = notices.sparkSession
-    path = f"{output.rstrip('/')}/features"
-    engineered = engineer_features(notices, baseline, crosswalk)
-    engineered.write.mode("overwrite").parquet(path)
-    features = spark.read.schema(engineered.schema).parquet(path)
-    return analyze_features(features, baseline, crosswalk, confidence)
+    root = output.rstrip("/")
+    features = _stored(engineer_features(notices, baseline, crosswalk), f"{root}/features")
+    cube = _stored(case_cube(features), f"{root}/case_cube")
+    ages = _stored(value_counts(features, _FAMILY, _AGE), f"{root}/case_ages")
+    totals = _stored(
+        baseline.groupBy("crime_family").agg({"count": "sum"}).withColumnRenamed("sum(count)", "count"),
+        f"{root}/baseline_totals",
+    )
+    return analyze_counts(cube, ages, totals, crosswalk, confidence)

@@ -61,7 +61,7 @@ def first_families(df: DataFrame, weight: str | None = None, top: int = 5) -> Da
 
 
 def summary_dashboard(df: DataFrame, cube: DataFrame) -> dict[str, DataFrame]:
-    """Four data sets of the summary page."""
+    """Four data sets of the summary page: rows for the box plot, a cube for the rest."""
     shown = first_families(cube, "n")
     return {
         "states": geographic_distribution(cube, "n", top=10),

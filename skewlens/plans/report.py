@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numbers import fixed
 from ..functions.text import title_label
-from ..operators.counts import overview
 
 
-def dataset_summary(df: DataFrame) -> DataFrame:
-    """One row: records, date range, categories and states, as printed."""
-    return overview(df).select(
+def dataset_summary(one: DataFrame) -> DataFrame:
+    """Records, date range, categories and states as printed, from the overview row."""
+    return one.select(
         F.format_number("total_cases", 0).alias("total_records"),
         F.date_format("first_publication", "yyyy-MM-dd").alias("first_date"),
         F.date_format("last_publication", "yyyy-MM-dd").alias("last_date"),

@@ -4,61 +4,54 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+_TEXT, _INT, _LONG, _DOUBLE, _FLAG = T.StringType(), T.IntegerType(), T.LongType(), T.DoubleType(), T.BooleanType()
+_DATE, _TIME, _TEXTS = T.DateType(), T.TimestampType(), T.ArrayType(T.StringType())
 
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
 
 
 SUBJECT = _struct(
-    "name STRING, sex STRING, race STRING, nationality STRING, date_of_birth STRING, "
-    "place_of_birth STRING, hair STRING, eyes STRING, height_min STRING, height_max STRING, "
-    "weight STRING, aliases ARRAY<STRING>"
+    name=_TEXT, sex=_TEXT, race=_TEXT, nationality=_TEXT, date_of_birth=_TEXT, place_of_birth=_TEXT,
+    hair=_TEXT, eyes=_TEXT, height_min=_TEXT, height_max=_TEXT, weight=_TEXT, aliases=_TEXTS,
 )
 
 NOTICE_ITEM = _struct(
-    "uid STRING, title STRING, description STRING, "
-    f"subjects ARRAY<{SUBJECT.simpleString()}>, "
-    "publication STRING, modified STRING, url STRING, warning_message STRING, "
-    "reward_text STRING, caution STRING, details STRING, "
-    "images ARRAY<STRING>, files ARRAY<STRING>"
+    uid=_TEXT, title=_TEXT, description=_TEXT, subjects=T.ArrayType(SUBJECT), publication=_TEXT, modified=_TEXT,
+    url=_TEXT, warning_message=_TEXT, reward_text=_TEXT, caution=_TEXT, details=_TEXT, images=_TEXTS, files=_TEXTS,
 )
 
-NOTICE_PAGE = T.StructType([T.StructField("items", T.ArrayType(NOTICE_ITEM))])
+NOTICE_PAGE = _struct(items=T.ArrayType(NOTICE_ITEM))
 
-BASELINE_RECORD = _struct(
-    "year INT, state STRING, offense_type STRING, count BIGINT, rate_per_100k DOUBLE"
-)
+BASELINE_RECORD = _struct(state=_TEXT, offense_type=_TEXT, count=_LONG, rate_per_100k=_DOUBLE)
 
-BASELINE_PAGE = T.StructType([T.StructField("data", T.ArrayType(BASELINE_RECORD))])
+BASELINE_PAGE = _struct(data=T.ArrayType(BASELINE_RECORD))
 
 WANTED_TABLE = _struct(
-    "uid STRING, title STRING, description STRING, name STRING, sex STRING, race STRING, "
-    "nationality STRING, date_of_birth DATE, place_of_birth STRING, publication_date TIMESTAMP, "
-    "modified_date TIMESTAMP, ingestion_date TIMESTAMP, case_age_days INT, reward_text STRING, "
-    "warning_message STRING, url STRING, birth_state STRING, birth_region STRING, "
-    "crime_family STRING, case_age_category STRING, publication_year INT, "
-    "publication_quarter INT, has_reward BOOLEAN, has_images BOOLEAN"
+    uid=_TEXT, title=_TEXT, description=_TEXT, name=_TEXT, sex=_TEXT, race=_TEXT, nationality=_TEXT,
+    date_of_birth=_DATE, place_of_birth=_TEXT, publication_date=_TIME, modified_date=_TIME, ingestion_date=_TIME,
+    case_age_days=_INT, reward_text=_TEXT, warning_message=_TEXT, url=_TEXT,
+    birth_state=_TEXT, birth_region=_TEXT, crime_family=_TEXT, case_age_category=_TEXT,
+    publication_year=_INT, publication_quarter=_INT, has_reward=_FLAG, has_images=_FLAG,
 )
 
 BASELINE_TABLE = _struct(
-    "id BIGINT, year INT, state STRING, offense_type STRING, crime_family STRING, "
-    "count BIGINT, rate_per_100k DOUBLE, source STRING, ingestion_date TIMESTAMP"
+    id=_LONG, year=_INT, state=_TEXT, offense_type=_TEXT, crime_family=_TEXT, count=_LONG, rate_per_100k=_DOUBLE,
+    source=_TEXT, ingestion_date=_TIME,
 )
 
 RESULT_TABLE = _struct(
-    "id BIGINT, analysis_type STRING, analysis_date TIMESTAMP, confidence_level DOUBLE, "
-    "test_statistic DOUBLE, p_value DOUBLE, significant_bias BOOLEAN, interpretation STRING, "
-    "metadata STRING, sample_size BIGINT"
+    id=_LONG, analysis_type=_TEXT, analysis_date=_TIME, confidence_level=_DOUBLE, test_statistic=_DOUBLE,
+    p_value=_DOUBLE, significant_bias=_FLAG, interpretation=_TEXT, metadata=_TEXT, sample_size=_LONG,
 )
 
 # Engineered notices as exported to CSV: lists travel as JSON text.
 FEATURE_CSV = _struct(
-    "uid STRING, title STRING, description STRING, place_of_birth STRING, "
-    "publication_date TIMESTAMP, modified_date TIMESTAMP, ingestion_date TIMESTAMP, "
-    "reward_text STRING, images STRING, case_age_days INT, birth_state STRING, "
-    "birth_state_population DOUBLE, birth_region STRING, publication_year INT, "
-    "publication_quarter INT, publication_month INT, case_age_months DOUBLE, "
-    "case_age_years DOUBLE, case_age_category STRING, crime_family STRING, weapon_raw STRING, "
-    "weapon_category STRING, severity_flag BOOLEAN, public_notice_flag BOOLEAN, "
-    "days_since_modified INT, recently_updated BOOLEAN, has_reward BOOLEAN, has_images BOOLEAN"
+    uid=_TEXT, title=_TEXT, description=_TEXT, place_of_birth=_TEXT, publication_date=_TIME, modified_date=_TIME,
+    ingestion_date=_TIME, reward_text=_TEXT, images=_TEXT, case_age_days=_INT, birth_state=_TEXT,
+    birth_state_population=_DOUBLE, birth_region=_TEXT, publication_year=_INT, publication_quarter=_INT,
+    publication_month=_INT, case_age_months=_DOUBLE, case_age_years=_DOUBLE, case_age_category=_TEXT,
+    crime_family=_TEXT, weapon_raw=_TEXT, weapon_category=_TEXT, severity_flag=_FLAG, public_notice_flag=_FLAG,
+    days_since_modified=_INT, recently_updated=_FLAG, has_reward=_FLAG, has_images=_FLAG,
 )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..constants import BASELINE_CROSSWALK, BASELINE_FAMILIES, OTHER_BASELINE_FAMILY
 from ..functions.text import Taxonomy, classify
@@ -16,7 +17,8 @@ def read_baseline(spark: SparkSession, path: str, years: Sequence[int] | None =
 
     The year comes from the folder, so a year list prunes folders instead of rows.
     """
-    pages = spark.read.schema(BASELINE_PAGE.add("year", "int")).json(path, multiLine=True)
+    schema = StructType([*BASELINE_PAGE, StructField("year", IntegerType())])
+    pages = spark.read.schema(schema).json(path, multiLine=True)
     if years is not None:
         pages = pages.where(F.col("year").isin(list(years)))
     records = pages.select("year", F.explode("data").alias("r"))
