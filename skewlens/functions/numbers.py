@@ -14,6 +14,13 @@ def percent(part: Column, whole: Column) -> Column:
     return share(part, whole) * 100.0
 
 
+def clamped(value: Column, low: float | None = None, high: float | None = None) -> Column:
+    """``value`` held within the bounds; null stays null (``least`` and ``greatest`` would skip it)."""
+    held = value if high is None else F.least(value, F.lit(high))
+    held = held if low is None else F.greatest(held, F.lit(low))
+    return F.when(value.isNotNull(), held)
+
+
 def shown(value: Column, digits: int = 2) -> Column:
     """Rounded copy for display, ties to even. Results keep the unrounded value."""
     return F.bround(value, digits)

@@ -2,7 +2,7 @@
 
 The regularized incomplete gamma and beta functions are evaluated by their
 textbook series and continued fractions, unrolled over ``sequence(1, n)`` with
-``aggregate``. They run on result rows (one per test), never on data rows.
+``aggregate``. They run on result rows (one per test or category), never on data rows.
 """
 
 from __future__ import annotations
@@ -92,20 +92,23 @@ def gamma_upper(a: Column, x: Column) -> Column:
 
 
 def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
-    first = 1.0 / _away_from_zero(1.0 - (a + b) * x / (a + 1.0))
-    start = F.struct(F.lit(1.0).alias("c"), first.alias("d"), first.alias("h"))
+    """1 / (1 + k1 / (1 + k2 / ...)). The coefficients are laid out first, so each is computed once."""
+    enough = F.least(F.lit(120.0), F.sqrt(F.greatest(a, b)) * 6.0 + 20.0) + F.sqrt(F.least(a, b)) * 20.0
+    steps = F.sequence(F.lit(1), enough.cast("int"))
 
-    def half(s, k):
-        d = 1.0 / _away_from_zero(1.0 + k * s["d"])
-        c = _away_from_zero(1.0 + k / s["c"])
-        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
+    def coefficient(j):
+        m = F.floor(j / 2.0).cast("double")
+        even = m * (b - m) * x / ((a + j - 1.0) * (a + j))
+        odd = -(a + m) * (a + b + m) * x / ((a + j - 1.0) * (a + j))
+        return F.when(j % 2 == 0, even).otherwise(odd)
 
-    def step(s, i):
-        even = i * (b - i) * x / ((a + i * 2.0 - 1.0) * (a + i * 2.0))
-        odd = -(a + i) * (a + b + i) * x / ((a + i * 2.0) * (a + i * 2.0 + 1.0))
-        return half(half(s, even), odd)
+    start = F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("d"), F.lit(1.0).alias("h"))
+
+    def step(s, k):
+        c, d = 1.0 + F.try_divide(k, s["c"]), 1.0 + k * s["d"]
+        return F.struct(c.alias("c"), F.try_divide(F.lit(1.0), d).alias("d"), F.try_divide(s["h"] * c, d).alias("h"))
 
-    return F.aggregate(_steps(F.least(a, b)), start, step, lambda s: s["h"])
+    return 1.0 / F.aggregate(F.transform(steps, coefficient), start, step, lambda s: s["h"])
 
 
 def beta_lower(a: Column, b: Column, x: Column, y: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as K
-from ..functions.numbers import fixed, shown
+from ..functions.numbers import clamped, fixed, shown
 from ..functions.special import f_p_value
 
 BOX = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -47,8 +47,8 @@ def moments(counted: DataFrame, key: str, value: str) -> DataFrame:
         .select(
             key, "rows", "count",
             (F.col("_centre") + F.try_divide(F.col("_d1"), F.col("count").cast("double"))).alias("mean"),
-            F.greatest(
-                F.col("_d2") - F.try_divide(F.col("_d1") * F.col("_d1"), F.col("count").cast("double")), F.lit(0.0)
+            clamped(
+                F.col("_d2") - F.try_divide(F.col("_d1") * F.col("_d1"), F.col("count").cast("double")), low=0.0
             ).alias("squares"),
             "min", "max",
         )

@@ -87,8 +87,8 @@ def distinct_rows(df: DataFrame) -> DataFrame:
 
 
 def standardize_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Trim and fold runs of white space."""
-    return df.withColumns({c: F.trim(F.regexp_replace(c, r"\s+", " ")) for c in columns})
+    """Trim and fold runs of blanks, tabs and line ends."""
+    return df.withColumns({c: F.trim(F.regexp_replace(c, r"[ \t\r\n]+", " ")) for c in columns})
 
 
 def standardize_states(df: DataFrame, column: str = "state") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
-from ..functions.numbers import fixed, rows, share
+from ..functions.numbers import clamped, fixed, rows, share
 from ..functions.special import chi2_p_value
 from .features import known_places
 
@@ -100,7 +100,7 @@ def _with_p_value(one: DataFrame, alpha: float) -> DataFrame:
     enough = F.col("units_tested") > 1
     return (
         one.withColumns({
-            "chi_square_statistic": F.when(enough, F.greatest(F.col("_statistic"), F.lit(0.0))),
+            "chi_square_statistic": F.when(enough, clamped(F.col("_statistic"), low=0.0)),
             "degrees_of_freedom": F.when(enough, F.col("units_tested") - 1),
             "expected_rescaled": F.when(enough, F.col("_rescaled")),
             "status": F.when(enough, F.lit("ok")).otherwise(F.lit("too_few_units")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
+from ..functions.numbers import clamped
 from ..functions.special import correlation_p_value
 from .counts import cells, two_way
 
@@ -52,7 +53,9 @@ def trend_from_cells(
     return (
         per.withColumn("_m", at["m"].cast("double"))
         .where((m >= min_periods) & (F.col("total_cases") > 0))
-        .withColumn("correlation_with_time", F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+        .withColumn("_r", clamped(r, -1.0, 1.0))
+        # Rounding noise around an exact zero must not decide the direction.
+        .withColumn("correlation_with_time", F.when(F.abs("_r") < 1e-12, F.lit(0.0)).otherwise(F.col("_r")))
         .withColumn("trend_p_value", correlation_p_value(F.col("correlation_with_time"), m))
         .select(
             key,

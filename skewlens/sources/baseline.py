@@ -12,13 +12,15 @@ from ..functions.text import Taxonomy, classify
 from ..schemas import BASELINE_PAGE
 
 
-def read_baseline(spark: SparkSession, path: str, years: Sequence[int] | None = None) -> DataFrame:
+def read_baseline(
+    spark: SparkSession, path: str, years: Sequence[int] | None = None, one_page_per_file: bool = True
+) -> DataFrame:
     """Read ``path/year=YYYY/*.json`` pages ``{"data": [...]}``, one row per record.
 
     The year comes from the folder, so a year list prunes folders instead of rows.
     """
     schema = StructType([*BASELINE_PAGE, StructField("year", IntegerType())])
-    pages = spark.read.schema(schema).json(path, multiLine=True)
+    pages = spark.read.schema(schema).json(path, multiLine=one_page_per_file)
     if years is not None:
         pages = pages.where(F.col("year").isin(list(years)))
     records = pages.select("year", F.explode("data").alias("r"))

@@ -29,7 +29,7 @@ def read_feature_csv(spark: SparkSession, path: str, schema: StructType = FEATUR
     header = spark.read.csv(path, header=True, escape='"', multiLine=True).columns
     declared = StructType([schema[n] if n in schema.names else StructType().add(n, "string")[n] for n in header])
     rows = spark.read.schema(declared).csv(
-        path, header=True, escape='"', emptyValue='""', multiLine=True, **_TIMESTAMPS
+        path, header=True, escape='"', multiLine=True, **_TIMESTAMPS
     )
     if "images" in rows.columns:
         rows = rows.withColumn("images", F.from_json("images", "array<string>"))

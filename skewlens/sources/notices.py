@@ -15,9 +15,13 @@ _LISTS = ["subjects", "images", "files"]
 _SUBJECT_TEXT = [f.name for f in SUBJECT.fields if f.name not in ("date_of_birth", "aliases")]
 
 
-def read_notice_pages(spark: SparkSession, path) -> DataFrame:
-    """Read page files ``{"items": [...]}`` (one JSON document each), one row per item."""
-    pages = spark.read.schema(NOTICE_PAGE).json(path, multiLine=True)
+def read_notice_pages(spark: SparkSession, path, one_page_per_file: bool = True) -> DataFrame:
+    """Read pages ``{"items": [...]}``, one row per item.
+
+    Pages kept as one JSON line each (``one_page_per_file=False``) are the form
+    for large volumes: such files are split over tasks.
+    """
+    pages = spark.read.schema(NOTICE_PAGE).json(path, multiLine=one_page_per_file)
     return explode_items(pages)
 
 

@@ -27,7 +27,7 @@ def test_chi_square(spark, statistic, df):
 
 @pytest.mark.parametrize("f,d1,d2", [
     (2.7, 3, 96), (0.5, 4, 995), (10.0, 4, 1_000_000), (1.0, 6, 14_993), (0.05, 5, 60_000), (1.01, 2_000, 3_000),
-    (4.0, 1, 8), (1.2, 5, 1_000_000_000),
+    (4.0, 1, 8), (1.0, 1, 1), (1.0, 40, 12), (1.1, 90_000, 90_000), (1.2, 5, 1_000_000_000),
 ])
 def test_f(spark, f, d1, d2):
     dist = spark._jvm.org.apache.commons.math3.distribution.FDistribution(float(d1), float(d2))
@@ -39,7 +39,7 @@ def test_f(spark, f, d1, d2):
         _close(got, 1 - dist.cumulativeProbability(f))
 
 
-@pytest.mark.parametrize("r,n", [(0.95, 3), (-0.61, 7), (0.1, 50), (0.999999, 4), (1e-6, 12)])
+@pytest.mark.parametrize("r,n", [(0.95, 3), (-0.61, 7), (0.1, 50), (0.999999, 4), (1e-6, 12), (0.02, 10_000), (0.3, 300), (0.5, 20), (0.05, 5)])
 def test_correlation(spark, r, n):
     dist = spark._jvm.org.apache.commons.math3.distribution.TDistribution(float(n - 2))
     t = abs(r) * math.sqrt((n - 2) / (1 - r * r))
