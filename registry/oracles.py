@@ -432,7 +432,7 @@ SELECT crime_family, {_n('sum(count)', 'n')}, {_r('sum(count) / (SELECT sum(coun
 FROM crossed GROUP BY 1""",
     "case_cube": F_ + f"""
 SELECT publication_year, birth_region, birth_state, crime_family, weapon_category, severity_flag, count(*) AS n,
-  {_r('max(birth_state_population)', 'birth_state_population')}, {_n('0', 'weapon_text_missing')},
+  {_r('max(birth_state_population)', 'birth_state_population')}, false AS weapon_text_missing,
   strftime(min(publication_date), '%Y-%m-%d %H:%M:%S') AS first_publication,
   strftime(max(publication_date), '%Y-%m-%d %H:%M:%S') AS last_publication,
   {_n('sum(case_age_days)', 'case_age_sum')}, count(case_age_days) AS case_age_count

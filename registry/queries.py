@@ -241,13 +241,13 @@ def birth_places(spark, sf):
 def state_codes_in_urls(spark, sf):
     """First state code in each page address."""
     pages = R.table(spark, sf, "pages").withColumn("u", F.upper("url"))
-    return pages.select("page_id", first_code(F.col("u"), K.STATE_CODES, K.UNKNOWN_STATE).alias("state"))
+    return pages.select("page_id", first_code("u", K.STATE_CODES, K.UNKNOWN_STATE).alias("state"))
 
 
 @query
 def state_codes_in_part_names(spark, sf):
     part = R.table(spark, sf, "part").withColumn("u", F.upper("p_name"))
-    return part.select("p_partkey", first_code(F.col("u"), K.STATE_CODES, K.UNKNOWN_STATE).alias("state"))
+    return part.select("p_partkey", first_code("u", K.STATE_CODES, K.UNKNOWN_STATE).alias("state"))
 
 
 @query

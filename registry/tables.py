@@ -12,6 +12,8 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from skewlens.functions.dates import floor_days
+from skewlens.functions.literals import array_of
 from skewlens.operators.features import engineer_features
 from skewlens.operators.joins import lookup
 from skewlens.sources.baseline import standardize_baseline
@@ -58,7 +60,7 @@ def raw_notices(spark: SparkSession, sf: str) -> DataFrame:
     o = table(spark, sf, "orders")
     c = table(spark, sf, "customer")
     code = F.concat("o_orderstatus", F.substring("o_orderpriority", 1, 1))
-    place = F.get(F.array(*[F.lit(p) for p in PLACES]), F.col("c_nationkey"))
+    place = F.get(array_of(PLACES), F.col("c_nationkey"))
     return o.join(c, o["o_custkey"] == c["c_custkey"]).select(
         F.concat(F.lit("N"), F.col("o_orderkey")).alias("uid"),
         lookup(code, TITLES).alias("title"),
@@ -79,8 +81,6 @@ def raw_notices(spark: SparkSession, sf: str) -> DataFrame:
 
 def notices(spark: SparkSession, sf: str) -> DataFrame:
     """Flat notices with the batch stamp and case age."""
-    from skewlens.functions.dates import floor_days
-
     return raw_notices(spark, sf).withColumn("ingestion_date", F.lit(INGESTED).cast("timestamp")).withColumn(
         "case_age_days", floor_days(F.col("ingestion_date"), F.col("publication_date"))
     )

@@ -2,16 +2,16 @@
 
 The regularized incomplete gamma and beta functions are evaluated by their
 textbook series and continued fractions, unrolled over ``sequence(1, n)`` with
-``aggregate``. They run on result rows (one per test or category), never on data rows.
+``aggregate``. They run on result rows (one per test or category), never on data
+rows. Arguments are SQL text: column names, or expressions of them.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, functions as F
 
-_TINY = 1e-300
+_TINY = "1E-300D"
+_HALF_LOG_2PI = "0.9189385332046727D"
 
 # Lanczos coefficients for g = 7, nine terms.
 _LANCZOS = (
@@ -21,127 +21,117 @@ _LANCZOS = (
 )
 
 
-def _d(x) -> Column:
-    return x.cast("double") if isinstance(x, Column) else F.lit(float(x))
+def _double(x) -> str:
+    return f"CAST({x} AS DOUBLE)"
 
 
-def log_gamma(x: Column) -> Column:
+def log_gamma(x: str) -> str:
     """ln Gamma(x) for x >= 0.5."""
-    z = x - 1.0
-    total = F.lit(_LANCZOS[0])
-    for i, c in enumerate(_LANCZOS[1:], start=1):
-        total = total + F.lit(c) / (z + float(i))
-    t = z + 7.5
-    return F.lit(0.5 * math.log(2 * math.pi)) + (z + 0.5) * F.ln(t) - t + F.ln(total)
+    terms = " + ".join(f"({c!r}D) / ({x} + {i - 1}D)" for i, c in enumerate(_LANCZOS) if i)
+    return (
+        f"({_HALF_LOG_2PI} + ({x} - 0.5D) * ln({x} + 6.5D) - ({x} + 6.5D) + ln({_LANCZOS[0]!r}D + {terms}))"
+    )
 
 
-def _stirling_rest(x: Column) -> Column:
-    return 1.0 / (x * 12.0) - 1.0 / (x * x * x * 360.0) + 1.0 / (x * x * x * x * x * 1260.0)
+def _stirling_rest(x: str) -> str:
+    return f"(1D / (12D * {x}) - 1D / (360D * {x} * {x} * {x}) + 1D / (1260D * {x} * {x} * {x} * {x} * {x}))"
 
 
-def log_gamma_ratio(a: Column, b: Column) -> Column:
+def log_gamma_ratio(a: str, b: str) -> str:
     """ln Gamma(a+b) - ln Gamma(a), without cancellation when ``a`` is large."""
-    s = a + b
-    large = (a - 0.5) * F.log1p(b / a) + b * F.ln(s) - b + _stirling_rest(s) - _stirling_rest(a)
-    return F.when(a > 100.0, large).otherwise(log_gamma(s) - log_gamma(a))
-
-
-def _steps(size: Column) -> Column:
-    """Enough steps for convergence: both expansions need O(sqrt(size))."""
-    return F.sequence(F.lit(1), (F.lit(100.0) + F.sqrt(size) * 12.0).cast("int"))
-
-
-def _away_from_zero(x: Column) -> Column:
-    return F.when(F.abs(x) < _TINY, F.lit(_TINY)).otherwise(x)
+    s = f"({a} + {b})"
+    large = (
+        f"({a} - 0.5D) * log1p({b} / {a}) + {b} * ln({s}) - {b} + {_stirling_rest(s)} - {_stirling_rest(a)}"
+    )
+    return f"(CASE WHEN {a} > 100D THEN {large} ELSE {log_gamma(s)} - {log_gamma(a)} END)"
 
 
-def _gamma_series(a: Column, x: Column) -> Column:
-    start = F.struct((1.0 / a).alias("total"), (1.0 / a).alias("term"))
+def _nonzero(x: str) -> str:
+    return f"(CASE WHEN abs({x}) < {_TINY} THEN {_TINY} ELSE {x} END)"
 
-    def step(s, i):
-        term = s["term"] * x / (a + i)
-        return F.struct((s["total"] + term).alias("total"), term.alias("term"))
 
-    return F.aggregate(_steps(a), start, step, lambda s: s["total"])
+def _gamma_steps(a: str) -> str:
+    """Enough steps for convergence: both expansions need O(sqrt(a))."""
+    return f"sequence(1, CAST(100D + 12D * sqrt({a}) AS INT))"
 
 
-def _gamma_fraction(a: Column, x: Column) -> Column:
-    b0 = x + 1.0 - a
-    first = 1.0 / _away_from_zero(b0)
-    start = F.struct(F.lit(1.0 / _TINY).alias("c"), first.alias("d"), first.alias("h"))
+def _gamma_series(a: str, x: str) -> str:
+    term = f"(s.term * {x} / ({a} + i))"
+    return (
+        f"aggregate({_gamma_steps(a)}, named_struct('total', 1D / {a}, 'term', 1D / {a}), "
+        f"(s, i) -> named_struct('total', s.total + {term}, 'term', {term}), s -> s.total)"
+    )
 
-    def step(s, i):
-        an = -i * (i - a)
-        b = b0 + i * 2.0
-        d = 1.0 / _away_from_zero(an * s["d"] + b)
-        c = _away_from_zero(b + an / s["c"])
-        return F.struct(c.alias("c"), d.alias("d"), (s["h"] * c * d).alias("h"))
 
-    return F.aggregate(_steps(a), start, step, lambda s: s["h"])
+def _gamma_fraction(a: str, x: str) -> str:
+    b0 = f"({x} + 1D - {a})"
+    an, b = f"(-i * (i - {a}))", f"({b0} + 2D * i)"
+    d = f"(1D / {_nonzero(f'({an} * s.d + {b})')})"
+    c = _nonzero(f"({b} + {an} / s.c)")
+    return (
+        f"aggregate({_gamma_steps(a)}, "
+        f"named_struct('c', 1D / {_TINY}, 'd', 1D / {_nonzero(b0)}, 'h', 1D / {_nonzero(b0)}), "
+        f"(s, i) -> named_struct('c', {c}, 'd', {d}, 'h', s.h * {c} * {d}), s -> s.h)"
+    )
 
 
-def gamma_upper(a: Column, x: Column) -> Column:
+def gamma_upper(a: str, x: str) -> str:
     """Regularized upper incomplete gamma Q(a, x)."""
-    scale = F.exp(a * F.ln(x) - x - log_gamma(a))
+    scale = f"exp({a} * ln({x}) - {x} - {log_gamma(a)})"
     return (
-        F.when(a.isNull() | x.isNull() | (a <= 0.0), F.lit(None).cast("double"))
-        .when(x <= 0.0, F.lit(1.0))
-        .when(x < a + 1.0, 1.0 - scale * _gamma_series(a, x))
-        .otherwise(scale * _gamma_fraction(a, x))
+        f"(CASE WHEN {a} IS NULL OR {x} IS NULL OR {a} <= 0D THEN NULL WHEN {x} <= 0D THEN 1D "
+        f"WHEN {x} < {a} + 1D THEN 1D - {scale} * {_gamma_series(a, x)} ELSE {scale} * {_gamma_fraction(a, x)} END)"
     )
 
 
-def _beta_fraction(a: Column, b: Column, x: Column) -> Column:
+def _beta_fraction(a: str, b: str, x: str) -> str:
     """1 / (1 + k1 / (1 + k2 / ...)). The coefficients are laid out first, so each is computed once."""
-    enough = F.least(F.lit(120.0), F.sqrt(F.greatest(a, b)) * 6.0 + 20.0) + F.sqrt(F.least(a, b)) * 20.0
-    steps = F.sequence(F.lit(1), enough.cast("int"))
-
-    def coefficient(j):
-        m = F.floor(j / 2.0).cast("double")
-        even = m * (b - m) * x / ((a + j - 1.0) * (a + j))
-        odd = -(a + m) * (a + b + m) * x / ((a + j - 1.0) * (a + j))
-        return F.when(j % 2 == 0, even).otherwise(odd)
-
-    start = F.struct(F.lit(1.0).alias("c"), F.lit(0.0).alias("d"), F.lit(1.0).alias("h"))
-
-    def step(s, k):
-        c, d = 1.0 + F.try_divide(k, s["c"]), 1.0 + k * s["d"]
-        return F.struct(c.alias("c"), F.try_divide(F.lit(1.0), d).alias("d"), F.try_divide(s["h"] * c, d).alias("h"))
-
-    return 1.0 / F.aggregate(F.transform(steps, coefficient), start, step, lambda s: s["h"])
+    steps = (
+        f"sequence(1, CAST(least(120D, 20D + 6D * sqrt(greatest({a}, {b}))) + 20D * sqrt(least({a}, {b})) AS INT))"
+    )
+    m, span = "floor(j / 2D)", f"(({a} + j - 1D) * ({a} + j))"
+    even = f"{m} * ({b} - {m}) * {x} / {span}"
+    odd = f"-({a} + {m}) * ({a} + {b} + {m}) * {x} / {span}"
+    coefficients = f"transform({steps}, j -> CASE WHEN j % 2 = 0 THEN {even} ELSE {odd} END)"
+    c, d = "(1D + try_divide(k, s.c))", "(1D + k * s.d)"
+    return (
+        f"(1D / aggregate({coefficients}, named_struct('c', 1D, 'd', 0D, 'h', 1D), "
+        f"(s, k) -> named_struct('c', {c}, 'd', try_divide(1D, {d}), 'h', try_divide(s.h * {c}, {d})), s -> s.h))"
+    )
 
 
-def beta_lower(a: Column, b: Column, x: Column, y: Column) -> Column:
+def beta_lower(a: str, b: str, x: str, y: str) -> str:
     """Regularized incomplete beta I_x(a, b); ``y`` is 1 - x, given apart so that neither loses digits."""
-    lead = F.greatest(a, b)
-    log_beta = log_gamma(F.least(a, b)) - log_gamma_ratio(lead, F.least(a, b))
-    log_x = F.when(x > 0.5, F.log1p(-y)).otherwise(F.ln(x))
-    log_y = F.when(y > 0.5, F.log1p(-x)).otherwise(F.ln(y))
-    scale = F.exp(a * log_x + b * log_y - log_beta)
+    small, large = f"least({a}, {b})", f"greatest({a}, {b})"
+    log_beta = f"({log_gamma(small)} - {log_gamma_ratio(large, small)})"
+    log_x = f"(CASE WHEN {x} > 0.5D THEN log1p(-{y}) ELSE ln({x}) END)"
+    log_y = f"(CASE WHEN {y} > 0.5D THEN log1p(-{x}) ELSE ln({y}) END)"
+    scale = f"exp({a} * {log_x} + {b} * {log_y} - {log_beta})"
     return (
-        F.when(a.isNull() | b.isNull() | x.isNull() | (a <= 0.0) | (b <= 0.0), F.lit(None).cast("double"))
-        .when(x <= 0.0, F.lit(0.0))
-        .when(y <= 0.0, F.lit(1.0))
-        .when(x * (a + b + 2.0) < a + 1.0, scale * _beta_fraction(a, b, x) / a)
-        .otherwise(1.0 - scale * _beta_fraction(b, a, y) / b)
+        f"(CASE WHEN {a} IS NULL OR {b} IS NULL OR {x} IS NULL OR {a} <= 0D OR {b} <= 0D THEN NULL "
+        f"WHEN {x} <= 0D THEN 0D WHEN {y} <= 0D THEN 1D "
+        f"WHEN {x} * ({a} + {b} + 2D) < {a} + 1D THEN {scale} * {_beta_fraction(a, b, x)} / {a} "
+        f"ELSE 1D - {scale} * {_beta_fraction(b, a, y)} / {b} END)"
     )
 
 
-def chi2_p_value(statistic, df) -> Column:
+def chi2_p_value(statistic: str, df: str) -> Column:
     """P(chi-square with ``df`` degrees of freedom >= statistic)."""
-    return gamma_upper(_d(df) / 2.0, _d(statistic) / 2.0)
+    return F.expr(gamma_upper(f"({_double(df)} / 2D)", f"({_double(statistic)} / 2D)"))
 
 
-def f_p_value(statistic, df1, df2) -> Column:
+def f_p_value(statistic: str, df1: str, df2: str) -> Column:
     """P(F(df1, df2) >= statistic); an infinite statistic gives 0."""
-    f, d1, d2 = _d(statistic), _d(df1), _d(df2)
-    total = d2 + d1 * f
-    tail = beta_lower(d2 / 2.0, d1 / 2.0, F.try_divide(d2, total), F.try_divide(d1 * f, total))
-    return F.when(f == float("inf"), F.lit(0.0)).when(f <= 0.0, F.lit(1.0)).otherwise(tail)
+    f, d1, d2 = _double(statistic), _double(df1), _double(df2)
+    total = f"({d2} + {d1} * {f})"
+    tail = beta_lower(
+        f"({d2} / 2D)", f"({d1} / 2D)", f"try_divide({d2}, {total})", f"try_divide({d1} * {f}, {total})"
+    )
+    return F.expr(f"CASE WHEN {f} = DOUBLE('Infinity') THEN 0D WHEN {f} <= 0D THEN 1D ELSE {tail} END")
 
 
-def correlation_p_value(r, n) -> Column:
+def correlation_p_value(r: str, n: str) -> Column:
     """Two-sided p-value of a Pearson correlation ``r`` over ``n`` points."""
-    r, n = _d(r), _d(n)
-    tail = beta_lower((n - 2.0) / 2.0, _d(0.5), (1.0 - r) * (1.0 + r), r * r)
-    return F.when(F.abs(r) >= 1.0, F.lit(0.0)).when(r == 0.0, F.lit(1.0)).otherwise(tail)
+    r, a = _double(r), f"(({_double(n)} - 2D) / 2D)"
+    tail = beta_lower(a, "0.5D", f"((1D - {r}) * (1D + {r}))", f"({r} * {r})")
+    return F.expr(f"CASE WHEN abs({r}) >= 1D THEN 0D WHEN {r} = 0D THEN 1D ELSE {tail} END")

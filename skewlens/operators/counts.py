@@ -20,19 +20,23 @@ CUBE_KEYS = ("publication_year", "birth_region", "birth_state", "crime_family",
 def case_cube(df: DataFrame, keys: Sequence[str] = CUBE_KEYS) -> DataFrame:
     """One row per combination of the analysis dimensions: one scan, one shuffle.
 
-    Holds all that the counting analyses need: rows, the size of the unit, rows
-    without weapon text, the date range and the sum of case ages.
+    Holds all that the counting analyses need: rows, a flag for rows without
+    weapon text, the size of the unit, the date range and the sum of case ages.
     """
     measures = {
         "n": F.count(F.lit(1)),
         "birth_state_population": F.max("birth_state_population"),
-        "weapon_text_missing": F.count_if(F.col("weapon_raw").isNull() | (F.col("weapon_raw") == "")),
         "first_publication": F.min("publication_date"),
         "last_publication": F.max("publication_date"),
         "case_age_sum": F.sum("case_age_days"),
         "case_age_count": F.count("case_age_days"),
     }
-    return df.groupBy(*keys).agg(*[c.alias(name) for name, c in measures.items()])
+    grouped = df.withColumn("weapon_text_missing", text_missing("weapon_raw")).groupBy(*keys, "weapon_text_missing")
+    return grouped.agg(*[c.alias(name) for name, c in measures.items()])
+
+
+def text_missing(column: str) -> Column:
+    return F.col(column).isNull() | (F.col(column) == "")
 
 
 def label_counts(df: DataFrame, key: str, weight: str | None = None) -> DataFrame:

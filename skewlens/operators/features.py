@@ -23,7 +23,7 @@ def add_geography(
     region_of = {state: region for region, states in regions.items() for state in states}
     return (
         df.withColumn("_place", F.upper(place))
-        .withColumn("birth_state", first_code(F.col("_place"), codes, K.UNKNOWN_STATE))
+        .withColumn("birth_state", first_code("_place", codes, K.UNKNOWN_STATE))
         .drop("_place")
         .withColumns({
             "birth_state_population": lookup(F.col("birth_state"), populations),

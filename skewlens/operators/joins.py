@@ -7,14 +7,14 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..constants import BASELINE_CROSSWALK
+from ..functions.literals import array_of, map_of
 from ..functions.numbers import share
 from ..sources.baseline import translate_families
 
 
 def lookup(key: Column, table: Mapping[str, object]) -> Column:
     """Value for ``key`` from a small fixed table, null if absent. No join, no shuffle."""
-    pairs = [F.lit(x) for kv in table.items() for x in kv]
-    return F.try_element_at(F.create_map(*pairs), key)
+    return F.try_element_at(map_of(table), key)
 
 
 def yearly_baseline(
@@ -62,7 +62,7 @@ def align_common(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 
 def labels_frame(df: DataFrame, labels: list[str], column: str) -> DataFrame:
     """A fixed label domain as a DataFrame, one row per label."""
-    return df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(x) for x in labels])).alias(column))
+    return df.sparkSession.range(1).select(F.explode(array_of(labels)).alias(column))
 
 
 def compare_shares(left: DataFrame, right: DataFrame, key: str, part: str = "proportion") -> DataFrame:

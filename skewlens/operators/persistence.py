@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import constants as K
+from ..functions.literals import array_of
 from ..functions.numbers import clamped, fixed, shown
 from ..functions.special import f_p_value
 
@@ -72,7 +73,7 @@ def quantiles(
         few_values = counted.schema[value].dataType.typeName() in ("byte", "short", "integer")
     if not few_values:
         return _bucketed_quantiles(counted, key, value, probabilities)
-    wanted = F.array(*[F.lit(float(p)) for p in probabilities])
+    wanted = array_of(map(float, probabilities))
     return counted.groupBy(key).agg(F.percentile(value, wanted, F.col("n")).alias("quantiles"))
 
 
@@ -213,7 +214,7 @@ def anova_from_moments(
             "df_between": F.when(enough, F.col("groups") - 1),
             "df_within": F.when(enough, F.col("sample_size") - F.col("groups")),
         })
-        .withColumn("anova_p_value", f_p_value(F.col("anova_f_statistic"), F.col("df_between"), F.col("df_within")))
+        .withColumn("anova_p_value", f_p_value("anova_f_statistic", "df_between", "df_within"))
         .withColumns({
             "significant_differences": F.when(enough, F.coalesce(F.col("anova_p_value") < 1 - confidence, F.lit(False))),
             "status": F.when(~enough, F.lit("too_few_groups")).when(~tested, F.lit("empty_group")).otherwise("ok"),

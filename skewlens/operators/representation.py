@@ -105,7 +105,7 @@ def _with_p_value(one: DataFrame, alpha: float) -> DataFrame:
             "expected_rescaled": F.when(enough, F.col("_rescaled")),
             "status": F.when(enough, F.lit("ok")).otherwise(F.lit("too_few_units")),
         })
-        .withColumn("p_value", chi2_p_value(F.col("chi_square_statistic"), F.col("degrees_of_freedom")))
+        .withColumn("p_value", chi2_p_value("chi_square_statistic", "degrees_of_freedom"))
         .withColumn("significant_bias", F.col("p_value") < alpha)
         .drop("_statistic", "_rescaled")
     )

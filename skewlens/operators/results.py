@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
+from .joins import lookup
 
 _COLUMNS = [
     "analysis_type", "test_statistic", "p_value", "significant", "interpretation", "sample_size", "confidence_level",
@@ -50,10 +51,10 @@ def findings(results: DataFrame, trends: DataFrame) -> DataFrame:
         "Category Distribution": (2, K.FINDING_CATEGORY),
         "Case Persistence": (4, K.FINDING_PERSISTENCE),
     }
-    number = F.create_map(*[F.lit(x) for k, (i, _) in order.items() for x in (k, i)])
-    text = F.create_map(*[F.lit(x) for k, (_, t) in order.items() for x in (k, t)])
+    kind = F.col("analysis_type")
     tests = results.where("significant").select(
-        number[F.col("analysis_type")].alias("position"), text[F.col("analysis_type")].alias("finding")
+        lookup(kind, {k: i for k, (i, _) in order.items()}).alias("position"),
+        lookup(kind, {k: t for k, (_, t) in order.items()}).alias("finding"),
     )
     moving = trends.agg(F.count_if("significant_trend").alias("k")).where("k > 0").select(
         F.lit(3).alias("position"), F.lit(K.FINDING_TREND).alias("finding")

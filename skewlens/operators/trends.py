@@ -56,7 +56,7 @@ def trend_from_cells(
         .withColumn("_r", clamped(r, -1.0, 1.0))
         # Rounding noise around an exact zero must not decide the direction.
         .withColumn("correlation_with_time", F.when(F.abs("_r") < 1e-12, F.lit(0.0)).otherwise(F.col("_r")))
-        .withColumn("trend_p_value", correlation_p_value(F.col("correlation_with_time"), m))
+        .withColumn("trend_p_value", correlation_p_value("correlation_with_time", "_m"))
         .select(
             key,
             "correlation_with_time",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.numbers import fixed, percent, rows, rows_where, shown
-from .counts import cells, distribution, extremes, two_way
+from .counts import cells, distribution, extremes, text_missing, two_way
 from .features import serious_only
 from .joins import align_union, labels_frame
 
@@ -32,14 +32,11 @@ def weapon_quality(df: DataFrame, weight: str | None = None) -> DataFrame:
     """One row: unknown and missing weapon rows with percentages and the completeness score.
 
     A row that is both unknown and missing lowers the score twice. Counted rows
-    bring their rows without weapon text in ``weapon_text_missing``.
+    bring the flag ``weapon_text_missing`` in place of the text.
     """
     total = rows(weight)
     unknown = rows_where(F.col("weapon_category") == K.UNKNOWN_WEAPON, weight)
-    if weight is None:
-        missing = F.count_if(F.col("weapon_raw").isNull() | (F.col("weapon_raw") == ""))
-    else:
-        missing = F.coalesce(F.sum("weapon_text_missing"), F.lit(0))
+    missing = rows_where(text_missing("weapon_raw") if weight is None else F.col("weapon_text_missing"), weight)
     zero = F.lit(0.0)
     return df.agg(
         total.alias("total_records"),
@@ -161,20 +158,28 @@ def weapon_summary(totals: DataFrame, counts: DataFrame, quality: DataFrame, dir
 
 
 def analyze_weapons(df: DataFrame, weight: str | None = None) -> dict[str, DataFrame]:
-    """The weapon report: every table from the same rows, or from one counted cube."""
-    serious = serious_only(df)
-    totals = weapon_totals(df, weight)
-    counts = weapon_distribution(serious, weight)
-    unknown = unknown_trend(serious, "publication_year", weight)
-    quality = weapon_quality(serious, weight)
+    """The weapon report, every table from one count of the rows (or of a case cube).
+
+    The serious rows are told by their count, not by the flag alone: a plain
+    flag test would be pushed below the count, which then could not be shared.
+    """
+    if weight is None:
+        df = df.withColumn("weapon_text_missing", text_missing("weapon_raw"))
+    keys = ("publication_year", "birth_region", "weapon_category", "severity_flag", "weapon_text_missing")
+    counted = df.groupBy(*keys).agg(rows(weight).alias("n"))
+    serious = counted.where(F.when(F.col("severity_flag"), F.col("n")) > 0)
+    totals = weapon_totals(counted, "n")
+    counts = weapon_distribution(serious, "n")
+    unknown = unknown_trend(serious, "publication_year", "n")
+    quality = weapon_quality(serious, "n")
     return {
         "totals": totals,
         "weapon_distribution": counts,
         "most_and_least": extremes(counts, "weapon_category"),
-        "temporal_trends": weapon_shares(serious, "publication_year", weight),
+        "temporal_trends": weapon_shares(serious, "publication_year", "n"),
         "unknown_weapon_trend": unknown,
-        "regional_patterns": weapon_shares(serious, "birth_region", weight),
+        "regional_patterns": weapon_shares(serious, "birth_region", "n"),
         "data_quality": quality,
-        "serious_vs_all_comparison": compare_subset(df, weight=weight),
+        "serious_vs_all_comparison": compare_subset(counted, weight="n"),
         "summary": weapon_summary(totals, counts, quality, unknown_direction(unknown)),
     }

@@ -14,6 +14,10 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Only when a session is built: the time to build a plan is mostly calls to the
+# JVM, and noting the Python line of each call adds to every one of them.
+STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings the results depend on to a running session."""

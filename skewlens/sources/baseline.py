@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..constants import BASELINE_CROSSWALK, BASELINE_FAMILIES, OTHER_BASELINE_FAMILY
+from ..functions.literals import map_of
 from ..functions.text import Taxonomy, classify
 from ..schemas import BASELINE_PAGE
 
@@ -48,9 +49,8 @@ def translate_families(
     """Rename baseline families to the notice vocabulary; ``None`` leaves them as they are."""
     if crosswalk is None:
         return baseline
-    pairs = [F.lit(x) for kv in crosswalk.items() for x in kv]
     return baseline.withColumn(
-        family, F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(family)), F.col(family))
+        family, F.coalesce(F.try_element_at(map_of(crosswalk), F.col(family)), F.col(family))
     )
 
 
