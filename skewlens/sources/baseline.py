@@ -24,7 +24,7 @@ def read_baseline(
     pages = spark.read.schema(schema).json(path, multiLine=one_page_per_file)
     if years is not None:
         pages = pages.where(F.col("year").isin(list(years)))
-    records = pages.select("year", F.explode("data").alias("r"))
+    records = pages.select("year", F.explode_outer("data").alias("r")).where(F.col("r").isNotNull())
     return standardize_baseline(
         records.select("year", "r.state", "r.offense_type", "r.count", "r.rate_per_100k")
     )

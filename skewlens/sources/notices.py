@@ -31,8 +31,12 @@ def parse_notice_pages(payloads: DataFrame, column: str = "payload") -> DataFram
 
 
 def explode_items(pages: DataFrame, items: str = "items") -> DataFrame:
-    """One row per record; a page without records gives none."""
-    return pages.select(F.explode(items).alias("item")).select("item.*")
+    """One row per record; a page without records gives none.
+
+    The outer form with a test on the records: a plain ``explode`` infers a test
+    on the array, which for payload text means parsing every page three times.
+    """
+    return pages.select(F.explode_outer(items).alias("item")).where(F.col("item").isNotNull()).select("item.*")
 
 
 def _instant(value) -> Column:
