@@ -39,9 +39,21 @@ def text_missing(column: str) -> Column:
     return F.col(column).isNull() | (F.col(column) == "")
 
 
+def labelled(df: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+    """Rows whose keys are all known.
+
+    On counted rows the test involves the count: a plain null test would be
+    pushed below that count, which then could not share its shuffle with others.
+    """
+    known = F.lit(True)
+    for key in keys:
+        known = known & F.col(key).isNotNull()
+    return df.where(known if weight is None else F.when(known, F.coalesce(F.col(weight), F.lit(0))) >= 0)
+
+
 def label_counts(df: DataFrame, key: str, weight: str | None = None) -> DataFrame:
     """Rows per non-null label."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(rows(weight).alias("n"))
+    return labelled(df, [key], weight).groupBy(key).agg(rows(weight).alias("n"))
 
 
 def ranked(counts: DataFrame, key: str, limit: int | None = None) -> DataFrame:
@@ -56,9 +68,7 @@ def distribution(df: DataFrame, key: str, weight: str | None = None, over: str =
     ``over='all'`` divides by every row, ``over='known'`` by rows with a label.
     """
     counts = df.groupBy(key).agg(rows(weight).alias("n"))
-    # Tested on the count, not on the label alone: a plain null test would be
-    # pushed below the count, which then could not share its shuffle with the total.
-    known = counts.where(F.when(F.col(key).isNotNull(), F.col("n")) >= 0)
+    known = labelled(counts, [key], "n")
     total = (counts if over == "all" else known).agg(F.sum("n")).scalar()
     return known.withColumn("proportion", share(F.col("n"), total)).withColumn(
         "percentage", F.col("proportion") * 100.0
@@ -67,9 +77,7 @@ def distribution(df: DataFrame, key: str, weight: str | None = None, over: str =
 
 def cells(df: DataFrame, a: str, b: str, weight: str | None = None) -> DataFrame:
     """Two-way counts of the combinations that occur; rows with a null key are left out."""
-    return (
-        df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(rows(weight).alias("n"))
-    )
+    return labelled(df, [a, b], weight).groupBy(a, b).agg(rows(weight).alias("n"))
 
 
 def _labels(counted: DataFrame, key: str, max_labels: int) -> Column:
@@ -130,7 +138,7 @@ def label_share_by(
 ) -> DataFrame:
     """Percentage of rows with ``label`` in each ``by``; rows without a label count in the base."""
     return (
-        df.where(F.col(by).isNotNull())
+        labelled(df, [by], weight)
         .groupBy(by)
         .agg(percent(rows_where(F.col(key) == label, weight), rows(weight)).alias("percentage"))
         .withColumn("percentage_shown", shown(F.col("percentage")))

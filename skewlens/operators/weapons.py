@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.numbers import fixed, percent, rows, rows_where, shown
-from .counts import cells, distribution, extremes, text_missing, two_way
+from .counts import cells, distribution, extremes, labelled, text_missing, two_way
 from .features import serious_only
 from .joins import align_union, labels_frame
 
@@ -50,7 +50,7 @@ def weapon_quality(df: DataFrame, weight: str | None = None) -> DataFrame:
 
 def subset_counts(df: DataFrame, key: str = "weapon_category", flag: str = "severity_flag", weight: str | None = None) -> DataFrame:
     """Rows per label, in all and in the flagged subset, from one pass."""
-    return df.where(F.col(key).isNotNull()).groupBy(key).agg(
+    return labelled(df, [key], weight).groupBy(key).agg(
         rows(weight).alias("n"), rows_where(F.col(flag), weight).alias("n_subset")
     )
 
