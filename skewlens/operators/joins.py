@@ -29,23 +29,30 @@ def yearly_baseline(
     )
 
 
-def join_baseline(
-    notices: DataFrame, baseline: DataFrame, crosswalk: Mapping[str, str] | None = BASELINE_CROSSWALK
-) -> DataFrame:
-    """Left join of notices to the yearly baseline on family and publication year.
-
-    The right side has one row per key, so notices are never multiplied. Its
-    size is years x families; the engine broadcasts it when its measured size
-    allows and otherwise shuffles, with AQE splitting hot keys.
+def join_yearly(notices: DataFrame, yearly: DataFrame) -> DataFrame:
+    """Left join of notices to a yearly baseline on family and publication year.
+
+    The right side has one row per key, so notices are never multiplied. No
+    broadcast is forced: a yearly baseline read from a stored table is broadcast
+    when its size is below the session's threshold, and otherwise both sides are
+    shuffled, AQE splitting keys that hold many notices. Store it first where the
+    baseline itself is large, so that its real size is known (as the audit does).
     """
-    yearly = yearly_baseline(baseline, crosswalk).withColumnsRenamed(
+    right = yearly.withColumnsRenamed(
         {"crime_family": "_family"} | ({"count": "count_baseline"} if "count" in notices.columns else {})
     )
     return notices.join(
-        yearly, (notices["crime_family"] == yearly["_family"]) & (notices["publication_year"] == yearly["year"]), "left"
+        right, (notices["crime_family"] == right["_family"]) & (notices["publication_year"] == right["year"]), "left"
     ).drop("_family")
 
 
+def join_baseline(
+    notices: DataFrame, baseline: DataFrame, crosswalk: Mapping[str, str] | None = BASELINE_CROSSWALK
+) -> DataFrame:
+    """:func:`join_yearly` with the roll-up of baseline records."""
+    return join_yearly(notices, yearly_baseline(baseline, crosswalk))
+
+
 def align_union(left: DataFrame, right: DataFrame, key: str, values: Mapping[str, str]) -> DataFrame:
     """Full outer alignment of two distributions on ``key``; a side without the key counts 0.
 

@@ -19,9 +19,9 @@ def _stacked(one: DataFrame, names: Sequence[str], label: str, value: str) -> Da
 def row_digest(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     """SHA-256 of a row's values, null-safe and unambiguous.
 
-    Equal rows are found by grouping 32-byte digests rather than whole texts.
+    Equal rows are counted by grouping 32-byte digests rather than whole texts.
     """
-    return F.sha2(F.to_json(F.struct(*(columns or df.columns)), {"ignoreNullFields": "false"}), 256)
+    return F.unhex(F.sha2(F.to_json(F.struct(*(columns or df.columns)), {"ignoreNullFields": "false"}), 256))
 
 
 def duplicated_keys(df: DataFrame, key: str = "uid") -> DataFrame:
@@ -70,20 +70,20 @@ def column_completeness(df: DataFrame) -> DataFrame:
 
 
 def latest_per_key(df: DataFrame, key: str = "uid", order: str = "modified_date") -> DataFrame:
-    """One row per key, the most recently modified; ties by digest. Rows without a key stay.
+    """One row per key, the most recently modified; ties by hash. Rows without a key stay.
 
     An aggregate, not a window: every task folds its copies to one per key
     before the shuffle, so a key that holds most rows costs no more than others.
     """
     whole = F.struct(*df.columns)
-    rank = F.struct(F.col(order), row_digest(df))
+    rank = F.struct(F.col(order), F.xxhash64(*df.columns))
     best = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key")).agg(F.max_by(whole, rank).alias("_row"))
     return best.select("_row.*").unionByName(df.where(F.col(key).isNull()))
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
     """Exact duplicates removed: copies fold per task before the shuffle."""
-    return df.groupBy(row_digest(df).alias("_d")).agg(*[F.first(c).alias(c) for c in df.columns]).drop("_d")
+    return df.distinct()
 
 
 def standardize_text(df: DataFrame, columns: Sequence[str]) -> DataFrame:

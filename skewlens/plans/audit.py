@@ -10,6 +10,7 @@ from .. import constants as K
 from ..operators.category import analyze_categories
 from ..operators.counts import case_cube, overview_from_cube
 from ..operators.features import engineer_features
+from ..operators.joins import join_yearly, yearly_baseline
 from ..operators.persistence import anova_from_moments, moments, persistence_from_counts, value_counts
 from ..operators.representation import analyze_geography
 from ..operators.results import findings, result_table
@@ -76,17 +77,16 @@ def run_audit(
 ) -> dict[str, DataFrame]:
     """Engineer once, count twice, analyse the counts.
 
-    ``output`` must be a folder every executor reaches. The text rules run once,
-    on the way into the stored features. Two narrow scans of those give the case
-    cube and the case-age counts, stored as well; with the baseline totals they
-    are all that the some thirty result tables read, at any size of the data.
+    ``output`` must be a folder every executor reaches. The baseline is rolled up
+    and stored first, so that its join to the notices is planned on its real size.
+    The text rules run once, on the way into the stored features. Two narrow scans
+    of those give the case cube and the case-age counts, stored as well; with the
+    yearly baseline they are all that the some thirty result tables read, at any
+    size of the data.
     """
     root = output.rstrip("/")
-    features = _stored(engineer_features(notices, baseline, crosswalk), f"{root}/features")
+    yearly = _stored(yearly_baseline(baseline, crosswalk), f"{root}/baseline_yearly")
+    features = _stored(join_yearly(engineer_features(notices), yearly), f"{root}/features")
     cube = _stored(case_cube(features), f"{root}/case_cube")
     ages = _stored(value_counts(features, _FAMILY, _AGE), f"{root}/case_ages")
-    totals = _stored(
-        baseline.groupBy("crime_family").agg({"count": "sum"}).withColumnRenamed("sum(count)", "count"),
-        f"{root}/baseline_totals",
-    )
-    return analyze_counts(cube, ages, totals, crosswalk, confidence)
+    return analyze_counts(cube, ages, yearly, None, confidence)
