@@ -26,7 +26,7 @@ def trend_from_cells(
     # The always-true test on n keeps the plan of the counts, so their shuffle is reused.
     periods = counted.where("n >= 0").select(period).distinct().agg(
         F.struct(
-            F.count(F.lit(1)).alias("m"),
+            F.count(F.lit(1)).cast("double").alias("m"),
             F.min(period).alias("first"),
             F.max(period).alias("last"),
             F.avg(period).alias("mean"),
@@ -34,8 +34,11 @@ def trend_from_cells(
         )
     ).scalar()
     y, n, at = F.col(period).cast("double"), F.col("n").cast("double"), F.col("_periods")
+    # Plain numbers in the aggregate: a struct would turn it into a sort.
     per = counted.withColumn("_periods", periods).groupBy(key).agg(
-        F.any_value("_periods").alias("_periods"),
+        F.max(at["m"]).alias("_m"),
+        F.max(at["mean"]).alias("_mean"),
+        F.max(at["var"]).alias("_spread"),
         F.count(F.lit(1)).alias("_k"),
         F.avg(y).alias("_y"),
         F.avg(n).alias("_n"),
@@ -47,12 +50,11 @@ def trend_from_cells(
     )
     k, m = F.col("_k"), F.col("_m")
     spread = F.col("_var") * k + F.col("_n") * F.col("_n") * k * (m - k) / m
-    joint = F.col("_cov") * k + (F.col("_y") - at["mean"]) * F.col("_n") * k
-    r = F.try_divide(joint, F.sqrt(spread * at["var"] * m))
+    joint = F.col("_cov") * k + (F.col("_y") - F.col("_mean")) * F.col("_n") * k
+    r = F.try_divide(joint, F.sqrt(spread * F.col("_spread") * m))
     first, last = F.col("first_cases"), F.col("last_cases")
     return (
-        per.withColumn("_m", at["m"].cast("double"))
-        .where((m >= min_periods) & (F.col("total_cases") > 0))
+        per.where((m >= min_periods) & (F.col("total_cases") > 0))
         .withColumn("_r", clamped(r, -1.0, 1.0))
         # Rounding noise around an exact zero must not decide the direction.
         .withColumn("correlation_with_time", F.when(F.abs("_r") < 1e-12, F.lit(0.0)).otherwise(F.col("_r")))
