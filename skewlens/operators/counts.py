@@ -22,6 +22,8 @@ def case_cube(df: DataFrame, keys: Sequence[str] = CUBE_KEYS) -> DataFrame:
 
     Holds all that the counting analyses need: rows, a flag for rows without
     weapon text, the size of the unit, the date range and the sum of case ages.
+    Rows that bring the flag already (:func:`flag_missing_text`) are counted
+    without reading their text.
     """
     measures = {
         "n": F.count(F.lit(1)),
@@ -31,7 +33,7 @@ def case_cube(df: DataFrame, keys: Sequence[str] = CUBE_KEYS) -> DataFrame:
         "case_age_sum": F.sum("case_age_days"),
         "case_age_count": F.count("case_age_days"),
     }
-    grouped = df.withColumn("weapon_text_missing", text_missing("weapon_raw")).groupBy(*keys, "weapon_text_missing")
+    grouped = flag_missing_text(df).groupBy(*keys, "weapon_text_missing")
     return grouped.agg(*[c.alias(name) for name, c in measures.items()])
 
 
@@ -39,6 +41,13 @@ def text_missing(column: str) -> Column:
     return F.col(column).isNull() | (F.col(column) == "")
 
 
+def flag_missing_text(df: DataFrame) -> DataFrame:
+    """Add ``weapon_text_missing`` unless the rows have it."""
+    if "weapon_text_missing" in df.columns:
+        return df
+    return df.withColumn("weapon_text_missing", text_missing("weapon_raw"))
+
+
 def labelled(df: DataFrame, keys: Sequence[str], weight: str | None = None) -> DataFrame:
     """Rows whose keys are all known.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import constants as K
 from ..functions.numbers import fixed, percent, rows, rows_where, shown
-from .counts import cells, distribution, extremes, labelled, text_missing, two_way
+from .counts import cells, distribution, extremes, flag_missing_text, labelled, text_missing, two_way
 from .features import serious_only
 from .joins import align_union, labels_frame
 
@@ -163,8 +163,7 @@ def analyze_weapons(df: DataFrame, weight: str | None = None) -> dict[str, DataF
     The serious rows are told by their count, not by the flag alone: a plain
     flag test would be pushed below the count, which then could not be shared.
     """
-    if weight is None:
-        df = df.withColumn("weapon_text_missing", text_missing("weapon_raw"))
+    df = flag_missing_text(df)
     keys = ("publication_year", "birth_region", "weapon_category", "severity_flag", "weapon_text_missing")
     counted = df.groupBy(*keys).agg(rows(weight).alias("n"))
     serious = counted.where(F.when(F.col("severity_flag"), F.col("n")) > 0)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from .. import constants as K
 from ..operators.category import analyze_categories
-from ..operators.counts import case_cube, overview_from_cube
+from ..operators.counts import case_cube, flag_missing_text, overview_from_cube
 from ..operators.features import engineer_features
 from ..operators.joins import join_yearly, yearly_baseline
 from ..operators.persistence import anova_from_moments, moments, persistence_from_counts, value_counts
@@ -86,7 +86,8 @@ def run_audit(
     """
     root = output.rstrip("/")
     yearly = _stored(yearly_baseline(baseline, crosswalk), f"{root}/baseline_yearly")
-    features = _stored(join_yearly(engineer_features(notices), yearly), f"{root}/features")
+    engineered = flag_missing_text(join_yearly(engineer_features(notices), yearly))
+    features = _stored(engineered, f"{root}/features")
     cube = _stored(case_cube(features), f"{root}/case_cube")
     ages = _stored(value_counts(features, _FAMILY, _AGE), f"{root}/case_ages")
     return analyze_counts(cube, ages, yearly, None, confidence)

@@ -70,7 +70,8 @@ class TableStore:
             return
         # Full-size files per folder; AQE splits a folder that holds most rows over many tasks.
         rebalanced = by_name.hint("rebalance", *parts)
-        rebalanced.write.mode(_MODES[if_exists]).partitionBy(*parts).parquet(self.path(table))
+        writer = rebalanced.write.mode(_MODES[if_exists]).option("partitionOverwriteMode", "static")
+        writer.partitionBy(*parts).parquet(self.path(table))
 
     def _read(self, table: str) -> DataFrame:
         schema = self.SCHEMAS[table]

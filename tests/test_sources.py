@@ -125,3 +125,12 @@ def test_audit_equals_the_lazy_analyses(spark, sf):
                 tuple(round(v, 8) if isinstance(v, float) else v for v in row) for row in table[name].collect()
             )
         assert rounded(stored) == rounded(lazy), name
+
+
+def test_stored_cube_does_not_read_the_text(spark, sf, tmp_path):
+    from skewlens.operators.counts import case_cube, flag_missing_text
+
+    path = str(tmp_path / "features")
+    flag_missing_text(R.features(spark, sf)).write.parquet(path)
+    plan = case_cube(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
+    assert "weapon_raw" not in plan and "description" not in plan
