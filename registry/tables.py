@@ -13,7 +13,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skewlens.functions.dates import floor_days
-from skewlens.functions.literals import array_of
+from skewlens.functions.literals import array_sql, map_sql
 from skewlens.operators.features import engineer_features
 from skewlens.operators.joins import lookup
 from skewlens.sources.baseline import standardize_baseline
@@ -59,23 +59,19 @@ def raw_notices(spark: SparkSession, sf: str) -> DataFrame:
     """Notices as a source would deliver them, nested subject included."""
     o = table(spark, sf, "orders")
     c = table(spark, sf, "customer")
-    code = F.concat("o_orderstatus", F.substring("o_orderpriority", 1, 1))
-    place = F.get(array_of(PLACES), F.col("c_nationkey"))
-    return o.join(c, o["o_custkey"] == c["c_custkey"]).select(
-        F.concat(F.lit("N"), F.col("o_orderkey")).alias("uid"),
-        lookup(code, TITLES).alias("title"),
-        lookup(F.col("c_mktsegment"), DESCRIPTIONS).alias("description"),
-        F.col("c_name").alias("name"),
-        place.alias("place_of_birth"),
-        F.array(F.concat(F.lit("alias "), F.col("c_name"))).alias("aliases"),
-        F.col("o_orderdate").cast("timestamp").alias("publication_date"),
-        F.timestamp_seconds(
-            F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.pmod(F.col("o_orderkey") * 104_729, F.lit(100_000_000))
-        ).alias("modified_date"),
-        F.when(F.col("o_totalprice") > 250_000, F.concat(F.lit("$"), F.floor(F.col("o_totalprice") / 10).cast("string")))
-        .when(F.col("o_totalprice") > 200_000, F.lit("")).alias("reward_text"),
-        F.when(F.pmod("o_orderkey", F.lit(3)) == 0, F.array().cast("array<string>"))
-        .when(F.pmod("o_orderkey", F.lit(3)) == 1, F.array(F.concat(F.lit("img"), F.col("o_orderkey")))).alias("images"),
+    return o.join(c, o["o_custkey"] == c["c_custkey"]).selectExpr(
+        "concat('N', o_orderkey) AS uid",
+        f"try_element_at({map_sql(TITLES)}, concat(o_orderstatus, substring(o_orderpriority, 1, 1))) AS title",
+        f"try_element_at({map_sql(DESCRIPTIONS)}, c_mktsegment) AS description",
+        "c_name AS name",
+        f"get({array_sql(PLACES)}, c_nationkey) AS place_of_birth",
+        "array(concat('alias ', c_name)) AS aliases",
+        "CAST(o_orderdate AS TIMESTAMP) AS publication_date",
+        "timestamp_seconds(unix_seconds(CAST(o_orderdate AS TIMESTAMP)) + pmod(o_orderkey * 104729, 100000000)) AS modified_date",
+        "CASE WHEN o_totalprice > 250000 THEN concat('$', floor(o_totalprice / 10)) WHEN o_totalprice > 200000 THEN '' END "
+        "AS reward_text",
+        "CASE pmod(o_orderkey, 3) WHEN 0 THEN CAST(array() AS ARRAY<STRING>) WHEN 1 THEN array(concat('img', o_orderkey)) END "
+        "AS images",
     )
 
 

@@ -17,9 +17,17 @@ def sql_literal(value) -> str:
     return str(value)
 
 
+def array_sql(values: Iterable) -> str:
+    return f"array({', '.join(map(sql_literal, values))})"
+
+
+def map_sql(table: Mapping) -> str:
+    return f"map({', '.join(sql_literal(x) for entry in table.items() for x in entry)})"
+
+
 def array_of(values: Iterable) -> Column:
-    return F.expr(f"array({', '.join(map(sql_literal, values))})")
+    return F.expr(array_sql(values))
 
 
 def map_of(table: Mapping) -> Column:
-    return F.expr(f"map({', '.join(sql_literal(x) for entry in table.items() for x in entry)})")
+    return F.expr(map_sql(table))
