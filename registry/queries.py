@@ -565,12 +565,12 @@ def delay_anova(spark, sf):
 @query
 def price_quantiles(spark, sf):
     """Exact quartiles of a continuous value per return flag, through buckets."""
-    return per.box_stats(R.table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice")
+    return per.box_stats(R.table(spark, sf, "lineitem"), "l_returnflag", "l_extendedprice", whole_days=False)
 
 
 @query
 def event_value_statistics(spark, sf):
-    return per.persistence(R.table(spark, sf, "events"), "event_type", "value")
+    return per.persistence(R.table(spark, sf, "events"), "event_type", "value", whole_days=False)
 
 
 @query

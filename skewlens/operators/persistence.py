@@ -57,83 +57,89 @@ def moments(counted: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def quantiles(
-    counted: DataFrame,
-    key: str,
-    value: str,
-    probabilities: Sequence[float] = BOX,
-    few_values: bool | None = None,
+    counted: DataFrame, key: str, value: str, probabilities: Sequence[float] = BOX, few_values: bool = False
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per category: one row with an array ``quantiles``.
 
     ``few_values`` says that a category has a bounded number of distinct values
-    (whole days: fewer than 40,000 in a century), which then fit one task. The
-    default takes that for 32-bit integers; other values go through buckets.
+    (whole days: fewer than 40,000 in a century), which then fit one task.
+    Otherwise the wanted ranks are located through buckets.
     """
-    if few_values is None:
-        few_values = counted.schema[value].dataType.typeName() in ("byte", "short", "integer")
     if not few_values:
-        return _bucketed_quantiles(counted, key, value, probabilities)
+        return _located_quantiles(counted, key, value, probabilities)
     wanted = array_of(map(float, probabilities))
     return counted.groupBy(key).agg(F.percentile(value, wanted, F.col("n")).alias("quantiles"))
 
 
-def _bucketed_quantiles(
-    counted: DataFrame, key: str, value: str, probabilities: Sequence[float], buckets: int = 4096
-) -> DataFrame:
-    """Quantiles in two steps that keep any one task small.
+def _narrowed(data: DataFrame, ranks: DataFrame, key: str, buckets: int) -> tuple[DataFrame, DataFrame]:
+    """Split every group ``_g`` into equal-width buckets and keep those that hold a wanted rank.
 
-    Equal-width buckets are counted first, then only the buckets that hold a
-    wanted rank are ordered value by value.
+    Buckets become the new groups, and ranks count from their start.
     """
-    known = F.when(F.col(value).isNotNull(), F.col("n")) >= 0
-    data = counted.where(known).withColumn("_v", F.col(value).cast("double"))
-    span = data.groupBy(key).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("n").alias("_total"))
+    group = [key, "_g"]
+    span = data.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
     width = (F.col("_hi") - F.col("_lo")) / float(buckets)
-    bucketed = data.join(span, key).withColumn(
-        "_b", F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width)), F.lit(0))
-    )
-    by_bucket = Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bucket = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width)), F.lit(0))
+    bucketed = data.join(span, group).withColumn("_b", bucket).select(*group, "_b", "_v", "n")
+    in_order = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     coarse = (
-        bucketed.groupBy(key, "_b", "_total").agg(F.sum("n").alias("_in"))
-        .withColumn("_through", F.sum("_in").over(by_bucket))
+        bucketed.groupBy(*group, "_b").agg(F.sum("n").alias("_in"))
+        .withColumn("_through", F.sum("_in").over(in_order))
         .withColumn("_before", F.col("_through") - F.col("_in"))
     )
-    wanted = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probabilities)
-    ])
+    inner = (F.col("_g") * (buckets + 1) + F.col("_b")).alias("_g")
+    hits = ranks.join(coarse, group).where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_through")))
+    held = hits.select(*group, "_b").distinct()
+    return (
+        bucketed.join(held, [*group, "_b"], "left_semi").select(key, inner, "_v", "n"),
+        hits.select(key, inner, "_i", "_part", (F.col("_rank") - F.col("_before")).alias("_rank")),
+    )
+
+
+def _located_quantiles(
+    counted: DataFrame, key: str, value: str, probabilities: Sequence[float], buckets: int = 4096, levels: int = 2
+) -> DataFrame:
+    """Quantiles that keep any one task small.
+
+    Each level counts equal-width buckets and goes on with those that hold a
+    wanted rank, within their own span: far outliers cost one level, not a task
+    that orders everything else. Only the last buckets are ordered value by value.
+    """
+    known = F.when(F.col(value).isNotNull(), F.col("n")) >= 0
+    data = counted.where(known).select(key, F.lit(0).cast("long").alias("_g"), F.col(value).cast("double").alias("_v"), "n")
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probabilities)])
     place = F.col("_q")["p"] * (F.col("_total") - 1)
     ranks = (
-        coarse.withColumn("_q", F.explode(wanted))
+        data.groupBy(key, "_g").agg(F.sum("n").alias("_total")).withColumn("_q", F.explode(wanted))
         .select(
-            key, "_b", "_before", "_through", F.col("_q")["i"].alias("_i"), (place - F.floor(place)).alias("_part"),
+            key, "_g", F.col("_q")["i"].alias("_i"), (place - F.floor(place)).alias("_part"),
             F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("_rank"),
         )
-        .where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_through")))
-    )
-    by_value = Window.partitionBy(key, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fine = (
-        bucketed.join(ranks.select(key, "_b", "_before").distinct(), [key, "_b"])
-        .select(key, "_b", "_v", "_before", "n")
-        .withColumn("_to", F.col("_before") + F.sum("n").over(by_value))
-        .withColumn("_from", F.col("_to") - F.col("n"))
-        .drop("_before", "n")
-    )
-    found = ranks.join(fine, [key, "_b"]).where(
-        (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
     )
-    low, high = F.min_by("_v", "_rank"), F.max_by("_v", "_rank")
+    for _ in range(levels):
+        data, ranks = _narrowed(data, ranks, key, buckets)
+    by_value = Window.partitionBy(key, "_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = data.withColumn("_to", F.sum("n").over(by_value)).withColumn("_from", F.col("_to") - F.col("n")).drop("n")
+    found = ranks.join(ordered, [key, "_g"]).where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
+    # The two neighbours of a quantile may lie in different buckets: order them by value.
+    low, high = F.min("_v"), F.max("_v")
     each = found.groupBy(key, "_i").agg((low + (high - low) * F.max("_part")).alias("_value"))
     in_order = F.array_sort(F.collect_list(F.struct("_i", "_value")))
     return each.groupBy(key).agg(F.transform(in_order, lambda s: s["_value"]).alias("quantiles"))
 
 
-def persistence(df: DataFrame, key: str = "crime_family", value: str = "case_age_days") -> DataFrame:
-    """Count, mean, median, sample standard deviation, min and max per category."""
-    return persistence_from_counts(value_counts(df, key, value), key, value)
+def persistence(
+    df: DataFrame, key: str = "crime_family", value: str = "case_age_days", whole_days: bool = True
+) -> DataFrame:
+    """Count, mean, median, sample standard deviation, min and max per category.
 
+    ``whole_days=False`` for any other value than a number of days.
+    """
+    return persistence_from_counts(value_counts(df, key, value), key, value, whole_days)
 
-def persistence_from_counts(counted: DataFrame, key: str, value: str) -> DataFrame:
-    middle = quantiles(counted, key, value, (0.5,)).select(key, F.get("quantiles", F.lit(0)).alias("median"))
+
+def persistence_from_counts(counted: DataFrame, key: str, value: str, whole_days: bool = True) -> DataFrame:
+    middle = quantiles(counted, key, value, (0.5,), whole_days).select(key, F.get("quantiles", F.lit(0)).alias("median"))
     return moments(counted, key, value).join(middle, key, "left").select(
         key, "count", "mean", "median",
         F.sqrt(F.when(F.col("count") > 1, F.col("squares") / (F.col("count") - 1))).alias("std"),
@@ -141,14 +147,12 @@ def persistence_from_counts(counted: DataFrame, key: str, value: str) -> DataFra
     )
 
 
-def box_stats(df: DataFrame, key: str = "crime_family", value: str = "case_age_days") -> DataFrame:
-    """Five-number summary per category (box plot)."""
-    return box_from_counts(value_counts(df, key, value), key, value)
-
-
-def box_from_counts(counted: DataFrame, key: str, value: str) -> DataFrame:
+def box_stats(
+    df: DataFrame, key: str = "crime_family", value: str = "case_age_days", whole_days: bool = True
+) -> DataFrame:
+    """Five-number summary per category (box plot); ``whole_days`` as in :func:`persistence`."""
     names = ("min", "q1", "median", "q3", "max")
-    return quantiles(counted, key, value).select(
+    return quantiles(value_counts(df, key, value), key, value, BOX, whole_days).select(
         key, *[F.get("quantiles", F.lit(i)).alias(name) for i, name in enumerate(names)]
     )
 

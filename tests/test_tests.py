@@ -134,8 +134,8 @@ def _skewed(spark, kind):
 @pytest.mark.parametrize("kind", ["int", "double"])
 def test_persistence_against_brute_force(spark, kind):
     rows, df = _skewed(spark, kind)
-    got = {r.crime_family: r for r in per.persistence(df).collect()}
-    box = {r.crime_family: r for r in per.box_stats(df).collect()}
+    got = {r.crime_family: r for r in per.persistence(df, whole_days=kind == "int").collect()}
+    box = {r.crime_family: r for r in per.box_stats(df, whole_days=kind == "int").collect()}
     assert set(got) == {"hot", "a", "b", "c", "d", "one", "void", "same"}
     for k, r in got.items():
         v = [x for g, x in rows if g == k and x is not None]
@@ -162,6 +162,16 @@ def test_bucketed_quantiles_equal_direct_ones(spark):
     assert {k for k, v in a.items() if v is not None} == set(b)
 
 
+def test_quantiles_beside_far_outliers(spark):
+    random.seed(3)
+    values = [random.random() for _ in range(3000)] + [1e12, -1e9, 5e6] + [0.25] * 1000
+    df = spark.createDataFrame([("k", v) for v in values], "crime_family string, case_age_days double")
+    counted = per.value_counts(df, "crime_family", "case_age_days")
+    for levels in (1, 2, 3):
+        row = per._located_quantiles(counted, "crime_family", "case_age_days", (0.0, 0.01, 0.5, 0.999, 1.0), 64, levels).first()
+        assert row.quantiles == pytest.approx(list(np.percentile(values, [0, 1, 50, 99.9, 100])), rel=1e-9), levels
+
+
 def test_approximate_box_is_close(spark):
     _, df = _skewed(spark, "int")
     exact = {r.crime_family: r.median for r in per.box_stats(df).collect()}
