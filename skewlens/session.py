@@ -19,6 +19,10 @@ SETTINGS = {
 STATIC_SETTINGS = {"spark.python.sql.dataFrameDebugging.enabled": "false"}
 
 
+# The folder of local sessions that name none, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings the results depend on to a running session."""
     for key, value in SETTINGS.items():
@@ -27,9 +31,15 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint folder.
+    """A new folder under ``spark.checkpoint.dir``, the folder all executors share.
 
-    Only where the session names none (unit tests) a local folder is used.
+    Where the session names none, a local session gets a temporary folder for
+    good (there is one machine); on a cluster it is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL.get(spark.sparkContext.applicationId)
+    if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+        root = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="skewlens-")
     return f"{root.rstrip('/')}/skewlens-{uuid.uuid4().hex}"

@@ -7,8 +7,10 @@ import pytest
 
 import __spark_entry__ as entry
 from check import TABLES, _bag
+from registry.oracles import ORACLES
+from registry.queries import QUERIES
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -20,7 +22,8 @@ def db(sf):
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries())
 
 
 def test_entry(spark):
@@ -29,9 +32,9 @@ def test_entry(spark):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query(spark, sf, db, name):
-    df = entry.queries()[name](spark, sf)
+    df = QUERIES[name](spark, sf)
     rows = [tuple(r) for r in df.collect()]
-    cursor = db.execute(entry.oracle_sql()[name])
+    cursor = db.execute(ORACLES[name])
     columns = [d[0] for d in cursor.description]
     assert sorted(df.columns) == sorted(columns)
     got, want = _bag(df.columns, rows), _bag(columns, cursor.fetchall())
