@@ -22,6 +22,34 @@ WITH l AS (
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
 FROM m GROUP BY doc_id
+""",
+    "op5_perspectives": r"""
+WITH t AS (
+  SELECT DISTINCT conv_id, turn, coalesce(role, 'unknown') AS role, replace(coalesce(text, ''), '<|', '< |') AS text,
+         coalesce(CAST(floor(turn / 256.0) AS BIGINT), -1) AS segment
+  FROM conversations
+), c AS (
+  SELECT coalesce(CAST(floor(turn / 256.0) AS BIGINT), -1) AS segment, conv_id, count(*) > 1024 AS crowded FROM conversations GROUP BY ALL
+), r AS (
+  SELECT t.*, CASE WHEN c.crowded THEN (row_number() OVER (PARTITION BY t.conv_id, t.segment ORDER BY t.turn NULLS FIRST, t.role, t.text) - 1) // 256
+         ELSE 0 END AS part
+  FROM t JOIN c ON t.conv_id IS NOT DISTINCT FROM c.conv_id AND t.segment = c.segment
+), s AS (
+  SELECT DISTINCT conv_id, role AS speaker FROM t WHERE role <> 'system'
+), p AS (
+  SELECT r.*, speaker, role = speaker AS trained,
+         CASE WHEN role = speaker THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>' ELSE '<|user name=' || role || '|>' END || chr(10) AS head,
+         text || '<|end|>' || chr(10) AS body
+  FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id
+), e AS (
+  SELECT *, sum(length(head) + length(body)) OVER (
+    PARTITION BY conv_id, speaker, segment, part ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS stop
+  FROM p
+)
+SELECT conv_id, speaker, segment, part, count(*) AS n_turns, count(*) FILTER (trained) AS n_trained,
+       string_agg(head || body, '' ORDER BY stop) AS text,
+       coalesce(string_agg((stop - length(body)) || ':' || stop, ',' ORDER BY stop) FILTER (trained), '') AS mask
+FROM e GROUP BY conv_id, speaker, segment, part
 """,
     "op10_host_rules": r"""
 WITH w AS (

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skewlens.session import configure
 
-from . import line_dedup, mixing, quality_rules, simhash, token_files
+from . import decontaminate, line_dedup, mixing, ordinal, perspectives, pii, quality_rules, simhash, token_files, warc
 from .oracles import ORACLES  # noqa: F401  (re-exported)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,12 +23,33 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_skip_chain_pii(spark, sf):
+    out = pii.find_personal_data(_table(spark, sf, "documents"))
+    return out.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2("base", 256).alias("base_sha256"), "spans", "n_added")
+
+
+@query
+def op2_ordinal_quality(spark, sf):
+    return ordinal.classify(_table(spark, sf, "documents"), _table(spark, sf, "labels"))
+
+
+@query
+def op3_decontamination(spark, sf):
+    return decontaminate.find_leaks(_table(spark, sf, "documents"), _table(spark, sf, "benchmark"))
+
+
 @query
 def op4_line_dedup(spark, sf):
     out = line_dedup.dedup_lines(_table(spark, sf, "documents"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query
+def op5_perspectives(spark, sf):
+    return perspectives.rotate(_table(spark, sf, "conversations"))
+
+
 @query
 def op6_simhash(spark, sf):
     out = simhash.near_duplicates(_table(spark, sf, "documents"))
@@ -40,6 +61,15 @@ def op7_token_files(spark, sf):
     return token_files.token_files(_table(spark, sf, "documents"))
 
 
+@query
+def op8_warc_derivatives(spark, sf):
+    out = warc.derive(warc.responses(_table(spark, sf, "pages")))
+    return out.select(
+        F.col("key").alias("page_id"), "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "payload_digest",
+        "block_digest", "content_length", F.col("block").cast("string").alias("block"),
+    )
+
+
 @query
 def op9_mixing(spark, sf):
     out = mixing.mix(_table(spark, sf, "documents"))
