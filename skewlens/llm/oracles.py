@@ -79,7 +79,7 @@ WITH w AS (
   FROM (SELECT source, unnest(['short', 'repeats', 'symbols', 'lines']) AS rule, unnest([short, repeats, symbols, lines]) AS failed FROM f)
   GROUP BY source, rule
 ), a AS (
-  SELECT rule, sum(bad) / sum(n) AS mean, var_pop(bad / n) AS var FROM h GROUP BY rule
+  SELECT rule, sum(bad) / sum(n) AS mean, sum(bad * bad / n) / sum(n) - (sum(bad) / sum(n)) ** 2 AS var FROM h GROUP BY rule
 ), b AS (
   SELECT rule, mean, CASE WHEN var <= 0 THEN 1e6 ELSE least(1e6, greatest(1.0, mean * (1 - mean) / var - 1)) END AS weight FROM a
 ), v AS (
