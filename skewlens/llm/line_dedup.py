@@ -178,7 +178,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     suspects = stored(d.mapInArrow(_suspects(bits, cells), "hi bigint, lo bigint, id bigint"), "suspects")
     repeated = suspects.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     drops = (
-        suspects.join(repeated, ["hi", "lo"]).filter("id > first")
+        suspects.join(stored(repeated, "repeated"), ["hi", "lo"]).filter("id > first")
         .groupBy("id").agg(F.collect_set(F.struct("hi", "lo")).alias("drops"))
     )
     joined = d.withColumn("_id", F.coalesce("doc_id", F.lit(LAST))).join(drops, F.col("_id") == F.col("id"), "left")
