@@ -3,7 +3,7 @@
 A text is the set of its words and of their shapes (case, marks at the end,
 digits), hashed to ``SIZE`` features, each worth n ** -POWER in a text of n
 features. The ``TOP`` features that tell the grades apart best (chi-square over the
-rated texts, in at least ``MIN_TEXTS`` of them) get a weight, the others none.
+rated texts, at least ``MIN_CHI``, in at least ``MIN_TEXTS`` of them) get a weight, the others none.
 One weight vector w is shared by all grades; with ordered thresholds t_1 < t_2
 the chance of grade k or better is 1 / (1 + exp(t_k - w.x)). From these tail
 probabilities follow the expected grade and the selection.
@@ -37,6 +37,7 @@ SEED = 5
 POWER = 0.25
 TOP = 300
 MIN_TEXTS = 3
+MIN_CHI = 25.0       # below, a difference between grades may be chance
 STEPS = 300
 RATE = 0.05
 DECAY = 1e-5
@@ -104,7 +105,7 @@ def telling(at: np.ndarray, f: np.ndarray, grades: np.ndarray) -> np.ndarray:
     chi[seen.sum(axis=1) < MIN_TEXTS] = 0
     top = np.argsort(-chi, kind="stable")[:TOP]
     chosen = np.zeros(SIZE, bool)
-    chosen[top[chi[top] > 0]] = True
+    chosen[top[chi[top] >= MIN_CHI]] = True
     return chosen
 
 
