@@ -11,9 +11,10 @@ Tasks write straight to a folder that all executors reach, through the file
 system its address names, under a name of their own that is renamed at the end:
 a task that runs twice leaves the same file. The driver sees two numbers per part.
 
-Words are encoded once per worker and looked up after that; the pre-tokenizer
-never joins text across white space, so the ids are those of the whole text. A
-text that holds one of the tokenizer's special strings is encoded whole.
+Words, and the parts that new words consist of, are encoded once per worker and
+looked up after that; the pre-tokenizer never joins text across white space, nor
+letters with digits or marks, so the ids are those of the whole text. A text that
+holds one of the tokenizer's special strings is encoded whole.
 
 Defined cases. A null text is empty and has the end id only. Documents with a
 null doc_id come last and are written with the largest signed id; those with
@@ -26,6 +27,7 @@ import os
 import re
 import uuid
 import zlib
+from itertools import chain, repeat
 from urllib.parse import urlparse
 
 import numpy as np
@@ -40,7 +42,12 @@ from .common import column, partitions
 
 END_ID = 1
 LAST = (1 << 63) - 1
-CACHED_WORDS = 300_000
+CACHED_WORDS = 800_000
+CACHED_PIECES = 600_000
+# Words of ASCII marks but ' (which may start a contraction) and Latin-1 letters fall into the pre-tokenizer's
+# own parts where letters, digits and marks meet, and lower case does not change them otherwise.
+PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+PIECE = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 LONG_WORD = 64
 SEPARATORS = re.compile("[\x1c-\x1f]")
 
@@ -53,8 +60,45 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Table:
+    """Strings with their ids, looked up by number; emptied when it has grown to its size."""
+
+    def __init__(self, dtype: str, size: int):
+        self.dtype, self.size = dtype, size
+        self.clear()
+
+    def clear(self):
+        self.number: dict[str, int] = {}
+        self.ids, self.starts = np.empty(0, self.dtype), np.zeros(1, np.int64)
+
+    def add(self, strings: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        self.number.update(zip(strings, range(len(self.number), len(self.number) + len(strings))))
+        self.ids = np.concatenate([self.ids, ids])
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+
+    def numbers(self, strings: list[str], learn) -> np.ndarray:
+        """The number of each string; ``learn`` adds those that are new."""
+        if len(self.number) > self.size:
+            self.clear()
+        out = np.fromiter(map(self.number.get, strings, repeat(-1)), np.int64, len(strings))
+        if len(at := np.flatnonzero(out < 0)):
+            missed = [strings[i] for i in at]
+            new = list(set(missed))
+            for i in range(0, len(new), 50_000):
+                learn(new[i:i + 50_000])
+            out[at] = np.fromiter(map(self.number.__getitem__, missed), np.int64, len(missed))
+        return out
+
+    def look_up(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all, where each one's end)."""
+        lengths = self.starts[numbers + 1] - self.starts[numbers]
+        ends = np.cumsum(lengths)
+        n = int(ends[-1]) if len(ends) else 0
+        return self.ids[np.arange(n) + np.repeat(self.starts[numbers] - (ends - lengths), lengths)], ends
+
+
 class Encoder:
-    """Whole texts to ids through a bounded cache of words."""
+    """Whole texts to ids through two bounded tables: of words, and of the pieces that new words consist of."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,32 +107,26 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.clear()
-
-    def clear(self):
-        self.number: dict[str, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.ids = np.empty(0, self.dtype)
-        self.starts = np.zeros(1, np.int64)
+        self.words, self.pieces = Table(self.dtype, CACHED_WORDS), Table(self.dtype, CACHED_PIECES)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def learn(self, words: list[str]) -> None:
-        """Encode ``words`` (new ones) in one call and append them to the table."""
-        enc = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        of = np.array(enc.word_ids, np.int64)
-        counts = np.bincount(of, minlength=len(words))
-        base = len(self.number)
-        for i, w in enumerate(words):
-            self.number[w] = base + i
-        self.ids = np.concatenate([self.ids, np.array(enc.ids, self.dtype)])
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
+    def learn_pieces(self, pieces: list[str]) -> None:
+        enc = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+        counts = np.bincount(np.array(enc.word_ids, np.int64), minlength=len(pieces))
+        self.pieces.add(pieces, np.array(enc.ids, self.dtype), counts)
+
+    def learn_words(self, words: list[str]) -> None:
+        """Plain words from their pieces, others from the tokenizer as they are."""
+        plain, pieces_of = PLAIN.fullmatch, PIECE.findall
+        split = [pieces_of(w.lower()) if plain(w) else [w] for w in words]
+        ids, ends = self.pieces.look_up(self.pieces.numbers(list(chain.from_iterable(split)), self.learn_pieces))
+        bounds = np.r_[0, ends][np.cumsum([len(pieces) for pieces in split])]
+        self.words.add(words, ids, np.diff(np.r_[0, bounds]))
 
     def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids per text) with the end id after each text."""
-        if len(self.number) > CACHED_WORDS:
-            self.clear()
         split, apart = [], {}
         for i, t in enumerate(texts):
             if any(s in t for s in self.special):
@@ -99,15 +137,8 @@ class Encoder:
                 if words and max(map(len, words)) > LONG_WORD:
                     apart[i], words = self.whole(t), []
             split.append(words)
-        new = list({w for words in split for w in words}.difference(self.number))
-        for i in range(0, len(new), 20_000):
-            self.learn(new[i:i + 20_000])
-        number = self.number
-        flat = np.fromiter((number[w] for words in split for w in words), np.int64)
-        lengths = self.starts[flat + 1] - self.starts[flat]
-        ends = np.cumsum(lengths)
-        n = int(ends[-1]) if len(ends) else 0
-        ids = self.ids[np.arange(n) + np.repeat(self.starts[flat] - (ends - lengths), lengths)]
+        flat = list(chain.from_iterable(split))
+        ids, ends = self.words.look_up(self.words.numbers(flat, self.learn_words))
         bounds = np.cumsum([0] + [len(w) for w in split])
         upto = np.r_[0, ends][bounds]
         out, counts = [], np.empty(len(texts), np.int64)
