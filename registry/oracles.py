@@ -581,9 +581,23 @@ SELECT publication_year, {_r("100.0 * count(*) FILTER (weapon_category = 'unknow
 SELECT 'uid not null' AS rule, count(*) FILTER (uid IS NULL) AS violations FROM repeated
 UNION ALL SELECT 'title not null', count(*) FILTER (title IS NULL) FROM repeated
 UNION ALL SELECT 'publication_date not null', count(*) FILTER (publication_date IS NULL) FROM repeated
+UNION ALL SELECT 'uid is text', 0 FROM (SELECT 1)
 UNION ALL SELECT 'publication_date is a date', 0 FROM (SELECT 1)
+UNION ALL SELECT 'case_age_days is a whole number', 0 FROM (SELECT 1)
 UNION ALL SELECT 'case_age_days >= 10', count(*) FILTER (case_age_days < 10) FROM repeated
 UNION ALL SELECT 'uid unique', count(uid) - count(DISTINCT uid) FROM repeated""",
+    "validation_text_dates": """
+SELECT 'uid not null' AS rule, 0 AS violations FROM (SELECT 1)
+UNION ALL SELECT 'comment missing', count(*) FROM orders
+UNION ALL SELECT 'publication_date is a date', count(*) FILTER (o_orderkey % 50 = 0) FROM orders
+UNION ALL SELECT 'price is a whole number', count(*) FILTER (o_orderkey % 7 = 0 OR (o_orderkey % 7 <> 0 AND o_totalprice <> floor(o_totalprice))) FROM orders
+UNION ALL SELECT 'priority is text', 0 FROM (SELECT 1)
+UNION ALL SELECT 'customer is text', count(*) FROM orders
+UNION ALL SELECT 'price >= 1000', count(*) FILTER (o_orderkey % 7 <> 0 AND o_totalprice < 1000) FROM orders
+UNION ALL SELECT 'customer unique', count(*) - count(DISTINCT o_custkey) FROM orders""",
+    "year_by_customer": """
+SELECT year, o_custkey, n, round(n / sum(n) OVER (PARTITION BY year), 6) AS share
+FROM (SELECT CAST(year(o_orderdate) AS BIGINT) AS year, o_custkey, count(*) AS n FROM orders GROUP BY 1, 2)""",
     "repeated_keys": _REPEATED + " SELECT uid, count(*) AS n FROM repeated WHERE uid IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
     "latest_notices": _REPEATED + """
 SELECT uid, title, strftime(md, '%Y-%m-%d %H:%M:%S') AS modified_date, case_age_days FROM (
@@ -602,7 +616,7 @@ FROM (SELECT DISTINCT text, lang FROM documents)""",
         ]),
     "standardized_documents": r"""SELECT doc_id, sha256(t) AS digest, CAST(length(t) AS BIGINT) AS n
 FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS t FROM documents)""",
-    "standardized_states": "SELECT p_partkey, upper(trim(' ' || substr(p_name, 1, 2))) AS state FROM part",
+    "standardized_states": "SELECT p_partkey, upper(trim(' ' || p_name || ' ')) AS state FROM part",
     "anonymized_notices": "WITH " + NOTICES + " SELECT uid, sha256(name) AS name, sha256('alias ' || name) AS alias FROM notices",
     "retained_notices": "WITH " + NOTICES + " SELECT uid, case_age_days FROM notices WHERE case_age_days <= 365",
 }

@@ -413,6 +413,13 @@ def nation_by_priority(spark, sf):
     return cnt.within(cnt.cells(both, "c_nationkey", "o_orderpriority"), "c_nationkey")
 
 
+@query
+def year_by_customer(spark, sf):
+    """Shares of customers within a year: a table of many labels, sparse."""
+    o = R.table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    return cnt.two_way(o, "year", "o_custkey", normalize="row")
+
+
 @query
 def distinct_labels(spark, sf):
     return cnt.distinct_labels(R.features(spark, sf), ["crime_family", "birth_state", "weapon_category"])
@@ -785,6 +792,27 @@ def validation(spark, sf):
     return qual.validate(_repeated(spark, sf), minimum=("case_age_days", 10))
 
 
+@query
+def validation_text_dates(spark, sf):
+    """Rules over text: dates in several spellings, numbers written out, some of both unreadable."""
+    o = R.table(spark, sf, "orders")
+    key = F.col("o_orderkey")
+    date = F.col("o_orderdate").cast("timestamp")
+    spelled = (
+        F.when(key % 50 == 0, F.lit("no date")).when(key % 50 == 1, F.date_format(date, "MM/dd/yyyy"))
+        .when(key % 50 == 2, F.date_format(date, "MMMM d, yyyy")).otherwise(F.date_format(date, "yyyy-MM-dd"))
+    )
+    rows = o.select(
+        key.cast("string").alias("uid"), spelled.alias("publication_date"), F.col("o_custkey").alias("customer"),
+        F.when(key % 7 == 0, F.lit("many")).otherwise(F.col("o_totalprice").cast("string")).alias("price"),
+        F.col("o_orderpriority").alias("priority"),
+    )
+    return qual.validate(
+        rows, required=("uid", "comment"), unique="customer", minimum=("price", 1000),
+        types={"publication_date": "date", "price": "whole", "priority": "text", "customer": "text"},
+    )
+
+
 @query
 def repeated_keys(spark, sf):
     return qual.duplicated_keys(_repeated(spark, sf))
@@ -820,7 +848,7 @@ def standardized_documents(spark, sf):
 
 @query
 def standardized_states(spark, sf):
-    p = R.table(spark, sf, "part").select("p_partkey", F.concat(F.lit(" "), F.substring("p_name", 1, 2)).alias("state"))
+    p = R.table(spark, sf, "part").select("p_partkey", F.concat(F.lit(" "), "p_name", F.lit(" ")).alias("state"))
     return qual.standardize_states(p)
 
 

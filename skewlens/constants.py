@@ -8,13 +8,13 @@ from __future__ import annotations
 
 # --- Fixed values: states --------------------------------------------------
 # Matching order is the alphabetical order of the state names.
-STATE_CODES = (
-    "AL AK AZ AR CA CO CT DE FL GA "
-    "HI ID IL IN IA KS KY LA ME MD "
-    "MA MI MN MS MO MT NE NV NH NJ "
-    "NM NY NC ND OH OK OR PA RI SC "
-    "SD TN TX UT VT VA WA WV WI WY"
-).split()
+STATE_CODES = [
+    "AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA",
+    "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD",
+    "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ",
+    "NM", "NY", "NC", "ND", "OH", "OK", "OR", "PA", "RI", "SC",
+    "SD", "TN", "TX", "UT", "VT", "VA", "WA", "WV", "WI", "WY",
+]
 
 UNKNOWN_STATE = "UNKNOWN"
 
@@ -34,11 +34,11 @@ STATE_POPULATIONS = {
 
 # A state on no list (MD, DE) falls to OTHER_REGION.
 REGIONS = {
-    "Northeast": "CT ME MA NH NJ NY PA RI VT".split(),
-    "Southeast": "AL AR FL GA KY LA MS NC SC TN VA WV".split(),
-    "Midwest": "IL IN IA KS MI MN MO NE ND OH SD WI".split(),
-    "Southwest": "AZ NM OK TX".split(),
-    "West": "AK CA CO HI ID MT NV OR UT WA WY".split(),
+    "Northeast": ["CT", "ME", "MA", "NH", "NJ", "NY", "PA", "RI", "VT"],
+    "Southeast": ["AL", "AR", "FL", "GA", "KY", "LA", "MS", "NC", "SC", "TN", "VA", "WV"],
+    "Midwest": ["IL", "IN", "IA", "KS", "MI", "MN", "MO", "NE", "ND", "OH", "SD", "WI"],
+    "Southwest": ["AZ", "NM", "OK", "TX"],
+    "West": ["AK", "CA", "CO", "HI", "ID", "MT", "NV", "OR", "UT", "WA", "WY"],
 }
 OTHER_REGION = "Other"
 
@@ -152,6 +152,7 @@ RETENTION_DAYS = 365
 TREND_THRESHOLD = 0.1
 
 # --- Fixed values: validation rules ----------------------------------------
+FIELD_TYPES = {"uid": "text", "publication_date": "date", "case_age_days": "whole"}
 REQUIRED_FIELDS = ["uid", "title", "publication_date"]
 
 # --- Fixed values: wording of the findings ---------------------------------

@@ -89,33 +89,27 @@ def cells(df: DataFrame, a: str, b: str, weight: str | None = None) -> DataFrame
     return labelled(df, [a, b], weight).groupBy(a, b).agg(rows(weight).alias("n"))
 
 
-def _labels(counted: DataFrame, key: str, max_labels: int) -> Column:
-    """The distinct labels of ``key`` as one array; an error beyond ``max_labels``.
-
-    The always-true test on ``n`` keeps the plan of ``counted`` as it is, so that
-    its shuffle is reused instead of the data being read again.
-    """
-    some = counted.where("n >= 0").select(key).distinct().limit(max_labels + 1).agg(F.collect_list(key).alias("labels")).scalar()
-    refused = F.raise_error(F.lit(f"{key} has more than {max_labels} labels; use the sparse table of cells()"))
-    return F.when(F.size(some) <= max_labels, some).otherwise(refused)
+# Labels of the columns whose values are declared: tables over them show the absent ones as zero.
+DECLARED = {
+    "crime_family": [name for name, _ in K.CRIME_FAMILIES] + [K.OTHER_FAMILY],
+    "weapon_category": K.WEAPON_DOMAIN,
+    "birth_region": [*K.REGIONS, K.OTHER_REGION],
+}
 
 
-def zero_filled(counted: DataFrame, a: str, b: str, max_labels: int = 10_000) -> DataFrame:
-    """All combinations of the values of ``a`` and ``b``, absent ones with n = 0, and ``share`` within ``a``.
+def zero_filled(counted: DataFrame, a: str, b: str, labels: Sequence[str]) -> DataFrame:
+    """``counted`` with a row of n = 0 for every value of ``a`` and every absent one of the declared ``labels`` of ``b``.
 
-    Each value of ``a`` holds its counts as a map over the labels of ``b`` and is
-    unfolded once per label: no join. The labels of ``b`` are refused beyond
-    ``max_labels``; larger tables keep the sparse form of :func:`cells`, which
-    holds the same numbers, and :func:`within` for its shares.
+    Declared labels that occur nowhere are left out, others that occur are kept.
+    Each value of ``a`` is unfolded once per declared label: no row, task or
+    array ever holds more than those, however many values and labels occur.
     """
-    per = counted.groupBy(a).agg(
-        F.sum("n").alias("_total"), F.map_from_entries(F.collect_list(F.struct(b, "n"))).alias("_n")
-    )
-    n = F.coalesce(F.try_element_at("_n", F.col(b)), F.lit(0))
-    return (
-        per.select(a, "_total", "_n", F.explode(_labels(counted, b, max_labels)).alias(b))
-        .select(a, b, n.alias("n"), share(n, F.col("_total")).alias("share"))
-    )
+    # The test involves n, so the plan of ``counted`` stays as it is and its shuffle is reused.
+    known = F.when(F.col(b).isin(list(labels)), F.col("n")) >= 0
+    occurring = counted.where(known).agg(F.collect_set(b).alias("labels")).scalar()
+    values = counted.groupBy(a).agg(F.sum("n").alias("_total")).where("_total >= 0")
+    absent = values.select(a, F.explode(occurring).alias(b), F.lit(0).cast("long").alias("n"))
+    return counted.select(a, b, "n").unionByName(absent).groupBy(a, b).agg(F.sum("n").alias("n"))
 
 
 def within(counted: DataFrame, key: str, name: str = "share") -> DataFrame:
@@ -124,15 +118,27 @@ def within(counted: DataFrame, key: str, name: str = "share") -> DataFrame:
     return counted.join(totals, key).withColumn(name, share(F.col("n"), F.col("_total"))).drop("_total")
 
 
-def two_way(df: DataFrame, a: str, b: str, weight: str | None = None, normalize: str | None = None) -> DataFrame:
-    """Zero-filled two-way table; ``normalize`` 'row' or 'column' keeps the share within it."""
+def two_way(
+    df: DataFrame, a: str, b: str, weight: str | None = None, normalize: str | None = None,
+    labels: Sequence[str] | None = None,
+) -> DataFrame:
+    """Two-way table; ``normalize`` 'row' or 'column' adds the share within it.
+
+    Sparse: the cells that occur. Zero rows are added for the declared ``labels``
+    of ``b`` (of ``a`` for 'column'), by default those of :data:`DECLARED`.
+    """
+    whole, other = (b, a) if normalize == "column" else (a, b)
     counted = cells(df, a, b, weight)
-    grid = zero_filled(counted, b, a) if normalize == "column" else zero_filled(counted, a, b)
-    return grid.select(a, b, "n", *(["share"] if normalize else []))
+    if labels is None:
+        labels = DECLARED.get(other, ())
+    table = zero_filled(counted, whole, other, labels) if labels else counted
+    if normalize:
+        table = within(table, whole)
+    return table.select(a, b, "n", *(["share"] if normalize else []))
 
 
 def yearly_shares(df: DataFrame, key: str, year: str = "publication_year", weight: str | None = None) -> DataFrame:
-    """Percentage of each label within its year, zero-filled."""
+    """Percentage of each label within its year, zero-filled where the labels are declared."""
     table = two_way(df, year, key, weight, normalize="row")
     return table.withColumn("percentage", F.col("share") * 100.0).drop("share")
 
@@ -177,17 +183,15 @@ def extremes(counts: DataFrame, key: str) -> DataFrame:
 def distinct_labels(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
     """One row: distinct non-null labels per column.
 
-    Exact counts go through one small groupBy per column instead of expanding
-    every row once per column; ``approximate`` is a single pass with sketches.
+    Exact counts unfold each row into one (column, label) pair per column, which
+    fold per task before the shuffle: the rows are derived once, and no task
+    holds the labels of a column. ``approximate`` is a single pass with sketches.
     """
     if approximate:
         return df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns])
-    return df.sparkSession.range(1).select(*[_distinct(df, c).alias(c) for c in columns])
-
-
-def _distinct(df: DataFrame, column: str) -> Column:
-    """Number of distinct non-null labels, through one small groupBy."""
-    return df.where(F.col(column).isNotNull()).select(column).distinct().agg(F.count(F.lit(1))).scalar()
+    pairs = F.array(*[F.struct(F.lit(i).alias("c"), F.col(c).cast("string").alias("label")) for i, c in enumerate(columns)])
+    labels = df.select(F.inline(pairs)).where("label is not null").distinct()
+    return labels.agg(*[F.count_if(F.col("c") == i).alias(c) for i, c in enumerate(columns)])
 
 
 def overview(df: DataFrame) -> DataFrame:

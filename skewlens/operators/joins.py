@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..constants import BASELINE_CROSSWALK
+from ..constants import BASELINE_CROSSWALK, CRIME_FAMILIES, OTHER_FAMILY
 from ..functions.literals import array_of, map_of
 from ..functions.numbers import share
 from ..sources.baseline import translate_families
@@ -29,28 +29,35 @@ def yearly_baseline(
     )
 
 
-def join_yearly(notices: DataFrame, yearly: DataFrame) -> DataFrame:
+FAMILIES = [name for name, _ in CRIME_FAMILIES] + [OTHER_FAMILY]
+YEARS = (0, 9999)
+
+
+def join_yearly(notices: DataFrame, yearly: DataFrame, families: Sequence[str] | None = FAMILIES) -> DataFrame:
     """Left join of notices to a yearly baseline on family and publication year.
 
-    The right side has one row per key, so notices are never multiplied. No
-    broadcast is forced: a yearly baseline read from a stored table is broadcast
-    when its size is below the session's threshold, and otherwise both sides are
-    shuffled, AQE splitting keys that hold many notices. Store it first where the
-    baseline itself is large, so that its real size is known (as the audit does).
+    The right side has one row per key, so notices are never multiplied. Only
+    the ``families`` the notices can have and calendar years take part, which
+    bounds the right side (some ten thousand short rows per family at most): it
+    is broadcast, and the notices stay where they are. ``families=None`` takes
+    every family and leaves the join to Spark.
     """
     right = yearly.withColumnsRenamed(
         {"crime_family": "_family"} | ({"count": "count_baseline"} if "count" in notices.columns else {})
     )
+    if families is not None:
+        right = F.broadcast(right.where(F.col("_family").isin(list(families)) & F.col("year").between(*YEARS)))
     return notices.join(
         right, (notices["crime_family"] == right["_family"]) & (notices["publication_year"] == right["year"]), "left"
     ).drop("_family")
 
 
 def join_baseline(
-    notices: DataFrame, baseline: DataFrame, crosswalk: Mapping[str, str] | None = BASELINE_CROSSWALK
+    notices: DataFrame, baseline: DataFrame, crosswalk: Mapping[str, str] | None = BASELINE_CROSSWALK,
+    families: Sequence[str] | None = FAMILIES,
 ) -> DataFrame:
     """:func:`join_yearly` with the roll-up of baseline records."""
-    return join_yearly(notices, yearly_baseline(baseline, crosswalk))
+    return join_yearly(notices, yearly_baseline(baseline, crosswalk), families)
 
 
 def align_union(left: DataFrame, right: DataFrame, key: str, values: Mapping[str, str]) -> DataFrame:

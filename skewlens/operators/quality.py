@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DateType, IntegralType, NumericType, StringType, TimestampNTZType, TimestampType
 
 from .. import constants as K
-from ..functions.dates import floor_days
+from ..functions.dates import floor_days, parse_timestamp
 
 
 def _stacked(one: DataFrame, names: Sequence[str], label: str, value: str) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(n).alias(label), F.col(n).alias(value)) for n in names])
+    pairs = F.array(*[F.struct(F.lit(n).alias(label), F.col(f"`{n}`").alias(value)) for n in names])
     return one.select(F.inline(pairs))
 
 
@@ -29,38 +30,63 @@ def duplicated_keys(df: DataFrame, key: str = "uid") -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
+def _breaks_type(df: DataFrame, column: str, kind: str) -> Column:
+    """Whether a value that is there is not of its declared ``kind``: text, date or whole."""
+    name, value = df.schema[column].dataType, F.col(column)
+    text = isinstance(name, StringType)
+    if kind == "text":
+        bad = F.lit(not text)
+    elif kind == "date":
+        bad = parse_timestamp(value).isNull() if text else F.lit(not isinstance(name, (DateType, TimestampType, TimestampNTZType)))
+    elif kind == "whole":
+        number = value.try_cast("double") if text else value
+        bad = F.lit(False) if isinstance(name, IntegralType) else (
+            F.coalesce(number != F.floor(number), F.lit(True)) if text or isinstance(name, NumericType) else F.lit(True))
+    else:
+        raise ValueError(f"unknown kind of value: {kind}")
+    return value.isNotNull() & bad
+
+
+KINDS = {"text": "is text", "date": "is a date", "whole": "is a whole number"}
+
+
 def validate(
     df: DataFrame,
     required: Sequence[str] = K.REQUIRED_FIELDS,
     unique: str = "uid",
     minimum: tuple[str, float] = ("case_age_days", 0),
-    dates: Sequence[str] = ("publication_date",),
+    types: Mapping[str, str] = K.FIELD_TYPES,
 ) -> DataFrame:
-    """One row per rule with the number of violating rows (values beyond the first, for uniqueness)."""
-    absent = [c for c in required if c not in df.columns]
-    present = [c for c in required if c in df.columns]
-    rules = {f"{c} not null": F.count_if(F.col(c).isNull()) for c in present}
-    rules |= {f"{c} missing": F.count(F.lit(1)) for c in absent}
-    rules |= {f"{c} is a date": F.count_if(F.col(c).isNotNull() & F.col(c).cast("timestamp").isNull())
-              for c in dates if c in df.columns}
+    """One row per rule with the number of violating rows (values beyond the first, for uniqueness).
+
+    Every value is tested without an error: text that is no date is counted.
+    One scan: violations are summed per key, the keys of a task fold before the
+    shuffle, and the repeats follow from the rows per key.
+    """
+    rules = {f"{c} not null" if c in df.columns else f"{c} missing": F.col(c).isNull() if c in df.columns else F.lit(True) for c in required}
+    rules |= {f"{c} {KINDS[k]}": _breaks_type(df, c, k) for c, k in types.items() if c in df.columns}
     column, low = minimum
-    rules[f"{column} >= {low}"] = F.count_if(F.col(column) < low)
-    extra = duplicated_keys(df, unique).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).scalar()
-    one = df.agg(*[v.alias(k) for k, v in rules.items()]).withColumn(f"{unique} unique", extra)
-    names = [*rules, f"{unique} unique"]
-    pairs = F.array(*[F.struct(F.lit(n).alias("rule"), F.col(f"`{n}`").alias("violations")) for n in names])
-    return one.select(F.inline(pairs))
+    rules[f"{column} >= {low}"] = F.col(column).try_cast("double") < low
+    per_key = df.groupBy(F.col(unique).alias("_key")).agg(
+        F.count(F.lit(1)).alias("_n"), *[F.count_if(v).alias(k) for k, v in rules.items()])
+    extra = F.coalesce(F.sum(F.when(F.col("_key").isNotNull(), F.col("_n") - 1)), F.lit(0))
+    totals = [F.coalesce(F.sum(f"`{k}`"), F.lit(0)).alias(k) for k in rules]
+    return _stacked(per_key.agg(*totals, extra.alias(f"{unique} unique")), [*rules, f"{unique} unique"], "rule", "violations")
 
 
 def quality_metrics(df: DataFrame) -> DataFrame:
-    """One row: rows, mean completeness over all cells, rows that repeat an earlier row."""
-    filled = sum((F.count(F.col(c)) for c in df.columns), F.lit(0))
-    one = df.agg(
-        F.count(F.lit(1)).alias("records"),
-        F.try_divide(filled.cast("double"), (F.count(F.lit(1)) * len(df.columns)).cast("double")).alias("completeness"),
+    """One row: rows, mean completeness over all cells, rows that repeat an earlier row.
+
+    One scan: equal rows have equally many filled cells, so both follow from the count of each digest.
+    """
+    filled = sum((F.col(c).isNotNull().cast("long") for c in df.columns), F.lit(0))
+    groups = df.select(row_digest(df).alias("_d"), filled.alias("_f")).groupBy("_d").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_f").alias("f"))
+    return groups.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("records"),
+        F.try_divide(F.sum("f").cast("double"), (F.sum("n") * len(df.columns)).cast("double")).alias("completeness"),
+        F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"),
     )
-    groups = df.select(row_digest(df).alias("_d")).groupBy("_d").agg(F.count(F.lit(1)).alias("n"))
-    return one.withColumn("duplicates", groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0))).scalar())
 
 
 def column_completeness(df: DataFrame) -> DataFrame:

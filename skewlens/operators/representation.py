@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import constants as K
@@ -140,21 +142,24 @@ def representation_summary(table: DataFrame) -> DataFrame:
     )
 
 
-def _listed(flag: Column, unit: str, prefix: str, suffix: str) -> Column:
-    """Names of flagged units, most cases first, as one sentence; empty when there are none."""
-    hit = F.when(flag, F.struct((-F.col("observed_cases")).alias("k"), F.col(unit).alias("u")))
+def _listed(flag: Column, unit: str, prefix: str, suffix: str, named: Sequence[str]) -> Column:
+    """Names of flagged units among ``named``, most cases first, as one sentence; empty when there are none.
+
+    The sentence can only grow with that list; other units are found as rows of the table.
+    """
+    hit = F.when(flag & F.col(unit).isin(list(named)), F.struct((-F.col("observed_cases")).alias("k"), F.col(unit).alias("u")))
     names = F.transform(F.array_sort(F.collect_list(hit)), lambda s: s["u"])
     return F.when(F.size(names) > 0, F.concat(F.lit(prefix), F.array_join(names, ", "), F.lit(suffix))).otherwise("")
 
 
 def _geographic_test(scored: DataFrame, unit: str, confidence: float, min_sample: int) -> DataFrame:
-    """The one-row test with its sentence. Wording is a fixed value; one name per unit is listed."""
+    """The one-row test with its sentence. Wording is a fixed value; states are named, other units are not."""
     shown = F.col("_shown")
     used = F.coalesce(shown & (F.col("expected_cases") >= K.MIN_EXPECTED), F.lit(False))
     parts = _goodness_of_fit(used, F.col("observed_cases"), F.col("expected_cases")) | {
         "sample_size": F.coalesce(F.max("_sample"), F.lit(0)),
-        "_over": _listed(shown & F.col("over_represented"), unit, "Over-represented states: ", ". "),
-        "_under": _listed(shown & F.col("under_represented"), unit, "Under-represented states: ", "."),
+        "_over": _listed(shown & F.col("over_represented"), unit, "Over-represented states: ", ". ", K.STATE_CODES),
+        "_under": _listed(shown & F.col("under_represented"), unit, "Under-represented states: ", ".", K.STATE_CODES),
     }
     one = _with_p_value(scored.agg(*[c.alias(n) for n, c in parts.items()]), 1 - confidence)
     p = fixed(F.col("p_value"), 4)

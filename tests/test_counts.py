@@ -33,19 +33,29 @@ def test_ties_and_limits(small):
     assert (empty.most_common, empty.least_common) == ("unknown", "unknown")
 
 
-def test_two_way_is_zero_filled(small):
-    got = {(r.year, r.label): (r.n, r.share) for r in cnt.two_way(small, "year", "label", normalize="row").collect()}
+LABELS = ["a", "b", "c", "never"]
+
+
+def test_two_way_is_zero_filled_over_declared_labels(small):
+    got = {(r.year, r.label): (r.n, r.share) for r in cnt.two_way(small, "year", "label", normalize="row", labels=LABELS).collect()}
     assert len(got) == 9 and got[(2020, "a")] == (2, 1.0) and got[(2020, "b")] == (0, 0.0) and got[(2021, "a")] == (1, 0.5)
-    columns = {(r.year, r.label): r.share for r in cnt.two_way(small, "year", "label", normalize="column").collect()}
-    assert columns[(2020, "a")] == 2 / 3 and columns[(2021, "b")] == 1.0
+    columns = {(r.year, r.label): r.share for r in cnt.two_way(small, "year", "label", normalize="column", labels=[2020, 2021, 2022]).collect()}
+    assert columns[(2020, "a")] == 2 / 3 and columns[(2021, "b")] == 1.0 and columns[(2022, "b")] == 0.0
+    some = {(r.year, r.label): r.n for r in cnt.two_way(small, "year", "label", labels=["b"]).collect()}
+    assert some == {(2020, "a"): 2, (2021, "a"): 1, (2021, "b"): 1, (2022, "c"): 1, (2020, "b"): 0, (2022, "b"): 0}
+
+
+def test_sparse_table_holds_the_same(small):
+    sparse = {(r.year, r.label): r.share for r in cnt.two_way(small, "year", "label", normalize="row").collect()}
+    full = {(r.year, r.label): r.share for r in cnt.two_way(small, "year", "label", normalize="row", labels=LABELS).collect() if r.n}
+    assert sparse == full and len(sparse) == 4
 
 
-def test_too_many_labels_are_refused_and_sparse_form_holds_the_same(small):
-    with pytest.raises(Exception, match="more than 2 labels"):
-        cnt.zero_filled(cnt.cells(small, "year", "label"), "year", "label", max_labels=2).collect()
-    sparse = {(r.year, r.label): r.share for r in cnt.within(cnt.cells(small, "year", "label"), "year").collect()}
-    full = {(r.year, r.label): r.share for r in cnt.two_way(small, "year", "label", normalize="row").collect() if r.n}
-    assert sparse == full
+def test_thirty_thousand_labels(spark):
+    df = spark.range(60_000).selectExpr("cast(id % 2 as int) AS year", "concat('l', id % 30000) AS label")
+    table = cnt.two_way(df, "year", "label", normalize="row")
+    assert table.count() == 30_000 and table.where("n = 2").count() == 30_000
+    assert "raise_error" not in table._jdf.queryExecution().analyzed().toString()
 
 
 def test_cube_rolls_up_to_direct_counts(spark, sf):

@@ -19,10 +19,11 @@ def test_validation(spark):
     got = {r.rule: r.violations for r in qual.validate(_rows(spark)).collect()}
     assert got == {
         "uid not null": 5, "title not null": 200, "publication_date not null": 5, "publication_date is a date": 0,
+        "uid is text": 0, "case_age_days is a whole number": 0,
         "case_age_days >= 0": 300, "uid unique": 599,
     }
     text = spark.createDataFrame([("a", "2020-01-01"), ("b", "never")], "uid string, publication_date string")
-    got = {r.rule: r.violations for r in qual.validate(text.withColumn("case_age_days", F.lit(1)), dates=()).collect()}
+    got = {r.rule: r.violations for r in qual.validate(text.withColumn("case_age_days", F.lit(1)), types={}).collect()}
     assert got["title missing"] == 2
 
 
@@ -50,3 +51,23 @@ def test_standardize_anonymize_retain(spark):
     assert (row.t, row.state) == ("a b", "CA")
     assert row.name == hashlib.sha256(b"Ann").hexdigest() and row.aliases == [hashlib.sha256(b"x").hexdigest(), None]
     assert qual.retained(df, datetime(2024, 1, 1)).count() == 1 and qual.retained(df, datetime(2024, 1, 2)).count() == 0
+
+
+def test_unreadable_values_are_counted_not_raised(spark):
+    rows = [("1", "2020-01-02", "5"), ("2", "01/31/2020", "5.5"), ("3", "no date", "five"), ("4", "March 3, 2020", None), (None, None, "-7"), ("1", "2020-13-45", "1e3")]
+    df = spark.createDataFrame(rows, "uid string, publication_date string, case_age_days string")
+    got = {r.rule: r.violations for r in qual.validate(df).collect()}
+    assert got == {
+        "uid not null": 1, "title missing": 6, "publication_date not null": 1, "uid is text": 0, "publication_date is a date": 2,
+        "case_age_days is a whole number": 2, "case_age_days >= 0": 1, "uid unique": 1,
+    }
+    wrong = spark.createDataFrame([(1, 2, 3.5)], "uid int, publication_date int, case_age_days double")
+    got = {r.rule: r.violations for r in qual.validate(wrong, required=()).collect()}
+    assert [got[k] for k in ("uid is text", "publication_date is a date", "case_age_days is a whole number")] == [1, 1, 1]
+    assert {r.violations for r in qual.validate(df.limit(0)).collect()} == {0}
+
+
+def test_quality_reads_once(spark, sf):
+    d = spark.read.parquet(f"{sf}/documents.parquet").select("text", "lang")
+    for df in (qual.quality_metrics(d), qual.validate(d.withColumnRenamed("text", "uid"), required=("uid",), minimum=("lang", 0))):
+        assert df._jdf.queryExecution().sparkPlan().toString().count("FileScan") == 1
