@@ -225,8 +225,9 @@ def _persistence(source: str, key: str, value: str, whole: bool) -> str:
     end = (lambda x, n: _n(x, n)) if whole else (lambda x, n: _r(x, n))
     return (
         f"SELECT {key}, {_n(f'count({value})', 'count')}, {_r(f'avg({value})', 'mean')}, {_r(f'median({value})', 'median')}, "
-        f"{_r(f'stddev_samp({value})', 'std')}, {end(f'min({value})', 'min')}, {end(f'max({value})', 'max')} "
-        f"FROM {source} WHERE {key} IS NOT NULL GROUP BY 1"
+        f"{_r(f'stddev_samp({value})', 'std')}, {end(f'min({value})', 'min')}, {end(f'max({value})', 'max')}, "
+        + ", ".join(f"round_even(CAST({e}({value}) AS DOUBLE), 2) AS {c}_shown" for e, c in (("avg", "mean"), ("median", "median"), ("stddev_samp", "std")))
+        + f" FROM {source} WHERE {key} IS NOT NULL GROUP BY 1"
     )
 
 

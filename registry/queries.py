@@ -561,7 +561,7 @@ def _delays(spark, sf):
 @query
 def delay_by_part_type(spark, sf):
     """Days from order to shipment (also negative) per part type."""
-    return per.persistence(_delays(spark, sf), "p_type", "delay_days")
+    return per.persistence(_delays(spark, sf), "p_type", "delay_days", whole_days=True)
 
 
 @query

@@ -56,103 +56,108 @@ def moments(counted: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
-def quantiles(
-    counted: DataFrame, key: str, value: str, probabilities: Sequence[float] = BOX, few_values: bool = False
-) -> DataFrame:
-    """Exact linear-interpolated quantiles per category: one row with an array ``quantiles``.
+def day_quantiles(counted: DataFrame, key: str, value: str, probabilities: Sequence[float] = BOX) -> DataFrame:
+    """Exact linear-interpolated quantiles per category from counted whole days: one array ``quantiles``.
 
-    ``few_values`` says that a category has a bounded number of distinct values
-    (whole days: fewer than 40,000 in a century), which then fit one task.
-    Otherwise the wanted ranks are located through buckets.
+    A category has a bounded number of distinct values (fewer than 40,000 days
+    in a century), which fit one task.
     """
-    if not few_values:
-        return _located_quantiles(counted, key, value, probabilities)
     wanted = array_of(map(float, probabilities))
     return counted.groupBy(key).agg(F.percentile(value, wanted, F.col("n")).alias("quantiles"))
 
 
-def _narrowed(data: DataFrame, ranks: DataFrame, key: str, buckets: int) -> tuple[DataFrame, DataFrame]:
-    """Split every group ``_g`` into equal-width buckets and keep those that hold a wanted rank.
-
-    Buckets become the new groups, and ranks count from their start.
-    """
-    group = [key, "_g"]
-    span = data.groupBy(*group).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo")) / float(buckets)
-    bucket = F.coalesce(F.floor(F.try_divide(F.col("_v") - F.col("_lo"), width)), F.lit(0))
-    bucketed = data.join(span, group).withColumn("_b", bucket).select(*group, "_b", "_v", "n")
-    in_order = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    coarse = (
-        bucketed.groupBy(*group, "_b").agg(F.sum("n").alias("_in"))
-        .withColumn("_through", F.sum("_in").over(in_order))
-        .withColumn("_before", F.col("_through") - F.col("_in"))
-    )
-    inner = (F.col("_g") * (buckets + 1) + F.col("_b")).alias("_g")
-    hits = ranks.join(coarse, group).where((F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_through")))
-    held = hits.select(*group, "_b").distinct()
-    return (
-        bucketed.join(held, [*group, "_b"], "left_semi").select(key, inner, "_v", "n"),
-        hits.select(key, inner, "_i", "_part", (F.col("_rank") - F.col("_before")).alias("_rank")),
-    )
+REACH = 0.0005      # of a bracket on either side of its rank, as a share of the rows
+ACCURACY = 20_000   # of the sketch: its ranks are off by a tenth of that reach
+SMALL = 5_000       # categories of up to so many values have one bracket around all of them
+SALTS = 64
 
 
-def _located_quantiles(
-    counted: DataFrame, key: str, value: str, probabilities: Sequence[float], buckets: int = 4096, levels: int = 2
-) -> DataFrame:
-    """Quantiles that keep any one task small.
+def quantiles(df: DataFrame, key: str, value: str, probabilities: Sequence[float] = BOX) -> DataFrame:
+    """Exact linear-interpolated quantiles per category of any values: one array ``quantiles``.
 
-    Each level counts equal-width buckets and goes on with those that hold a
-    wanted rank, within their own span: far outliers cost one level, not a task
-    that orders everything else. Only the last buckets are ordered value by value.
+    A sketch per category, one pass with bounded memory, gives values that
+    surely lie below and above each wanted rank, however the values are spread.
+    The second pass counts what lies below such a bracket and keeps, folded by
+    value, what lies within: a thousandth of the rows, which is ordered. Rows
+    meet their category's brackets by category and salt, so that a category
+    that holds most rows is spread over many tasks.
     """
-    known = F.when(F.col(value).isNotNull(), F.col("n")) >= 0
-    data = counted.where(known).select(key, F.lit(0).cast("long").alias("_g"), F.col(value).cast("double").alias("_v"), "n")
-    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p")) for i, p in enumerate(probabilities)])
-    place = F.col("_q")["p"] * (F.col("_total") - 1)
-    ranks = (
-        data.groupBy(key, "_g").agg(F.sum("n").alias("_total")).withColumn("_q", F.explode(wanted))
-        .select(
-            key, "_g", F.col("_q")["i"].alias("_i"), (place - F.floor(place)).alias("_part"),
-            F.explode(F.array_distinct(F.array(F.floor(place), F.ceil(place)))).alias("_rank"),
-        )
+    v = F.col(value).cast("double")
+    raw = df.where(F.col(key).isNotNull()).select(key, (v + F.lit(0.0)).alias("_v")).where("_v is not null")
+    marks = [x for p in probabilities for x in (max(0.0, p - REACH), min(1.0, p + REACH))]
+    total, low, high = F.col("_total"), F.lit(float("-inf")), F.lit(float("inf"))
+    brackets = raw.groupBy(key).agg(
+        F.count(F.lit(1)).alias("_total"), F.percentile_approx("_v", marks, ACCURACY).alias("_m")
+    ).select(key, "_total", F.array(*[
+        F.struct(
+            F.lit(i).alias("i"),
+            F.when((total <= SMALL) | F.lit(p <= REACH), low).otherwise(F.col("_m")[2 * i]).alias("lo"),
+            F.when((total <= SMALL) | F.lit(p >= 1 - REACH), high).otherwise(F.col("_m")[2 * i + 1]).alias("hi"),
+            (F.lit(float(p)) * (total - 1)).alias("place"),
+        ) for i, p in enumerate(probabilities)
+    ]).alias("_b")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = raw.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+    # Below a bracket: a null value stands for all. Above: nothing to count.
+    found = F.transform(F.filter("_b", lambda b: F.col("_v") <= b["hi"]), lambda b: F.struct(
+        b["i"].alias("_i"), b["place"].alias("_place"), F.when(F.col("_v") >= b["lo"], F.col("_v")).alias("_at")))
+    held = (
+        salted.join(brackets, [key, "_salt"]).select(key, F.inline(found))
+        .groupBy(key, "_i", "_place", "_at").agg(F.count(F.lit(1)).alias("n"))
     )
-    for _ in range(levels):
-        data, ranks = _narrowed(data, ranks, key, buckets)
-    by_value = Window.partitionBy(key, "_g").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ordered = data.withColumn("_to", F.sum("n").over(by_value)).withColumn("_from", F.col("_to") - F.col("n")).drop("n")
-    found = ranks.join(ordered, [key, "_g"]).where((F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    # The two neighbours of a quantile may lie in different buckets: order them by value.
-    low, high = F.min("_v"), F.max("_v")
-    each = found.groupBy(key, "_i").agg((low + (high - low) * F.max("_part")).alias("_value"))
+    by_value = Window.partitionBy(key, "_i").orderBy(F.col("_at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = held.withColumn("_to", F.sum("n").over(by_value)).withColumn("_from", F.col("_to") - F.col("n"))
+
+    def at(rank):
+        return F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_to")), F.col("_at")))
+
+    first, last = at(F.floor("_place")), at(F.ceil("_place"))
+    part = F.max(F.col("_place") - F.floor("_place"))
+    each = ordered.groupBy(key, "_i").agg((first + (last - first) * part).alias("_value"))
     in_order = F.array_sort(F.collect_list(F.struct("_i", "_value")))
     return each.groupBy(key).agg(F.transform(in_order, lambda s: s["_value"]).alias("quantiles"))
 
 
+#: Columns known to hold whole days.
+WHOLE_DAYS = ("case_age_days",)
+
+
+def _any_quantiles(df: DataFrame, key: str, value: str, probabilities: Sequence[float], whole_days: bool | None) -> DataFrame:
+    if value in WHOLE_DAYS if whole_days is None else whole_days:
+        return day_quantiles(value_counts(df, key, value), key, value, probabilities)
+    return quantiles(df, key, value, probabilities)
+
+
 def persistence(
-    df: DataFrame, key: str = "crime_family", value: str = "case_age_days", whole_days: bool = True
+    df: DataFrame, key: str = "crime_family", value: str = "case_age_days", whole_days: bool | None = None
 ) -> DataFrame:
     """Count, mean, median, sample standard deviation, min and max per category.
 
-    ``whole_days=False`` for any other value than a number of days.
+    ``whole_days=True`` says that ``value`` is a number of days, which takes a
+    shorter way; by default only the columns of :data:`WHOLE_DAYS` do.
     """
-    return persistence_from_counts(value_counts(df, key, value), key, value, whole_days)
+    middle = _any_quantiles(df, key, value, (0.5,), whole_days)
+    return _statistics(moments(value_counts(df, key, value), key, value), middle, key)
+
 
+def persistence_from_counts(counted: DataFrame, key: str, value: str) -> DataFrame:
+    """:func:`persistence` from counted whole days."""
+    return _statistics(moments(counted, key, value), day_quantiles(counted, key, value, (0.5,)), key)
 
-def persistence_from_counts(counted: DataFrame, key: str, value: str, whole_days: bool = True) -> DataFrame:
-    middle = quantiles(counted, key, value, (0.5,), whole_days).select(key, F.get("quantiles", F.lit(0)).alias("median"))
-    return moments(counted, key, value).join(middle, key, "left").select(
+
+def _statistics(table: DataFrame, middle: DataFrame, key: str) -> DataFrame:
+    return table.join(middle.select(key, F.get("quantiles", F.lit(0)).alias("median")), key, "left").select(
         key, "count", "mean", "median",
         F.sqrt(F.when(F.col("count") > 1, F.col("squares") / (F.col("count") - 1))).alias("std"),
         "min", "max",
-    )
+    ).withColumns({f"{c}_shown": shown(F.col(c)) for c in ("mean", "median", "std")})
 
 
 def box_stats(
-    df: DataFrame, key: str = "crime_family", value: str = "case_age_days", whole_days: bool = True
+    df: DataFrame, key: str = "crime_family", value: str = "case_age_days", whole_days: bool | None = None
 ) -> DataFrame:
     """Five-number summary per category (box plot); ``whole_days`` as in :func:`persistence`."""
     names = ("min", "q1", "median", "q3", "max")
-    return quantiles(value_counts(df, key, value), key, value, BOX, whole_days).select(
+    return _any_quantiles(df, key, value, BOX, whole_days).select(
         key, *[F.get("quantiles", F.lit(i)).alias(name) for i, name in enumerate(names)]
     )
 

@@ -149,27 +149,36 @@ def test_persistence_against_brute_force(spark, kind):
         assert [box[k][n] for n in ("min", "q1", "median", "q3", "max")] == pytest.approx(list(np.percentile(v, [0, 25, 50, 75, 100])))
 
 
-def test_bucketed_quantiles_equal_direct_ones(spark):
+def test_any_quantiles_equal_those_of_days(spark):
     rows, df = _skewed(spark, "int")
-    counted = per.value_counts(df, "crime_family", "case_age_days")
     probabilities = (0.0, 0.1, 0.333, 0.5, 0.99, 1.0)
-    a, b = [
-        {r.crime_family: r.quantiles for r in per.quantiles(counted, "crime_family", "case_age_days", probabilities, few).collect()}
-        for few in (True, False)
-    ]
+    counted = per.value_counts(df, "crime_family", "case_age_days")
+    a = {r.crime_family: r.quantiles for r in per.day_quantiles(counted, "crime_family", "case_age_days", probabilities).collect()}
+    b = {r.crime_family: r.quantiles for r in per.quantiles(df, "crime_family", "case_age_days", probabilities).collect()}
     for k in b:
         assert a[k] == pytest.approx(b[k]), k
     assert {k for k, v in a.items() if v is not None} == set(b)
 
 
-def test_quantiles_beside_far_outliers(spark):
+def test_quantiles_of_a_heavy_tail_in_a_hot_category(spark):
+    """Far outliers, many ties, and one category that holds most rows."""
     random.seed(3)
-    values = [random.random() for _ in range(3000)] + [1e12, -1e9, 5e6] + [0.25] * 1000
-    df = spark.createDataFrame([("k", v) for v in values], "crime_family string, case_age_days double")
-    counted = per.value_counts(df, "crime_family", "case_age_days")
-    for levels in (1, 2, 3):
-        row = per._located_quantiles(counted, "crime_family", "case_age_days", (0.0, 0.01, 0.5, 0.999, 1.0), 64, levels).first()
-        assert row.quantiles == pytest.approx(list(np.percentile(values, [0, 1, 50, 99.9, 100])), rel=1e-9), levels
+    values = {
+        "hot": [random.paretovariate(0.3) for _ in range(30_000)] + [1e300, -1e9, 5e6] + [1.25] * 6000,
+        "ties": [4.0] * 9000 + [5.0] * 9001, "few": [2.0, 1.0, 10.0],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "crime_family string, case_age_days double").repartition(5)
+    probabilities = (0.0, 0.0001, 0.01, 0.25, 0.5, 0.9, 0.999, 1.0)
+    table = per.quantiles(df, "crime_family", "case_age_days", probabilities)
+    for r in table.collect():
+        assert r.quantiles == pytest.approx(list(np.percentile(values[r.crime_family], [100 * p for p in probabilities])), rel=1e-9), r.crime_family
+    assert table._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
+
+
+def test_default_way_of_an_unknown_column_is_the_general_one(spark):
+    df = spark.createDataFrame([("a", 1.5), ("a", 2.5)], "k string, x double")
+    assert per.box_stats(df, "k", "x").first().asDict() == {"k": "a", "min": 1.5, "q1": 1.75, "median": 2.0, "q3": 2.25, "max": 2.5}
+    assert "percentile(" not in per.persistence(df, "k", "x")._jdf.queryExecution().analyzed().toString()
 
 
 def test_approximate_box_is_close(spark):
