@@ -384,8 +384,10 @@ FROM baseline WHERE state = 'R' AND own_family IN ('cyber_crime', 'other')""",
     "analysis_history": NATIONS + _REPRESENTED + _FIT + ", " + FEATURES + _anova("features", "crime_family", "case_age_days") + f"""
 SELECT 'Geographic Representation' AS analysis_type, '2001-08-03 00:00:00' AS analysis_date, 0.95::DOUBLE AS confidence_level,
   {_r('chi2', 'test_statistic')}, {_r('p', 'p_value')}, p < 1 - 0.95 AS significant_bias, 'nations' AS interpretation,
-  {_n('k', 'sample_size')} FROM (SELECT *, {_p_chi2('chi2', '(k - 1)')} AS p FROM fit)
-UNION ALL SELECT 'Case Persistence', '2001-08-04 00:00:00', 0.95, round(f, 6), round(p, 6), p < 1 - 0.95, 'ok', n FROM an""",
+  {_n('k', 'sample_size')}, 'ok' AS status, 3 AS ids FROM (SELECT *, {_p_chi2('chi2', '(k - 1)')} AS p FROM fit)
+UNION ALL SELECT 'Case Persistence', '2001-08-04 00:00:00', 0.95, round(f, 6), round(p, 6), p < 1 - 0.95, 'ok', n, 'ok', 3 FROM an
+UNION ALL SELECT 'Case Persistence', '2001-08-02 00:00:00', 0.95, NULL, NULL, NULL, 'too_few_groups',
+  (SELECT count(case_age_days) FROM features WHERE crime_family = 'Violent'), 'too_few_groups', 3""",
     "combined_sources": """SELECT c_custkey AS id, c_name AS name, CAST(c_nationkey AS BIGINT) AS nation, c_mktsegment AS segment,
   'customer' AS source FROM customer UNION ALL SELECT s_suppkey, s_name, s_nationkey, NULL, 'supplier' FROM supplier""",
     "birth_places": F_ + f" SELECT uid, birth_state, {_r('birth_state_population', 'birth_state_population')}, birth_region FROM features",

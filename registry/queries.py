@@ -186,6 +186,7 @@ def stored_notices(spark, sf):
     store = TableStore(spark, shared_folder(spark))
     store.create_tables()
     store.save_wanted(R.features(spark, sf))
+    store.save_wanted(R.features(spark, sf), known="skip")
     return store.load_wanted({"crime_family": "Violent", "publication_year": [1996, 1999]}).select(
         "uid", "title", "birth_state", "birth_region", "crime_family", "publication_year", "publication_quarter",
         "case_age_category", "case_age_days", "has_reward", "has_images",
@@ -211,11 +212,15 @@ def analysis_history(spark, sf):
         "interpretation": F.lit("nations"), "sample_size": F.col("units_tested"), "confidence_level": F.lit(K.CONFIDENCE),
     })
     anova = per.anova(R.features(spark, sf)).withColumn("interpretation", F.col("status"))
-    store.save_results(res.stored_results(res.result_table(nations), ANALYSED))
-    store.save_results(res.stored_results(res.result_table(persistence=anova), datetime(2001, 8, 4)))
-    return store.analysis_history().select(
+    few = per.anova(R.features(spark, sf).where("crime_family = 'Violent'")).withColumn("interpretation", F.col("status"))
+    store.save_results(res.stored_results(res.result_table(nations, untested=True), ANALYSED))
+    store.save_results(res.stored_results(res.result_table(persistence=anova, untested=True), datetime(2001, 8, 4)))
+    store.save_results(res.stored_results(res.result_table(persistence=few, untested=True), datetime(2001, 8, 2)))
+    history = store.analysis_history()
+    ids = history.agg(F.count_distinct("id")).scalar()
+    return history.select(
         "analysis_type", "analysis_date", "confidence_level", "test_statistic", "p_value", "significant_bias",
-        "interpretation", "sample_size",
+        "interpretation", "sample_size", F.get_json_object("metadata", "$.status").alias("status"), ids.alias("ids"),
     )
 
 

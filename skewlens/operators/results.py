@@ -15,8 +15,9 @@ _COLUMNS = [
 ]
 
 
-def _row(test: DataFrame, kind: str, statistic: str, p: str, significant: str, text: Column) -> DataFrame:
-    return test.where(F.col(p).isNotNull()).select(
+def _row(test: DataFrame, kind: str, statistic: str, p: str, significant: str, text: Column, untested: bool) -> DataFrame:
+    rows = test if untested else test.where(F.col(p).isNotNull())
+    return rows.select(
         F.lit(kind).alias("analysis_type"),
         F.col(statistic).alias("test_statistic"),
         F.col(p).alias("p_value"),
@@ -24,23 +25,29 @@ def _row(test: DataFrame, kind: str, statistic: str, p: str, significant: str, t
         text.alias("interpretation"),
         F.col("sample_size").cast("long").alias("sample_size"),
         F.col("confidence_level"),
+        *([F.to_json(F.struct(*test.columns)).alias("metadata")] if untested else []),
     )
 
 
 def result_table(
-    geographic: DataFrame | None = None, categorical: DataFrame | None = None, persistence: DataFrame | None = None
+    geographic: DataFrame | None = None, categorical: DataFrame | None = None, persistence: DataFrame | None = None,
+    untested: bool = False,
 ) -> DataFrame:
-    """One row per test that has a p-value, from the one-row tests of the analyses."""
+    """One row per test that has a p-value, from the one-row tests of the analyses.
+
+    ``untested`` also gives those without one (too few units or rows), and each
+    row the whole test as JSON in ``metadata``: what the history keeps.
+    """
     parts = []
     if geographic is not None:
         parts.append(_row(geographic, "Geographic Representation", "chi_square_statistic", "p_value",
-                          "significant_bias", F.col("interpretation")))
+                          "significant_bias", F.col("interpretation"), untested))
     if categorical is not None:
         parts.append(_row(categorical, "Category Distribution", "chi_square_statistic", "p_value",
-                          "significant_bias", F.lit(K.CATEGORY_TEXT)))
+                          "significant_bias", F.lit(K.CATEGORY_TEXT), untested))
     if persistence is not None:
         parts.append(_row(persistence, "Case Persistence", "anova_f_statistic", "anova_p_value",
-                          "significant_differences", F.col("interpretation")))
+                          "significant_differences", F.col("interpretation"), untested))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -63,7 +70,7 @@ def findings(results: DataFrame, trends: DataFrame) -> DataFrame:
 
 
 def stored_results(results: DataFrame, analysed_at: datetime | Column) -> DataFrame:
-    """Result rows in the layout of the history table; ``metadata`` is the whole row as JSON."""
+    """Result rows in the layout of the history table; ``metadata`` is the whole test, or else the whole row, as JSON."""
     at = analysed_at if isinstance(analysed_at, Column) else F.lit(analysed_at)
     return results.select(
         "analysis_type",
@@ -73,6 +80,6 @@ def stored_results(results: DataFrame, analysed_at: datetime | Column) -> DataFr
         "p_value",
         F.col("significant").alias("significant_bias"),
         "interpretation",
-        F.to_json(F.struct(*_COLUMNS)).alias("metadata"),
+        F.col("metadata") if "metadata" in results.columns else F.to_json(F.struct(*_COLUMNS)).alias("metadata"),
         "sample_size",
     )

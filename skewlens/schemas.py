@@ -37,12 +37,12 @@ WANTED_TABLE = _struct(
 )
 
 BASELINE_TABLE = _struct(
-    id=_LONG, year=_INT, state=_TEXT, offense_type=_TEXT, crime_family=_TEXT, count=_LONG, rate_per_100k=_DOUBLE,
+    id=_TEXT, year=_INT, state=_TEXT, offense_type=_TEXT, crime_family=_TEXT, count=_LONG, rate_per_100k=_DOUBLE,
     source=_TEXT, ingestion_date=_TIME,
 )
 
 RESULT_TABLE = _struct(
-    id=_LONG, analysis_type=_TEXT, analysis_date=_TIME, confidence_level=_DOUBLE, test_statistic=_DOUBLE,
+    id=_TEXT, analysis_type=_TEXT, analysis_date=_TIME, confidence_level=_DOUBLE, test_statistic=_DOUBLE,
     p_value=_DOUBLE, significant_bias=_FLAG, interpretation=_TEXT, metadata=_TEXT, sample_size=_LONG,
 )
 

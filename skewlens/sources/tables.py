@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from functools import reduce
 from operator import and_
@@ -11,6 +12,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
+from ..operators.quality import duplicated_keys
 from ..schemas import BASELINE_TABLE, RESULT_TABLE, WANTED_TABLE
 
 _MODES = {"append": "append", "replace": "overwrite", "fail": "errorifexists"}
@@ -59,25 +61,40 @@ class TableStore:
 
     def _write(self, df: DataFrame, table: str, if_exists: str) -> None:
         schema, parts = self.SCHEMAS[table], self.PARTITIONS[table]
+        # Full-size files per folder; AQE splits a folder that holds most rows over many tasks.
+        rows = df.hint("rebalance", *parts) if parts else df
         if "id" in schema.names and "id" not in df.columns:
-            df = df.withColumn("id", F.xxhash64(*df.columns))
-        have = {c.lower() for c in df.columns}
-        by_name = df.select(
+            # The batch and the row's place in its write task: never the same twice.
+            rows = rows.withColumn("id", F.concat(F.lit(uuid.uuid4().hex), F.lit("-"), F.hex(F.monotonically_increasing_id())))
+        have = {c.lower() for c in rows.columns}
+        by_name = rows.select(
             *[(F.col(f.name) if f.name.lower() in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema]
         )
-        if not parts:
-            by_name.write.mode(_MODES[if_exists]).parquet(self.path(table))
-            return
-        # Full-size files per folder; AQE splits a folder that holds most rows over many tasks.
-        rebalanced = by_name.hint("rebalance", *parts)
-        writer = rebalanced.write.mode(_MODES[if_exists]).option("partitionOverwriteMode", "static")
-        writer.partitionBy(*parts).parquet(self.path(table))
+        writer = by_name.write.mode(_MODES[if_exists])
+        if parts:
+            writer = writer.option("partitionOverwriteMode", "static").partitionBy(*parts)
+        writer.parquet(self.path(table))
 
     def _read(self, table: str) -> DataFrame:
         schema = self.SCHEMAS[table]
         return self.spark.read.schema(schema).parquet(self.path(table)).select(*schema.names)
 
-    def save_wanted(self, df: DataFrame, if_exists: str = "append") -> None:
+    def save_wanted(self, df: DataFrame, if_exists: str = "append", known: str = "refuse") -> None:
+        """Save notices. ``uid`` is the key: null and repeated ones are refused, and so is a batch with stored ones.
+
+        ``known='skip'`` leaves out notices that are stored already instead. One
+        writer at a time: the test and the write are two steps.
+        """
+        if known not in ("refuse", "skip"):
+            raise ValueError(f"known must be refuse or skip, not {known}")
+        if df.where("uid is null").limit(1).count() or duplicated_keys(df).limit(1).count():
+            raise ValueError("notices without a uid, or with the same one")
+        if if_exists == "append" and self.exists("wanted_persons"):
+            stored = self._read("wanted_persons").select("uid")
+            if known == "skip":
+                df = df.join(stored, "uid", "left_anti")
+            elif df.select("uid").join(stored, "uid", "left_semi").limit(1).count():
+                raise ValueError("a notice with this uid is stored already")
         self._write(df, "wanted_persons", if_exists)
 
     def save_baseline(self, df: DataFrame, if_exists: str = "append") -> None:

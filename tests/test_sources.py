@@ -62,8 +62,13 @@ def test_store(spark, sf):
     f = R.features(spark, sf)
     n = f.count()
     store.save_wanted(f)
-    store.save_wanted(f)
-    assert store.load_wanted().count() == 2 * n
+    with pytest.raises(ValueError, match="stored already"):
+        store.save_wanted(f)
+    store.save_wanted(f.where("uid <= 'n5'"), known="skip")
+    assert store.load_wanted().count() == n
+    for bad in (f.limit(3).unionByName(f.limit(3)), f.limit(3).withColumn("uid", F.lit(None).cast("string"))):
+        with pytest.raises(ValueError, match="without a uid"):
+            store.save_wanted(bad)
     store.save_wanted(f, "replace")
     loaded = store.load_wanted({"publication_year": [1996], "crime_family": "Violent"})
     assert loaded.count() == f.where("publication_year = 1996 and crime_family = 'Violent'").count() > 0
@@ -73,6 +78,9 @@ def test_store(spark, sf):
         store.save_wanted(f, "fail")
     store.save_baseline(R.baseline(spark, sf))
     assert store.load_baseline({"state": ["R"]}).where("id is null or source is not null").count() == 0
+    store.save_baseline(R.baseline(spark, sf))
+    ids = store.load_baseline().agg(F.count("id").alias("n"), F.count_distinct("id").alias("d")).first()
+    assert ids.n == ids.d == 2 * R.baseline(spark, sf).count()
 
 
 def test_history(spark):
@@ -90,12 +98,15 @@ def test_history(spark):
 
 
 def test_csv_keeps_lists_empties_and_line_ends(spark, tmp_path):
-    rows = [("a", 'He said "x",\nthen left', "", [], True), ("b", None, None, ["i", "j,k"], False), ("c", "plain", "$5", None, None)]
+    rows = [("a", 'He said "x",\nthen left\r\\n \\b \\', "", [], True), ("b", None, None, ["i", "j,k"], False), ("c", "plain", "$5", None, None)]
     df = spark.createDataFrame(rows, "uid string, description string, reward_text string, images array<string>, has_images boolean")
     df = df.withColumn("publication_date", F.to_timestamp(F.lit("2023-01-15 10:11:12.123456"))).withColumn("extra", F.lit(1))
     files.write_csv(df, str(tmp_path / "out"))
     back = files.read_feature_csv(spark, str(tmp_path / "out")).orderBy("uid").collect()
     assert [tuple(r)[:5] for r in back] == rows
+    assert max(len(p.read_text().splitlines()) for p in (tmp_path / "out").glob("*.csv")) <= 1 + len(rows)
+    (tmp_path / "foreign.csv").write_text('uid,description\n"a","one\ntwo \\n"\n')
+    assert files.read_feature_csv(spark, str(tmp_path / "foreign.csv"), line_ends=True).first().description == "one\ntwo \\n"
     assert back[0].publication_date == datetime(2023, 1, 15, 10, 11, 12, 123456) and back[0].extra == "1"
 
 
@@ -134,3 +145,24 @@ def test_stored_cube_does_not_read_the_text(spark, sf, tmp_path):
     flag_missing_text(R.features(spark, sf)).write.parquet(path)
     plan = case_cube(spark.read.parquet(path))._jdf.queryExecution().executedPlan().toString()
     assert "weapon_raw" not in plan and "description" not in plan
+
+
+def test_shared_folder_is_never_guessed_on_a_cluster(spark, monkeypatch):
+    from skewlens import session
+
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:  # noqa: N801
+            applicationId = "app-x"
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session())
+    Session.sparkContext.master = "local[4]"
+    assert session.shared_folder(Session()).rsplit("/", 1)[0] == session.shared_folder(Session()).rsplit("/", 1)[0]
+    assert session.shared_folder(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
