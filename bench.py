@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -21,6 +22,7 @@ HEADLINE = [
     "distinct_customers", "geographic_test", "category_test", "family_trends", "customer_trends", "case_persistence",
     "case_persistence_test", "delay_by_part_type", "delay_anova", "price_quantiles", "weapon_comparison",
     "weapon_summary", "chart_persistence_box", "latest_notices", "distinct_documents", "document_quality", "validation",
+    "audit_results", "stored_notices", "csv_round_trip",
 ]
 
 
@@ -35,6 +37,7 @@ def main() -> None:
         builder.config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

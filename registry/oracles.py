@@ -292,7 +292,8 @@ def _subset(source: str, key: str, flag: str, domain, points: float) -> str:
     a = f"100.0 * count(s.{key}) / (SELECT count({key}) FROM {source})"
     b = f"100.0 * count(s.{key}) FILTER (s.{flag}) / (SELECT count({key}) FROM {source} WHERE {flag})"
     return f"""SELECT {key}, {_r('a', 'all_crimes_percentage')}, {_r('b', 'serious_crimes_percentage')}, {_r('b - a', 'difference')},
-  b - a > {points} AS over_represented_in_serious, b - a < -{points} AS under_represented_in_serious
+  b - a > {points} AS over_represented_in_serious, b - a < -{points} AS under_represented_in_serious,
+  round_even(a, 2) AS all_crimes_percentage_shown, round_even(b, 2) AS serious_crimes_percentage_shown, round_even(b - a, 2) AS difference_shown
 FROM (SELECT d.{key}, {a} AS a, {b} AS b FROM {labels} d LEFT JOIN {source} s ON s.{key} = d.{key} GROUP BY 1)"""
 
 
@@ -502,7 +503,16 @@ SELECT {_n('k', 'units_tested')}, {_r('chi2', 'chi_square_statistic')}, {_n('k -
     "case_persistence_test": F_ + _anova("features", "crime_family", "case_age_days") + _PERS_TEXT
     + f" SELECT {_ANOVA_COLUMNS}, interpretation FROM an_text",
     "delay_by_part_type": _DELAYS + " " + _persistence("delays", "p_type", "delay_days", True),
-    "delay_anova": _DELAYS + _anova("delays", "p_type", "delay_days") + f" SELECT {_ANOVA_COLUMNS} FROM an",
+    "delay_anova": _DELAYS + _anova("delays", "p_type", "delay_days")
+    + _PERS_TEXT.replace("crime_family", "p_type").replace("case_age_days", "delay_days").replace("FROM features", "FROM delays")
+    + f" SELECT {_ANOVA_COLUMNS}, interpretation FROM an_text",
+    "p_values_of_nations": f"""WITH c AS (
+  SELECT c_nationkey AS nation, o_orderpriority AS priority, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2
+), s AS (
+  SELECT nation, (1 + nation) * sum((n - e) * (n - e) / e) AS x, count(*) - 1 AS k
+  FROM (SELECT *, sum(n) OVER (PARTITION BY nation) / count(*) OVER (PARTITION BY nation) AS e FROM c) GROUP BY 1
+)
+SELECT nation, round(x, 6) AS statistic, round(log10({_p_chi2('x', 'k')}), 6) AS log10_p FROM s""",
     "price_quantiles": _box("lineitem", "l_returnflag", "l_extendedprice"),
     "event_value_statistics": _persistence("events", "event_type", "value", False),
     "weapon_totals": F_ + f"""
@@ -569,15 +579,18 @@ SELECT unit AS birth_state, {_r('ratio', 'representation_ratio')}, {_n('o', 'obs
     "chart_summary_persistence": F_ + """, shown AS (SELECT * FROM features WHERE crime_family IN (
   SELECT crime_family FROM features GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5)) """ + _box("shown", "crime_family", "case_age_days"),
     "chart_summary_states": F_ + " SELECT birth_state, count(*) AS n FROM features WHERE birth_state IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10",
-    "chart_weapons": SER + _distribution("serious", "weapon_category", "all"),
-    "chart_weapons_all": F_ + _distribution("features", "weapon_category", "all"),
+    "chart_weapons": SER + " SELECT *, round_even(percentage, 2) AS percentage_shown FROM (" + _distribution("serious", "weapon_category", "all") + ")",
+    "chart_weapons_all": F_ + " SELECT *, round_even(percentage, 2) AS percentage_shown FROM (" + _distribution("features", "weapon_category", "all") + ")",
+    "chart_summary_categories": F_ + _distribution("features", "crime_family", "known"),
+    "chart_summary_years": F_ + " SELECT publication_year, count(*) AS n FROM features GROUP BY 1",
     "chart_weapon_comparison": F_ + f"""
 SELECT weapon_category, {_r('100.0 * count(*) / (SELECT count(*) FROM features)', 'all_crimes_percentage')},
   {_r('100.0 * count(*) FILTER (severity_flag) / (SELECT count(*) FROM features WHERE severity_flag)', 'serious_crimes_percentage')}
 FROM features GROUP BY 1""",
     "chart_weapons_by_year": SER + _grid("serious", "publication_year", "weapon_category", "percentage"),
     "chart_unknown_by_year": SER + f"""
-SELECT publication_year, {_r("100.0 * count(*) FILTER (weapon_category = 'unknown') / count(*)", 'percentage')} FROM serious GROUP BY 1""",
+SELECT publication_year, {_r("100.0 * count(*) FILTER (weapon_category = 'unknown') / count(*)", 'percentage')},
+  round_even(100.0 * count(*) FILTER (weapon_category = 'unknown') / count(*), 2) AS percentage_shown FROM serious GROUP BY 1""",
     "chart_weapons_by_region": SER + _grid("serious", "birth_region", "weapon_category", "percentage"),
     "chart_geographic_table": STATES + f" SELECT {_rep_columns('birth_state')}, {_LABEL} AS highlight FROM represented",
     "validation": _REPEATED + """

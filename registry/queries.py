@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from registry import tables as R
 from skewlens import configure, shared_folder
 from skewlens import constants as K
+from skewlens.functions import special
 from skewlens.functions.dates import floor_days
 from skewlens.functions.text import classify, contains_any, first_code
 from skewlens.operators import category as cat
@@ -571,7 +572,7 @@ def delay_by_part_type(spark, sf):
 
 @query
 def delay_anova(spark, sf):
-    return per.anova(_delays(spark, sf), "p_type", "delay_days").drop("interpretation")
+    return per.anova(_delays(spark, sf), "p_type", "delay_days")
 
 
 @query
@@ -740,20 +741,45 @@ def chart_summary_persistence(spark, sf):
     return datasets.summary_dashboard(f, cnt.case_cube(f))["persistence"]
 
 
+@query
+def chart_summary_categories(spark, sf):
+    f = R.features(spark, sf)
+    return datasets.summary_dashboard(f, cnt.case_cube(f))["categories"]
+
+
+@query
+def chart_summary_years(spark, sf):
+    f = R.features(spark, sf)
+    return datasets.summary_dashboard(f, cnt.case_cube(f))["years"]
+
+
 @query
 def chart_summary_states(spark, sf):
     f = R.features(spark, sf)
     return datasets.summary_dashboard(f, cnt.case_cube(f))["states"]
 
 
+@query
+def p_values_of_nations(spark, sf):
+    """Small p-values as logarithms: orders of each nation over the priorities, the statistic raised nation by nation."""
+    o, c = R.table(spark, sf, "orders"), R.table(spark, sf, "customer")
+    counted = cnt.cells(o.join(c, o["o_custkey"] == c["c_custkey"]), "c_nationkey", "o_orderpriority")
+    even = F.sum("n") / F.count(F.lit(1))
+    each = counted.groupBy(F.col("c_nationkey").alias("nation")).agg(
+        ((F.sum(F.col("n") * F.col("n")) / even - F.sum("n")) * (1 + F.col("c_nationkey"))).alias("statistic"),
+        (F.count(F.lit(1)) - 1).alias("df"),
+    )
+    return each.select("nation", "statistic", F.log10(special.chi2_p_value("statistic", "df")).alias("log10_p"))
+
+
 @query
 def chart_weapons(spark, sf):
-    return datasets.weapon_distribution(R.features(spark, sf)).drop("percentage_shown")
+    return datasets.weapon_distribution(R.features(spark, sf))
 
 
 @query
 def chart_weapons_all(spark, sf):
-    return datasets.weapon_distribution(R.features(spark, sf), serious=False).drop("percentage_shown")
+    return datasets.weapon_distribution(R.features(spark, sf), serious=False)
 
 
 @query
@@ -768,7 +794,7 @@ def chart_weapons_by_year(spark, sf):
 
 @query
 def chart_unknown_by_year(spark, sf):
-    return datasets.unknown_weapons_by_year(R.features(spark, sf)).drop("percentage_shown")
+    return datasets.unknown_weapons_by_year(R.features(spark, sf))
 
 
 @query

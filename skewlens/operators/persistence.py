@@ -156,10 +156,17 @@ def box_stats(
     df: DataFrame, key: str = "crime_family", value: str = "case_age_days", whole_days: bool | None = None
 ) -> DataFrame:
     """Five-number summary per category (box plot); ``whole_days`` as in :func:`persistence`."""
+    return _box(_any_quantiles(df, key, value, BOX, whole_days), key)
+
+
+def box_from_counts(counted: DataFrame, key: str, value: str) -> DataFrame:
+    """:func:`box_stats` from counted whole days."""
+    return _box(day_quantiles(counted, key, value), key)
+
+
+def _box(table: DataFrame, key: str) -> DataFrame:
     names = ("min", "q1", "median", "q3", "max")
-    return _any_quantiles(df, key, value, BOX, whole_days).select(
-        key, *[F.get("quantiles", F.lit(i)).alias(name) for i, name in enumerate(names)]
-    )
+    return table.select(key, *[F.get("quantiles", F.lit(i)).alias(name) for i, name in enumerate(names)])
 
 
 def approximate_box_stats(

@@ -80,18 +80,13 @@ def compare_subset(
         key, a.alias("all_crimes_percentage"), s.alias("serious_crimes_percentage"), (s - a).alias("difference"),
         (s - a > points).alias("over_represented_in_serious"),
         (s - a < -points).alias("under_represented_in_serious"),
-    )
+    ).withColumns({f"{c}_shown": shown(F.col(c)) for c in ("all_crimes_percentage", "serious_crimes_percentage", "difference")})
 
 
 def weapon_comparison_chart(df: DataFrame, weight: str | None = None) -> DataFrame:
-    """All against serious shares over the union of the labels on either side."""
-    everything = distribution(df, "weapon_category", weight, over="known").select(
-        "weapon_category", F.col("percentage").alias("all_crimes_percentage"))
-    serious = distribution(serious_only(df), "weapon_category", weight, over="known").select(
-        "weapon_category", F.col("percentage").alias("serious_crimes_percentage"))
-    return align_union(
-        everything, serious, "weapon_category", {"all_crimes_percentage": "serious_crimes_percentage"}
-    )
+    """All against serious shares over the labels on either side; a serious row is a row, so one pass has both."""
+    return compare_subset(df, domain=None, weight=weight).select(
+        "weapon_category", "all_crimes_percentage", "serious_crimes_percentage")
 
 
 def weapon_shares(df: DataFrame, by: str, weight: str | None = None) -> DataFrame:
