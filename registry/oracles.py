@@ -372,6 +372,19 @@ SELECT year, state, offense_type, {_n('count', 'count')}, {_r('rate_per_100k', '
     "baseline_year_folders": "WITH " + BASELINE + f"""
 SELECT year, state, offense_type, {_n('count', 'count')}, {_r('rate_per_100k', 'rate_per_100k')}, own_family AS crime_family
 FROM baseline WHERE year IN (1997, 1998, 1999)""",
+    "baseline_all_years": "WITH " + BASELINE + f"""
+SELECT year, state, offense_type, {_n('count', 'count')}, {_r('rate_per_100k', 'rate_per_100k')}, own_family AS crime_family FROM baseline""",
+    "notice_pages_of_customers": f"""
+SELECT 'u' || o_orderkey AS uid, o_orderpriority AS title, 'about ' || o_orderkey AS description,
+  strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS publication_date, strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS modified_date,
+  'http://x/' || o_orderkey AS url, 'armed ' || o_orderkey AS warning_message, 'reward ' || o_orderkey AS reward_text,
+  'caution ' || o_orderkey AS caution, 'details ' || o_orderkey AS details, 'i' || o_orderkey AS images,
+  'f' || o_orderkey || '|g' || o_orderkey AS files, 2 AS n_subjects, 'name ' || o_custkey AS name, 'Male' AS sex,
+  'race ' || o_orderstatus AS race, 'nation ' || o_orderstatus AS nationality, strftime(o_orderdate, '%Y-%m-%d') AS date_of_birth,
+  'place ' || o_custkey AS place_of_birth, 'brown' AS hair, 'blue' AS eyes, '60' AS height_min, '70' AS height_max,
+  CAST(o_totalprice AS VARCHAR) AS weight, 'alias ' || o_orderkey || '|also ' || o_orderkey AS aliases,
+  '2001-08-02 06:00:00' AS ingestion_date, {_floor_days("TIMESTAMP '2001-08-02 06:00:00'", "CAST(o_orderdate AS TIMESTAMP)")} AS case_age_days
+FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""",
     "csv_round_trip": F_ + """
 SELECT uid, title, strftime(publication_date, '%Y-%m-%d %H:%M:%S') AS publication_date, case_age_days, birth_state,
   severity_flag, has_reward, has_images, CAST(n_img AS BIGINT) AS n_images, reward_text FROM features""",

@@ -145,6 +145,43 @@ def notice_page_files(spark, sf):
     return _flat_columns(src_notices.flatten_notices(items, R.INGESTED))
 
 
+@query
+def notice_pages_of_customers(spark, sf):
+    """A page per customer with an item per order, none for many, and every field of items and subjects filled."""
+    o, c = R.table(spark, sf, "orders"), R.table(spark, sf, "customer")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd")
+    text = lambda prefix, column="o_orderkey": F.concat(F.lit(prefix), F.col(column).cast("string"))
+    subject = F.struct(
+        text("name ", "o_custkey").alias("name"), F.lit("Male").alias("sex"), text("race ", "o_orderstatus").alias("race"),
+        text("nation ", "o_orderstatus").alias("nationality"), F.date_format("o_orderdate", "MMMM d, yyyy").alias("date_of_birth"),
+        text("place ", "o_custkey").alias("place_of_birth"), F.lit("brown").alias("hair"), F.lit("blue").alias("eyes"),
+        F.lit("60").alias("height_min"), F.lit("70").alias("height_max"), text("", "o_totalprice").alias("weight"),
+        F.array(text("alias "), text("also ")).alias("aliases"),
+    )
+    item = F.struct(
+        text("u").alias("uid"), F.col("o_orderpriority").alias("title"), text("about ").alias("description"),
+        F.array(subject, subject).alias("subjects"), day.alias("publication"), day.alias("modified"), text("http://x/").alias("url"),
+        text("armed ").alias("warning_message"), text("reward ").alias("reward_text"), text("caution ").alias("caution"),
+        text("details ").alias("details"), F.array(text("i")).alias("images"), F.array(text("f"), text("g")).alias("files"),
+    )
+    per = o.select(F.col("o_custkey").alias("c_custkey"), item.alias("item")).groupBy("c_custkey").agg(F.collect_list("item").alias("items"))
+    pages = c.select("c_custkey").join(per, "c_custkey", "left").select(
+        F.to_json(F.struct(F.coalesce("items", F.array().cast(per.schema["items"].dataType)).alias("items"))).alias("payload"))
+    flat = src_notices.flatten_notices(src_notices.parse_notice_pages(pages), R.INGESTED)
+    lists = [f.name for f in flat.schema if isinstance(f.dataType, T.ArrayType) and f.name != "subjects"]
+    kept = [f.name for f in flat.schema if not isinstance(f.dataType, T.ArrayType)]
+    return flat.select(*kept, F.size("subjects").alias("n_subjects"), *[F.array_join(n, "|").alias(n) for n in lists])
+
+
+@query
+def baseline_all_years(spark, sf):
+    """Baseline pages in one folder per year, all of them read back."""
+    path = f"{shared_folder(spark)}/baseline"
+    record = F.struct("state", "offense_type", "count", "rate_per_100k")
+    R.baseline(spark, sf).select("year", F.array(record).alias("data")).write.partitionBy("year").json(path)
+    return src_baseline.read_baseline(spark, path, one_page_per_file=False)
+
+
 @query
 def baseline_families(spark, sf):
     """Baseline records with their offense family."""

@@ -48,7 +48,9 @@ ONE_SCAN = {
     "geographic_test": "orders", "geographic_representation": "orders", "family_trends": "orders", "customer_trends": "orders",
     "case_persistence": "orders", "case_persistence_test": "orders", "weapon_summary": "orders", "year_by_weapon": "orders",
     "weapon_comparison": "orders", "state_proportions": "orders", "delay_by_part_type": "lineitem", "delay_anova": "lineitem",
-    "price_quantiles": "lineitem", "category_test": "lineitem", "overview": "orders",
+    "category_test": "lineitem", "overview": "orders",
+    "chart_weapon_comparison": "orders", "chart_summary_persistence": "orders", "distinct_labels": "orders",
+    "document_quality": "documents", "validation_text_dates": "orders", "engineered_notices": "orders",
 }
 
 
@@ -65,3 +67,10 @@ def test_big_table_is_read_once(spark, sf, name):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     scans = Counter(t for t in TABLES for line in plan.split("\n") if "FileScan" in line and f"/{t}.parquet" in line)
     assert scans[ONE_SCAN[name]] == 1, scans
+
+
+def test_baseline_join_leaves_the_notices_in_place(spark, sf):
+    from registry import queries
+
+    plan = queries.QUERIES["engineered_notices"](spark, sf)._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin [crime_family" not in plan
