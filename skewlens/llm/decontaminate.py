@@ -10,9 +10,12 @@ windows a few edits apart fall into step again soon after each edit, so their
 walks agree in most steps: edit distance becomes Hamming distance. A table
 samples a few steps of one walk (more of them the more items there are, so that
 chance hits stay rare) and hashes their characters; a window and an item that
-agree there are a candidate. Tables are added, each with a walk of
-its own, until random edits of the items themselves, as many as are allowed,
-are found with the target recall; copies are always found.
+agree there are a candidate. Tables are added, each with a walk of its own, until
+random edits of the items themselves, as many as are allowed, are found with the
+target recall. The first tables look at windows from every start, until each item's
+walk has ended within it once: copies are always found. The others look at every
+third start, and their recall is measured on windows that start beside the edited
+passage as often as on it.
 
 Windows. Each class of item lengths (a factor of 1.25) has windows of its size,
 starting at every character where they could reach an item at all: an item of
@@ -42,7 +45,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import column
 
-MAX_EDIT_SHARE = 0.05
+MAX_EDIT_SHARE = 0.08
 MIN_CHARS = 20
 GRAM = 8
 RATIO = 1.25
@@ -55,6 +58,7 @@ SEED = 11
 BLOCK_CHARS = 4_000_000
 PIECE_CHARS = 1_000_000  # searched for grams at once
 STRIDE = 16
+STEP = 3              # starts of the tables that need not see every start
 WALKERS = 1 << 16
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -156,17 +160,19 @@ class LengthClass:
         chars, starts = padded(texts, "\0" * 2 * self.high)
         trials = [(i, edited(t, k, rng)) for i, (t, k) in enumerate(zip(texts, edits)) for _ in range(TRIALS)]
         of = np.array([i for i, _ in trials])
-        trial_chars, trial_starts = padded([t for _, t in trials], "".join(chr(97 + x) for x in rng.integers(0, 26, 2 * self.high)))
+        trial_chars, trial_starts = padded(["  " + t for _, t in trials], "".join(chr(97 + x) for x in rng.integers(0, 26, 2 * self.high)))
+        beside = np.arange(len(trials)) % STEP - 1
         found, copied = np.zeros(len(trials), bool), np.zeros(len(texts), bool)
         self.tables = []
         samples = max(2, int(np.ceil(np.log(len(texts) / CHANCE) / np.log(ALPHABET))))
         while len(self.tables) < MAX_TABLES and (found.mean() < recall or not copied.all()):
-            walk = Walk(self.low, len(self.tables), samples)
+            walk, every = Walk(self.low, len(self.tables), samples), not copied.all()
             hashes = walk.hashes(chars, starts)
-            copied |= walk.stays_inside(chars, starts, np.array(lengths))
-            found |= walk.hashes(trial_chars, trial_starts) == hashes[of]
+            if every:
+                copied |= walk.stays_inside(chars, starts, np.array(lengths))
+            found |= walk.hashes(trial_chars, trial_starts + 2 + (0 if every else beside)) == hashes[of]
             order = np.argsort(hashes, kind="stable")
-            self.tables.append((walk, hashes[order], np.array(numbers)[order]))
+            self.tables.append((walk, hashes[order], np.array(numbers)[order], every))
 
 
 def pieces(texts: list[str], most: int = PIECE_CHARS):
@@ -268,8 +274,8 @@ class Index:
             i, t = int(item[s]), int(text[s])
             pattern = self.texts[i]
             k = allowed(len(pattern), self.share)
-            begin = max(0, int(at[s]) - k)
-            stretch = texts[t][begin:int(at[e - 1]) + len(pattern) + 2 * k]
+            begin = max(0, int(at[s]) - k - STEP)
+            stretch = texts[t][begin:int(at[e - 1]) + len(pattern) + 2 * k + STEP]
             own = self.gram_sets.setdefault(i, frozenset(pattern[j:j + GRAM] for j in range(len(pattern) - GRAM + 1)))
             kept = sum(stretch[j:j + GRAM] in own for j in range(len(stretch) - GRAM + 1))
             match = kept >= len(pattern) - GRAM + 1 - GRAM * k and best_match(pattern, stretch, k)
@@ -286,7 +292,7 @@ class Open:
         self.clear()
 
     def clear(self):
-        self.chars, self.at, self.text, self.position, self.size = [], [], [], [], 0
+        self.chars, self.at, self.near, self.text, self.position, self.size = [], [], [], [], [], 0
 
     def add(self, chars, at, starts, first_text, span):
         new = np.r_[True, at[1:] - at[:-1] > span]
@@ -295,7 +301,9 @@ class Open:
         base = np.cumsum(size) - size
         stretch = np.repeat(first - base, size) + np.arange(size.sum())
         self.chars.append(chars[np.minimum(stretch, len(chars) - 1)])
-        self.at.append(at - first[run] + base[run] + self.size)
+        here = at - first[run] + base[run] + self.size
+        self.at.append(here)
+        self.near.append(np.maximum(here + (at + STEP // 2) // STEP * STEP - at, 0))  # the next start on the coarse grid
         self.size += int(size.sum())
         text = np.searchsorted(starts, at, "right") - 1
         self.text.append(text + first_text)
@@ -305,16 +313,17 @@ class Open:
         if not self.at:
             return
         chars = np.concatenate(self.chars).astype(np.intp)
-        at, text, position = (np.concatenate(x) for x in (self.at, self.text, self.position))
+        at, near, text, position = (np.concatenate(x) for x in (self.at, self.near, self.text, self.position))
         self.clear()
-        for walk, hashes, numbers in c.tables:
-            h = walk.hashes(chars, at)
+        coarse, some = np.unique(near, return_index=True)
+        for walk, hashes, numbers, every in c.tables:
+            h = walk.hashes(chars, at if every else coarse)
             low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             hit = np.flatnonzero(high > low)
             if len(hit):
                 counts = (high - low)[hit]
                 slot = np.repeat(low[hit] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-                who = np.repeat(hit, counts)
+                who = np.repeat(hit if every else some[hit], counts)
                 yield np.stack([numbers[slot], text[who], position[who]], axis=1)
 
 
