@@ -1,9 +1,11 @@
 """Quality classifier: cumulative-link regression on graded ratings.
 
 A text is the set of its words and of their shapes (case, marks at the end,
-digits), hashed to ``SIZE`` features, each worth n ** -POWER in a text of n
-features. The ``TOP`` features that tell the grades apart best (chi-square over the
-rated texts, at least ``MIN_CHI``, in at least ``MIN_TEXTS`` of them) get a weight, the others none.
+digits), hashed to ``SIZE`` features. The features that tell the grades apart
+(chi-square over the rated texts of at least ``MIN_EFFECT`` times their number; the
+best ``TOP``, in at least ``MIN_TEXTS`` texts) get a weight, and x is the mean over
+those that a text has: one telling word among thousands of others decides as much as
+in a short text, and ten decide no more than one.
 One weight vector w is shared by all grades; with ordered thresholds t_1 < t_2
 the chance of grade k or better is 1 / (1 + exp(t_k - w.x)). From these tail
 probabilities follow the expected grade and the selection.
@@ -34,10 +36,10 @@ SIZE = 1 << BITS
 GRADES = 3
 MAX_RATED = 8000
 SEED = 5
-POWER = 0.25
 TOP = 300
 MIN_TEXTS = 3
 MIN_CHI = 25.0       # below, a difference between grades may be chance
+MIN_EFFECT = 0.06
 STEPS = 300
 RATE = 0.05
 DECAY = 1e-5
@@ -84,8 +86,9 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
 
 def scores(weights: np.ndarray, texts: list) -> np.ndarray:
     at, f = features(texts)
-    n = np.bincount(at, minlength=len(texts))
-    return np.bincount(at, weights[f], len(texts)) * np.maximum(n, 1.0) ** -POWER
+    used = weights[f] != 0
+    at, f = at[used], f[used]
+    return np.bincount(at, weights[f], len(texts)) / np.maximum(np.bincount(at, minlength=len(texts)), 1)
 
 
 def _sigmoid(x):
@@ -105,7 +108,7 @@ def telling(at: np.ndarray, f: np.ndarray, grades: np.ndarray) -> np.ndarray:
     chi[seen.sum(axis=1) < MIN_TEXTS] = 0
     top = np.argsort(-chi, kind="stable")[:TOP]
     chosen = np.zeros(SIZE, bool)
-    chosen[top[chi[top] >= MIN_CHI]] = True
+    chosen[top[chi[top] >= max(MIN_CHI, MIN_EFFECT * len(grades))]] = True
     return chosen
 
 
@@ -115,10 +118,9 @@ def fit(at: np.ndarray, f: np.ndarray, grades: np.ndarray, steps: int = STEPS) -
     weights, free = np.zeros(SIZE), np.array([-0.7] + [np.log(1.4)] * (GRADES - 2))
     if n == 0:
         return weights, np.log(np.arange(1, GRADES) / np.arange(GRADES - 1, 0, -1))
-    scale = np.maximum(np.bincount(at, minlength=n), 1.0) ** -POWER
     used = telling(at, f, grades)[f]
     at, f = at[used], f[used]
-    value = scale[at]
+    value = 1 / np.maximum(np.bincount(at, minlength=n), 1)[at]
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (weights, free)]
     rows = np.arange(n)
     for step in range(1, steps + 1):

@@ -8,10 +8,10 @@ from skewlens.llm import ordinal as o
 
 def numeric_loss(at, f, grades, weights, thresholds):
     n = len(grades)
-    value = np.maximum(np.bincount(at, minlength=n), 1.0) ** -o.POWER
-    score = np.bincount(at, weights[f] * value[at], n)
+    used = weights[f] != 0
+    score = np.bincount(at[used], weights[f[used]], n) / np.maximum(np.bincount(at[used], minlength=n), 1)
     tail = np.c_[np.ones(n), o.tails(score, thresholds), np.zeros(n)]
-    return -np.log(tail[np.arange(n), grades] - tail[np.arange(n), grades + 1]).mean()
+    return -np.log(np.maximum(tail[np.arange(n), grades] - tail[np.arange(n), grades + 1], 1e-12)).mean()
 
 
 def made(n, seed):
