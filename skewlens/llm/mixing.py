@@ -181,7 +181,9 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = F.coalesce(F.regexp_count(column(docs, text_col), F.lit(WORD)), F.lit(0)).cast("long")
     row = F.struct(*[column(docs, c) for c in docs.columns]).alias("_row")
     wide = docs.select(row, key(column(docs, id_col), column(docs, source_col), size))
-    wide = wide.join(stored(took, "copies").filter("_c > 0"), "_key")
-    wide = wide.withColumn("_i", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    # as many rows as documents: never a side to broadcast, and the window below finds its rows in place
+    took = stored(took, "copies").filter("_c > 0").withColumnRenamed("_key", "_of").hint("merge")
+    wide = wide.join(took, F.col("_key") == F.col("_of"))
+    wide = wide.withColumn("_i", F.row_number().over(Window.partitionBy("_of").orderBy("_of")))
     copies = F.floor(F.col("_c") / F.col("_n")) + (F.col("_i") <= F.pmod("_c", "_n")).cast("long")
     return wide.select("_row", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("_copy")).select("_row.*")

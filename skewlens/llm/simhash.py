@@ -233,6 +233,6 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     row = F.struct(*[column(docs, c) for c in docs.columns]).alias("_row")
     key = column(docs, id_col).cast("long").alias("_key")
     wide = docs.select(row, key, F.xxhash64(column(docs, text_col)).alias("_tie"))
-    one = wide.join(stored(first, "first"), F.col("_key") == F.col("_keep")).withColumn(
+    one = wide.join(stored(first, "first").hint("merge"), F.col("_key") == F.col("_keep")).withColumn(
         "_n", F.row_number().over(Window.partitionBy("_key").orderBy("_tie")))
     return one.filter("_n = 1").select("_row.*").unionByName(wide.filter("_key is null").select("_row.*"))
