@@ -36,6 +36,11 @@ def _r(x: str, name: str) -> str:
     return f"round(CAST({x} AS DOUBLE), 6) + 0.0 AS {name}"
 
 
+def _shown(x: str, name: str) -> str:
+    """Two decimals, decimal ties to even."""
+    return f"round_even(round(CAST({x} AS DOUBLE) * 100, 6), 0) / 100 AS {name}"
+
+
 def _n(x: str, name: str) -> str:
     return f"CAST({x} AS BIGINT) AS {name}"
 
@@ -226,7 +231,7 @@ def _persistence(source: str, key: str, value: str, whole: bool) -> str:
     return (
         f"SELECT {key}, {_n(f'count({value})', 'count')}, {_r(f'avg({value})', 'mean')}, {_r(f'median({value})', 'median')}, "
         f"{_r(f'stddev_samp({value})', 'std')}, {end(f'min({value})', 'min')}, {end(f'max({value})', 'max')}, "
-        + ", ".join(f"round_even(CAST({e}({value}) AS DOUBLE), 2) AS {c}_shown" for e, c in (("avg", "mean"), ("median", "median"), ("stddev_samp", "std")))
+        + ", ".join(_shown(f"{e}({value})", f"{c}_shown") for e, c in (("avg", "mean"), ("median", "median"), ("stddev_samp", "std")))
         + f" FROM {source} WHERE {key} IS NOT NULL GROUP BY 1"
     )
 
@@ -293,7 +298,7 @@ def _subset(source: str, key: str, flag: str, domain, points: float) -> str:
     b = f"100.0 * count(s.{key}) FILTER (s.{flag}) / (SELECT count({key}) FROM {source} WHERE {flag})"
     return f"""SELECT {key}, {_r('a', 'all_crimes_percentage')}, {_r('b', 'serious_crimes_percentage')}, {_r('b - a', 'difference')},
   b - a > {points} AS over_represented_in_serious, b - a < -{points} AS under_represented_in_serious,
-  round_even(a, 2) AS all_crimes_percentage_shown, round_even(b, 2) AS serious_crimes_percentage_shown, round_even(b - a, 2) AS difference_shown
+  {_shown('a', 'all_crimes_percentage_shown')}, {_shown('b', 'serious_crimes_percentage_shown')}, {_shown('b - a', 'difference_shown')}
 FROM (SELECT d.{key}, {a} AS a, {b} AS b FROM {labels} d LEFT JOIN {source} s ON s.{key} = d.{key} GROUP BY 1)"""
 
 
@@ -592,8 +597,8 @@ SELECT unit AS birth_state, {_r('ratio', 'representation_ratio')}, {_n('o', 'obs
     "chart_summary_persistence": F_ + """, shown AS (SELECT * FROM features WHERE crime_family IN (
   SELECT crime_family FROM features GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 5)) """ + _box("shown", "crime_family", "case_age_days"),
     "chart_summary_states": F_ + " SELECT birth_state, count(*) AS n FROM features WHERE birth_state IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10",
-    "chart_weapons": SER + " SELECT *, round_even(percentage, 2) AS percentage_shown FROM (" + _distribution("serious", "weapon_category", "all") + ")",
-    "chart_weapons_all": F_ + " SELECT *, round_even(percentage, 2) AS percentage_shown FROM (" + _distribution("features", "weapon_category", "all") + ")",
+    "chart_weapons": SER + " SELECT *, " + _shown("percentage", "percentage_shown") + " FROM (" + _distribution("serious", "weapon_category", "all") + ")",
+    "chart_weapons_all": F_ + " SELECT *, " + _shown("percentage", "percentage_shown") + " FROM (" + _distribution("features", "weapon_category", "all") + ")",
     "chart_summary_categories": F_ + _distribution("features", "crime_family", "known"),
     "chart_summary_years": F_ + " SELECT publication_year, count(*) AS n FROM features GROUP BY 1",
     "chart_weapon_comparison": F_ + f"""
@@ -603,7 +608,7 @@ FROM features GROUP BY 1""",
     "chart_weapons_by_year": SER + _grid("serious", "publication_year", "weapon_category", "percentage"),
     "chart_unknown_by_year": SER + f"""
 SELECT publication_year, {_r("100.0 * count(*) FILTER (weapon_category = 'unknown') / count(*)", 'percentage')},
-  round_even(100.0 * count(*) FILTER (weapon_category = 'unknown') / count(*), 2) AS percentage_shown FROM serious GROUP BY 1""",
+  {_shown("100.0 * count(*) FILTER (weapon_category = 'unknown') / count(*)", 'percentage_shown')} FROM serious GROUP BY 1""",
     "chart_weapons_by_region": SER + _grid("serious", "birth_region", "weapon_category", "percentage"),
     "chart_geographic_table": STATES + f" SELECT {_rep_columns('birth_state')}, {_LABEL} AS highlight FROM represented",
     "validation": _REPEATED + """

@@ -22,8 +22,11 @@ def clamped(value: Column, low: float | None = None, high: float | None = None)
 
 
 def shown(value: Column, digits: int = 2) -> Column:
-    """Rounded copy for display, ties to even. Results keep the unrounded value."""
-    return F.bround(value, digits)
+    """Rounded copy for display, decimal ties to even: noise in the last digits of a double decides no tie.
+
+    Results keep the unrounded value.
+    """
+    return F.bround(F.round(value, digits + 6), digits)
 
 
 def fixed(value: Column, digits: int) -> Column:
