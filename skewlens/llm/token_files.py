@@ -42,8 +42,8 @@ from .common import column, partitions
 
 END_ID = 1
 LAST = (1 << 63) - 1
-CACHED_WORDS = 800_000
-CACHED_PIECES = 600_000
+CACHED_WORDS = 400_000
+CACHED_PIECES = 400_000
 # Words of ASCII marks but ' (which may start a contraction) and Latin-1 letters fall into the pre-tokenizer's
 # own parts where letters, digits and marks meet, and lower case does not change them otherwise.
 PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
