@@ -15,7 +15,9 @@ random edits of the items themselves, as many as are allowed, are found with the
 target recall. The first tables look at windows from every start, until each item's
 walk has ended within it once: copies are always found. The others look at every
 third start, and their recall is measured on windows that start beside the edited
-passage as often as on it.
+passage as often as on it. A class of item lengths that ``MAX_TABLES`` tables do
+not bring to the target has none: its windows are compared with each item by the
+8-grams they share, and those that edits cannot rule out are verified (no loss).
 
 Windows. Each class of item lengths (a factor of 1.25) has windows of its size,
 starting at every character where they could reach an item at all: an item of
@@ -52,7 +54,7 @@ RATIO = 1.25
 CHANCE = 0.01          # candidates by chance per window and table, at most
 ALPHABET = 12         # characters that texts use about equally often
 TARGET_RECALL = 0.99
-MAX_TABLES = 256      # a bound on the search for the recall, not on candidates
+MAX_TABLES = 256      # classes that need more are searched by shared 8-grams, without tables
 TRIALS = 6            # random edits per item in the calibration
 SEED = 11
 BLOCK_CHARS = 4_000_000
@@ -60,6 +62,7 @@ PIECE_CHARS = 1_000_000  # searched for grams at once
 STRIDE = 16
 STEP = 3              # starts of the tables that need not see every start
 WALKERS = 1 << 16
+POSTINGS = 1 << 20    # looked up at once
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -173,6 +176,43 @@ class LengthClass:
             found |= walk.hashes(trial_chars, trial_starts + 2 + (0 if every else beside)) == hashes[of]
             order = np.argsort(hashes, kind="stable")
             self.tables.append((walk, hashes[order], np.array(numbers)[order], every))
+        self.exact = bool(found.mean() < recall or not copied.all())
+        if self.exact:
+            self.tables = []
+            self.numbers, self.lengths = np.array(numbers), np.array(lengths)
+            self.widths = self.lengths + edits - GRAM + 1
+            self.needs = np.maximum(1, self.lengths - GRAM + 1 - GRAM * np.array(edits))
+            self.own = [np.unique(grams(folded(t))) for t in texts]
+            of = np.repeat(np.arange(len(texts)), [len(g) for g in self.own])
+            every_gram = np.concatenate(self.own)
+            order = np.argsort(every_gram, kind="stable")
+            self.holders = of[order]  # the items of each gram, gram by gram
+            self.grams, first = np.unique(every_gram[order], return_index=True)
+            self.first = np.r_[first, len(order)]
+
+    def sharing(self, codes: np.ndarray, at: np.ndarray):
+        """(place of the item in the class, starts) wherever a window holds the 8-grams that the allowed edits leave of an item."""
+        if not len(at):
+            return
+        width = self.reach - GRAM + 1
+        for part in np.split(at, np.flatnonzero(np.diff(at // (4 * self.reach))) + 1):
+            stretch = codes[part[0]:part[-1] + width]
+            slot = np.minimum(np.searchsorted(self.grams, stretch), len(self.grams) - 1)
+            slot, times = np.unique(slot[self.grams[slot] == stretch], return_counts=True)
+            size = self.first[slot + 1] - self.first[slot]
+            held = np.zeros(len(self.own), np.int64)
+            for some in np.split(np.arange(len(slot)), np.flatnonzero(np.diff(np.cumsum(size) // POSTINGS)) + 1):
+                n = size[some]
+                where = np.repeat(self.first[slot[some]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                held += np.bincount(self.holders[where], np.repeat(times[some], n), len(held)).astype(np.int64)
+            here = part - part[0]
+            for i in np.flatnonzero(held >= self.needs):
+                own = self.own[i]
+                hit = own[np.minimum(np.searchsorted(own, stretch), len(own) - 1)] == stretch
+                upto = np.r_[0, np.cumsum(hit)]
+                good = part[upto[here + self.widths[i]] - upto[here] >= self.needs[i]]
+                if len(good):
+                    yield i, good
 
 
 def pieces(texts: list[str], most: int = PIECE_CHARS):
@@ -247,12 +287,20 @@ class Index:
             sizes = np.array([len(t) + 1 for t in texts[s:e]], np.int64)
             starts = np.cumsum(sizes) - sizes
             chars = folded("\0".join(texts[s:e]) + "\0" * tail)
-            slots = self.slots(grams(chars))
+            codes = grams(chars)
+            slots = self.slots(codes)
             total = np.zeros(len(slots) + 1, np.int32)
             np.cumsum(self.known[slots], out=total[1:], dtype=np.int32)
             for number, c in enumerate(self.classes):
                 at = self.windows(number, slots, total, len(chars) - tail)
-                if len(at):
+                if c.exact:
+                    for i, good in c.sharing(codes, at):
+                        text = np.searchsorted(starts, good, "right") - 1
+                        new = np.r_[True, (np.diff(good) > 1) | (np.diff(text) > 0)]
+                        kept = new | np.r_[new[1:], True] | (good % (c.lengths[i] // 2) == 0)  # enough for the search to join them
+                        good, text = good[kept], text[kept]
+                        yield np.stack([np.full(len(good), c.numbers[i]), text + s, good - starts[text]], axis=1)
+                elif len(at):
                     open_[number].add(chars, at, starts, s, 2 * c.reach)
                     if open_[number].size > 4 * PIECE_CHARS:
                         yield from open_[number].agree(c)

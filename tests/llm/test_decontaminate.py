@@ -62,6 +62,24 @@ def test_recall_on_edited_passages_and_no_false_rows():
     assert not [t for t in found if t >= 150]
 
 
+def test_classes_that_tables_do_not_bring_to_the_recall_lose_nothing(monkeypatch):
+    monkeypatch.setattr(d, "MAX_TABLES", 3)  # as 256 for items of thousands of characters
+    rnd, rng = random.Random(3), np.random.default_rng(3)
+    items = [(i, words(rnd, rnd.randrange(60, 240))) for i in range(40)] + [(40 + i, words(rnd, 5)) for i in range(5)]
+    index = d.Index(items)
+    assert any(c.exact for c in index.classes) and all(not c.tables for c in index.classes if c.exact)
+    texts = [d.edited(item, d.allowed(len(item)), rng) + rnd.choice(["", " " + words(rnd, 40)]) for _, item in items]
+    texts = [d.normalise(rnd.choice(["", words(rnd, 40) + " "]) + t) for t in texts] + [d.normalise(words(rnd, 400)) for _ in range(20)]
+    monkeypatch.setattr(d, "PIECE_CHARS", 5000)
+    found = {}
+    for t, i, dist, s, e in index.search(texts):
+        assert dist <= d.allowed(len(index.texts[i])) and brute(index.texts[i], texts[t][s:e]) == dist
+        found.setdefault(t, set()).add(index.texts[i])
+    long = [n for n, (_, item) in enumerate(items) if any(c.exact and c.low <= len(d.normalise(item)) <= c.high for c in index.classes)]
+    assert len(long) >= 30 and all(d.normalise(items[n][1]) in found.get(n, ()) for n in long)
+    assert not [t for t in found if t >= len(items)]
+
+
 def test_equals_brute_force_on_given_tables(spark, small):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     got = {(r.doc_id, r.item_id): r.distance for r in d.find_leaks(small, items).collect()}
