@@ -1,11 +1,13 @@
 """Quality classifier: cumulative-link regression on graded ratings.
 
 A text is the set of its words and of their shapes (case, marks at the end,
-digits), hashed to ``SIZE`` features. The features that tell the grades apart
-(chi-square over the rated texts of at least ``MIN_EFFECT`` times their number; the
-best ``TOP``, in at least ``MIN_TEXTS`` texts) get a weight, and x is the mean over
-those that a text has: one telling word among thousands of others decides as much as
-in a short text, and ten decide no more than one.
+digits), hashed to ``SIZE`` features. The features that tell the grades apart get a
+weight: those whose log-likelihood ratio over the rated texts would pass for one of
+all seen features by chance with ``ERROR`` at most. The bound does not grow with the
+sample, so more ratings make rarer words telling. x is the mean over those that a
+text has, each by its strength, the squared information on the grade that a text
+with it gives: one strong word among thousands of faint ones decides as much as in a short
+text, and ten decide no more than one.
 One weight vector w is shared by all grades; with ordered thresholds t_1 < t_2
 the chance of grade k or better is 1 / (1 + exp(t_k - w.x)). From these tail
 probabilities follow the expected grade and the selection.
@@ -36,10 +38,8 @@ SIZE = 1 << BITS
 GRADES = 3
 MAX_RATED = 8000
 SEED = 5
-TOP = 300
-MIN_TEXTS = 3
-MIN_CHI = 25.0       # below, a difference between grades may be chance
-MIN_EFFECT = 0.06
+TOP = SIZE            # every feature that passes gets a weight
+ERROR = 0.05          # the chance that any feature passes that tells nothing
 STEPS = 300
 RATE = 0.05
 DECAY = 1e-5
@@ -84,11 +84,18 @@ def features(texts: list) -> tuple[np.ndarray, np.ndarray]:
     return key // SIZE, key % SIZE
 
 
-def scores(weights: np.ndarray, texts: list) -> np.ndarray:
+def scores(weights: np.ndarray, texts: list, strength: np.ndarray | None = None) -> np.ndarray:
+    """x of each text; without ``strength`` all features with a weight are alike."""
     at, f = features(texts)
     used = weights[f] != 0
     at, f = at[used], f[used]
-    return np.bincount(at, weights[f], len(texts)) / np.maximum(np.bincount(at, minlength=len(texts)), 1)
+    return np.bincount(at, weights[f] * shares(at, f, len(texts), strength), len(texts)).astype(float)  # of no pairs: integers
+
+
+def shares(at: np.ndarray, f: np.ndarray, n: int, strength: np.ndarray | None) -> np.ndarray:
+    """The share of each (text, feature) pair in the mean of its text."""
+    s = np.ones(len(f)) if strength is None else strength[f]
+    return s / np.bincount(at, s, n)[at]
 
 
 def _sigmoid(x):
@@ -100,27 +107,28 @@ def tails(score: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return _sigmoid(score[:, None] - thresholds[None, :])
 
 
-def telling(at: np.ndarray, f: np.ndarray, grades: np.ndarray) -> np.ndarray:
-    """Which features get a weight."""
+def strengths(at: np.ndarray, f: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """Squared information on the grade (in nats) that a text with the feature gives; 0 for features that get no weight."""
     seen = np.stack([np.bincount(f[grades[at] == g], minlength=SIZE) for g in range(GRADES)], axis=1).astype(float)
-    expected = seen.sum(axis=1, keepdims=True) * np.bincount(grades, minlength=GRADES) / len(grades)
-    chi = ((seen - expected) ** 2 / np.where(expected > 0, expected, 1)).sum(axis=1)
-    chi[seen.sum(axis=1) < MIN_TEXTS] = 0
-    top = np.argsort(-chi, kind="stable")[:TOP]
-    chosen = np.zeros(SIZE, bool)
-    chosen[top[chi[top] >= max(MIN_CHI, MIN_EFFECT * len(grades))]] = True
-    return chosen
+    texts = seen.sum(axis=1)
+    ratio = (seen + 1e-300) / np.maximum(texts[:, None] * np.bincount(grades, minlength=GRADES) / len(grades), 1e-300)
+    nats = np.where(seen > 0, seen * np.log(ratio), 0.0).sum(axis=1)
+    # the chance of a ratio of 2 x nats or more is exp(-nats) for three grades, with few texts as well
+    return np.where(nats >= np.log(max(1, np.count_nonzero(texts)) / ERROR), (nats / np.maximum(texts, 1)) ** 2, 0.0)
+
 
+def fit(at: np.ndarray, f: np.ndarray, grades: np.ndarray, steps: int = STEPS, strength: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, thresholds): maximum likelihood by full-batch Adam, thresholds as a first one and positive gaps.
 
-def fit(at: np.ndarray, f: np.ndarray, grades: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds): maximum likelihood by full-batch Adam, thresholds as a first one and positive gaps."""
+    Without ``strength`` the telling features are alike in the mean.
+    """
     n = len(grades)
     weights, free = np.zeros(SIZE), np.array([-0.7] + [np.log(1.4)] * (GRADES - 2))
     if n == 0:
         return weights, np.log(np.arange(1, GRADES) / np.arange(GRADES - 1, 0, -1))
-    used = telling(at, f, grades)[f]
+    used = (strengths(at, f, grades) if strength is None else strength)[f] > 0
     at, f = at[used], f[used]
-    value = 1 / np.maximum(np.bincount(at, minlength=n), 1)[at]
+    value = shares(at, f, n, strength)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (weights, free)]
     rows = np.arange(n)
     for step in range(1, steps + 1):
@@ -158,7 +166,10 @@ def _fit(batches):
     rows = sorted((h, g, f) for b in batches for h, g, f in zip(*(c.to_pylist() for c in b.columns)))
     at = np.repeat(np.arange(len(rows)), [len(r[2]) for r in rows])
     f = np.concatenate([np.array(r[2], np.int64) for r in rows]) if rows else np.empty(0, np.int64)
-    weights, thresholds = fit(at, f, np.array([r[1] for r in rows], np.int64))
+    graded = np.array([r[1] for r in rows], np.int64)
+    strength = strengths(at, f, graded) if rows else np.zeros(SIZE)
+    weights, thresholds = fit(at, f, graded, strength=strength)
+    weights = np.stack([weights, np.where(weights != 0, strength, 0)])
     yield pa.RecordBatch.from_arrays(
         [pa.array([weights.astype("<f4").tobytes()], pa.binary()), pa.array([thresholds.tolist()], pa.list_(pa.float64()))], ["weights", "thresholds"])
 
@@ -170,7 +181,7 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rated: int = MAX_RATED) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, thresholds) from doc_id, grade rows. The sample of at most ``max_rated`` rows is sent to the scan of ``docs``."""
+    """(weights and strengths in two rows, thresholds) from doc_id, grade rows. The sample of at most ``max_rated`` rows is sent to the scan of ``docs``."""
     h = F.xxhash64("doc_id", F.lit(SEED))
     sample = rated.select(h.alias("h"), F.col("doc_id").alias("_id"), "grade").orderBy("h", "_id").limit(max_rated)
     d = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
@@ -178,8 +189,9 @@ def train(docs: DataFrame, rated: DataFrame, id_col: str = "doc_id", text_col: s
     fitted = found.mapInArrow(_features, "h bigint, grade int, f array<int>").repartition(1).mapInArrow(_fit, "weights binary, thresholds array<double>")
     row = fitted.first()
     if row is None:
-        return fit(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
-    return np.frombuffer(row[0], "<f4").astype(np.float64), np.array(row[1])
+        weights, thresholds = fit(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64))
+        return np.stack([weights, weights]), thresholds
+    return np.frombuffer(row[0], "<f4").astype(np.float64).reshape(2, SIZE), np.array(row[1])
 
 
 OUT_SQL = "doc_id bigint, score double, expected_grade double, tail_1 double, tail_2 double, kept boolean"
@@ -188,11 +200,11 @@ OUT_NAMES = [f.split()[0] for f in OUT_SQL.split(", ")]
 
 def _score(model):
     def run(batches):
-        weights, thresholds = model.value
+        (weights, strength), thresholds = model.value
         for b in batches:
             for i in range(0, b.num_rows, PIECE):
                 piece = b.slice(i, PIECE)
-                score = scores(weights, piece.column(1).to_pylist())
+                score = scores(weights, piece.column(1).to_pylist(), strength)
                 tail = tails(score, thresholds)
                 yield pa.RecordBatch.from_arrays(
                     [piece.column(0), pa.array(score), pa.array(tail.sum(axis=1)), *(pa.array(tail[:, k]) for k in range(GRADES - 1)),

@@ -36,6 +36,25 @@ def test_held_out_accuracy():
     assert ((tail >= 0.5).sum(axis=1) == grades).mean() > 0.95
 
 
+def test_rare_words_of_one_grade_get_a_weight_and_strong_ones_are_not_diluted():
+    rnd = random.Random(7)
+    words = [f"word{i}" for i in range(300)] + ["faint", "weak"]
+    texts, grades = [], []
+    for n in range(2000):
+        g = 1 if n % 10 == 0 else rnd.choice([0, 2])
+        t = rnd.choices(words[:300], k=40) + (["faint", "weak"] if rnd.random() < (0.3, 0.4, 0.5)[g] else [])
+        t += ["insult"] if g == 1 and n % 200 == 0 else ["rude"] if g == 1 else ["junk"] if g == 0 else []
+        texts.append(" ".join(t))
+        grades.append(g)
+    at, f = o.features(texts)
+    strength = o.strengths(at, f, np.array(grades))
+    weights, thresholds = o.fit(at, f, np.array(grades), strength=strength)
+    assert weights[o.word_features("insult")[0]] != 0  # 10 of 200 texts of a grade
+    assert np.count_nonzero(strength) <= 8
+    kept = o.tails(o.scores(weights, ["word1 word2 insult", "faint weak word3 insult", "faint weak rude", "faint weak word3", "word4"], strength), thresholds)[:, 1] >= o.MIN_TAIL
+    assert kept.tolist() == [False, False, False, True, True]
+
+
 def test_fit_is_a_minimum():
     texts, grades = made(200, 3)
     at, f = o.features(texts)
