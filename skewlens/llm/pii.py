@@ -12,14 +12,16 @@ from one occurrence to the next, so there are never more edges than tokens.
 
 Weights, by piecewise training on all documents: a token's potential is the log
 share of each label among tokens of its shape; an edge's potential is the log of
-how much more often two labels meet on such edges than by chance. The counts are
-summed by Spark; the driver sees a bounded table (shapes are hashed).
+how much more often two labels meet on such edges than by chance. Documents without a
+base span are counted where they are read; their tokens are not kept, since none of
+them can be decoded as a kind. The counts are summed by Spark; the driver sees a
+bounded table (shapes are hashed).
 
 Inference. Loopy sum-product message passing, damped, over all graphs of a batch
-at once. A token outside the base that has a skip edge takes its likeliest label;
-if that is a kind, it is a span of its own, joined with neighbours of its kind.
-Tokens without a skip edge stay as they are: the method adds spans by agreement
-within a document only.
+at once. A token outside the base that skip edges connect, over others or at once,
+with a base token takes its likeliest label; if that is a kind, it is a span of its
+own, joined with neighbours of its kind. All other tokens stay as they are: the
+method adds spans by agreement with a base span of the document only.
 
 Positions are code points, ends exclusive. Defined cases: a null or empty text
 has no spans; very long texts and runs take linear time; equal spans of two kinds
@@ -157,26 +159,45 @@ def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
 READ = pa.schema([
     ("doc_id", pa.int64()), ("spans", pa.list_(pa.int64())), ("start", pa.list_(pa.int64())), ("end", pa.list_(pa.int64())),
     ("label", pa.list_(pa.int32())), ("bucket", pa.list_(pa.int32())), ("key", pa.list_(pa.int64())), ("similar", pa.list_(pa.int64())),
-    ("follows", pa.list_(pa.bool_())),
+    ("follows", pa.list_(pa.bool_())), ("counts", pa.list_(pa.int64())),
 ])
 READ_SQL = ("doc_id bigint, spans array<bigint>, start array<bigint>, end array<bigint>, label array<int>, bucket array<int>, "
-            "key array<bigint>, similar array<bigint>, follows array<boolean>")
+            "key array<bigint>, similar array<bigint>, follows array<boolean>, counts array<bigint>")
+
+
+LISTS = [f.name for f in READ][2:-1]
+
+
+def _lists(found: list[list[tuple]]) -> list[pa.Array]:
+    """The tokens of each document as one column per part."""
+    columns = [[] for _ in LISTS]
+    for tokens_ in found:
+        for c, values in zip(columns, zip(*tokens_) if tokens_ else [[]] * len(LISTS)):
+            c.append(list(values))
+    return [pa.array(c, READ.field(n).type) for n, c in zip(LISTS, columns)]
 
 
 def _read(batches):
+    """Spans and tokens of the documents with a base span; the others as counts, in the first row of their piece."""
     for b in batches:
         for i in range(0, b.num_rows, 1024):
             piece = b.slice(i, 1024)
-            columns = [[] for _ in range(8)]
+            flat, kept, others = [], [], []
             for text in piece.column(1).to_pylist():
                 text = text or ""
-                spans = base_spans(text) if CANDIDATE.search(text) else []
-                columns[0].append([x for s in spans for x in s])
-                found = tokens(text, spans) if spans else []  # without a base span there is nothing to agree with
-                for c, values in zip(columns[1:], zip(*found) if found else [[]] * 7):
-                    c.append(list(values))
-            yield pa.RecordBatch.from_arrays(
-                [piece.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(READ)[1:]))], schema=READ)
+                some = CANDIDATE.search(text) is not None
+                spans = base_spans(text) if some else []
+                found = tokens(text, spans) if some else []
+                flat.append([x for s in spans for x in s])
+                kept.append(found if spans else [])
+                if found and not spans:
+                    others.append(found)
+            counts = [[] for _ in range(piece.num_rows)]
+            if others:
+                counted = Counts()
+                counted.add(Graph(pa.RecordBatch.from_arrays(_lists(others), LISTS)))
+                counts[0] = np.stack(counted.rows(), axis=1).ravel().tolist()
+            yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(flat, READ.field("spans").type), *_lists(kept), pa.array(counts, READ.field("counts").type)], schema=READ)
 
 
 class Graph:
@@ -210,22 +231,44 @@ class Graph:
         return np.stack([a[joined], b[joined]], axis=1)
 
 
-def _count(batches):
-    """Partial counts as (table, row, label, n): table 0 to 2 label pairs by kind of edge, 3 labels by shape."""
-    pairs = np.zeros((3, LABELS, LABELS), np.int64)
-    shapes = np.zeros((SHAPES, LABELS), np.int64)
-    for b in batches:
-        g = Graph(b)
-        np.add.at(shapes, (g.bucket.astype(np.int64), g.label.astype(np.int64)), 1)
+class Counts:
+    """Label pairs by kind of edge (tables 0 to 2), and labels by shape (table 3)."""
+
+    def __init__(self):
+        self.pairs = np.zeros((3, LABELS, LABELS), np.int64)
+        self.shapes = np.zeros((SHAPES, LABELS), np.int64)
+
+    def add(self, g: Graph):
+        np.add.at(self.shapes, (g.bucket.astype(np.int64), g.label.astype(np.int64)), 1)
         if len(g.edges):
             x, y = g.label[g.edges[:, 0]].astype(np.int64), g.label[g.edges[:, 1]].astype(np.int64)
-            np.add.at(pairs, (g.kind, x, y), 1)
-            np.add.at(pairs, (g.kind, y, x), 1)  # edges have no direction
-    for table, counts in ((0, pairs[0]), (1, pairs[1]), (2, pairs[2]), (3, shapes)):
-        r, c = np.nonzero(counts)
-        if len(r):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(r), table)), pa.array(r), pa.array(c), pa.array(counts[r, c])], ["t", "r", "c", "n"])
+            np.add.at(self.pairs, (g.kind, x, y), 1)
+            np.add.at(self.pairs, (g.kind, y, x), 1)  # edges have no direction
+
+    def add_rows(self, t, r, c, n):
+        shape_ = t == 3
+        np.add.at(self.shapes, (r[shape_], c[shape_]), n[shape_])
+        np.add.at(self.pairs, (t[~shape_], r[~shape_], c[~shape_]), n[~shape_])
+
+    def rows(self) -> list[np.ndarray]:
+        """Table, row, label and n of what was counted."""
+        out = []
+        for t, counts in enumerate((*self.pairs, self.shapes)):
+            r, c = np.nonzero(counts)
+            out.append((np.full(len(r), t), r, c, counts[r, c]))
+        return [np.concatenate(x) for x in zip(*out)]
+
+
+def _count(batches):
+    """Partial counts as (table, row, label, n)."""
+    counted = Counts()
+    for b in batches:
+        counted.add(Graph(b))
+        done = b.column(b.schema.get_field_index("counts")).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        counted.add_rows(*done.reshape(-1, 4).T)
+    rows = counted.rows()
+    if len(rows[0]):
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], ["t", "r", "c", "n"])
 
 
 def weights(read: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -277,12 +320,25 @@ def beliefs(node: np.ndarray, edges: np.ndarray, pair: np.ndarray) -> np.ndarray
     return total
 
 
+def linked(n: int, edges: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which nodes the edges connect with a wanted one."""
+    root = np.arange(n)
+    while True:
+        a, b = root[edges[:, 0]], root[edges[:, 1]]
+        if (a == b).all():
+            break
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    has = np.zeros(n, bool)
+    has[root[wanted]] = True
+    return has[root]
+
+
 def added(g: Graph, node_weights: np.ndarray, edge_weights: np.ndarray) -> list[tuple[int, int, int, int]]:
     """(document, kind, start, end) of the spans that agreement adds."""
     skip = g.edges[g.kind != CHAIN]
-    free = np.zeros(len(g.doc), bool)
-    free[skip.ravel()] = True
-    free &= g.label == 0
+    free = linked(len(g.doc), skip, g.label > 0) & (g.label == 0)
     if not free.any():
         return []
     node = node_weights[g.bucket].copy()

@@ -82,6 +82,26 @@ def test_agreement_adds_spans_within_a_document_only(make_docs):
     assert p.masked(told, got[100].spans).count("<phone>") == 2
 
 
+def test_every_document_is_counted():
+    texts = ["x@y.zz and 12345678 or 12345678", None, "12345678 again 12345678", "no digits", "2024 2024"]
+    read = list(p._read([pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], ["doc_id", "text"])]))
+    assert [len(x) for x in read[0].column(2).to_pylist()] == [3, 0, 0, 0, 0]
+    got = {(t, r, c): n for b in p._count(read) for t, r, c, n in zip(*(x.to_pylist() for x in b.columns))}
+    bucket = {t[1] - t[0]: t[3] for t in p.tokens("12345678 2024", [])}
+    assert got[3, bucket[8], 0] == 4 and got[3, bucket[4], 0] == 2
+    assert got[1, 0, 0] == 4  # two edges of equal tokens, in both directions
+
+
+def test_only_tokens_linked_to_a_base_token_are_free():
+    text = "x@y.zz said 4111111111111112 and 4111111111111112 and x@y.zz"
+    g = p.Graph(next(p._read([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])])))
+    node = np.zeros((p.SHAPES, p.LABELS))
+    node[:, 3] = 5  # cards, by their shape
+    assert p.added(g, node, np.zeros((3, p.LABELS, p.LABELS))) == []
+    edges = np.array([[0, 1], [3, 2], [1, 2], [5, 6]])
+    assert p.linked(8, edges, np.arange(8) == 3).tolist() == [True] * 4 + [False] * 4
+
+
 def test_base_columns_of_the_query(spark, small):
     from skewlens.llm.queries import QUERIES
 
