@@ -127,6 +127,13 @@ def fit(sizes: np.ndarray, counts: np.ndarray, target: float) -> tuple[int, np.n
                 more = min(int(counts[i] - take[i]), max(0, rest - RESERVE) // int(sizes[i]))
                 take[i] += more
                 rest -= more * int(sizes[i])
+    if rest > MAX_BUDGET:
+        # all that are left are longer than rest - RESERVE, so that at most one fits; shorter ones the knapsack sees
+        fits = np.flatnonzero((take < counts) & (sizes > MAX_BUDGET) & (sizes <= rest))
+        if len(fits):
+            longest = fits[np.argmax(sizes[fits])]
+            take[longest] += 1
+            rest -= int(sizes[longest])
     small = min(rest, MAX_BUDGET)
     return passes, take + closest_subset(sizes, counts - take, small)
 

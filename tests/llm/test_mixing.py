@@ -84,6 +84,12 @@ def test_fit_large_budgets():
         assert (take <= counts).all() and abs(passes * total + (sizes * take).sum() - target * total) <= 1
 
 
+def test_fit_takes_a_long_document_that_nearly_fills_the_rest():
+    sizes, counts = np.array([98_000, 99_000, 100_000]), np.ones(3, np.int64)
+    passes, take = m.fit(sizes, counts, 398_500)
+    assert passes == 1 and take.tolist() == [0, 0, 1]
+
+
 def test_rows_with_all_columns(make_docs):
     rows = docs_of(8, 200, ["a", "b", None]) + [(None, "no id here", "a"), (500, None, "a"), (501, "", "b"), (7, "same same", "b"), (7, "same same", "b")]
     docs = make_docs(rows, extra=("_row", "_key", "_c", "size"))
