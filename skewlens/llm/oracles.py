@@ -88,5 +88,27 @@ WITH w AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
        NOT (short OR repeats) AND NOT rejected AS kept, rejected AS host_rejected, symbols, lines
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
+""",
+    "op11_suffix_dedup": r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), w AS (
+  SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS s FROM d, unnest(range(length(h) // 2 - 49)) AS u(i)
+), f AS (
+  SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING count(*) > 1
+), g AS (
+  SELECT w.doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY w.doc_id ORDER BY i) + 50, true) AS starts
+  FROM w JOIN f USING (s) WHERE w.doc_id > first
+), n AS (
+  SELECT doc_id, i, sum(CAST(starts AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM g
+), s AS (
+  SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM n GROUP BY doc_id, span
+), k AS (
+  SELECT doc_id, h, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM d LEFT JOIN s USING (doc_id)
+)
+SELECT doc_id, any_value(length(h)) // 2 AS n_bytes, CAST(coalesce(sum(b - a), 0) AS BIGINT) AS n_removed, count(a) AS n_spans,
+       sha256(unhex(string_agg(substring(h, 2 * before + 1, 2 * (coalesce(a, length(h) // 2) - before)), '' ORDER BY a)
+                    || substring(any_value(h), 2 * coalesce(max(b), length(any_value(h)) // 2) + 1))) AS kept_sha256
+FROM k GROUP BY doc_id
 """,
 }

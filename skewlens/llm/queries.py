@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skewlens.session import configure
 
-from . import decontaminate, line_dedup, mixing, ordinal, perspectives, pii, quality_rules, simhash, token_files, warc
+from . import decontaminate, line_dedup, mixing, ordinal, perspectives, pii, quality_rules, simhash, suffix_dedup, token_files, warc
 from .oracles import ORACLES  # noqa: F401  (re-exported)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,9 @@ def op10_host_rules(spark, sf):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected",
         "symbols", "lines",
     )
+
+
+@query
+def op11_suffix_dedup(spark, sf):
+    out = suffix_dedup.remove_repeats(_table(spark, sf, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
