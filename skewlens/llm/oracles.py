@@ -110,5 +110,40 @@ SELECT doc_id, any_value(length(h)) // 2 AS n_bytes, CAST(coalesce(sum(b - a), 0
        sha256(unhex(string_agg(substring(h, 2 * before + 1, 2 * (coalesce(a, length(h) // 2) - before)), '' ORDER BY a)
                     || substring(any_value(h), 2 * coalesce(max(b), length(any_value(h)) // 2) + 1))) AS kept_sha256
 FROM k GROUP BY doc_id
+""",
+    "op13_phrases": r"""
+WITH t AS (
+  SELECT coalesce(lang, 'und') AS lang, doc_id,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t
+), g AS (
+  SELECT lang, unnest(w) AS phrase, 1 AS k FROM w
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM w
+  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), 3 FROM w
+), f AS (
+  SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL
+), n AS (
+  SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), c AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10
+), s AS (
+  SELECT lang, k, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS rest
+  FROM c, unnest(range(1, k)) AS u(cut)
+), v AS (
+  SELECT s.lang, s.phrase, a, cut, x.f AS l, y.f AS r,
+         CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM s JOIN f x ON s.lang = x.lang AND s.head = x.phrase JOIN f y ON s.lang = y.lang AND s.rest = y.phrase
+), b AS (
+  SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
+), o AS (
+  SELECT lang, phrase, max(a) AS longest FROM (
+    SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM c WHERE k = 3) GROUP BY ALL
+), m AS (
+  SELECT b.lang, b.phrase, a, l, r, score, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, encode(b.phrase)) AS rank
+  FROM b LEFT JOIN o ON b.lang = o.lang AND b.phrase = o.phrase WHERE longest IS NULL OR 100 * longest < 50 * a
+)
+SELECT m.lang, rank, phrase, a, l, r, n, score FROM m JOIN n USING (lang) WHERE rank <= 2000
 """,
 }

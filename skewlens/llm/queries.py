@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skewlens.session import configure
 
-from . import decontaminate, line_dedup, mixing, ordinal, perspectives, pii, quality_rules, simhash, suffix_dedup, token_files, warc
+from . import (
+    decontaminate, line_dedup, mixing, ordinal, perspectives, phrases, pii, quality_rules, simhash, spelling, suffix_dedup, token_files, warc,
+)
 from .oracles import ORACLES  # noqa: F401  (re-exported)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -89,3 +91,13 @@ def op10_host_rules(spark, sf):
 def op11_suffix_dedup(spark, sf):
     out = suffix_dedup.remove_repeats(_table(spark, sf, "documents"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query
+def op12_spelling(spark, sf):
+    return spelling.spelling_variants(_table(spark, sf, "documents"))
+
+
+@query
+def op13_phrases(spark, sf):
+    return phrases.mine_phrases(_table(spark, sf, "documents"))
