@@ -90,13 +90,13 @@ def unpacked(raw: bytes, width: int) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def pieces(block: int, bucket: np.ndarray, keys: np.ndarray, ids: np.ndarray | None, buckets: int):
-    """One row per bucket of strings sorted by (bucket, key)."""
+def pieces(block: int, bucket: np.ndarray, keys: np.ndarray, ids: np.ndarray | None, buckets: int, shift: int | None = None):
+    """One row per bucket of strings sorted by (bucket, key); the bucket is that part of the key from bit ``shift``, if given."""
     bounds = np.searchsorted(bucket, np.arange(buckets + 1))
     rows = []
     for k in np.flatnonzero(np.diff(bounds)):
         own = slice(bounds[k], bounds[k + 1])
-        raw, width = packed(np.diff(keys[own], prepend=np.uint64(0)))
+        raw, width = packed(np.diff(keys[own], prepend=np.uint64(0 if shift is None else int(k) << shift)))
         base, more, wide = 0, b"", 0
         if ids is not None:
             base = int(ids[own].min())
@@ -150,6 +150,7 @@ class Block:
 
     def __init__(self, block: int, ids: bytes, lengths: bytes, body: bytes, answers, length: int, buckets: int, key_bits: int):
         self.block, self.length, self.buckets, self.key_bits = block, length, buckets, key_bits
+        self.shift = key_bits - buckets.bit_length() + 1  # of the bucket in the key of a cover string
         self.v, residues = cover(length)
         self.ids, self.lengths = np.frombuffer(ids, "<i8"), np.frombuffer(lengths, "<i8")
         self.body = zstandard.ZstdDecompressor().decompress(body, max_output_size=max(1, int(self.lengths.sum())))
@@ -185,7 +186,7 @@ class Block:
         doc = self.doc[at][order]  # in order of place, as the sort is stable
         ends = np.r_[starts[1:], len(doc)][:len(starts)] - 1
         keys = keys[starts]
-        return at, order, np.cumsum(first) - 1, (keys >> np.uint64(self.key_bits - self.buckets.bit_length() + 1)).astype(np.int64), keys, doc[starts] != doc[ends]
+        return at, order, np.cumsum(first) - 1, (keys >> np.uint64(self.shift)).astype(np.int64), keys, doc[starts] != doc[ends]
 
     def suffixes(self):
         """(places in order, rank of each, bucket, key and smallest doc_id of each rank)."""
@@ -238,7 +239,7 @@ def _each(step, length: int, buckets: int, key_bits: int):
 
 def _send_cover(block: Block):
     *_, bucket, keys, _ = block.cover_strings()
-    if rows := pieces(block.block, bucket, keys, None, block.buckets):
+    if rows := pieces(block.block, bucket, keys, None, block.buckets, block.shift):
         yield batch_of(rows, PIECES)
 
 
