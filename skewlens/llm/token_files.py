@@ -11,23 +11,24 @@ Tasks write straight to a folder that all executors reach, through the file
 system its address names, under a name of their own that is renamed at the end:
 a task that runs twice leaves the same file. The driver sees two numbers per part.
 
-Words, and the parts that new words consist of, are encoded once per worker and
-looked up after that; the pre-tokenizer never joins text across white space, nor
-letters with digits or marks, so the ids are those of the whole text. A text that
-holds one of the tokenizer's special strings is encoded whole.
+The pre-tokenizer never joins text across white space, nor letters with digits or
+marks, so texts are cut there first, many at once on their bytes. Each piece is
+encoded by the tokenizer once per worker and found by a 64-bit image after that, in
+flat tables of bounded size; the ids are those of the whole text. A text that holds
+one of the tokenizer's special strings is encoded whole.
 
 Defined cases. A null text is empty and has the end id only. Documents with a
-null doc_id come last and are written with the largest signed id; those with
-equal ids follow the order of their texts. An empty table gives an empty set.
+null doc_id come last and are written with the largest signed id, and each part is
+returned with their number; those with equal ids follow the order of their texts. An empty table gives an empty set.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import uuid
 import zlib
-from itertools import chain, repeat
+from itertools import chain
 from urllib.parse import urlparse
 
 import numpy as np
@@ -39,17 +40,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from skewlens.session import shared_folder
 
 from .common import column, partitions
+from .phrases import word_images
 
 END_ID = 1
 LAST = (1 << 63) - 1
-CACHED_WORDS = 400_000
-CACHED_PIECES = 400_000
-# Words of ASCII marks but ' (which may start a contraction) and Latin-1 letters fall into the pre-tokenizer's
-# own parts where letters, digits and marks meet, and lower case does not change them otherwise.
-PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-PIECE = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
-LONG_WORD = 64
-SEPARATORS = re.compile("[\x1c-\x1f]")
+CHUNK = 2 << 20       # bytes of text encoded at once
+PART_BYTES = 128 << 20  # of text in a file, at most some of these
+CACHED_PIECES = 1 << 20  # in each of the two generations of a worker's table
+
+# Bytes of plain words: ASCII marks but ' (which may start a contraction), letters and digits, and Latin-1 letters, whose
+# first byte is always the same. The pre-tokenizer parts such words where letters, digits and marks meet.
+_SPACE, _LETTER, _DIGIT, _MARK = range(4)
+_KIND = np.full(256, _MARK, np.uint8)
+_KIND[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KIND[np.r_[48:58]] = _DIGIT
+_KIND[np.r_[65:91, 97:123, 128:192, 195]] = _LETTER
+_ODD = np.ones(256, bool)
+_ODD[np.r_[9:14, 32:39, 40:127, 128:192, 195]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+# Far apart: a seed is crossed with the length of the piece.
+_PLAIN_SEED, _ODD_SEED = np.uint64(0x6A09E667F3BCC908), np.uint64(0xBB67AE8584CAA73B)
+# Byte-level models name a byte beyond ASCII that prints in Latin-1 by its own character, others by those from 256 on, in order.
+_BYTE_NAMES = {b: 256 + 34 + b - 128 for b in range(128, 161)} | {173: 256 + 67}
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -61,93 +74,167 @@ def default_tokenizer() -> str:
 
 
 class Table:
-    """Strings with their ids, looked up by number; emptied when it has grown to its size."""
+    """64-bit images of pieces with their ids: open addressing in flat arrays, 20 bytes a piece and its ids."""
 
     def __init__(self, dtype: str, size: int):
-        self.dtype, self.size = dtype, size
-        self.clear()
-
-    def clear(self):
-        self.number: dict[str, int] = {}
-        self.ids, self.starts = np.empty(0, self.dtype), np.zeros(1, np.int64)
+        bits = (2 * size - 1).bit_length()
+        self.size, self.shift, self.mask = size, np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.numbers = np.zeros(1 << bits, np.uint64), np.empty(1 << bits, np.int32)
+        self.ids, self.starts = np.empty(0, dtype), np.zeros(1, np.int64)
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where it is not held."""
+        out, at, slot = np.full(len(keys), -1, np.int64), np.arange(len(keys)), (keys >> self.shift).astype(np.int64)
+        while len(at):
+            held = self.keys[slot]
+            hit = held == keys
+            out[at[hit]] = self.numbers[slot[hit]]
+            go = ~hit & (held != 0)
+            at, keys, slot = at[go], keys[go], (slot[go] + 1) & self.mask
+        return out
 
-    def add(self, strings: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        self.number.update(zip(strings, range(len(self.number), len(self.number) + len(strings))))
+    def add(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """New keys, each once, with their ids."""
+        numbers, slot = np.arange(len(self), len(self) + len(keys), dtype=np.int32), (keys >> self.shift).astype(np.int64)
         self.ids = np.concatenate([self.ids, ids])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
-
-    def numbers(self, strings: list[str], learn) -> np.ndarray:
-        """The number of each string; ``learn`` adds those that are new."""
-        if len(self.number) > self.size:
-            self.clear()
-        out = np.fromiter(map(self.number.get, strings, repeat(-1)), np.int64, len(strings))
-        if len(at := np.flatnonzero(out < 0)):
-            missed = [strings[i] for i in at]
-            new = list(set(missed))
-            for i in range(0, len(new), 50_000):
-                learn(new[i:i + 50_000])
-            out[at] = np.fromiter(map(self.number.__getitem__, missed), np.int64, len(missed))
-        return out
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            own = free[first]
+            self.keys[slot[own]], self.numbers[slot[own]] = keys[own], numbers[own]
+            left = np.ones(len(keys), bool)
+            left[own] = False
+            keys, numbers, slot = keys[left], numbers[left], (slot[left] + 1) & self.mask
 
     def look_up(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all, where each one's end)."""
+        """(ids of all, how many each has)."""
         lengths = self.starts[numbers + 1] - self.starts[numbers]
         ends = np.cumsum(lengths)
         n = int(ends[-1]) if len(ends) else 0
-        return self.ids[np.arange(n) + np.repeat(self.starts[numbers] - (ends - lengths), lengths)], ends
+        return self.ids[np.arange(n) + np.repeat(self.starts[numbers] - (ends - lengths), lengths)], lengths
 
 
 class Encoder:
-    """Whole texts to ids through two bounded tables: of words, and of the pieces that new words consist of."""
+    """Whole texts to ids through the pieces that the pre-tokenizer makes of them, each encoded once and kept.
+
+    The table has two generations: when the newer is full, the older goes, and pieces that
+    are met again move to the new one. A word with a byte that is not plain is a piece as it is.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, size: int = CACHED_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [str(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [str(t.content).encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
-        self.words, self.pieces = Table(self.dtype, CACHED_WORDS), Table(self.dtype, CACHED_PIECES)
+        shape = json.loads(self.tokenizer.to_str())
+        last = ((shape["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[-1]
+        # Plain pieces are in normal form and need no further cuts: the model takes their bytes as they are.
+        self.straight = last.get("type") == "ByteLevel" and not last.get("use_regex") and not last.get("add_prefix_space")
+        self.model = self.tokenizer.model
+        self.size = size
+        self.young, self.old = Table(self.dtype, size), Table(self.dtype, 1)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype)
 
-    def learn_pieces(self, pieces: list[str]) -> None:
-        enc = self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
-        counts = np.bincount(np.array(enc.word_ids, np.int64), minlength=len(pieces))
-        self.pieces.add(pieces, np.array(enc.ids, self.dtype), counts)
-
-    def learn_words(self, words: list[str]) -> None:
-        """Plain words from their pieces, others from the tokenizer as they are."""
-        plain, pieces_of = PLAIN.fullmatch, PIECE.findall
-        split = [pieces_of(w.lower()) if plain(w) else [w] for w in words]
-        ids, ends = self.pieces.look_up(self.pieces.numbers(list(chain.from_iterable(split)), self.learn_pieces))
-        bounds = np.r_[0, ends][np.cumsum([len(pieces) for pieces in split])]
-        self.words.add(words, ids, np.diff(np.r_[0, bounds]))
-
-    def encode_many(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def learn(self, keys: np.ndarray, strings, room: int) -> None:
+        """Ids of new pieces, from the older generation or the tokenizer; ``strings`` gives the bytes of those at given places.
+
+        A new generation holds ``room`` pieces at least.
+        """
+        if len(self.young) + len(keys) > self.size:
+            self.old, self.young = self.young, Table(self.dtype, max(self.size, room))
+        known = self.old.find(keys)
+        again = known >= 0
+        if again.any():
+            self.young.add(keys[again], *self.old.look_up(known[again]))
+        at = np.flatnonzero(~again)
+        for i in range(0, len(at), 20_000):
+            part = at[i:i + 20_000]
+            texts, plain = strings(part)
+            if self.straight:
+                tokenize = self.model.tokenize
+                named = [x.decode() if x.isascii() else x.decode("latin-1").translate(_BYTE_NAMES) for x, p in zip(texts, plain) if p]
+                own = [[t.id for t in tokenize(x)] for x in named]
+                self.young.add(keys[part[plain]], np.array(list(chain.from_iterable(own)), self.dtype), np.array([len(x) for x in own], np.int64))
+                part, texts = part[~plain], [x for x, p in zip(texts, plain) if not p]
+            enc = self.tokenizer.encode([x.decode() for x in texts], is_pretokenized=True, add_special_tokens=False)
+            counts = np.bincount(np.array(enc.word_ids, np.int64), minlength=len(part))
+            self.young.add(keys[part], np.array(enc.ids, self.dtype), counts)
+
+    def pieces(self, texts: list[bytes]):
+        """(images of the pieces of all texts, text of each, function that gives their bytes and whether they are plain)."""
+        raw = b" ".join(texts) + b" " * 8
+        chars = np.frombuffer(raw, np.uint8)
+        kind = _KIND[chars]
+        inside = kind != _SPACE
+        turns = np.flatnonzero(np.diff(inside, prepend=False)).reshape(-1, 2)  # the end is a blank: words are closed
+        first = np.flatnonzero(chars == 0xC3) + 1
+        second = chars[first]
+        odd = _ODD[chars]
+        odd[first[(second == 0x97) | (second == 0xB7)]] = True  # the signs for times and divided
+        upto = np.r_[0, np.cumsum(odd, dtype=np.int32)]
+        apart = turns[upto[turns[:, 1]] > upto[turns[:, 0]]]  # words that are not plain
+        begins = inside & ((np.diff(kind, prepend=np.uint8(_SPACE)) != 0) | (kind == _DIGIT))
+        if len(apart):
+            edges = np.zeros(len(chars) + 1, np.int8)
+            edges[apart[:, 0]] = 1
+            edges[apart[:, 1]] = -1
+            begins &= ~(np.cumsum(edges[:-1], dtype=np.int8) > 0)
+            begins[apart[:, 0]] = True
+        starts = np.flatnonzero(begins)
+        ends = np.flatnonzero(inside & np.r_[begins[1:] | ~inside[1:], True]) + 1
+        low = _LOWER[chars]
+        low[first[(second >= 0x80) & (second <= 0x9E) & (second != 0x97)]] += 32
+        low, lengths = low.tobytes(), ends - starts
+        keys = word_images(low, starts, lengths, np.full(len(starts), _PLAIN_SEED))
+        unlike = np.zeros(len(starts), bool)
+        unlike[np.searchsorted(starts, apart[:, 0])] = True
+        own = np.flatnonzero(unlike)
+        keys[own] = word_images(raw, starts[own], lengths[own], np.full(len(own), _ODD_SEED))
+        keys[keys == 0] = 1
+        text = np.searchsorted(np.cumsum([0] + [len(t) + 1 for t in texts]), starts, "right") - 1
+
+        def spelled(at):
+            return [(raw if u else low)[s:e] for u, s, e in zip(unlike[at].tolist(), starts[at].tolist(), ends[at].tolist())], ~unlike[at]
+
+        return keys, text, spelled
+
+    def encode_many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, number of ids per text) with the end id after each text."""
-        split, apart = [], {}
-        for i, t in enumerate(texts):
-            if any(s in t for s in self.special):
-                apart[i], words = self.whole(t), []
-            else:
-                # str.split also cuts at the four separators, which the pre-tokenizer takes for text
-                words = [x.decode() for x in t.encode().split()] if SEPARATORS.search(t) else t.split()
-                if words and max(map(len, words)) > LONG_WORD:
-                    apart[i], words = self.whole(t), []
-            split.append(words)
-        flat = list(chain.from_iterable(split))
-        ids, ends = self.words.look_up(self.words.numbers(flat, self.learn_words))
-        bounds = np.cumsum([0] + [len(w) for w in split])
-        upto = np.r_[0, ends][bounds]
-        out, counts = [], np.empty(len(texts), np.int64)
-        end = np.array([END_ID], self.dtype)
-        for i in range(len(texts)):
-            own = apart[i] if i in apart else ids[upto[i]:upto[i + 1]]
-            out += [own, end]
-            counts[i] = len(own) + 1
-        return np.concatenate(out) if out else np.empty(0, self.dtype), counts
+        special = {i: self.whole(t.decode()) for i, t in enumerate(texts) if any(s in t for s in self.special)}
+        keys, text, spelled = self.pieces([b"" if i in special else t for i, t in enumerate(texts)])
+        numbers = self.young.find(keys)
+        if (numbers < 0).any():
+            missed = np.flatnonzero(numbers < 0)
+            new, place = np.unique(keys[missed], return_index=True)
+            before = self.young
+            self.learn(new, lambda at: spelled(missed[place[at]]), len(keys))
+            if self.young is not before:  # a new generation: what it lacks of these texts moves over
+                lost = np.flatnonzero(self.young.find(keys) < 0)
+                back, place = np.unique(keys[lost], return_index=True)
+                self.young.add(back, *self.old.look_up(self.old.find(back)))
+            numbers = self.young.find(keys)
+        ids, lengths = self.young.look_up(numbers)
+        counts = np.bincount(text, lengths, len(texts)).astype(np.int64) + 1
+        if special:
+            own = np.split(ids, np.cumsum(counts - 1)[:-1])
+            own = [special.get(i, x) for i, x in enumerate(own)]
+            counts = np.array([len(x) + 1 for x in own])
+            ids = np.concatenate(own)
+        ends = np.cumsum(counts) - 1
+        out = np.empty(len(ids) + len(texts), self.dtype)
+        out[ends] = END_ID
+        body = np.ones(len(out), bool)
+        body[ends] = False
+        out[body] = ids
+        return out, counts
 
 
 def encoder(path: str) -> Encoder:
@@ -166,6 +253,22 @@ def open_folder(address: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), os.path.abspath(address)
 
 
+def chunks(batches):
+    """(doc_ids, texts as bytes) of some ``CHUNK`` bytes."""
+    ids, texts, size = [], [], 0
+    for batch in batches:
+        raw = batch.column(1).cast(pa.large_string()).cast(pa.large_binary())
+        for doc_id, text in zip(batch.column(0).to_pylist(), raw):
+            ids.append(doc_id)
+            texts.append(text.as_py() or b"")
+            size += len(texts[-1])
+            if size >= CHUNK:
+                yield ids, texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield ids, texts
+
+
 def _write(folder: str, tokenizer: str):
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -174,38 +277,40 @@ def _write(folder: str, tokenizer: str):
         names = [f"{root}/{kind}-{part:06d}.bin" for kind in ("ids", "offsets", "docs")]
         own = [f"{root}/_{kind}-{part:06d}-{mark}" for kind in ("ids", "offsets", "docs")]
         fs.create_dir(root, recursive=True)
-        total = docs = 0
+        total = docs = nulls = 0
         with fs.open_output_stream(own[0]) as a, fs.open_output_stream(own[1]) as b, fs.open_output_stream(own[2]) as c:
-            for batch in batches:
-                for i in range(0, batch.num_rows, 256):
-                    piece = batch.slice(i, 256)
-                    ids, counts = enc.encode_many([t or "" for t in piece.column(1).to_pylist()])
-                    a.write(ids.tobytes())
-                    b.write((total + np.cumsum(counts) - counts).astype("<u8").tobytes())
-                    c.write(piece.column(0).fill_null(LAST).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
-                    total += int(counts.sum())
-                    docs += piece.num_rows
+            for doc_ids, texts in chunks(batches):
+                ids, counts = enc.encode_many(texts)
+                a.write(ids.tobytes())
+                b.write((total + np.cumsum(counts) - counts).astype("<u8").tobytes())
+                c.write(np.array([LAST if i is None else i for i in doc_ids], "<i8").tobytes())
+                total += int(counts.sum())
+                docs += len(texts)
+                nulls += doc_ids.count(None)
             b.write(np.array([total], "<u8").tobytes())
         for x, y in zip(own, names):
             fs.move(x, y)
-        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([docs], pa.int64()), pa.array([total], pa.int64())], ["part", "docs", "ids"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([part], pa.int32())] + [pa.array([x], pa.int64()) for x in (docs, total, nulls)], ["part", "docs", "ids", "nulls"])
 
     return run
 
 
-def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, int, int]]:
-    """Write ``docs`` to ``folder`` and return (base, documents, ids) for each part, in order."""
+def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, int, int, int]]:
+    """Write ``docs`` to ``folder`` and return (base, documents, ids, documents without doc_id) for each part, in order."""
     spark = docs.sparkSession
     d = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
-    n = max(1, partitions(spark))
+    size = d.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, partitions(spark), size // PART_BYTES)
     order = F.col("doc_id").asc_nulls_last()
-    ranged = d.repartitionByRange(n, order).sortWithinPartitions(order, "text")
-    rows = ranged.mapInArrow(_write(folder, tokenizer or default_tokenizer()), "part int, docs bigint, ids bigint").collect()
+    # rows that share an id, or have none, are dealt by the start of their text
+    ranged = d.repartitionByRange(n, order, F.substring("text", 1, 64)).sortWithinPartitions(order, "text")
+    rows = ranged.mapInArrow(_write(folder, tokenizer or default_tokenizer()), "part int, docs bigint, ids bigint, nulls bigint").collect()
     out, base = [], 0
-    sizes = {r[0]: (r[1], r[2]) for r in rows}
+    sizes = {r[0]: tuple(r)[1:] for r in rows}
     for p in range(max(sizes, default=-1) + 1):
-        docs_here, ids_here = sizes.get(p, (0, 0))
-        out.append((base, docs_here, ids_here))
+        docs_here, ids_here, nulls = sizes.get(p, (0, 0, 0))
+        out.append((base, docs_here, ids_here, nulls))
         base += ids_here
     return out
 
@@ -224,16 +329,17 @@ def mapped(folder: str, part: int, dtype: str):
     return arrays
 
 
-def _read(folder: str, bases: list[int], dtype: str, with_ids: bool):
+def _read(folder: str, parts: list[tuple[int, int, int, int]], dtype: str, with_ids: bool):
     def run(batches):
         for b in batches:
             for part in b.column(0).to_pylist():
                 ids, offsets, docs = mapped(folder, part, dtype)
+                base, nulls = parts[part][0], np.arange(len(docs)) >= len(docs) - parts[part][3]  # they come last
                 for i in range(0, len(docs), 1024):
                     at = offsets[i:i + 1025].astype(np.int64)
                     own = [ids[s:e] for s, e in zip(at[:-1], at[1:])]
                     columns = [
-                        pa.array(np.array(docs[i:i + 1024], np.int64)), pa.array(at[:-1] + bases[part]), pa.array(np.diff(at)),
+                        pa.array(np.array(docs[i:i + 1024], np.int64), mask=nulls[i:i + 1024]), pa.array(at[:-1] + base), pa.array(np.diff(at)),
                         pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in own], pa.int64()),
                     ]
                     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
@@ -245,14 +351,13 @@ def _read(folder: str, bases: list[int], dtype: str, with_ids: bool):
     return run
 
 
-def read_tokens(spark: SparkSession, folder: str, parts: list[tuple[int, int, int]], tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+def read_tokens(spark: SparkSession, folder: str, parts: list[tuple[int, int, int, int]], tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 (and ids) of every document, from the files; one task per part."""
     dtype = encoder(tokenizer or default_tokenizer()).dtype
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
     if not parts:
         return spark.createDataFrame([], schema)
-    rows = spark.range(0, len(parts), 1, len(parts)).mapInArrow(_read(folder, [p[0] for p in parts], dtype, with_ids), schema)
-    return rows.withColumn("doc_id", F.when(F.col("doc_id") != LAST, F.col("doc_id")))
+    return spark.range(0, len(parts), 1, len(parts)).mapInArrow(_read(folder, parts, dtype, with_ids), schema)
 
 
 def token_files(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

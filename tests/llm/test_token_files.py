@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -19,13 +20,41 @@ def test_cached_words_equal_whole_texts(small):
     texts = TEXTS + [r.text for r in small.limit(40).collect()]
     enc = f.Encoder(f.default_tokenizer())
     for _ in range(2):  # cold and warm
-        ids, counts = enc.encode_many([t or "" for t in texts])
+        ids, counts = enc.encode_many([(t or "").encode() for t in texts])
         own = np.split(ids, np.cumsum(counts)[:-1])
         assert [x.tolist() for x in own] == [encoded(t) for t in texts]
 
 
+def test_random_texts_and_full_tables(small):
+    r = random.Random(4)
+    marks = [*"abzABZ019 .,'-\t\n\r\x0b\x0c\x1c\x00\x7f", "é", "É", "ß", "ÿ", "×", "÷", "à", "\u0301", "\xa0", "\x85", "\u2009", "İ", "Σ", "中", "😀", "'s", "'LL"]
+    texts = ["".join(r.choice(marks) for _ in range(r.randrange(40))) for _ in range(600)] + [t or "" for t in TEXTS]
+    want = [encoded(t) for t in texts]
+    for size in (1, 40, 1 << 20):
+        enc = f.Encoder(f.default_tokenizer(), size)
+        for _ in range(2):
+            got = []
+            for i in range(0, len(texts), 25):
+                ids, counts = enc.encode_many([t.encode() for t in texts[i:i + 25]])
+                got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+            assert got == want
+
+
+def test_table_finds_what_it_holds():
+    rng = np.random.default_rng(1)
+    table = f.Table("<u2", 500)
+    keys = np.unique(np.r_[rng.integers(1, 1 << 64, 300, np.uint64), np.arange(1, 150, dtype=np.uint64)])  # small ones share a slot
+    counts = rng.integers(0, 4, len(keys))
+    ids = rng.integers(0, 1 << 16, counts.sum()).astype("<u2")
+    table.add(keys[:200], ids[:counts[:200].sum()], counts[:200])
+    table.add(keys[200:], ids[counts[:200].sum():], counts[200:])
+    assert (table.find(keys) == np.arange(len(keys))).all() and (table.find(np.array([7_000, 8_000], np.uint64)) == -1).all()
+    got, lengths = table.look_up(np.arange(len(keys)))
+    assert (got == ids).all() and (lengths == counts).all()
+
+
 def test_round_trip(spark, make_docs, tmp_path):
-    rows = [(i * 7 % 15, t) for i, t in enumerate(TEXTS)] + [(None, "last one"), (3, "same id"), (3, "same id")]
+    rows = [(i * 7 % 15, t) for i, t in enumerate(TEXTS)] + [(None, "last one"), (3, "same id"), (3, "same id"), (f.LAST, "the largest id")]
     folder = f"file://{tmp_path}/tokens"
     parts = f.write_tokens(make_docs(rows, extra=("part", "ids")), folder)
     got = f.read_tokens(spark, folder, parts, with_ids=True).collect()
