@@ -1,10 +1,10 @@
 """Phrase mining with weighted acyclic automata.
 
 Every task builds, for each range of first words, the minimal acyclic automaton of
-the phrases it has seen, incrementally from the sorted phrases: a path spells a
-language and up to three words, and the weight of the state it ends in is the
-count. Automata of one range meet in one task, which reads their paths in order,
-sums equal ones and builds the union the same way. A candidate's first part is a
+the phrases it has seen, from the sorted phrases, registering each state when its
+continuations are: a path spells a language and up to three words, and the weight of
+the state it ends in is the count. Automata of one range meet in one task, which reads
+their paths in order, sums equal ones and builds the union the same way. A candidate's first part is a
 state on its own path; its rest is looked up by composing the sorted requests
 with the union automaton of the range that the rest starts in.
 
@@ -24,7 +24,6 @@ Only the two named columns are read.
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,7 +39,7 @@ TOP = 2000
 SHADOWED = 50  # per cent of a phrase's count that a longer one must reach to drop it
 MAX_WORDS = 3
 CHUNK = 2 << 20  # bytes of text at a time
-HELD = 1 << 21  # phrases a task holds before it sends them
+HELD = 1 << 20  # phrases a task holds before it sends them
 MAX_CELLS = 1 << 28
 PER_RANGE = 16 << 20  # bytes of text for each range of first words
 UNKNOWN = "und"
@@ -56,88 +55,151 @@ _LOWER[65:91] += 32
 # --- automata ----------------------------------------------------------------
 
 class Automaton:
-    """A minimal acyclic automaton: states with a weight and labelled arcs, in label order; the last state is the root."""
+    """A minimal acyclic automaton with weighted states, in flat arrays.
 
-    def __init__(self, states: list[tuple[int, tuple]]):
-        self.states = states
+    Arcs of a state lie together in the order of their labels; ``labels`` are in ascending
+    order, and the last state is the root. No two states but the root are equal in
+    weight and arcs.
+    """
+
+    def __init__(self, labels: list[str], weight: np.ndarray, first: np.ndarray, label: np.ndarray, target: np.ndarray):
+        self.labels, self.weight, self.first, self.label, self.target = labels, weight, first, label, target
+
+    @classmethod
+    def from_table(cls, labels: list[str], ids: np.ndarray, weights: np.ndarray) -> "Automaton":
+        """From sorted distinct paths, a row each: numbers of labels, -1 beyond the end.
+
+        States are registered from the ends of the paths to the root: those of a level are
+        prefixes of one length, whose arcs lead to states that are registered already.
+        """
+        n, depth = ids.shape
+        length = (ids >= 0).sum(axis=1)
+        changed = np.ones((n, depth), bool)
+        changed[1:] = np.logical_or.accumulate(ids[1:] != ids[:-1], axis=1)
+        ends: dict[int, int] = {}  # states without arcs, by weight
+        known: dict[tuple, int] = {}
+        weight, sizes, label, target, count = [], [], [], [], 0
+        below, state_below = np.empty(0, np.int64), np.empty(0, np.int32)
+        for d in range(depth, -1, -1):
+            starts = np.flatnonzero(changed[:, d - 1] & (length >= d)) if d else np.zeros(1, np.int64)
+            own = np.where(length[starts] == d, weights[starts], 0) if n else np.zeros(1, np.int64)
+            arcs_label, arcs_target = ids[below, d].astype(np.int32) if d < depth else np.empty(0, np.int32), state_below
+            arcs = np.bincount(np.searchsorted(starts, below, "right") - 1, minlength=len(starts)) if len(below) else np.zeros(len(starts), np.int64)
+            upto = np.r_[0, np.cumsum(arcs)]
+            state = np.empty(len(starts), np.int32)
+            end = np.flatnonzero(arcs == 0) if d else np.empty(0, np.int64)
+            values, place = np.unique(own[end], return_inverse=True)
+            for v in values.tolist():
+                if v not in ends:
+                    ends[v], count = count, count + 1
+                    weight.append(v)
+                    sizes.append(0)
+            state[end] = np.array([ends[v] for v in values.tolist()], np.int32)[place]
+            for i in (np.flatnonzero(arcs) if d else np.zeros(1, np.int64)).tolist():
+                x, y, w = upto[i], upto[i + 1], int(own[i])
+                key = (w, arcs_label[x:y].tobytes(), arcs_target[x:y].tobytes())
+                found = known.get(key) if d else None
+                if found is None:
+                    found, known[key], count = count, count, count + 1
+                    weight.append(w)
+                    sizes.append(int(y - x))
+                    label.append(arcs_label[x:y])
+                    target.append(arcs_target[x:y])
+                state[i] = found
+            below, state_below = starts, state
+        none = [np.empty(0, np.int32)]
+        return cls(labels, np.array(weight, np.int64), np.r_[0, np.cumsum(sizes)], np.concatenate(label or none), np.concatenate(target or none))
 
     @classmethod
     def build(cls, items: Iterable[tuple[tuple[str, ...], int]]) -> "Automaton":
         """From (path, weight) in ascending order; weights of equal paths are summed."""
-        states, known = [], {}
-        path, weights, arcs = [], [0], [[]]  # the open states, root first
-
-        def close(depth):
-            while len(path) > depth:
-                key = (weights.pop(), tuple(arcs.pop()))
-                state = known.get(key)
-                if state is None:
-                    state = known[key] = len(states)
-                    states.append(key)
-                arcs[-1].append((path.pop(), state))
-
-        for labels, weight in items:
-            depth = 0
-            for a, b in zip(path, labels):
-                if a != b:
-                    break
-                depth += 1
-            close(depth)
-            for label in labels[depth:]:
-                path.append(label)
-                weights.append(0)
-                arcs.append([])
-            weights[-1] += weight
-        close(0)
-        states.append((weights[0], tuple(arcs[0])))
-        return cls(states)
+        paths, weights = [], []
+        for path, w in items:
+            if paths and paths[-1] == path:
+                weights[-1] += w
+            else:
+                paths.append(path)
+                weights.append(w)
+        labels = sorted({x for path in paths for x in path})
+        number = {x: i for i, x in enumerate(labels)}
+        ids = np.full((len(paths), max(map(len, paths), default=0)), -1, np.int32)
+        for i, path in enumerate(paths):
+            ids[i, :len(path)] = [number[x] for x in path]
+        return cls.from_table(labels, ids, np.array(weights, np.int64))
 
     @classmethod
     def union(cls, automata: list["Automaton"]) -> "Automaton":
         """The automaton of all paths, with the sums of their weights."""
-        return cls.build(heapq.merge(*(a.paths() for a in automata)))
+        labels = sorted(set().union(*(a.labels for a in automata)))
+        number = {x: i for i, x in enumerate(labels)}
+        tables = []
+        for a in automata:
+            ids, weights = a.table()
+            own = np.array([number[x] for x in a.labels] + [-1], np.int32)
+            tables.append((own[ids], weights[np.arange(len(ids)), (ids >= 0).sum(axis=1)]))
+        depth = max(ids.shape[1] for ids, _ in tables)
+        ids = np.concatenate([np.pad(ids, ((0, 0), (0, depth - ids.shape[1])), constant_values=-1) for ids, _ in tables])
+        return cls.from_table(labels, *table_of(ids, np.concatenate([w for _, w in tables])))
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """All paths with a weight, in ascending order, and the weights of the states on each, root first."""
+        state, ids, weights = np.array([len(self.weight) - 1]), np.empty((1, 0), np.int32), self.weight[-1:].reshape(1, 1)
+        levels = []
+        while len(state):
+            kept = weights[:, -1] > 0
+            levels.append((ids[kept], weights[kept]))
+            size = self.first[state + 1] - self.first[state]
+            ends = np.cumsum(size)
+            arc = np.arange(size.sum()) + np.repeat(self.first[state] - (ends - size), size)
+            of = np.repeat(np.arange(len(state)), size)
+            state = self.target[arc].astype(np.int64)
+            ids = np.concatenate([ids[of], self.label[arc].reshape(-1, 1)], axis=1)
+            weights = np.concatenate([weights[of], self.weight[state].reshape(-1, 1)], axis=1)
+        depth = max((x.shape[1] for x, _ in levels if len(x)), default=0)
+        levels = [(x, w) for x, w in levels if x.shape[1] <= depth]
+        ids = np.concatenate([np.pad(x, ((0, 0), (0, depth - x.shape[1])), constant_values=-1) for x, _ in levels])
+        weights = np.concatenate([np.pad(w, ((0, 0), (0, depth + 1 - w.shape[1]))) for _, w in levels])
+        order = np.lexsort(ids.T[::-1]) if depth else np.arange(len(ids))
+        return ids[order], weights[order]
 
     def paths(self) -> Iterator[tuple[tuple[str, ...], int]]:
         """All (path, weight) with a weight, in ascending order."""
-        for labels, weights in self.weighted():
-            yield labels, weights[-1]
-
-    def weighted(self) -> Iterator[tuple[tuple[str, ...], tuple[int, ...]]]:
-        """All (path, weights of the states on it)."""
-        stack = [((), (), len(self.states) - 1)]
-        while stack:
-            labels, before, state = stack.pop()
-            weight, arcs = self.states[state]
-            weights = before + (weight,)
-            if weight:
-                yield labels, weights
-            stack += [(labels + (label,), weights, target) for label, target in reversed(arcs)]
+        ids, weights = self.table()
+        for row, w, n in zip(ids.tolist(), weights.tolist(), (ids >= 0).sum(axis=1).tolist()):
+            yield tuple(self.labels[k] for k in row[:n]), w[n]
 
     def compose(self, other: "Automaton") -> Iterator[tuple[tuple[str, ...], int]]:
-        """(path, weight here) for all paths of ``other`` that are paths here."""
-        stack = [((), len(self.states) - 1, len(other.states) - 1)]
-        while stack:
-            labels, mine, its = stack.pop()
-            weight, arcs = self.states[mine]
-            if other.states[its][0] and weight:
-                yield labels, weight
-            if wanted := other.states[its][1]:
-                to = dict(arcs)
-                stack += [(labels + (label,), to[label], target) for label, target in wanted if label in to]
+        """(path, weight here) for all paths of ``other`` that are paths here, level by level."""
+        ids, _ = other.table()
+        number = {x: i for i, x in enumerate(self.labels)}
+        own = np.array([number.get(x, -2) for x in other.labels] + [-1], np.int64)[ids]
+        length = (ids >= 0).sum(axis=1)
+        states = np.repeat(np.arange(len(self.weight)), np.diff(self.first))
+        arcs = states * len(self.labels) + self.label  # in ascending order
+        at, state = np.arange(len(ids)), np.full(len(ids), len(self.weight) - 1)
+        for d in range(ids.shape[1] + 1):
+            for i in at[(length[at] == d) & (self.weight[state] > 0)].tolist():
+                yield tuple(other.labels[k] for k in ids[i, :d]), int(self.weight[state[np.searchsorted(at, i)]])
+            go = length[at] > d
+            at, state = at[go], state[go]
+            if not len(at) or not len(arcs):
+                return
+            wanted = state * len(self.labels) + own[at, d]
+            slot = np.minimum(np.searchsorted(arcs, wanted), len(arcs) - 1)
+            hit = (arcs[slot] == wanted) & (own[at, d] >= 0)
+            at, state = at[hit], self.target[slot[hit]].astype(np.int64)
+
+    @property
+    def states(self) -> list[tuple]:
+        """(weight, ((label, target), ...)) of each state."""
+        arcs = list(zip((self.labels[k] for k in self.label.tolist()), self.target.tolist()))
+        return [(w, tuple(arcs[s:e])) for w, s, e in zip(self.weight.tolist(), self.first[:-1].tolist(), self.first[1:].tolist())]
 
     def to_bytes(self) -> bytes:
-        labels = sorted({label for _, arcs in self.states for label, _ in arcs})
-        number = {label: i for i, label in enumerate(labels)}
-        raw = [label.encode() for label in labels]
-        blocks = [
-            np.array([len(r) for r in raw], np.uint64), np.array([w for w, _ in self.states], np.uint64),
-            np.array([len(a) for _, a in self.states], np.uint64),
-            np.array([number[label] for _, a in self.states for label, _ in a], np.uint64),
-            np.array([target for _, a in self.states for _, target in a], np.uint64),
-        ]
+        raw = [x.encode() for x in self.labels]
         out = []
-        for block in blocks:
-            data, width = packed(block)
+        for block in ([len(r) for r in raw], self.weight, np.diff(self.first), self.label, self.target):
+            data, width = packed(np.asarray(block).astype(np.uint64))
             out += [np.array([len(block), width], "<u8").tobytes(), data]
         return b"".join(out + raw)
 
@@ -146,18 +208,19 @@ class Automaton:
         at, blocks = 0, []
         for _ in range(5):
             n, width = np.frombuffer(data, "<u8", 2, at).tolist()
-            blocks.append(unpacked(data[at + 16:at + 16 + n * width], width).tolist())
+            blocks.append(unpacked(data[at + 16:at + 16 + n * width], width).astype(np.int64))
             at += 16 + n * width
-        labels = []
-        for n in blocks[0]:
-            labels.append(data[at:at + n].decode())
-            at += n
-        arcs = list(zip(map(labels.__getitem__, blocks[3]), blocks[4]))
-        states, at = [], 0
-        for weight, n in zip(blocks[1], blocks[2]):
-            states.append((weight, tuple(arcs[at:at + n])))
-            at += n
-        return cls(states)
+        ends = np.cumsum(blocks[0]) + at
+        labels = [data[e - n:e].decode() for e, n in zip(ends.tolist(), blocks[0].tolist())]
+        return cls(labels, blocks[1], np.r_[0, np.cumsum(blocks[2])], blocks[3].astype(np.int32), blocks[4].astype(np.int32))
+
+
+def table_of(ids: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in ascending order, equal ones as one with the sum of their weights."""
+    order = np.lexsort(ids.T[::-1]) if ids.shape[1] else np.arange(len(ids))
+    ids, weights = ids[order], weights[order]
+    starts = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]).any(axis=1)]) if len(ids) else np.empty(0, np.int64)
+    return ids[starts], np.add.reduceat(weights, starts) if len(starts) else weights
 
 
 # --- words and images --------------------------------------------------------
@@ -170,7 +233,10 @@ def mix(a: np.ndarray, b) -> np.ndarray:
 
 
 def word_images(body: bytes, starts: np.ndarray, lengths: np.ndarray, seeds: np.ndarray) -> np.ndarray:
-    """64-bit images of words of any length, eight bytes at a time; ``body`` ends in eight spare bytes."""
+    """64-bit images of words of any length, eight bytes at a time; ``body`` ends in eight spare bytes.
+
+    Seeds are 64-bit numbers without small differences, since lengths are crossed with them.
+    """
     words = np.ndarray((len(body) - 7,), "<u8", buffer=body, strides=(1,))
     masks = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
     out, at, step = mix(seeds, lengths.astype(np.uint64)), np.arange(len(starts)), 0
@@ -338,25 +404,25 @@ def _automata(bit_map, cells: int, ranges: int):
         counts, lang = (np.concatenate([h[k] for h in held]) for k in (2, 3))
         _, sums, first = summed(images, counts)
         words, lang = words[first], lang[first]
+        labels = sorted(set(texts.values()).union(totals))
+        number = {x: i for i, x in enumerate(labels)}
         names = np.array(sorted(texts), np.uint64)
-        spelled = [texts[int(i)] for i in names]
-        rank = np.empty(len(names), np.int64)
-        rank[np.argsort(np.array(spelled, object), kind="stable")] = np.arange(len(names))
-        in_order = sorted(spelled)
-        ids = np.where(words == 0, -1, rank[np.minimum(np.searchsorted(names, words), len(names) - 1)])
-        part = range_of(words[:, 0])
-        langs = sorted(totals)
-        by_name = np.argsort(np.argsort(np.array(by_number, object)))
-        order = np.lexsort((ids[:, 2], ids[:, 1], ids[:, 0], by_name[lang], part))
-        part, ids, lang, sums = part[order], ids[order].tolist(), lang[order].tolist(), sums[order].tolist()
-        for r, s, e in zip(*edges(part)):
-            yield r, Automaton.build(((by_number[lang[i]], *(in_order[k] for k in ids[i] if k >= 0)), sums[i]) for i in range(s, e))
-        for lang_name in langs:
-            yield int(range_of(np.array([language_image(lang_name)], np.uint64))[0]), Automaton.build([((lang_name,), totals[lang_name])])
-
-    def edges(part):
-        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.empty(0, np.int64)
-        return part[starts].tolist(), starts.tolist(), np.r_[starts[1:], len(part)].tolist()
+        spelled = np.array([number[texts[int(i)]] for i in names] + [-1], np.int32)
+        at = np.where(words == 0, len(names), np.searchsorted(names, words))
+        ids = np.concatenate([np.array([number.get(x, 0) for x in by_number] + [0], np.int32)[lang].reshape(-1, 1), spelled[at]], axis=1)
+        # the number of words of each language is the weight of the state after its label
+        whole = np.full((len(totals), MAX_WORDS + 1), -1, np.int32)
+        whole[:, 0] = [number[x] for x in totals]
+        part = np.r_[range_of(words[:, 0]), range_of(np.array([language_image(x) for x in totals], np.uint64))]
+        ids, sums = np.concatenate([ids, whole]), np.r_[sums, np.array(list(totals.values()), np.int64)]
+        order = np.lexsort((*ids.T[::-1], part))
+        part, ids, sums = part[order], ids[order], sums[order]
+        starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        for s, e in zip(starts.tolist(), np.r_[starts[1:], len(part)].tolist()):
+            used = np.unique(ids[s:e])
+            used = used[used >= 0]
+            own = np.where(ids[s:e] < 0, -1, np.searchsorted(used, ids[s:e])).astype(np.int32)
+            yield int(part[s]), Automaton.from_table([labels[k] for k in used], own, sums[s:e])
 
     by_number: list[str] = []
 
@@ -443,12 +509,18 @@ def _candidates(ranges: int, min_count: int):
         rows = []
         for b in batches:
             for data in b.column(1).to_pylist():
-                for (lang, *words), weights in Automaton.from_bytes(data).weighted():
-                    if not words:
-                        rows.append((lang, "", 0, weights[-1], 0, 0, ""))
-                    elif len(words) > 1 and weights[-1] >= min_count:
-                        phrase = " ".join(words)
-                        rows += [(lang, phrase, len(words), weights[-1], k, weights[k + 1], " ".join(words[k:])) for k in range(1, len(words))]
+                automaton = Automaton.from_bytes(data)
+                ids, weights = automaton.table()
+                words = (ids >= 0).sum(axis=1) - 1
+                own = weights[np.arange(len(ids)), words + 1]
+                labels = automaton.labels
+                for i in np.flatnonzero((words == 0) | (words > 1) & (own >= min_count)).tolist():
+                    lang, *parts = [labels[k] for k in ids[i, :words[i] + 1].tolist()]
+                    if not parts:
+                        rows.append((lang, "", 0, int(own[i]), 0, 0, ""))
+                    else:
+                        phrase, w = " ".join(parts), weights[i].tolist()
+                        rows += [(lang, phrase, len(parts), int(own[i]), k, w[k + 1], " ".join(parts[k:])) for k in range(1, len(parts))]
                     if len(rows) >= 8192:
                         yield batch(rows)
                         rows = []
