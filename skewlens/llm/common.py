@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from skewlens.session import shared_folder
 
@@ -33,6 +35,35 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _sums(batches):
+    """Rows whose last column is a number to the same rows with the sum of that column before them, within the part."""
+    total = 0
+    for b in batches:
+        n = b.column(b.num_columns - 1).to_numpy(zero_copy_only=False)
+        before = np.cumsum(n) - n + total
+        total += int(n.sum())
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(before, pa.int64())], [*b.schema.names, "_inside"])
+
+
+def running_sum(df: DataFrame, value: str, *order, name: str = "before") -> DataFrame:
+    """Rows with the sum of ``value`` (a long) over all rows before them in ``order``, without a task that sees all rows.
+
+    As in :func:`ordered_index`: parts in order add up for themselves, and one number per part reaches the driver.
+    """
+    spark = df.sparkSession
+    rest = [c for c in df.columns if c != value]
+    ranged = df.select(*rest, value).repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order)
+    schema = T.StructType([*ranged.schema.fields, T.StructField("_inside", T.LongType())])
+    kept = stored(ranged.mapInArrow(_sums, schema).withColumn("_part", F.spark_partition_id()), "summed")
+    sizes = {r[0]: r[1] for r in kept.groupBy("_part").agg(F.sum(value)).collect()}
+    bases, total = [], 0
+    for p in range(max(sizes, default=-1) + 1):
+        bases.append(total)
+        total += sizes.get(p, 0)
+    base = F.element_at(F.lit(bases or [0]), F.col("_part") + 1)
+    return kept.withColumn(name, (base + F.col("_inside")).cast("long")).drop("_inside", "_part")
+
+
 def ordered_index(df: DataFrame, *order, name: str = "index") -> DataFrame:
     """Rows with their 0-based position in ``order``, without a task that sees all rows.
 

@@ -12,7 +12,8 @@ samples a few steps of one walk (more of them the more items there are, so that
 chance hits stay rare) and hashes their characters; a window and an item that
 agree there are a candidate. Tables are added, each with a walk of its own, until
 random edits of the items themselves, as many as are allowed, are found with the
-target recall. The first tables look at windows from every start, until each item's
+target recall: 1,000 edited items of a class at least, and as many fresh ones,
+must both say so with 95 % confidence. The first tables look at windows from every start, until each item's
 walk has ended within it once: copies are always found. The others look at every
 third start, and their recall is measured on windows that start beside the edited
 passage as often as on it. A class of item lengths that ``MAX_TABLES`` tables do
@@ -39,6 +40,7 @@ either side gives an empty result. Only the named columns are read.
 
 from __future__ import annotations
 
+import pickle
 import uuid
 
 import numpy as np
@@ -55,7 +57,10 @@ CHANCE = 0.01          # candidates by chance per window and table, at most
 ALPHABET = 12         # characters that texts use about equally often
 TARGET_RECALL = 0.99
 MAX_TABLES = 256      # classes that need more are searched by shared 8-grams, without tables
-TRIALS = 6            # random edits per item in the calibration
+TRIALS = 6            # random edits per item in the calibration,
+LEAST_TRIALS = 1000   # at least so many for a class, however few its items,
+MOST_TRIALS = 20_000  # and at most, which is enough to measure a share
+CONFIDENCE_Z = 1.645  # the target lies below the recall with 95 % confidence
 SEED = 11
 BLOCK_CHARS = 4_000_000
 PIECE_CHARS = 1_000_000  # searched for grams at once
@@ -98,12 +103,16 @@ class Walk:
     """One CGK walk with its sampled steps, for windows of at least ``length`` characters."""
 
     def __init__(self, length: int, number: int, samples: int):
+        self.drawn_by = (length, number, samples)
         rng = np.random.default_rng([SEED, length, number])
         steps = max(samples, int(1.6 * length))  # half the steps move on: four fifths of the window
         self.sampled = np.sort(rng.choice(steps, samples, replace=False))
         self.moves = rng.integers(0, 2, (int(self.sampled[-1]) + 1, 256), dtype=np.uint8).astype(np.intp)
         self.marks = rng.integers(0, 1 << 64, (samples, 256), dtype=np.uint64)
 
+    def __reduce__(self):
+        return Walk, self.drawn_by  # drawn again where it is needed
+
     def hashes(self, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The table's hash of the window at each start; ``chars`` (as indices) must go on beyond the last window."""
         out = np.empty(len(starts), np.uint64)
@@ -150,6 +159,12 @@ def edited(text: str, edits: int, rng) -> str:
     return "".join(out)
 
 
+def surely(hits: np.ndarray) -> float:
+    """The lower end of the confidence interval (Wilson) of a share."""
+    n, p, z = len(hits), hits.mean(), CONFIDENCE_Z
+    return float((p + z * z / (2 * n) - z * np.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n))
+
+
 class LengthClass:
     """The items of one range of lengths, their tables and what a window must hold to be walked."""
 
@@ -161,22 +176,30 @@ class LengthClass:
         self.need = max(1, min(n - GRAM + 1 - GRAM * k for n, k in zip(lengths, edits)))
         rng = np.random.default_rng([SEED, self.low])
         chars, starts = padded(texts, "\0" * 2 * self.high)
-        trials = [(i, edited(t, k, rng)) for i, (t, k) in enumerate(zip(texts, edits)) for _ in range(TRIALS)]
-        of = np.array([i for i, _ in trials])
-        trial_chars, trial_starts = padded(["  " + t for _, t in trials], "".join(chr(97 + x) for x in rng.integers(0, 26, 2 * self.high)))
-        beside = np.arange(len(trials)) % STEP - 1
-        found, copied = np.zeros(len(trials), bool), np.zeros(len(texts), bool)
+        count = 2 * min(MOST_TRIALS, max(LEAST_TRIALS, TRIALS * len(texts)))  # the second half is fresh to the first
+        of = np.arange(count) % len(texts) if len(texts) < count else rng.choice(len(texts), count, replace=False)
+        trials = [edited(texts[i], edits[i], rng) for i in of]
+        trial_chars, trial_starts = padded(["  " + t for t in trials], "".join(chr(97 + x) for x in rng.integers(0, 26, 2 * self.high)))
+        half = rng.permutation(count) < count // 2
+        beside = rng.integers(-1, 2, count)
+        found, copied = np.zeros(count, bool), np.zeros(len(texts), bool)
         self.tables = []
         samples = max(2, int(np.ceil(np.log(len(texts) / CHANCE) / np.log(ALPHABET))))
-        while len(self.tables) < MAX_TABLES and (found.mean() < recall or not copied.all()):
+
+        def short():
+            return min(surely(found[half]), surely(found[~half])) < recall or not copied.all()
+
+        while len(self.tables) < MAX_TABLES and short():
             walk, every = Walk(self.low, len(self.tables), samples), not copied.all()
             hashes = walk.hashes(chars, starts)
             if every:
                 copied |= walk.stays_inside(chars, starts, np.array(lengths))
-            found |= walk.hashes(trial_chars, trial_starts + 2 + (0 if every else beside)) == hashes[of]
+            open_ = np.flatnonzero(~found)
+            at = trial_starts[open_] + 2 + (0 if every else beside[open_])
+            found[open_] = walk.hashes(trial_chars, at) == hashes[of[open_]]
             order = np.argsort(hashes, kind="stable")
             self.tables.append((walk, hashes[order], np.array(numbers)[order], every))
-        self.exact = bool(found.mean() < recall or not copied.all())
+        self.exact = short()
         if self.exact:
             self.tables = []
             self.numbers, self.lengths = np.array(numbers), np.array(lengths)
@@ -227,30 +250,35 @@ def pieces(texts: list[str], most: int = PIECE_CHARS):
         yield first, len(texts)
 
 
+def grouped(items: list[tuple]) -> tuple[list[str], list[list], list[list[int]]]:
+    """(distinct normalised texts in order, the item_ids of each, the texts of each length class)."""
+    ids: dict[str, list] = {}
+    for item_id, text in items:
+        text = normalise(text)
+        if len(text) >= MIN_CHARS:
+            ids.setdefault(text, []).append(item_id)
+    texts = sorted(ids)
+    ranges: dict[int, list[int]] = {}
+    for i, t in enumerate(texts):
+        ranges.setdefault(int(np.log(len(t) / MIN_CHARS) / np.log(RATIO)), []).append(i)
+    return texts, [ids[t] for t in texts], [r for _, r in sorted(ranges.items())]
+
+
 class Index:
     """A block of items: distinct normalised texts, their length classes, and the 8-grams of all."""
 
-    def __init__(self, items: list[tuple], share: float = MAX_EDIT_SHARE, recall: float = TARGET_RECALL):
-        ids: dict[str, list] = {}
-        for item_id, text in items:
-            text = normalise(text)
-            if len(text) >= MIN_CHARS:
-                ids.setdefault(text, []).append(item_id)
-        self.texts = sorted(ids)
-        self.ids = [ids[t] for t in self.texts]
+    def __init__(self, items: list[tuple], share: float = MAX_EDIT_SHARE, recall: float = TARGET_RECALL, classes: list[LengthClass] | None = None):
+        self.texts, self.ids, ranges = grouped(items)
         self.share = share
-        self.gram_sets: dict[int, frozenset] = {}
-        ranges: dict[int, list[int]] = {}
-        for i, t in enumerate(self.texts):
-            ranges.setdefault(int(np.log(len(t) / MIN_CHARS) / np.log(RATIO)), []).append(i)
-        self.classes = [LengthClass([self.texts[i] for i in r], r, share, recall) for _, r in sorted(ranges.items())]
+        self.own_grams: dict[int, np.ndarray] = {}
+        self.classes = classes or [LengthClass([self.texts[i] for i in r], r, share, recall) for r in ranges]
         all_grams = np.unique(np.concatenate([grams(folded(t)) for t in self.texts])) if self.texts else np.empty(0, np.uint64)
         bits = max(16, int(len(all_grams) * 32).bit_length())
         self.shift = np.uint64(64 - bits)
         self.known = np.zeros(1 << bits, np.int8)
         self.known[self.slots(all_grams)] = 1
         self.members = np.zeros(1 << bits, np.uint64)  # bit c: a gram of an item of class c
-        for c, (_, r) in enumerate(sorted(ranges.items())):
+        for c, r in enumerate(ranges):
             own = self.slots(np.concatenate([grams(folded(self.texts[i])) for i in r]))
             self.members[own] |= np.uint64(1 << min(c, 63))
 
@@ -324,8 +352,10 @@ class Index:
             k = allowed(len(pattern), self.share)
             begin = max(0, int(at[s]) - k - STEP)
             stretch = texts[t][begin:int(at[e - 1]) + len(pattern) + 2 * k + STEP]
-            own = self.gram_sets.setdefault(i, frozenset(pattern[j:j + GRAM] for j in range(len(pattern) - GRAM + 1)))
-            kept = sum(stretch[j:j + GRAM] in own for j in range(len(stretch) - GRAM + 1))
+            if i not in self.own_grams:
+                self.own_grams[i] = np.unique(grams(folded(pattern)))
+            own, here = self.own_grams[i], grams(folded(stretch))
+            kept = (own[np.minimum(np.searchsorted(own, here), len(own) - 1)] == here).sum()
             match = kept >= len(pattern) - GRAM + 1 - GRAM * k and best_match(pattern, stretch, k)
             if match:
                 d, x, y = match
@@ -417,17 +447,40 @@ def best_match(pattern: str, text: str, limit: int):
 _INDEXES: dict = {}
 
 
+def _classes(share: float, recall: float):
+    """Rows (number, texts and their places) to (number, the class built and calibrated): a task per class."""
+    def run(batches):
+        for b in batches:
+            for number, payload in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                built = pickle.dumps(LengthClass(*pickle.loads(payload), share, recall))
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([built], pa.binary())], ["number", "built"])
+
+    return run
+
+
 class Block:
-    """A broadcast block of items; every worker builds its index once."""
+    """A block of items whose classes are built once, in a Spark job, and broadcast.
+
+    The tables of a block hold two numbers per item, at most ``MAX_TABLES`` of them: with
+    ``BLOCK_CHARS`` that is their bound. Walks are drawn again by each worker.
+    """
 
     def __init__(self, spark, items: list, share: float, recall: float):
         self.key = uuid.uuid4().hex
-        self.shared = spark.sparkContext.broadcast((items, share, recall))
+        texts, _, ranges = grouped(items)
+        rows = [(n, pickle.dumps(([texts[i] for i in r], r))) for n, r in enumerate(ranges)]
+        classes = []
+        if rows:
+            dealt = spark.createDataFrame(rows, "number int, payload binary").repartition(len(rows), "number")
+            built = dict(dealt.mapInArrow(_classes(share, recall), "number int, built binary").collect())
+            classes = [bytes(built[n]) for n in range(len(rows))]
+        self.shared = spark.sparkContext.broadcast((items, share, recall, classes))
 
     def index(self) -> Index:
         if self.key not in _INDEXES:
             _INDEXES.clear()
-            _INDEXES[self.key] = Index(*self.shared.value)
+            items, share, recall, classes = self.shared.value
+            _INDEXES[self.key] = Index(items, share, recall, [pickle.loads(c) for c in classes])
         return _INDEXES[self.key]
 
 

@@ -9,8 +9,10 @@ with their document; grouping them tells true repeats from chance hits and
 gives each its first document. Pass 3: documents drop their lines on that list.
 
 The filter grows with the lines up to ``MAX_CELLS`` (the twice filter, the only
-one sent to the executors, takes an eighth of that in bytes). Beyond it more
-chance hits are shuffled, and the result stays exact.
+one sent to the executors, takes an eighth of that in bytes). With more lines the
+digests are cut into ranges, and passes 1 and 2 run for one range after another,
+each with a filter of its own. Beyond ``MAX_PASSES`` ranges filters fill up and more
+chance hits are shuffled; the result stays exact.
 
 Defined cases. A null or empty text is one empty line. Rows that share a
 doc_id are one document where repeats are counted, and each keeps its row. A
@@ -34,6 +36,7 @@ CELLS_PER_LINE = 16
 HASHES = 3
 BLOCK = 1 << 16
 MAX_CELLS = 1 << 28
+MAX_PASSES = 16
 LAST = (1 << 63) - 1  # stands for a null doc_id
 
 
@@ -50,13 +53,15 @@ def line_keys(texts: pa.Array):
     return lines, per_text, at, np.frombuffer(raw, dtype=">u8").reshape(-1, 2).astype(np.uint64)
 
 
-def pairs(batch: pa.RecordBatch):
-    """Distinct (doc_id, digest) pairs of a batch."""
+def pairs(batch: pa.RecordBatch, part: int = 0, parts: int = 1):
+    """Distinct (doc_id, digest) pairs of a batch whose digest is in a range of ``parts``."""
     _, per_text, at, digests = line_keys(batch.column(1))
     ids = batch.column(0).fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64)
     ids = np.repeat(ids, per_text)[at]
     rows = np.empty(len(at), dtype=[("id", "i8"), ("hi", "u8"), ("lo", "u8")])
     rows["id"], rows["hi"], rows["lo"] = ids, digests[:, 0], digests[:, 1]
+    if parts > 1:  # by the upper half of the digest's upper word; cells are found by the lower
+        rows = rows[((rows["hi"] >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32) == part]
     return np.unique(rows)
 
 
@@ -66,9 +71,9 @@ def cells_of(rows: np.ndarray, cells: int) -> np.ndarray:
     return (rows["hi"][:, None] + np.arange(HASHES, dtype=np.uint64) * step[:, None]) & np.uint64(cells - 1)
 
 
-def _note(cells: int):
+def _note(cells: int, part: int = 0, parts: int = 1):
     def run(batches):
-        seen = [p for b in batches if b.num_rows for p in [pairs(b)] if len(p)]
+        seen = [p for b in batches if b.num_rows for p in [pairs(b, part, parts)] if len(p)]
         if not seen:
             return
         at, hits = np.unique(cells_of(np.unique(np.concatenate(seen)), cells), return_counts=True)
@@ -109,9 +114,9 @@ def _merge(batches):
         yield closed()
 
 
-def twice_filter(docs: DataFrame, cells: int) -> bytes:
+def twice_filter(docs: DataFrame, cells: int, part: int = 0, parts: int = 1) -> bytes:
     """The bits of the twice filter over (doc_id, text) rows; ``cells`` / 8 bytes."""
-    notes = docs.mapInArrow(_note(cells), "block bigint, once binary, twice binary")
+    notes = docs.mapInArrow(_note(cells, part, parts), "block bigint, once binary, twice binary")
     n = max(1, min(partitions(docs.sparkSession), cells // BLOCK))
     merged = notes.repartition(n, "block").sortWithinPartitions("block").mapInArrow(_merge, "block bigint, bits binary")
     bits = bytearray(cells // 8)
@@ -120,13 +125,13 @@ def twice_filter(docs: DataFrame, cells: int) -> bytes:
     return bytes(bits)
 
 
-def _suspects(filter_bits, cells: int):
+def _suspects(filter_bits, cells: int, part: int = 0, parts: int = 1):
     def run(batches):
         bits = np.frombuffer(filter_bits.value, np.uint8)
         for b in batches:
             if b.num_rows == 0:
                 continue
-            rows = pairs(b)
+            rows = pairs(b, part, parts)
             at = cells_of(rows, cells)
             hit = ((bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(axis=1)
             rows = rows[hit]
@@ -168,14 +173,20 @@ def _plain(rows: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(rows).view("V24")
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_cells: int = MAX_CELLS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_cells: int = MAX_CELLS, max_passes: int = MAX_PASSES) -> DataFrame:
     """doc_id, n_lines, n_dropped, text (the lines that stay): one row per row of ``docs``."""
     spark = docs.sparkSession
     d = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
     n_lines = d.select(F.sum(F.length("text") - F.length(F.replace("text", F.lit("\n"))) + 1)).first()[0] or 1
-    cells = max(BLOCK, min(max_cells, 1 << (int(n_lines) * CELLS_PER_LINE - 1).bit_length()))
-    bits = spark.sparkContext.broadcast(twice_filter(d, cells))
-    suspects = stored(d.mapInArrow(_suspects(bits, cells), "hi bigint, lo bigint, id bigint"), "suspects")
+    wanted = int(n_lines) * CELLS_PER_LINE
+    cells = max(BLOCK, min(max_cells, 1 << (wanted - 1).bit_length()))
+    parts = min(max_passes, -(-wanted // cells))
+    suspects = None
+    for part in range(parts):
+        bits = spark.sparkContext.broadcast(twice_filter(d, cells, part, parts))
+        found = stored(d.mapInArrow(_suspects(bits, cells, part, parts), "hi bigint, lo bigint, id bigint"), "suspects")
+        bits.unpersist()
+        suspects = found if suspects is None else suspects.union(found)
     repeated = suspects.groupBy("hi", "lo").agg(F.min("id").alias("first"), F.max("id").alias("last")).filter("first < last")
     drops = (
         suspects.join(stored(repeated, "repeated"), ["hi", "lo"]).filter("id > first")

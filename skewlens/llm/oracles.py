@@ -43,10 +43,12 @@ WITH t AS (
   FROM r JOIN s ON r.conv_id IS NOT DISTINCT FROM s.conv_id
 ), e AS (
   SELECT *, sum(length(head) + length(body)) OVER (
-    PARTITION BY conv_id, speaker, segment, part ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS stop
+    PARTITION BY conv_id, speaker, segment, part ORDER BY turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS stop,
+    sum(length(head) + length(body)) OVER (
+    PARTITION BY conv_id, speaker ORDER BY segment, part, turn NULLS FIRST, role, text ROWS UNBOUNDED PRECEDING) AS whole
   FROM p
 )
-SELECT conv_id, speaker, segment, part, count(*) AS n_turns, count(*) FILTER (trained) AS n_trained,
+SELECT conv_id, speaker, segment, part, CAST(min(whole - stop) AS BIGINT) AS start, count(*) AS n_turns, count(*) FILTER (trained) AS n_trained,
        string_agg(head || body, '' ORDER BY stop) AS text,
        coalesce(string_agg((stop - length(body)) || ':' || stop, ',' ORDER BY stop) FILTER (trained), '') AS mask
 FROM e GROUP BY conv_id, speaker, segment, part
@@ -83,10 +85,14 @@ WITH w AS (
 ), b AS (
   SELECT rule, mean, CASE WHEN var <= 0 THEN 1e6 ELSE least(1e6, greatest(1.0, mean * (1 - mean) / var - 1)) END AS weight FROM a
 ), v AS (
-  SELECT source, max((bad + mean * weight) / (n + weight)) > 0.5 AS rejected FROM h JOIN b USING (rule) GROUP BY source
+  SELECT source, max((bad + mean * weight) / (n + weight)) > 0.5 AS rejected,
+         max((bad + mean * weight) / (n + weight)) FILTER (rule = 'short') AS r1, max((bad + mean * weight) / (n + weight)) FILTER (rule = 'repeats') AS r2,
+         max((bad + mean * weight) / (n + weight)) FILTER (rule = 'symbols') AS r3, max((bad + mean * weight) / (n + weight)) FILTER (rule = 'lines') AS r4
+  FROM h JOIN b USING (rule) GROUP BY source
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, short OR repeats AS base_failed,
-       NOT (short OR repeats) AND NOT rejected AS kept, rejected AS host_rejected, symbols, lines
+       NOT (short OR repeats) AND NOT rejected AS kept, rejected AS host_rejected, symbols, lines,
+       round(r1, 6) AS short_rate, round(r2, 6) AS repeats_rate, round(r3, 6) AS symbols_rate, round(r4, 6) AS lines_rate
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """,
     "op11_suffix_dedup": r"""

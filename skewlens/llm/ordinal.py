@@ -55,7 +55,7 @@ def word_features(word: str) -> tuple[int, int]:
     core = word.rstrip("!?.,;:#*$%&|<>\"')]}")
     marks = word[len(core):]
     case = "U" if len(core) > 1 and core.isupper() else "t" if core[:1].isupper() else "l" if core.islower() else "n"
-    kind = f"{case}{marks[:1]}{min(len(marks), 3)}{'d' if any(c.isdigit() for c in core[:32]) else ''}{'x' if len(core) > 24 else ''}"
+    kind = f"{case}{marks[:1]}{min(len(marks), 3)}{'d' if any(c.isdigit() for c in core) else ''}{'x' if len(core) > 24 else ''}"
     return xxhash.xxh32_intdigest(core.lower(), SEED) >> (32 - BITS), xxhash.xxh32_intdigest(kind, SEED + 1) >> (32 - BITS)
 
 

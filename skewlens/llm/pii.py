@@ -8,7 +8,8 @@ an @; all other tokens can only be "none" and drop out. A token on a base span
 is held to its kind. Edges join neighbouring tokens of the text (chain), tokens
 with the same content anywhere in the document (skip), and similar ones: equal
 last seven digits, equal part before the @ (skip). The edges of equal tokens run
-from one occurrence to the next, so there are never more edges than tokens.
+from the first occurrence to each other one: there are never more edges than tokens,
+and any two occurrences are two messages apart, however many there are.
 
 Weights, by piecewise training on all documents: a token's potential is the log
 share of each label among tokens of its shape; an edge's potential is the log of
@@ -106,12 +107,12 @@ def _hash(text: str) -> int:
 def shape(core: str) -> str:
     """Letters as a, runs of digits by length up to twenty, other marks as they are."""
     out = []
-    for part in re.findall(r"[0-9]+|[^\W0-9_]+|[\W_]", core[:64]):
+    for part in re.findall(r"[0-9]+|[^\W0-9_]+|[\W_]", core):
         if part[0] in "0123456789":
             out.append(f"d{min(len(part), 20)}")
         else:
             out.append("a" if part[0].isalpha() else part)
-    return "".join(out[:16])
+    return "".join(out)
 
 
 def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
@@ -150,7 +151,7 @@ def tokens(text: str, spans: list[tuple[int, int, int]]) -> list[tuple]:
             similar = _hash("#" + digits[-TAIL_DIGITS:]) if len(digits) >= TAIL_DIGITS else 0
         elif len(body) >= MIN_KEY_CHARS:
             key, similar = _hash(body.lower()), _hash("@" + body.lower())
-        follows = bool(out) and text[before:start].strip(" \t\n\x0b\x0c\r") == "" if before >= 0 and start - before <= 8 else False
+        follows = bool(out) and text[before:start].strip(" \t\n\x0b\x0c\r") == "" if before >= 0 else False
         out.append((a, b, label, xxhash.xxh32_intdigest(shape(body)) % SHAPES, key, similar, follows))
         at = before = end
     return out
@@ -221,14 +222,14 @@ class Graph:
         self.kind = np.concatenate([np.full(len(e), k) for e, k in edges])
 
     def _runs(self, key: np.ndarray) -> np.ndarray:
-        """Edges from each token to the next one of its document with the same key."""
+        """Edges from the first token of a document with some key to each other one."""
         at = np.flatnonzero(key != 0)
         order = at[np.lexsort((at, key[at], self.doc[at]))]
         if len(order) < 2:
             return np.empty((0, 2), np.int64)
-        a, b = order[:-1], order[1:]
-        joined = (key[a] == key[b]) & (self.doc[a] == self.doc[b])
-        return np.stack([a[joined], b[joined]], axis=1)
+        new = np.r_[True, (key[order[1:]] != key[order[:-1]]) | (self.doc[order[1:]] != self.doc[order[:-1]])]
+        first = order[np.flatnonzero(new)][np.cumsum(new) - 1]
+        return np.stack([first, order], axis=1)[~new]
 
 
 class Counts:

@@ -83,7 +83,7 @@ def op10_host_rules(spark, sf):
     out = quality_rules.quality_rules(_table(spark, sf, "documents"))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected",
-        "symbols", "lines",
+        "symbols", "lines", *[F.round(f"{r}_rate", 6).alias(f"{r}_rate") for r in quality_rules.RULES],
     )
 
 

@@ -2,7 +2,8 @@
 
 Every response gives two records that name it in WARC-Refers-To and keep its
 target address, date and payload digest: ``metadata`` (application/warc-fields:
-title, language, the source's HTTP status and type, and its links) and
+title, language, the source's HTTP status, every line of its HTTP head as ``http-…``
+and every WARC header without a column as ``source-…``, and its links) and
 ``conversion`` (text/plain: the page without markup). Record ids are computed from
 the record, so that a task that runs twice writes the same; digests are SHA-1 in
 base 32. Records are built where the response lies; nothing is shuffled.
@@ -30,7 +31,7 @@ import uuid
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import column
 from .token_files import open_folder
@@ -111,14 +112,26 @@ def field(value) -> str:
     return " ".join(str(value).split())
 
 
-FIELDS = ["key", "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block_digest", "content_length", "block"]
+FIELDS = ["key", "record_type", "record_id", "refers_to", "target_uri", "date", "content_type", "payload_digest", "block_digest", "content_length", "block", "headers"]
 RECORD = pa.schema([(f, pa.int64() if f in ("key", "content_length") else pa.binary() if f == "block" else pa.string()) for f in FIELDS])
 RECORD_SQL = ", ".join(f"{f} {'bigint' if f in ('key', 'content_length') else 'binary' if f == 'block' else 'string'}" for f in FIELDS)
 
 
 def record(key, kind: str, refers_to, uri: str, date: str, content_type: str, payload_digest, block: bytes) -> tuple:
     own = digest(block)
-    return key, kind, record_id(kind, key, uri, date, refers_to, own), refers_to, uri, date, content_type, payload_digest, own, len(block), block
+    return key, kind, record_id(kind, key, uri, date, refers_to, own), refers_to, uri, date, content_type, payload_digest, own, len(block), block, None
+
+
+def header_lines(head: str) -> list[tuple[str, str]]:
+    """(name, value) of the lines of a head; a line that starts with a blank goes on with the one before."""
+    out: list[tuple[str, str]] = []
+    for line in head.split("\r\n"):
+        if line[:1] in (" ", "\t") and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
+        elif line:
+            name, _, value = line.partition(":")
+            out.append((name.strip(), value.strip()))
+    return out
 
 
 def response(key, uri: str, page: str, date: str = DATE) -> tuple:
@@ -130,13 +143,14 @@ def response(key, uri: str, page: str, date: str = DATE) -> tuple:
 
 def derived(source: tuple) -> list[tuple]:
     """The metadata and the conversion record of a response."""
-    key, _, source_id, _, uri, date, _, payload_digest, _, _, block = source
+    key, _, source_id, _, uri, date, _, payload_digest, _, _, block, more = source
     head, _, body = block.partition(b"\r\n\r\n")
-    status, *lines = head.decode("latin-1").split("\r\n")
-    headers = {n.strip().lower(): v.strip() for n, _, v in (x.partition(":") for x in lines)}
+    status, _, head = head.decode("latin-1").partition("\r\n")
     title, lang, links, text = parse(body.decode("utf-8", "replace"))
-    facts = [("title", title), ("language", lang), ("http-status", status), ("http-content-type", headers.get("content-type", "")),
-             ("http-content-length", headers.get("content-length", "")), ("source-payload-digest", payload_digest or "")]
+    facts = [("title", title), ("language", lang), ("http-status", status)]
+    facts += [("http-" + "-".join(n.lower().split()), v) for n, v in header_lines(head)]
+    facts += [("source-payload-digest", payload_digest or "")]
+    facts += [("source-" + "-".join(n.lower().split()), v) for n, v in header_lines(more or "")]
     facts += [("outlink", x) for x in links]
     meta = "".join(f"{n}: {field(v)}\r\n" for n, v in facts).encode("utf-8", "replace")
     return [
@@ -169,9 +183,16 @@ def responses(pages: DataFrame, key_col: str = "page_id", uri_col: str = "url",
     return pages.select(column(pages, key_col).cast("long"), column(pages, uri_col), column(pages, html_col)).mapInArrow(_responses, RECORD_SQL)
 
 
+def _whole(records: DataFrame) -> DataFrame:
+    """The columns of a record; ``headers`` may be missing."""
+    if "headers" not in records.columns:
+        records = records.withColumn("headers", F.lit(None).cast("string"))
+    return records.select(*FIELDS)
+
+
 def derive(records: DataFrame) -> DataFrame:
     """A metadata and a conversion record for every response among ``records``; other records are passed over."""
-    return records.select(*FIELDS).mapInArrow(_derived, RECORD_SQL)
+    return _whole(records).mapInArrow(_derived, RECORD_SQL)
 
 
 # --- files -------------------------------------------------------------------
@@ -179,12 +200,14 @@ def derive(records: DataFrame) -> DataFrame:
 HEADERS = [("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Target-URI", "target_uri"),
            ("WARC-Date", "date"), ("Content-Type", "content_type"), ("WARC-Payload-Digest", "payload_digest"), ("WARC-Block-Digest", "block_digest"),
            ("X-Key", "key"), ("Content-Length", "content_length")]
+COLUMN_OF = {n.lower(): f for n, f in HEADERS}  # all other headers of a record are kept as lines, in the column ``headers``
 
 
 def packed(row: tuple) -> bytes:
     """A record as a gzip member."""
     values = dict(zip(FIELDS, row))
     head = "".join(f"{n}: {values[f]}\r\n" for n, f in HEADERS if values[f] is not None)
+    head += "".join(f"{n}: {field(v)}\r\n" for n, v in header_lines(values["headers"] or ""))
     return gzip.compress(b"WARC/1.1\r\n" + head.encode("utf-8", "replace") + b"\r\n" + values["block"] + b"\r\n\r\n", mtime=0)
 
 
@@ -194,12 +217,18 @@ def unpacked(stream):
     while line := f.readline():
         if not line.strip():
             continue
-        headers = {}
+        lines = []
         while (line := f.readline().rstrip(b"\r\n")):
-            n, _, v = line.decode("utf-8", "replace").partition(":")
-            headers[n.lower()] = v.strip()
+            lines.append(line.decode("utf-8", "replace"))
+        headers, more = {}, []
+        for n, v in header_lines("\r\n".join(lines)):
+            if n.lower() in COLUMN_OF:
+                headers[n.lower()] = v
+            else:
+                more.append(f"{n}: {v}")
         block = f.read(int(headers.get("content-length", 0)))
-        values = {field_: headers.get(n.lower()) for n, field_ in HEADERS} | {"block": block, "content_length": len(block)}
+        values = {field_: headers.get(n) for n, field_ in COLUMN_OF.items()} | {"block": block, "content_length": len(block)}
+        values["headers"] = "\r\n".join(more) or None
         values["key"] = int(values["key"]) if values["key"] is not None else None
         yield tuple(values[x] for x in FIELDS)
 
@@ -223,7 +252,7 @@ def _write(folder: str):
 
 def write_warc(records: DataFrame, folder: str) -> list[str]:
     """One file per part of ``records`` in a folder all executors reach; their names."""
-    return [r[0] for r in records.select(*FIELDS).mapInArrow(_write(folder), "file string, n bigint").collect()]
+    return [r[0] for r in _whole(records).mapInArrow(_write(folder), "file string, n bigint").collect()]
 
 
 def _read(folder: str, names: list[str]):

@@ -62,6 +62,36 @@ def test_recall_on_edited_passages_and_no_false_rows():
     assert not [t for t in found if t >= 150]
 
 
+def test_recall_of_classes_with_one_item():
+    """The promise holds for each class, however few its items, on edits that the calibration has not seen."""
+    rnd, rng, hits = random.Random(12), np.random.default_rng(12), []
+    for length in (45, 80, 150, 300):
+        for _ in range(3):
+            item = d.normalise(words(rnd, length))[:length].strip()
+            index = d.Index([(1, item)])
+            assert len(index.classes) == 1 and not index.classes[0].exact
+            texts = [d.normalise(f"{words(rnd, 6)} {d.edited(item, d.allowed(len(item)), rng)} {words(rnd, 6)}") for _ in range(200)]
+            found = {t for t, *_ in index.search(texts)}
+            hits.append(len(found) / len(texts))
+    assert min(hits) >= 0.96 and np.mean(hits) >= 0.985, hits
+
+
+def test_confidence_needs_trials():
+    assert d.surely(np.ones(100, bool)) < 0.99 < d.surely(np.ones(1000, bool))
+    assert d.surely(np.arange(1000) >= 10) < 0.99 < d.surely(np.arange(20_000) >= 100)
+
+
+def test_classes_are_built_by_tasks(spark):
+    rnd = random.Random(5)
+    items = [(i, words(rnd, rnd.randrange(8, 60))) for i in range(12)]
+    block = d.Block(spark, items, d.MAX_EDIT_SHARE, 0.9)
+    own, direct = block.index(), d.Index(items, recall=0.9)
+    assert own.texts == direct.texts and [len(c.tables) for c in own.classes] == [len(c.tables) for c in direct.classes]
+    for a, b in zip(own.classes, direct.classes):
+        for (w, h, n, e), (x, i, m, f) in zip(a.tables, b.tables):
+            assert (w.moves == x.moves).all() and (w.marks == x.marks).all() and (h == i).all() and (n == m).all() and e == f
+
+
 def test_classes_that_tables_do_not_bring_to_the_recall_lose_nothing(monkeypatch):
     monkeypatch.setattr(d, "MAX_TABLES", 3)  # as 256 for items of thousands of characters
     rnd, rng = random.Random(3), np.random.default_rng(3)

@@ -59,6 +59,23 @@ def test_twice_filter_holds_every_repeat_and_few_others(make_docs, spark):
     assert len(want) < 1000 + 0.05 * 2000
 
 
+def test_ranges_of_digests_keep_filters_sparse(make_docs, spark):
+    """More lines than a filter is made for: each range has a filter of its own, and few lines are suspected."""
+    rows = [(i, "\n".join(f"line {j} of document {i} alone" for j in range(30)) + f"\nshared by pairs {i // 2}") for i in range(800)]
+    docs, cells, parts = make_docs(rows).select("doc_id", "text"), l.BLOCK, 6
+    found = []
+    for part in range(parts):
+        bits = spark.sparkContext.broadcast(l.twice_filter(docs, cells, part, parts))
+        found += docs.mapInArrow(l._suspects(bits, cells, part, parts), "hi bigint, lo bigint, id bigint").collect()
+    assert len(found) == len(set(found)) and 800 <= len(found) < 800 + 0.05 * 24_000
+    whole = spark.sparkContext.broadcast(l.twice_filter(docs, cells))
+    assert docs.mapInArrow(l._suspects(whole, cells), "hi bigint, lo bigint, id bigint").count() > 3 * len(found)
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows])], ["doc_id", "text"])
+    assert sum(len(l.pairs(batch, i, 6)) for i in range(6)) == len(l.pairs(batch))
+    for passes in (1, 4):
+        assert run(make_docs, rows[:200], max_cells=l.BLOCK // 8, max_passes=passes) == brute(rows[:200])
+
+
 def test_empty_table(make_docs):
     assert run(make_docs, []) == []
 

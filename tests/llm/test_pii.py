@@ -67,6 +67,24 @@ def test_edges_are_linear_in_the_tokens():
     assert len(g.edges) <= 3 * len(g.doc)
 
 
+def test_labels_reach_every_occurrence():
+    """Equal tokens hang on the first one: agreement does not end after a number of rounds."""
+    text = "call +1 (743) 555-3824 now" + " ; 555-3824 or so" * 300
+    g = p.Graph(next(p._read([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], ["doc_id", "text"])])))
+    node, pairs = np.zeros((p.SHAPES, p.LABELS)), np.ones((3, p.LABELS, p.LABELS))
+    pairs[1:] += 200 * np.eye(p.LABELS)
+    _, edge = p.potentials(np.ones((p.SHAPES, p.LABELS)), pairs)
+    got = p.added(g, node, edge)
+    assert len(got) == 300 and {k for _, k, _, _ in got} == {3}
+
+
+def test_whole_shapes_and_wide_gaps():
+    a, b = "1-" * 60 + "1", "1-" * 60 + "1a"
+    assert p.shape(a) != p.shape(b) and len(p.shape("x1" * 100)) > 200
+    near, far = (p.tokens(f"12345{gap}67890", []) for gap in (" ", " " * 5000))
+    assert [t[6] for t in near] == [t[6] for t in far] == [False, True]
+
+
 PHONE = "+1 (310) 555-4510"
 
 

@@ -101,6 +101,25 @@ def test_files_round_trip(spark, tmp_path):
     assert as_set(w.derive(back)) == as_set(w.derive(w.responses(pages)))
 
 
+def test_all_source_headers_are_preserved(spark, tmp_path):
+    head = "HTTP/1.1 203 Odd\r\nServer: x y\r\nContent-Type: text/html\r\nETag: \"a:b\"\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2;\r\n  path=/\r\nX Odd Name: v"
+    block = head.encode() + b"\r\n\r\n<title>t</title>x"
+    more = ["WARC-IP-Address: 10.0.0.1", "WARC-Concurrent-To: <urn:a>", "WARC-Concurrent-To: <urn:b>"]
+    source = (*w.record(5, "response", None, "http://a", w.DATE, "application/http", "sha1:X", block)[:-1], "\r\n".join(more))
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.warc.gz").write_bytes(w.packed(source))
+    read = w.read_warc(spark, str(tmp_path / "in"))
+    assert [tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in read.collect()] == [source]
+    w.write_warc(read, str(tmp_path / "again"))
+    assert w.read_warc(spark, str(tmp_path / "again")).first().headers == "\r\n".join(more)
+    meta = next(bytes(r.block).decode() for r in w.derive(read).collect() if r.record_type == "metadata").split("\r\n")
+    for line in ["http-status: HTTP/1.1 203 Odd", "http-server: x y", "http-content-type: text/html", 'http-etag: "a:b"', "http-set-cookie: a=1",
+                 "http-set-cookie: b=2; path=/", "http-x-odd-name: v", "source-warc-ip-address: 10.0.0.1", "source-warc-concurrent-to: <urn:a>",
+                 "source-warc-concurrent-to: <urn:b>", "source-payload-digest: sha1:X"]:
+        assert line in meta, line
+    assert w.derive(read.drop("headers")).count() == 2
+
+
 def test_empty(spark, tmp_path):
     assert w.derive(w.responses(frame(spark, []))).collect() == []
     (tmp_path / "none").mkdir()
