@@ -10,6 +10,7 @@ from .. import constants as K
 from ..functions.literals import array_of
 from ..functions.numbers import clamped, fixed, shown
 from ..functions.special import f_p_value
+from ..session import stored
 
 BOX = (0.0, 0.25, 0.5, 0.75, 1.0)
 
@@ -56,6 +57,18 @@ def moments(counted: DataFrame, key: str, value: str) -> DataFrame:
     )
 
 
+def raw_moments(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The table of :func:`moments` from rows of any values, one small row per category and task.
+
+    Spark's variance merges partial results without cancellation.
+    """
+    v = F.col(value).cast("double")
+    return df.where(F.col(key).isNotNull()).groupBy(key).agg(
+        F.count(F.lit(1)).alias("rows"), F.count(v).alias("count"), F.avg(v).alias("mean"),
+        (F.var_pop(v) * F.count(v)).alias("squares"), F.min(value).alias("min"), F.max(value).alias("max"),
+    )
+
+
 def day_quantiles(counted: DataFrame, key: str, value: str, probabilities: Sequence[float] = BOX) -> DataFrame:
     """Exact linear-interpolated quantiles per category from counted whole days: one array ``quantiles``.
 
@@ -66,65 +79,122 @@ def day_quantiles(counted: DataFrame, key: str, value: str, probabilities: Seque
     return counted.groupBy(key).agg(F.percentile(value, wanted, F.col("n")).alias("quantiles"))
 
 
-REACH = 0.0005      # of a bracket on either side of its rank, as a share of the rows
-ACCURACY = 20_000   # of the sketch: its ranks are off by a tenth of that reach
-SMALL = 5_000       # categories of up to so many values have one bracket around all of them
+OCTAVE = 1024   # first cells per factor of two
+CELLS = 4096    # cells that a later round cuts a cell into
+SMALL = 5_000   # rows of a cell that are put in order in one go
 SALTS = 64
 
 
-def quantiles(df: DataFrame, key: str, value: str, probabilities: Sequence[float] = BOX) -> DataFrame:
-    """Exact linear-interpolated quantiles per category of any values: one array ``quantiles``.
+def _magnitude(v):
+    """Cells in the order of the values: ``OCTAVE`` to a factor of two, zero alone, then the infinities and NaN."""
+    size = F.floor(F.log2(F.abs(v)) * OCTAVE) + (1075 * OCTAVE)
+    far = 4096 * OCTAVE
+    cell = F.when(F.isnan(v), far + 1).when(F.abs(v) == float("inf"), far).when(v == 0, 0).otherwise(size)
+    return F.when(v < 0, -cell).otherwise(cell).cast("long")
+
 
-    A sketch per category, one pass with bounded memory, gives values that
-    surely lie below and above each wanted rank, however the values are spread.
-    The second pass counts what lies below such a bracket and keeps, folded by
-    value, what lies within: a thousandth of the rows, which is ordered. Rows
-    meet their category's brackets by category and salt, so that a category
-    that holds most rows is spread over many tasks.
+def _chosen(cells: DataFrame, by: Sequence[str], ranks) -> DataFrame:
+    """The cells that hold the wanted ranks: ``_i``, ``_at`` (the rank within the cell), bounds and rows of the cell.
+
+    ``cells`` has one row per cell, so the window runs over cells, never over rows.
     """
-    v = F.col(value).cast("double")
-    raw = df.where(F.col(key).isNotNull()).select(key, (v + F.lit(0.0)).alias("_v")).where("_v is not null")
-    marks = [x for p in probabilities for x in (max(0.0, p - REACH), min(1.0, p + REACH))]
-    total, low, high = F.col("_total"), F.lit(float("-inf")), F.lit(float("inf"))
-    brackets = raw.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_total"), F.percentile_approx("_v", marks, ACCURACY).alias("_m")
-    ).select(key, "_total", F.array(*[
-        F.struct(
-            F.lit(i).alias("i"),
-            F.when((total <= SMALL) | F.lit(p <= REACH), low).otherwise(F.col("_m")[2 * i]).alias("lo"),
-            F.when((total <= SMALL) | F.lit(p >= 1 - REACH), high).otherwise(F.col("_m")[2 * i + 1]).alias("hi"),
-            (F.lit(float(p)) * (total - 1)).alias("place"),
-        ) for i, p in enumerate(probabilities)
-    ]).alias("_b")).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = raw.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
-    # Below a bracket: a null value stands for all. Above: nothing to count.
-    found = F.transform(F.filter("_b", lambda b: F.col("_v") <= b["hi"]), lambda b: F.struct(
-        b["i"].alias("_i"), b["place"].alias("_place"), F.when(F.col("_v") >= b["lo"], F.col("_v")).alias("_at")))
-    held = (
-        salted.join(brackets, [key, "_salt"]).select(key, F.inline(found))
-        .groupBy(key, "_i", "_place", "_at").agg(F.count(F.lit(1)).alias("n"))
-    )
-    by_value = Window.partitionBy(key, "_i").orderBy(F.col("_at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ordered = held.withColumn("_to", F.sum("n").over(by_value)).withColumn("_from", F.col("_to") - F.col("n"))
+    in_order = Window.partitionBy(*by).orderBy("_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = cells.withColumn("_to", F.sum("n").over(in_order)).withColumn("_total", F.sum("n").over(Window.partitionBy(*by)))
+    start = F.col("_to") - F.col("n")
+    inside = F.filter(ranks(placed), lambda r: (r["_rank"] >= start) & (r["_rank"] < F.col("_to")))
+    found = F.transform(inside, lambda r: F.struct(r["_i"].alias("_i"), (r["_rank"] - start).alias("_at")))
+    keys = [k for k in by if k not in ("_i", "_at")]
+    return placed.select(*keys, "_total", "_lo", "_hi", "n", F.inline(found))
 
-    def at(rank):
-        return F.max(F.when((rank >= F.col("_from")) & (rank < F.col("_to")), F.col("_at")))
 
-    first, last = at(F.floor("_place")), at(F.ceil("_place"))
-    part = F.max(F.col("_place") - F.floor("_place"))
-    each = ordered.groupBy(key, "_i").agg((first + (last - first) * part).alias("_value"))
-    in_order = F.array_sort(F.collect_list(F.struct("_i", "_value")))
-    return each.groupBy(key).agg(F.transform(in_order, lambda s: s["_value"]).alias("quantiles"))
+def _counted(rows: DataFrame, by: Sequence[str], n) -> DataFrame:
+    return rows.groupBy(*by, "_cell").agg(n.alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+
+
+def quantiles(
+    df: DataFrame, key: str, value: str, probabilities: Sequence[float] = BOX, small: int = SMALL
+) -> DataFrame:
+    """Exact linear-interpolated quantiles per category of any values: one array ``quantiles``.
+
+    Repeated rank selection. The first round counts rows per cell of magnitude, one
+    pass with one small row per cell and task; each wanted rank lies in one
+    cell, whose least and greatest value are known. Rows inside those cells are kept,
+    folded by value, and counted again in ``CELLS`` equal steps between these
+    values, until a cell holds one value only or at most ``small`` rows, which are
+    put in order. Each round narrows a cell by the factor ``CELLS``, so five end any
+    case; the driver sees one number per round. No task orders more than ``small`` rows.
+
+    The first rounds run when this is called. NaN counts as greater than any number.
+    """
+    v = F.col(value).cast("double") + F.lit(0.0)
+    raw = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_k"), v.alias("_v")).where("_v is not null")
+    places = [float(p) for p in probabilities]
+
+    def wanted(cells):
+        place = [F.lit(p) * (F.col("_total") - 1) for p in places]
+        return F.array(*[
+            F.struct(F.lit(2 * i + j).alias("_i"), step(x).cast("long").alias("_rank"))
+            for i, x in enumerate(place) for j, step in enumerate((F.floor, F.ceil))
+        ])
+
+    first = _counted(raw.withColumn("_cell", _magnitude(F.col("_v"))), ["_k"], F.count(F.lit(1)))
+    open_ = stored(_chosen(first, ["_k"], wanted), "cells")
+    totals = open_.select("_k", "_total").distinct()
+    several = F.col("_lo") < F.col("_hi")
+    known = open_.where(~several).select("_k", "_i", F.col("_lo").alias("_value"))
+    most = open_.where(several).agg(F.max("n")).first()[0]
+    if most is None:
+        return _interpolated(known, open_, places, key)
+
+    # Rows meet their category's cells by category and salt, so that a hot category is spread over many tasks.
+    bounds = F.sort_array(F.collect_list(F.struct("_i", "_at", "_lo", "_hi"))).alias("_b")
+    brackets = open_.where(several).groupBy("_k").agg(bounds).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = raw.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(SALTS)).cast("int"))
+    around = F.filter("_b", lambda b: (F.col("_v") >= b["_lo"]) & (F.col("_v") <= b["_hi"]))
+    held = salted.join(brackets, ["_k", "_salt"]).select("_k", "_v", F.inline(around)).groupBy(
+        "_k", "_i", "_at", "_lo", "_hi", "_v").agg(F.count(F.lit(1)).alias("n"))
+    while most > small:
+        held = stored(held, "held")
+        step = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS)
+        cells = _counted(held.withColumn("_cell", step), ["_k", "_i", "_at"], F.sum("n"))
+        inner = stored(_chosen(cells, ["_k", "_i", "_at"], lambda c: F.array(F.struct(F.col("_i"), F.col("_at").alias("_rank")))).drop(
+            "_total"), "cells")
+        known = known.unionByName(inner.where(~several).select("_k", "_i", F.col("_lo").alias("_value")))
+        most = inner.where(several).agg(F.max("n")).first()[0]
+        if most is None:
+            return _interpolated(known, open_, places, key)
+        narrow = inner.where(several).select("_k", "_i", "_at", "_lo", "_hi")
+        held = held.select("_k", "_i", "_v", "n").join(narrow, ["_k", "_i"]).where("_v >= _lo and _v <= _hi")
+    in_order = F.array_sort(F.collect_list(F.struct("_v", "n")))
+    passed = F.struct(F.lit(0).cast("long").alias("to"), F.lit(None).cast("double").alias("v"))
+    walk = F.aggregate(in_order, passed, lambda a, x: F.struct(
+        (a["to"] + x["n"]).alias("to"),
+        F.when((a["to"] <= F.col("_at")) & (a["to"] + x["n"] > F.col("_at")), x["_v"]).otherwise(a["v"]).alias("v"),
+    ))
+    last = held.groupBy("_k", "_i", "_at").agg(walk["v"].alias("_value")).select("_k", "_i", "_value")
+    return _interpolated(known.unionByName(last), open_, places, key)
+
+
+def _interpolated(values: DataFrame, cells: DataFrame, places: Sequence[float], key: str) -> DataFrame:
+    """One array per category from the two values around each place; the rows of a category come with its cells."""
+    both = values.select("_k", "_i", "_value", F.lit(None).cast("long").alias("_total")).unionByName(
+        cells.select("_k", F.lit(-1).alias("_i"), F.lit(None).cast("double").alias("_value"), "_total"))
+    pairs = F.sort_array(F.collect_list(F.when(F.col("_i") >= 0, F.struct("_i", "_value"))))
+    grouped = both.groupBy("_k").agg(F.max("_total").alias("_total"), pairs.alias("_p"))
+    out = []
+    for i, p in enumerate(places):
+        low, high = (F.get("_p", F.lit(2 * i + j))["_value"] for j in (0, 1))
+        place = F.lit(p) * (F.col("_total") - 1)
+        out.append(F.when(low == high, low).otherwise(low + (high - low) * (place - F.floor(place))))
+    return grouped.select(F.col("_k").alias(key), F.array(*out).alias("quantiles"))
 
 
 #: Columns known to hold whole days.
 WHOLE_DAYS = ("case_age_days",)
 
 
-def _any_quantiles(df: DataFrame, key: str, value: str, probabilities: Sequence[float], whole_days: bool | None) -> DataFrame:
-    if value in WHOLE_DAYS if whole_days is None else whole_days:
-        return day_quantiles(value_counts(df, key, value), key, value, probabilities)
-    return quantiles(df, key, value, probabilities)
+def _days(value: str, whole_days: bool | None) -> bool:
+    return value in WHOLE_DAYS if whole_days is None else whole_days
 
 
 def persistence(
@@ -135,8 +205,9 @@ def persistence(
     ``whole_days=True`` says that ``value`` is a number of days, which takes a
     shorter way; by default only the columns of :data:`WHOLE_DAYS` do.
     """
-    middle = _any_quantiles(df, key, value, (0.5,), whole_days)
-    return _statistics(moments(value_counts(df, key, value), key, value), middle, key)
+    if _days(value, whole_days):
+        return persistence_from_counts(value_counts(df, key, value), key, value)
+    return _statistics(raw_moments(df, key, value), quantiles(df, key, value, (0.5,)), key)
 
 
 def persistence_from_counts(counted: DataFrame, key: str, value: str) -> DataFrame:
@@ -156,7 +227,9 @@ def box_stats(
     df: DataFrame, key: str = "crime_family", value: str = "case_age_days", whole_days: bool | None = None
 ) -> DataFrame:
     """Five-number summary per category (box plot); ``whole_days`` as in :func:`persistence`."""
-    return _box(_any_quantiles(df, key, value, BOX, whole_days), key)
+    if _days(value, whole_days):
+        return box_from_counts(value_counts(df, key, value), key, value)
+    return _box(quantiles(df, key, value), key)
 
 
 def box_from_counts(counted: DataFrame, key: str, value: str) -> DataFrame:
@@ -245,26 +318,21 @@ def anova_from_moments(
 def anova(
     df: DataFrame, key: str = "crime_family", value: str = "case_age_days", confidence: float = K.CONFIDENCE
 ) -> DataFrame:
-    """One-way ANOVA of ``value`` over categories.
-
-    Spark's variance merges partial results without cancellation, so one pass
-    with one small row per category and task is exact enough at any size.
-    """
-    v = F.col(value).cast("double")
-    table = df.where(F.col(key).isNotNull()).groupBy(key).agg(
-        F.count(F.lit(1)).alias("rows"), F.count(v).alias("count"), F.avg(v).alias("mean"),
-        (F.var_pop(v) * F.count(v)).alias("squares"),
-    )
-    return anova_from_moments(table, key, confidence)
+    """One-way ANOVA of ``value`` over categories, in one pass."""
+    return anova_from_moments(raw_moments(df, key, value), key, confidence)
 
 
 def analyze_persistence(
-    df: DataFrame, key: str = "crime_family", value: str = "case_age_days", confidence: float = K.CONFIDENCE
+    df: DataFrame, key: str = "crime_family", value: str = "case_age_days", confidence: float = K.CONFIDENCE,
+    whole_days: bool | None = None,
 ) -> dict[str, DataFrame]:
-    """Statistics per category and the one-row test, both from the same value counts."""
-    counted = value_counts(df, key, value)
-    m = moments(counted, key, value)
+    """Statistics per category and the one-row test; whole days from the same value counts, other values as they are."""
+    if _days(value, whole_days):
+        counted = value_counts(df, key, value)
+        table, middle = moments(counted, key, value), day_quantiles(counted, key, value, (0.5,))
+    else:
+        table, middle = raw_moments(df, key, value), quantiles(df, key, value, (0.5,))
     return {
-        "persistence_by_category": persistence_from_counts(counted, key, value),
-        "test": anova_from_moments(m, key, confidence),
+        "persistence_by_category": _statistics(table, middle, key),
+        "test": anova_from_moments(table, key, confidence),
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -43,3 +43,11 @@ def shared_folder(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
         root = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="skewlens-")
     return f"{root.rstrip('/')}/skewlens-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared folder and read back: cuts the lineage, survives lost executors, has a known size."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

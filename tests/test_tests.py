@@ -175,6 +175,50 @@ def test_quantiles_of_a_heavy_tail_in_a_hot_category(spark):
     assert table._jdf.queryExecution().sparkPlan().toString().count("Join") == 1
 
 
+def test_rank_selection_keeps_every_task_bounded(spark, monkeypatch):
+    """One hot category of continuous values that fills few cells: several rounds, and no task that orders its rows."""
+    n, small = 200_000, 50
+    df = spark.range(n).select(
+        F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("c"), F.col("id") % 7)).alias("k"),
+        (1000 + F.rand(5) * 1e-6 + F.when(F.col("id") % 1000 == 0, -1e6).otherwise(0)).alias("x"))
+    df.write.mode("overwrite").parquet(path := f"{spark.conf.get('spark.checkpoint.dir')}/hot-values")
+    df = spark.read.parquet(path)
+    probabilities, tables, store = (0.0, 0.0004, 0.25, 0.5, 0.75, 1.0), [], per.stored
+    monkeypatch.setattr(per, "stored", lambda t, name: tables.append((name, store(t, name))) or tables[-1][1])
+    table = per.quantiles(df, "k", "x", probabilities, small=small)
+    values = {}
+    for k, x in df.collect():
+        values.setdefault(k, []).append(x)
+    got = {r.k: r.quantiles for r in table.collect()}
+    assert got == {k: pytest.approx(list(np.percentile(v, [100 * p for p in probabilities])), rel=1e-14) for k, v in values.items()}
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "percentile" not in plan
+    # each round narrows the cells; what meets in one place for the last step is one cell, of at most `small` rows
+    most = [t.where("_lo < _hi").agg(F.max("n")).first()[0] for name, t in tables if name == "cells"]
+    assert len(most) >= 2 and most == sorted(most, reverse=True) and most[0] > n / 2 and most[-1] <= small
+
+
+def test_rank_selection_of_odd_values(spark):
+    inf, nan = float("inf"), float("nan")
+    values = {"a": [0.0, -0.0, 1e-310, -1e-310, 5e-324, -5e-324], "b": [-inf, -1e308, 1e308, inf], "c": [1.0, nan], "d": [3.0], "e": [2.0, 2.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs] + [("f", None), (None, 1.0)], "k string, x double")
+    got = {r.k: r.quantiles for r in per.quantiles(df, "k", "x", (0.0, 0.2, 1.0), small=1).collect()}
+    assert got["a"] == [-1e-310, -5e-324, 1e-310] and got["b"][0] == -inf and got["b"][2] == inf
+    assert got["c"][0] == 1.0 and math.isnan(got["c"][2]) and got["d"] == [3.0] * 3 and got["e"] == [2.0] * 3
+    assert set(got) == set("abcde")
+    assert per.quantiles(df.limit(0), "k", "x").collect() == []
+
+
+def test_statistics_of_any_values_read_them_once(spark):
+    df = spark.createDataFrame([("a", 1.5), ("a", 2.5), ("b", None)] * 3, "k string, x double")
+    tables = per.analyze_persistence(df, "k", "x")
+    row = {r.k: r for r in tables["persistence_by_category"].collect()}["a"]
+    assert (row["count"], row["mean"], row["median"], row["min"], row["max"]) == (6, 2.0, 2.0, 1.5, 2.5)
+    for table in tables.values():
+        plan = table._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile(" not in plan and ", x#" not in plan.split("Aggregate [")[-1].split("]")[0]  # grouped by category alone
+
+
 def test_default_way_of_an_unknown_column_is_the_general_one(spark):
     df = spark.createDataFrame([("a", 1.5), ("a", 2.5)], "k string, x double")
     assert per.box_stats(df, "k", "x").first().asDict() == {"k": "a", "min": 1.5, "q1": 1.75, "median": 2.0, "q3": 2.25, "max": 2.5}
