@@ -35,6 +35,36 @@ def test_latest_per_key_of_a_hot_key(spark):
     assert "Window" not in plan and "partial_max_by" in plan
 
 
+def test_newest_rows_equal_those_of_the_general_way(spark):
+    df = _rows(spark)
+    more = [("hot", "tie", datetime(2020, 1, 28), i % 3) for i in range(50)] + [("void", t, None, 1) for t in ("x", "y", "y")]
+    df = df.unionByName(spark.createDataFrame(more, df.schema)).withColumn("day", F.to_date("publication_date"))
+    df = df.withColumn("ntz", F.col("publication_date").cast("timestamp_ntz")).withColumn("text", F.col("publication_date").cast("string"))
+
+    def found(rows):
+        return sorted(map(tuple, rows.collect()), key=str)
+
+    for order in ("publication_date", "day", "ntz", "case_age_days", "text"):
+        want = found(qual.latest_per_key(df, order=order))
+        for parts in (1, 7):
+            got = qual.newest_rows(df.repartition(parts), order=order)
+            assert [r[0] for r in found(got)] == [r[0] for r in want]
+            best = {r.uid: r[order] for r in got.collect() if r.uid}
+            assert best == {r.uid: r[order] for r in qual.latest_per_key(df, order=order).collect() if r.uid}
+    one, seven = (found(qual.newest_rows(df.repartition(n), order="publication_date")) for n in (1, 7))
+    assert one == seven and len([r for r in one if r[0] is None]) == 5
+
+
+def test_newest_rows_fold_fixed_widths(spark):
+    got = qual.newest_rows(_rows(spark), order="publication_date")
+    got.collect()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    for no in ("SortAggregate", "ObjectHashAggregate", "Window", "max_by", "Scan ExistingRDD"):
+        assert no not in plan, no
+    assert "partial_max(_rank" in plan
+    assert qual.newest_rows(_rows(spark).limit(0), order="publication_date").collect() == []
+
+
 def test_duplicates_and_completeness(spark):
     df = spark.createDataFrame([("a", None), ("a", None), ("a", "null"), ("b", "x"), ("b", "x"), ("b", "x")], "p string, q string")
     row = qual.quality_metrics(df).first()
