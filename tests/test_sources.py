@@ -1,6 +1,7 @@
 """Landed pages, baseline folders, stored tables, CSV and JSON files."""
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
 import pytest
@@ -13,6 +14,7 @@ from skewlens.operators import features as feat
 from skewlens.operators import results as res
 from skewlens.sources import baseline as src_baseline
 from skewlens.sources import files, notices as src_notices
+from skewlens.sources.commits import CommitLog
 from skewlens.sources.tables import TableStore
 
 AT = datetime(2023, 12, 1)
@@ -83,6 +85,139 @@ def test_store(spark, sf):
     assert ids.n == ids.d == 2 * R.baseline(spark, sf).count()
 
 
+def _few(spark, uids, year=2020):
+    rows = [(u, f"title {u}", year) for u in uids]
+    return spark.createDataFrame(rows, "uid string, title string, publication_year int")
+
+
+def test_competing_saves_store_a_uid_once(spark):
+    root = shared_folder(spark)
+    stores = [TableStore(spark, root) for _ in range(4)]
+    stores[0].create_tables()
+
+    def save(i):
+        try:
+            stores[i % 4].save_wanted(_few(spark, ["same", f"own{i}"]), known="skip" if i % 2 else "refuse")
+            return "saved"
+        except ValueError as e:
+            return str(e)
+
+    with ThreadPoolExecutor(6) as pool:
+        said = list(pool.map(save, range(6)))
+    uids = [r.uid for r in stores[1].load_wanted().collect()]
+    assert uids.count("same") == 1 and len(uids) == len(set(uids))
+    assert {"own1", "own3", "own5"} <= set(uids) and said[1::2] == ["saved"] * 3
+    for i in (0, 2, 4):
+        assert (said[i] == "saved") == (f"own{i}" in uids) and (said[i] == "saved" or "stored already" in said[i])
+
+
+def test_a_save_between_test_and_commit_is_seen(spark, monkeypatch):
+    """The writer that loses the race for a number tests what has been committed meanwhile."""
+    root = shared_folder(spark)
+    ours, theirs = TableStore(spark, root), TableStore(spark, root)
+    ours.create_tables()
+    first = CommitLog.try_commit
+
+    def late(log, version, manifest):
+        monkeypatch.setattr(CommitLog, "try_commit", first)
+        theirs.save_wanted(_few(spark, ["a", "b"]))
+        return first(log, version, manifest)
+
+    monkeypatch.setattr(CommitLog, "try_commit", late)
+    with pytest.raises(ValueError, match="stored already"):
+        ours.save_wanted(_few(spark, ["b", "c"]))
+    monkeypatch.setattr(CommitLog, "try_commit", late)
+    theirs, both = TableStore(spark, root), _few(spark, ["c", "d"])
+    monkeypatch.setattr(theirs, "save_wanted", lambda _: TableStore(spark, root).save_wanted(_few(spark, ["c"])))
+    ours.save_wanted(both, known="skip")
+    assert sorted(r.uid for r in ours.load_wanted().collect()) == ["a", "b", "c", "d"]
+
+
+def test_refused_and_failed_saves_leave_the_table(spark):
+    store = TableStore(spark, shared_folder(spark))
+    with pytest.raises(ValueError, match="not been created"):
+        store.load_wanted()
+    store.save_wanted(_few(spark, ["a"]))
+    for bad in (["a", "x"], ["y", "y"], [None]):
+        with pytest.raises(ValueError):
+            store.save_wanted(_few(spark, bad))
+    broken = _few(spark, ["z"]).withColumn("title", F.raise_error(F.lit("no title")).cast("string"))
+    with pytest.raises(Exception, match="no title"):
+        store.save_wanted(broken)
+    assert [r.uid for r in store.load_wanted().collect()] == ["a"]
+    with pytest.raises(ValueError, match="if_exists"):
+        store.save_wanted(_few(spark, ["q"]), "upsert")
+    store.save_wanted(_few(spark, []))
+    store.save_wanted(_few(spark, ["a"]), known="skip")
+    store.save_wanted(_few(spark, ["b"]), "replace")
+    assert [r.uid for r in store.load_wanted().collect()] == ["b"]
+
+
+def test_a_save_derives_its_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    store, df = TableStore(spark, shared_folder(spark)), _few(spark, [f"u{i}" for i in range(40)])
+    store.save_wanted(df.mapInArrow(count, df.schema))
+    assert seen.value == 40
+    store.save_wanted(_few(spark, ["u1", "v"]).mapInArrow(count, df.schema), known="skip")
+    assert seen.value == 42 and store.load_wanted().count() == 41
+
+
+def test_an_append_reads_its_own_key_buckets(spark):
+    store = TableStore(spark, shared_folder(spark))
+    store.save_wanted(_few(spark, [f"u{i}" for i in range(2000)]))
+    batch = store._live(store._log("wanted_persons").entries())
+    index = store._index(store._stage(_few(spark, ["u7"]), "wanted_persons"))
+    buckets = [r.bucket for r in index.collect()]
+    known = store._known(index, buckets, batch)
+    assert [r.uid for r in known.collect()] == ["u7"]
+    there = store._keys(batch).where(F.col("bucket").isin(buckets))
+    assert 1 <= len(there.inputFiles()) and there.count() < 2000 / store.KEY_BUCKETS * 3
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def _rows_scanned(df):
+    """Rows that the scans hand on: those of the row groups and pages that the filters could not rule out."""
+    df.collect()
+    leaves = df._jdf.queryExecution().executedPlan().collectLeaves()
+    return sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size()))
+
+
+def test_loads_by_key_skip_row_groups(spark, monkeypatch):
+    monkeypatch.setattr(TableStore, "ROW_GROUP_BYTES", 1 << 14)
+    store, n = TableStore(spark, shared_folder(spark)), 40_000
+    rows = spark.range(n).select(
+        F.md5(F.col("id").cast("string")).alias("uid"), F.lit(2020).alias("publication_year"),
+        F.get(F.array(*map(F.lit, ["CA", "TX", "NY", "FL", "WA", "OH", "GA", "MI"])), F.pmod(F.hash("id"), F.lit(8))).alias("birth_state"),
+        F.get(F.array(*map(F.lit, ["Violent", "Other"])), F.pmod(F.hash("id", F.lit(1)), F.lit(2))).alias("crime_family"),
+        F.sha2(F.col("id").cast("string"), 512).alias("description"))
+    store.save_wanted(rows)
+    one = store.load_wanted({"uid": "d9d4f495e875a2e075a1a4a6e1b9770f"})  # md5 of 46
+    assert [r.uid for r in one.collect()] == ["d9d4f495e875a2e075a1a4a6e1b9770f"]
+    assert _rows_scanned(store.load_wanted()) == n and _rows_scanned(one) < 0.05 * n
+    assert _rows_scanned(store.load_wanted({"uid": "no such notice"})) < 0.05 * n
+    some = store.load_wanted({"birth_state": ["GA", "OH"], "crime_family": "Other"})
+    assert 0 < some.count() <= _rows_scanned(some) < 1.5 * some.count() + 0.05 * n
+
+
+def test_manifests_on_another_file_system(spark, tmp_path, monkeypatch):
+    """The way taken where folders are not local, on Spark's own file system classes."""
+    from skewlens.sources import commits
+
+    monkeypatch.setattr(commits, "_local", lambda _: None)
+    log = CommitLog(spark, str(tmp_path / "log"))
+    assert log.entries() == []
+    assert log.try_commit(1, {"batch": "a"}) and not log.try_commit(1, {"batch": "b"}) and log.try_commit(2, {"batch": "c"})
+    assert log.entries(1) == [{"batch": "c", "version": 2}]
+    assert [e["batch"] for e in CommitLog(spark, str(tmp_path / "log")).entries()] == ["a", "c"]
+
+
 def test_history(spark):
     store = TableStore(spark, shared_folder(spark))
     store.create_tables()
