@@ -579,7 +579,8 @@ SELECT g AS crime_family, CASE WHEN r > 0 THEN 'increasing' ELSE 'decreasing' EN
   printf('%.4f', p) AS p_value FROM trend WHERE p < 1 - 0.95""",
     "report_weapon_lines": SER + """
 SELECT CASE weapon_category WHEN 'blunt_object' THEN 'Blunt Object' ELSE upper(substr(weapon_category, 1, 1))
-  || substr(weapon_category, 2) END AS weapon, count(*) AS n FROM serious GROUP BY 1""",
+  || substr(weapon_category, 2) END AS weapon, count(*) AS n, """ + _shown(
+        "100.0 * count(*) / (SELECT count(*) FROM serious)", "percentage") + " FROM serious GROUP BY 1",
     "chart_categories": F_ + _distribution("features", "crime_family", "known"),
     "chart_states": F_ + " SELECT birth_state, count(*) AS n FROM features WHERE birth_state IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 15",
     "chart_top_states": F_ + " SELECT * FROM (" + _distribution("features", "birth_state", "all") + ") ORDER BY n DESC, birth_state LIMIT 8",
@@ -654,3 +655,38 @@ FROM (SELECT doc_id, trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')) AS t FRO
     "anonymized_notices": "WITH " + NOTICES + " SELECT uid, sha256(name) AS name, sha256('alias ' || name) AS alias FROM notices",
     "retained_notices": "WITH " + NOTICES + " SELECT uid, case_age_days FROM notices WHERE case_age_days <= 365",
 }
+
+
+def _long(chart: str, sql: str, a: str | None, b: str | None, value: str | None) -> str:
+    return (
+        f"SELECT '{chart}' AS chart, CAST({a or 'NULL'} AS VARCHAR) AS a, CAST({b or 'NULL'} AS VARCHAR) AS b, n, "
+        f"CAST({value or 'NULL'} AS DOUBLE) AS value FROM ({sql})"
+    )
+
+
+def _long_grid(chart: str, source: str, a: str, b: str, share: str | None, value: str | None) -> str:
+    return _long(chart, "WITH " + _grid(source, a, b, share).removeprefix(", "), a, b, value)
+
+
+ORACLES["audit_results_of_batches"] = ORACLES["audit_results"]
+ORACLES["charts_from_one_pass"] = SER + " " + " UNION ALL ".join([
+    _long_grid("temporal_series", "features", "publication_year", "crime_family", None, None),
+    _long_grid("region_by_family", "features", "birth_region", "crime_family", "column", "share"),
+    _long_grid("weapon_yearly", "serious", "publication_year", "weapon_category", "percentage", "percentage"),
+    _long_grid("weapon_by_region", "serious", "birth_region", "weapon_category", "percentage", "percentage"),
+    _long("category_distribution", _distribution("features", "crime_family", "known"), "crime_family", None, "proportion"),
+    _long("weapon_distribution", _distribution("serious", "weapon_category", "all"), "weapon_category", None, "percentage"),
+    *[_long(chart, f"SELECT {key}, count(*) AS n FROM features WHERE {key} IS NOT NULL GROUP BY 1", key, None, None) for chart, key in (
+        ("years", "publication_year"), ("regions", "birth_region"), ("families", "crime_family"))],
+    _long("total", "SELECT count(*) AS n FROM features", None, None, None),
+])
+
+# Orders in the order of their file.
+_PLACED = "placed AS (SELECT o_orderkey, o_custkey, row_number() OVER () AS place FROM orders)"
+ORACLES["customers_by_appearance"] = f"""WITH {_PLACED}
+SELECT o_custkey, count(*) AS n FROM placed GROUP BY 1 ORDER BY min(place) LIMIT 10"""
+ORACLES["chart_summary_persistence_by_appearance"] = F_ + f""", {_PLACED}, shown AS (SELECT * FROM features WHERE crime_family IN (
+  SELECT crime_family FROM features JOIN placed ON uid = 'N' || o_orderkey GROUP BY 1 ORDER BY min(place) LIMIT 5)) """ + _box(
+    "shown", "crime_family", "case_age_days")
+ORACLES["customers_from_sketches"] = """SELECT CAST(year(o_orderdate) AS BIGINT) AS year, count(*) AS n,
+  count(DISTINCT o_custkey) AS customers, true AS customers_near, true AS orders_near FROM orders GROUP BY 1"""

@@ -9,6 +9,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
@@ -701,6 +702,17 @@ def audit_results(spark, sf):
     return report.test_lines(_audit(spark, sf)["report.results"])
 
 
+@query
+def audit_results_of_batches(spark, sf):
+    """Notices in three batches, each counted for itself: the result table of the merged states."""
+    log = audit.AuditLog(spark, shared_folder(spark))
+    notices = R.notices(spark, sf)
+    of = F.pmod(F.xxhash64("uid"), F.lit(3))
+    for i in range(3):
+        log.add(f"batch {i}", notices.where(of == i))
+    return report.test_lines(log.tables(R.baseline(spark, sf))["report.results"])
+
+
 @query
 def audit_findings(spark, sf):
     return _audit(spark, sf)["report.findings"]
@@ -731,11 +743,60 @@ def report_trending(spark, sf):
 
 @query
 def report_weapon_lines(spark, sf):
-    return report.weapon_lines(wpn.weapon_distribution(feat.serious_only(R.features(spark, sf)))).drop("percentage")
+    return report.weapon_lines(wpn.weapon_distribution(feat.serious_only(R.features(spark, sf))))
 
 
 # --- chart data sets -------------------------------------------------------
 
+@query
+def charts_from_one_pass(spark, sf):
+    """Year, region and family tables with their totals, all from one aggregate, as long rows."""
+    t = datasets.chart_tables(R.features(spark, sf))
+    null = F.lit(None).cast("double")
+
+    def long(name, a, b, value=None):
+        key = [F.lit(None).cast("string") if c is None else F.col(c).cast("string") for c in (a, b)]
+        return t[name].select(F.lit(name).alias("chart"), key[0].alias("a"), key[1].alias("b"), "n", (null if value is None else F.round(value, 6) + 0.0).alias("value"))
+
+    return reduce(DataFrame.unionByName, [
+        long("temporal_series", "publication_year", "crime_family"),
+        long("region_by_family", "birth_region", "crime_family", "share"),
+        long("weapon_yearly", "publication_year", "weapon_category", "percentage"),
+        long("weapon_by_region", "birth_region", "weapon_category", "percentage"),
+        long("category_distribution", "crime_family", None, "proportion"),
+        long("weapon_distribution", "weapon_category", None, "percentage"),
+        long("years", "publication_year", None), long("regions", "birth_region", None),
+        long("families", "crime_family", None), long("total", None, None),
+    ])
+
+
+@query
+def chart_summary_persistence_by_appearance(spark, sf):
+    """The summary box plot of the first five families in the order in which they appear."""
+    return datasets.summary_persistence(R.features(spark, sf, position=True), order="appearance")
+
+
+@query
+def customers_by_appearance(spark, sf):
+    """The first ten customers in the order of the orders file, with their orders."""
+    counted = cnt.appearance_counts(files.with_row_position(R.table(spark, sf, "orders")), "o_custkey")
+    return cnt.ranked(counted, "o_custkey", 10, "appearance").select("o_custkey", "n")
+
+
+@query
+def customers_from_sketches(spark, sf):
+    """Distinct customers and clerks of a year, estimated from a cube of sketches, within their stated error of the exact counts."""
+    o = R.table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
+    cube = cnt.sketched_counts(o, ["year", "o_orderstatus", "o_orderpriority"], ["o_custkey", "o_orderkey"])
+    told = cnt.distinct_estimates(cube, ["year"], ["o_custkey", "o_orderkey"])
+    exact = o.groupBy("year").agg(F.countDistinct("o_custkey").alias("customers"), F.count(F.lit(1)).alias("orders"))
+
+    def near(estimate, n):
+        return F.abs(F.col(estimate) - F.col(n)) <= F.col("distinct_error") * F.col(n)
+
+    return told.join(exact, "year").select("year", "n", "customers", near("o_custkey", "customers").alias("customers_near"), near("o_orderkey", "orders").alias("orders_near"))
+
+
 @query
 def chart_categories(spark, sf):
     return datasets.category_distribution(R.features(spark, sf))
@@ -888,7 +949,7 @@ def repeated_keys(spark, sf):
 
 @query
 def latest_notices(spark, sf):
-    return qual.latest_per_key(_repeated(spark, sf)).select("uid", "title", "modified_date", "case_age_days")
+    return qual.newest_rows(_repeated(spark, sf)).select("uid", "title", "modified_date", "case_age_days")
 
 
 @query

@@ -17,6 +17,7 @@ from skewlens.functions.literals import array_sql, map_sql
 from skewlens.operators.features import engineer_features
 from skewlens.operators.joins import lookup
 from skewlens.sources.baseline import standardize_baseline
+from skewlens.sources.files import with_row_position
 
 INGESTED = datetime(2001, 8, 2, 6, 0, 0)
 
@@ -55,9 +56,10 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def raw_notices(spark: SparkSession, sf: str) -> DataFrame:
-    """Notices as a source would deliver them, nested subject included."""
+def raw_notices(spark: SparkSession, sf: str, position: bool = False) -> DataFrame:
+    """Notices as a source would deliver them, nested subject included; ``position``: with the place of their order in its file."""
     o = table(spark, sf, "orders")
+    o = with_row_position(o) if position else o
     c = table(spark, sf, "customer")
     return o.join(c, o["o_custkey"] == c["c_custkey"]).selectExpr(
         "concat('N', o_orderkey) AS uid",
@@ -72,18 +74,19 @@ def raw_notices(spark: SparkSession, sf: str) -> DataFrame:
         "AS reward_text",
         "CASE pmod(o_orderkey, 3) WHEN 0 THEN CAST(array() AS ARRAY<STRING>) WHEN 1 THEN array(concat('img', o_orderkey)) END "
         "AS images",
+        *(["_file", "_row"] if position else []),
     )
 
 
-def notices(spark: SparkSession, sf: str) -> DataFrame:
+def notices(spark: SparkSession, sf: str, position: bool = False) -> DataFrame:
     """Flat notices with the batch stamp and case age."""
-    return raw_notices(spark, sf).withColumn("ingestion_date", F.lit(INGESTED).cast("timestamp")).withColumn(
+    return raw_notices(spark, sf, position).withColumn("ingestion_date", F.lit(INGESTED).cast("timestamp")).withColumn(
         "case_age_days", floor_days(F.col("ingestion_date"), F.col("publication_date"))
     )
 
 
-def features(spark: SparkSession, sf: str) -> DataFrame:
-    return engineer_features(notices(spark, sf))
+def features(spark: SparkSession, sf: str, position: bool = False) -> DataFrame:
+    return engineer_features(notices(spark, sf, position))
 
 
 def baseline(spark: SparkSession, sf: str) -> DataFrame:

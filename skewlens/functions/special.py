@@ -2,7 +2,11 @@
 
 The regularized incomplete gamma and beta functions are evaluated by their
 textbook series and continued fractions, unrolled over ``sequence(1, n)`` with
-``aggregate``. They run on result rows (one per test or category), never on data
+``aggregate``; n is enough for parameters up to ``LARGE``. Beyond it the tail of the
+density is integrated outright: near its mode such a density is close to a normal one
+on the scale of its own width, so that a fixed number of Gauss-Legendre points gives
+full precision at any size, and the density itself comes from differences that are
+computed as such. They run on result rows (one per test or category), never on data
 rows. Arguments are SQL text: column names, or expressions of them.
 """
 
@@ -13,6 +17,18 @@ from pyspark.sql import Column, functions as F
 _TINY = "1E-300D"
 _HALF_LOG_2PI = "0.9189385332046727D"
 
+LARGE = 2000
+PANELS = 32
+# The Gauss-Legendre rule of eight points, between 0 and 1.
+_NODES = (
+    0.019855071751231884, 0.10166676129318664, 0.2372337950418355, 0.4082826787521751,
+    0.5917173212478249, 0.7627662049581645, 0.8983332387068134, 0.9801449282487681,
+)
+_WEIGHTS = (
+    0.05061426814518813, 0.1111905172266872, 0.15685332293894366, 0.1813418916891810,
+    0.1813418916891810, 0.15685332293894366, 0.1111905172266872, 0.05061426814518813,
+)
+
 # Lanczos coefficients for g = 7, nine terms.
 _LANCZOS = (
     0.99999999999980993, 676.5203681218851, -1259.1392167224028,
@@ -75,11 +91,56 @@ def _gamma_fraction(a: str, x: str) -> str:
     )
 
 
+def _log1p_rest(v: str) -> str:
+    """ln(1 + v) - v, without cancellation when ``v`` is small."""
+    series = "1D / 12D"
+    for k in range(11, 1, -1):
+        series = f"(1D / {k}D - {v} * {series})"
+    return f"(CASE WHEN abs({v}) < 0.02D THEN -{v} * {v} * {series} ELSE ln(1D + {v}) - {v} END)"
+
+
+def _with(values: dict[str, str], body: str) -> str:
+    """``body`` with names for values that are computed once; later values may use earlier names."""
+    for name, value in reversed(values.items()):
+        body = f"aggregate(array({value}), CAST(NULL AS DOUBLE), (z_{name}, {name}) -> {body})"
+    return body
+
+
+def _tail(slope: str, width: str, ratio: str, most: str) -> str:
+    """The integral of a density beyond a point, as a multiple of the density there.
+
+    ``slope`` is how fast the density's logarithm falls there (per unit), ``width`` the standard deviation that
+    belongs to its curvature, and ``ratio`` the logarithm of the density at distance ``s`` against the
+    density at the point. Beyond ``reach`` less than 1e-20 of the integral is left.
+    """
+    nodes, weights = (f"array({', '.join(f'{v!r}D' for v in values)})" for values in (_NODES, _WEIGHTS))
+    fall = f"({slope} * {width})"
+    reach = f"least({most}, 1.3D * {width} * 100D / (sqrt({fall} * {fall} + 100D) + {fall}))"
+    at = f"reach * (i DIV 8 + element_at({nodes}, CAST(i % 8 + 1 AS INT))) / {PANELS}D"
+    total = (
+        f"aggregate(sequence(0, {8 * PANELS - 1}), 0D, (t, i) -> t + element_at({weights}, CAST(i % 8 + 1 AS INT)) * "
+        f"{_with({'s': at}, f'exp({ratio})')})"
+    )
+    return _with({"reach": reach}, f"(reach / {PANELS}D * {total})")
+
+
+def _gamma_large(a: str, x: str) -> str:
+    """Q(a, x) for large ``a``: f(x) dx integrated upwards from x, or downwards where that is the smaller part."""
+    names = {"a": a, "x": x, "m": "(x - a) / a"}
+    density = f"sqrt(a) * exp(a * {_log1p_rest('m')} - {_stirling_rest('a')} - {_HALF_LOG_2PI}) / x"
+    # ln f(x + s) - ln f(x), its slope at x and the width of its curvature; downwards with s against the axis
+    ratio = f"((a - 1D) * {_log1p_rest('(SIGN s / x)')} - SIGN s * (x - a + 1D) / x)"
+    up = _tail("((x - a + 1D) / x)", "(x / sqrt(a - 1D))", ratio.replace("SIGN", "(1D) *"), "DOUBLE('Infinity')")
+    down = _tail("((a - 1D - x) / x)", "(x / sqrt(a - 1D))", ratio.replace("SIGN", "(-1D) *"), "0.999D * x")
+    return _with(names, f"CASE WHEN x > a THEN {density} * {up} ELSE 1D - {density} * {down} END")
+
+
 def gamma_upper(a: str, x: str) -> str:
     """Regularized upper incomplete gamma Q(a, x)."""
     scale = f"exp({a} * ln({x}) - {x} - {log_gamma(a)})"
     return (
         f"(CASE WHEN {a} IS NULL OR {x} IS NULL OR {a} <= 0D THEN NULL WHEN {x} <= 0D THEN 1D "
+        f"WHEN {a} > {LARGE}D THEN {_gamma_large(a, x)} "
         f"WHEN {x} < {a} + 1D THEN 1D - {scale} * {_gamma_series(a, x)} ELSE {scale} * {_gamma_fraction(a, x)} END)"
     )
 
@@ -100,8 +161,27 @@ def _beta_fraction(a: str, b: str, x: str) -> str:
     )
 
 
-def beta_lower(a: str, b: str, x: str, y: str) -> str:
-    """Regularized incomplete beta I_x(a, b); ``y`` is 1 - x, given apart so that neither loses digits."""
+def _beta_large(a: str, b: str, x: str, y: str, d: str) -> str:
+    """I_x(a, b) where both parameters are large; ``d`` is x - a / (a + b), given apart."""
+    names = {
+        "a": a, "b": b, "x": x, "y": y, "d": d, "u": "d * (a + b) / a", "w": "-d * (a + b) / b",
+        # the slope of the logarithm of the density, from the distance to its mode
+        "g": "((a - b) / (a + b) - (a + b - 2D) * d) / (x * y)", "width": "1D / sqrt((a - 1D) / (x * x) + (b - 1D) / (y * y))",
+    }
+    rests = f"{_stirling_rest('(a + b)')} - {_stirling_rest('a')} - {_stirling_rest('b')}"
+    density = f"sqrt(a * b / (a + b)) * exp(a * {_log1p_rest('u')} + b * {_log1p_rest('w')} + {rests} - {_HALF_LOG_2PI}) / (x * y)"
+    ratio = f"((a - 1D) * {_log1p_rest('(SIGN s / x)')} + (b - 1D) * {_log1p_rest('(-SIGN s / y)')} + SIGN s * g)"
+    up = _tail("(-g)", "width", ratio.replace("SIGN", "(1D) *"), "0.999D * y")
+    down = _tail("g", "width", ratio.replace("SIGN", "(-1D) *"), "0.999D * x")
+    return _with(names, f"CASE WHEN d < 0D THEN {density} * {down} ELSE 1D - {density} * {up} END")
+
+
+def beta_lower(a: str, b: str, x: str, y: str, d: str | None = None) -> str:
+    """Regularized incomplete beta I_x(a, b); ``y`` is 1 - x, given apart so that neither loses digits.
+
+    ``d`` is x - a / (a + b), for parameters that are both large.
+    """
+    large_both = f"WHEN least({a}, {b}) > {LARGE}D THEN {_beta_large(a, b, x, y, d)} " if d else ""
     small, large = f"least({a}, {b})", f"greatest({a}, {b})"
     log_beta = f"({log_gamma(small)} - {log_gamma_ratio(large, small)})"
     log_x = f"(CASE WHEN {x} > 0.5D THEN log1p(-{y}) ELSE ln({x}) END)"
@@ -109,7 +189,7 @@ def beta_lower(a: str, b: str, x: str, y: str) -> str:
     scale = f"exp({a} * {log_x} + {b} * {log_y} - {log_beta})"
     return (
         f"(CASE WHEN {a} IS NULL OR {b} IS NULL OR {x} IS NULL OR {a} <= 0D OR {b} <= 0D THEN NULL "
-        f"WHEN {x} <= 0D THEN 0D WHEN {y} <= 0D THEN 1D "
+        f"WHEN {x} <= 0D THEN 0D WHEN {y} <= 0D THEN 1D {large_both}"
         f"WHEN {x} * ({a} + {b} + 2D) < {a} + 1D THEN {scale} * {_beta_fraction(a, b, x)} / {a} "
         f"ELSE 1D - {scale} * {_beta_fraction(b, a, y)} / {b} END)"
     )
@@ -125,7 +205,8 @@ def f_p_value(statistic: str, df1: str, df2: str) -> Column:
     f, d1, d2 = _double(statistic), _double(df1), _double(df2)
     total = f"({d2} + {d1} * {f})"
     tail = beta_lower(
-        f"({d2} / 2D)", f"({d1} / 2D)", f"try_divide({d2}, {total})", f"try_divide({d1} * {f}, {total})"
+        f"({d2} / 2D)", f"({d1} / 2D)", f"try_divide({d2}, {total})", f"try_divide({d1} * {f}, {total})",
+        f"({d2} / {total} * {d1} * (1D - {f}) / ({d1} + {d2}))",
     )
     return F.expr(f"CASE WHEN {f} = DOUBLE('Infinity') THEN 0D WHEN {f} <= 0D THEN 1D ELSE {tail} END")
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import constants as K
 from ..functions.numbers import percent, rows, rows_where, share, shown
@@ -37,6 +37,25 @@ def case_cube(df: DataFrame, keys: Sequence[str] = CUBE_KEYS) -> DataFrame:
     return grouped.agg(*[c.alias(name) for name, c in measures.items()])
 
 
+def roll_up(df: DataFrame, sets: Sequence[Sequence[str]], weight: str | None = None) -> DataFrame:
+    """Counts for several sets of keys at once, the empty set for the total: one scan, one Expand, one shuffle.
+
+    ``level`` names the keys of a row's set, joined by commas; its other keys are null. A null
+    in a key of the set is a label of its own, which the operators on counted rows leave out.
+    """
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    level = F.lit(None).cast("string")
+    for s in sets:  # the grouping id has a bit for each key that is rolled up, the first key's highest
+        bits = sum(1 << (len(keys) - 1 - i) for i, k in enumerate(keys) if k not in s)
+        level = F.when(F.grouping_id() == bits, F.lit(level_name(s))).otherwise(level)
+    grouped = df.groupingSets([[F.col(k) for k in s] for s in sets], *keys)
+    return grouped.agg(rows(weight).alias("n"), level.alias("level"))
+
+
+def level_name(keys: Sequence[str]) -> str:
+    return ",".join(keys)
+
+
 def text_missing(column: str) -> Column:
     return F.col(column).isNull() | (F.col(column) == "")
 
@@ -65,9 +84,24 @@ def label_counts(df: DataFrame, key: str, weight: str | None = None) -> DataFram
     return labelled(df, [key], weight).groupBy(key).agg(rows(weight).alias("n"))
 
 
-def ranked(counts: DataFrame, key: str, limit: int | None = None) -> DataFrame:
-    """Most frequent first, ties by label; ``limit`` makes it a top-k report."""
-    ordered = counts.orderBy(F.desc("n"), key)
+def appearance_counts(df: DataFrame, key: str, weight: str | None = None) -> DataFrame:
+    """Rows per non-null label and ``first``, where the label first appears: the file and the row in it.
+
+    ``df`` has the columns of :func:`skewlens.sources.files.with_row_position`, which belong to a row
+    wherever it is processed. The least row is taken per file first, on fixed-width values.
+    """
+    per_file = labelled(df, [key], weight).groupBy(key, "_file").agg(rows(weight).alias("n"), F.min("_row").alias("_row"))
+    return per_file.groupBy(key).agg(F.sum("n").alias("n"), F.min(F.struct("_file", "_row")).alias("first"))
+
+
+def ranked(counts: DataFrame, key: str, limit: int | None = None, order: str = "count") -> DataFrame:
+    """Most frequent first, ties by label; ``limit`` makes it a top-k report.
+
+    ``order='appearance'`` takes the order in which the labels first appear, from :func:`appearance_counts`.
+    """
+    if order not in ("count", "appearance"):
+        raise ValueError(f"order must be count or appearance, not {order}")
+    ordered = counts.orderBy("first") if order == "appearance" else counts.orderBy(F.desc("n"), key)
     return ordered if limit is None else ordered.limit(limit)
 
 
@@ -194,6 +228,41 @@ def distinct_labels(df: DataFrame, columns: Sequence[str], approximate: bool = F
     return labels.agg(*[F.count_if(F.col("c") == i).alias(c) for i, c in enumerate(columns)])
 
 
+SKETCH_BITS = 12
+
+
+def sketched_counts(df: DataFrame, keys: Sequence[str], columns: Sequence[str], bits: int = SKETCH_BITS) -> DataFrame:
+    """Rows and a sketch of the distinct values of each column (``…_sketch``, 2^bits bytes at most) per combination of keys.
+
+    Unlike counts of distinct values, the sketches merge: any roll-up of the keys has its estimates,
+    also of columns whose values are not kept.
+    """
+    def value(c):
+        kind = df.schema[c].dataType
+        return F.col(c) if isinstance(kind, (T.IntegerType, T.LongType, T.StringType, T.BinaryType)) else F.col(c).cast("string")
+
+    sketches = [F.hll_sketch_agg(value(c), bits).alias(f"{c}_sketch") for c in columns]
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sketches)
+
+
+def merged_sketches(cube: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """A :func:`sketched_counts` table (or several of the same columns, as rows) rolled up to fewer keys."""
+    return cube.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.hll_union_agg(f"{c}_sketch").alias(f"{c}_sketch") for c in columns])
+
+
+def distinct_estimates(cube: DataFrame, keys: Sequence[str], columns: Sequence[str], bits: int = SKETCH_BITS) -> DataFrame:
+    """Rows and the estimated distinct values of each column per roll-up, with ``distinct_error``.
+
+    The relative error of an estimate stays within ``distinct_error``, three standard errors of 1.04 / sqrt(2^bits),
+    in 997 of 1,000 cases; up to some hundred values it is exact.
+    """
+    rolled = merged_sketches(cube, keys, columns)
+    return rolled.select(
+        *keys, "n", *[F.hll_sketch_estimate(f"{c}_sketch").alias(c) for c in columns],
+        F.lit(3 * 1.04 / 2 ** (bits / 2)).alias("distinct_error"),
+    )
+
+
 def overview(df: DataFrame) -> DataFrame:
     """One row: cases, distinct families and states, date range, mean case age."""
     return overview_from_cube(

@@ -1,55 +1,92 @@
-"""The whole audit: notices and baseline in, every result table out."""
+"""The whole audit: notices and baseline in, every result table out; at once, or batch by batch."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterator, Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from .. import constants as K
 from ..operators.category import analyze_categories
-from ..operators.counts import case_cube, flag_missing_text, overview_from_cube
+from ..operators.counts import case_cube, overview_from_cube
 from ..operators.features import engineer_features
-from ..operators.joins import join_yearly, yearly_baseline
+from ..operators.joins import yearly_baseline
 from ..operators.persistence import anova_from_moments, moments, persistence_from_counts, value_counts
 from ..operators.representation import analyze_geography
 from ..operators.results import findings, result_table
+from ..operators.state import ages_of, audit_state, cube_of, merge_states
 from ..operators.trends import analyze_trends
 from ..operators.weapons import analyze_weapons
+from ..session import stored
+from ..sources.commits import CommitLog
 from .report import badges, dataset_summary
 
 _FAMILY, _AGE = "crime_family", "case_age_days"
 
 
-def analyze_counts(
-    cube: DataFrame,
-    ages: DataFrame,
-    baseline: DataFrame | None = None,
-    crosswalk: Mapping[str, str] | None = K.BASELINE_CROSSWALK,
-    confidence: float = K.CONFIDENCE,
-) -> dict[str, DataFrame]:
-    """All analyses, keyed ``analysis.table``, from the case cube and the case-age counts."""
-    geography = analyze_geography(cube, confidence=confidence, weight="n")
-    categories = analyze_categories(cube, baseline, crosswalk, confidence, weight="n")
-    trends = analyze_trends(cube, confidence, weight="n")
-    persistence = {
-        "persistence_by_category": persistence_from_counts(ages, _FAMILY, _AGE),
-        "test": anova_from_moments(moments(ages, _FAMILY, _AGE), _FAMILY, confidence),
-    }
-    results = result_table(geography["test"], categories.get("test"), persistence["test"])
-    one = overview_from_cube(cube)
-    report = {
-        "overview": one,
-        "dataset_summary": dataset_summary(one),
-        "results": results,
-        "badges": badges(results, trends["trend"]),
-        "findings": findings(results, trends["trend"]),
-    }
-    analyses = {
-        "geographic": geography, "categorical": categories, "temporal": trends,
-        "persistence": persistence, "weapons": analyze_weapons(cube, weight="n"), "report": report,
-    }
-    return {f"{a}.{t}": frame for a, tables in analyses.items() for t, frame in tables.items()}
+class AuditTables(Mapping[str, DataFrame]):
+    """The result tables of all analyses, keyed ``analysis.table``, from the case cube and the case-age counts.
+
+    An analysis is planned when a table of it is first asked for.
+    """
+
+    ANALYSES = ("geographic", "categorical", "temporal", "persistence", "weapons", "report")
+
+    def __init__(
+        self, cube: DataFrame, ages: DataFrame, baseline: DataFrame | None = None,
+        crosswalk: Mapping[str, str] | None = K.BASELINE_CROSSWALK, confidence: float = K.CONFIDENCE,
+    ):
+        self._cube, self._ages, self._baseline = cube, ages, baseline
+        self._crosswalk, self._confidence = crosswalk, confidence
+        self._planned: dict[str, dict[str, DataFrame]] = {}
+
+    def analysis(self, name: str) -> dict[str, DataFrame]:
+        if name not in self._planned:
+            self._planned[name] = getattr(self, f"_{name}")()
+        return self._planned[name]
+
+    def __getitem__(self, key: str) -> DataFrame:
+        name, _, table = key.partition(".")
+        if name not in self.ANALYSES:
+            raise KeyError(key)
+        return self.analysis(name)[table]
+
+    def __iter__(self) -> Iterator[str]:
+        return (f"{a}.{t}" for a in self.ANALYSES for t in self.analysis(a))
+
+    def __len__(self) -> int:
+        return sum(len(self.analysis(a)) for a in self.ANALYSES)
+
+    def _geographic(self):
+        return analyze_geography(self._cube, confidence=self._confidence, weight="n")
+
+    def _categorical(self):
+        return analyze_categories(self._cube, self._baseline, self._crosswalk, self._confidence, weight="n")
+
+    def _temporal(self):
+        return analyze_trends(self._cube, self._confidence, weight="n")
+
+    def _persistence(self):
+        return {
+            "persistence_by_category": persistence_from_counts(self._ages, _FAMILY, _AGE),
+            "test": anova_from_moments(moments(self._ages, _FAMILY, _AGE), _FAMILY, self._confidence),
+        }
+
+    def _weapons(self):
+        return analyze_weapons(self._cube, weight="n")
+
+    def _report(self):
+        results = result_table(
+            self["geographic.test"], self.analysis("categorical").get("test"), self["persistence.test"])
+        one, trend = overview_from_cube(self._cube), self["temporal.trend"]
+        return {
+            "overview": one,
+            "dataset_summary": dataset_summary(one),
+            "results": results,
+            "badges": badges(results, trend),
+            "findings": findings(results, trend),
+        }
 
 
 def analyze_features(
@@ -57,9 +94,17 @@ def analyze_features(
     baseline: DataFrame | None = None,
     crosswalk: Mapping[str, str] | None = K.BASELINE_CROSSWALK,
     confidence: float = K.CONFIDENCE,
-) -> dict[str, DataFrame]:
+) -> AuditTables:
     """All analyses of engineered rows, lazily: every result table counts ``features`` anew."""
-    return analyze_counts(case_cube(features), value_counts(features, _FAMILY, _AGE), baseline, crosswalk, confidence)
+    return AuditTables(case_cube(features), value_counts(features, _FAMILY, _AGE), baseline, crosswalk, confidence)
+
+
+def analyze_state(
+    state: DataFrame, baseline: DataFrame | None = None, crosswalk: Mapping[str, str] | None = K.BASELINE_CROSSWALK,
+    confidence: float = K.CONFIDENCE,
+) -> AuditTables:
+    """All result tables of the notices that ``state`` counts."""
+    return AuditTables(cube_of(state), ages_of(state), baseline, crosswalk, confidence)
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
@@ -74,20 +119,57 @@ def run_audit(
     output: str,
     crosswalk: Mapping[str, str] | None = K.BASELINE_CROSSWALK,
     confidence: float = K.CONFIDENCE,
-) -> dict[str, DataFrame]:
-    """Engineer once, count twice, analyse the counts.
-
-    ``output`` must be a folder every executor reaches. The baseline is rolled up
-    and stored first, so that its join to the notices is planned on its real size.
-    The text rules run once, on the way into the stored features. Two narrow scans
-    of those give the case cube and the case-age counts, stored as well; with the
-    yearly baseline they are all that the some thirty result tables read, at any
-    size of the data.
+) -> AuditTables:
+    """Engineer and count in one pass, analyse the counts.
+
+    ``output`` must be a folder every executor reaches. The text rules run once, and no
+    engineered row is shuffled or stored: the state of the notices, their case cube and
+    case-age counts, is one aggregate. With the yearly baseline it is all that the some
+    thirty result tables read, at any size of the data.
     """
     root = output.rstrip("/")
     yearly = _stored(yearly_baseline(baseline, crosswalk), f"{root}/baseline_yearly")
-    engineered = flag_missing_text(join_yearly(engineer_features(notices), yearly))
-    features = _stored(engineered, f"{root}/features")
-    cube = _stored(case_cube(features), f"{root}/case_cube")
-    ages = _stored(value_counts(features, _FAMILY, _AGE), f"{root}/case_ages")
-    return analyze_counts(cube, ages, yearly, None, confidence)
+    state = _stored(audit_state(engineer_features(notices)), f"{root}/state")
+    return analyze_state(state, yearly, None, confidence)
+
+
+class AuditLog:
+    """States of batches in a folder that all executors reach; each batch is counted once, whoever adds it.
+
+    A new batch costs a pass over its own notices. The tables of all batches read the
+    merged states, which are as small as one.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+        self._log = CommitLog(spark, f"{self.root}/commits")
+
+    def add(self, batch: str, notices: DataFrame) -> bool:
+        """Count flat ``notices`` as ``batch``; False if a batch of that name is counted already."""
+        if batch in self.batches():
+            return False
+        path = f"{self.root}/states/{uuid.uuid4().hex}"
+        audit_state(engineer_features(notices)).write.parquet(path)
+        while True:
+            seen = self.batches()
+            if batch in seen:
+                return False
+            if self._log.try_commit(len(seen) + 1, {"batch": batch, "path": path}):
+                return True
+
+    def batches(self) -> list[str]:
+        return [e["batch"] for e in self._log.entries()]
+
+    def state(self) -> DataFrame:
+        """The merged state of all batches, stored."""
+        paths = [e["path"] for e in self._log.entries()]
+        if not paths:
+            raise ValueError(f"no batch has been counted in {self.root}")
+        return stored(merge_states(self.spark.read.parquet(*paths)), "state")
+
+    def tables(
+        self, baseline: DataFrame, crosswalk: Mapping[str, str] | None = K.BASELINE_CROSSWALK, confidence: float = K.CONFIDENCE
+    ) -> AuditTables:
+        """All result tables over all batches."""
+        yearly = stored(yearly_baseline(baseline, crosswalk), "baseline_yearly")
+        return analyze_state(self.state(), yearly, None, confidence)

@@ -1,4 +1,7 @@
-"""One table per chart. Input: engineered rows, or a case cube with ``weight='n'``."""
+"""One table per chart. Input: engineered rows, or a case cube with ``weight='n'``.
+
+:func:`chart_tables` has them all from one pass.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +13,7 @@ from ..operators import representation as R
 from ..operators import weapons as W
 from ..operators.features import serious_only
 from ..operators.joins import compare_shares
+from ..session import stored
 
 
 def category_distribution(df: DataFrame, weight: str | None = None) -> DataFrame:
@@ -55,9 +59,16 @@ def representation_ratios(table: DataFrame, over: float = 1.2, under: float = 0.
     ).orderBy("representation_ratio", "birth_state")
 
 
-def first_families(df: DataFrame, weight: str | None = None, top: int = 5) -> DataFrame:
-    """The families shown in the summary box plot: most frequent first."""
-    return C.ranked(C.label_counts(df, "crime_family", weight), "crime_family", top)
+def first_families(df: DataFrame, weight: str | None = None, top: int = 5, order: str = "count") -> DataFrame:
+    """The families shown in the summary box plot: most frequent first, or in order of appearance (rows with a position)."""
+    counted = (C.appearance_counts if order == "appearance" else C.label_counts)(df, "crime_family", weight)
+    return C.ranked(counted, "crime_family", top, order)
+
+
+def summary_persistence(df: DataFrame, top: int = 5, order: str = "count") -> DataFrame:
+    """The box plot of the summary page: case ages of the :func:`first_families`."""
+    shown = first_families(df, None, top, order).select("crime_family")
+    return P.box_stats(df).join(shown, "crime_family", "left_semi")
 
 
 def summary_dashboard(df: DataFrame, cube: DataFrame) -> dict[str, DataFrame]:
@@ -92,3 +103,43 @@ def weapon_by_region(df: DataFrame, weight: str | None = None) -> DataFrame:
 def geographic_table(table: DataFrame) -> DataFrame:
     """The representation table with its row class."""
     return table.withColumn("highlight", R.bias_label())
+
+
+_YEAR, _REGION, _FAMILY, _WEAPON = "publication_year", "birth_region", "crime_family", "weapon_category"
+# Key sets of the charts below, in the order of their keys; the shorter ones are the totals.
+CHART_SETS = (
+    (_YEAR, _FAMILY), (_REGION, _FAMILY), (_YEAR, _WEAPON, "severity_flag"), (_REGION, _WEAPON, "severity_flag"),
+    ("birth_state",), (_YEAR,), (_REGION,), (_FAMILY,), (_WEAPON, "severity_flag"), (),
+)
+
+
+def chart_counts(df: DataFrame, weight: str | None = None) -> DataFrame:
+    """All counts that the two-way charts, one-way charts and totals need, from one aggregate, stored."""
+    return stored(C.roll_up(df, CHART_SETS, weight), "chart_counts")
+
+
+def chart_tables(df: DataFrame, weight: str | None = None) -> dict[str, DataFrame]:
+    """The tables of this module that are counts, and the totals, all from one pass over ``df``.
+
+    The same functions make them from the stored counts as from rows, so they are equal to
+    the tables made one by one; what they read is as small as the tables.
+    """
+    counted = chart_counts(df, weight)
+
+    def level(*keys):
+        return counted.where(F.col("level") == C.level_name(keys)).drop("level")
+
+    return {
+        "temporal_series": temporal_series(level(_YEAR, _FAMILY), "n"),
+        "region_by_family": region_by_family(level(_REGION, _FAMILY), "n"),
+        "weapon_yearly": weapon_yearly(level(_YEAR, _WEAPON, "severity_flag"), True, "n"),
+        "weapon_by_region": weapon_by_region(level(_REGION, _WEAPON, "severity_flag"), "n"),
+        "unknown_weapons_by_year": unknown_weapons_by_year(level(_YEAR, _WEAPON, "severity_flag"), "n"),
+        "category_distribution": category_distribution(level(_FAMILY), "n"),
+        "weapon_distribution": weapon_distribution(level(_WEAPON, "severity_flag"), True, "n"),
+        "top_states_with_share": top_states_with_share(level("birth_state"), "n"),
+        "years": C.row_counts(level(_YEAR), _YEAR, "n"),
+        "regions": C.row_counts(level(_REGION), _REGION, "n"),
+        "families": C.row_counts(level(_FAMILY), _FAMILY, "n"),
+        "total": level().select("n"),
+    }

@@ -61,6 +61,11 @@ def read_feature_csv(
     return rows
 
 
+def with_row_position(df: DataFrame) -> DataFrame:
+    """Rows read from Parquet files with ``_file`` and ``_row``: where each one lies, however it is read or dealt later."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
 def write_json(tables: Mapping[str, DataFrame], folder: str, mode: str = "overwrite") -> None:
     """One JSON-lines folder per result table."""
     for name, table in tables.items():

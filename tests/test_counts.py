@@ -105,3 +105,69 @@ def test_alignments(spark):
     assert [tuple(r) for r in joins.align_common(left, right, "k").collect()] == [("b", 2.0, 3.0)]
     other = right.withColumnRenamed("r", "l")
     assert {(r.k, r._other, r.ratio) for r in joins.compare_shares(left, other, "k", "l").collect()} == {("a", 0.0, None), ("b", 3.0, 2 / 3)}
+
+
+def test_roll_up_counts_every_set_in_one_shuffle(small):
+    sets = (("label", "year"), ("year",), ("label",), ())
+    rolled = cnt.roll_up(small, sets)
+    plan = rolled._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Expand") == 1
+    got = {(r.level, r.label, r.year): r.n for r in rolled.collect()}
+    rows = [tuple(r) for r in small.collect()]
+    want = {("", None, None): len(rows)}
+    for label, year in rows:
+        for key in (("label,year", label, year), ("year", None, year), ("label", label, None)):
+            want[key] = sum(1 for a, b in rows if (key[0] == "year" or a == label) and (key[0] == "label" or b == year))
+    assert got == want
+    again = cnt.roll_up(small.groupBy("label", "year").agg(F.count("*").alias("n")), sets, "n")
+    assert {(r.level, r.label, r.year): r.n for r in again.collect()} == want
+
+
+def test_charts_of_one_pass_equal_those_made_one_by_one(spark, sf):
+    from skewlens.plans import datasets as d
+
+    f = R.features(spark, sf)
+    tables = d.chart_tables(f)
+    single = {
+        "temporal_series": d.temporal_series(f), "region_by_family": d.region_by_family(f), "weapon_yearly": d.weapon_yearly(f),
+        "weapon_by_region": d.weapon_by_region(f), "unknown_weapons_by_year": d.unknown_weapons_by_year(f),
+        "category_distribution": d.category_distribution(f), "weapon_distribution": d.weapon_distribution(f),
+        "top_states_with_share": d.top_states_with_share(f), "years": cnt.row_counts(f, "publication_year"),
+    }
+    for name, table in single.items():
+        assert sorted(map(tuple, tables[name].collect())) == sorted(map(tuple, table.collect())), name
+    assert tables["total"].collect() == [(f.count(),)]
+    assert sum(r.n for r in tables["years"].collect()) == sum(r.n for r in tables["families"].collect()) == f.count()
+    assert all("/chart_counts/" in p for t in tables.values() for p in t.inputFiles())
+
+
+def test_sketches_merge_and_keep_their_error(spark):
+    n = 60_000
+    df = spark.range(n).select(
+        F.concat(F.lit("c"), F.pmod(F.hash("id"), F.lit(20_000))).alias("who"), (F.col("id") % 5).alias("year"), (F.col("id") % 3).alias("kind"),
+        (F.col("id") % 40).cast("double").alias("few"))
+    cube = cnt.sketched_counts(df, ["year", "kind"], ["who", "few"])
+    exact = {r.year: (r.n, r.who, r.few) for r in df.groupBy("year").agg(F.count("*").alias("n"), F.countDistinct("who").alias("who"), F.countDistinct("few").alias("few")).collect()}
+    for table in (cube, cnt.merged_sketches(cube, ["year", "kind"], ["who", "few"]), cube.where("kind < 2").unionByName(cube.where("kind = 2"))):
+        for r in cnt.distinct_estimates(table, ["year"], ["who", "few"]).collect():
+            n_rows, who, few = exact[r.year]
+            assert r.n == n_rows and abs(r.who - who) <= r.distinct_error * who and r.few == few
+    assert 0.04 < r.distinct_error < 0.05
+    assert cnt.distinct_estimates(cube, [], ["who"]).first().who == pytest.approx(df.select("who").distinct().count(), rel=r.distinct_error)
+
+
+def test_order_of_appearance_does_not_depend_on_partitions(spark, tmp_path):
+    from skewlens.sources.files import with_row_position
+
+    labels = ["z", "b", "q", "a", "m"]
+    rows = [(labels[min(4, (i * i) // 5000)], i) for i in range(400)] + [(None, 400)]
+    spark.createDataFrame(rows, "label string, i int").coalesce(1).sortWithinPartitions("i").write.parquet(str(tmp_path / "t"))
+    df = with_row_position(spark.read.parquet(str(tmp_path / "t")))
+    seen = list(dict.fromkeys(r for r, _ in rows if r))
+    for parts in (1, 5):
+        counted = cnt.appearance_counts(df.repartition(parts), "label")
+        assert [r.label for r in cnt.ranked(counted, "label", order="appearance").collect()] == seen
+        assert {r.label: r.n for r in counted.collect()} == {x: sum(1 for a, _ in rows if a == x) for x in seen}
+    assert [r.label for r in cnt.ranked(counted, "label", 2, "appearance").collect()] == seen[:2]
+    with pytest.raises(ValueError):
+        cnt.ranked(counted, "label", order="name")
