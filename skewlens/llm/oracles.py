@@ -97,9 +97,9 @@ FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """,
     "op11_suffix_dedup": r"""
 WITH d AS (
-  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+  SELECT doc_id, encode(coalesce(text, '')) AS t, hex(encode(coalesce(text, ''))) AS h FROM documents
 ), w AS (
-  SELECT doc_id, i, substring(h, 2 * i + 1, 100) AS s FROM d, unnest(range(length(h) // 2 - 49)) AS u(i)
+  SELECT doc_id, i, t[i + 1:i + 50] AS s FROM (SELECT doc_id, t, unnest(range(octet_length(t) - 49)) AS i FROM d)
 ), f AS (
   SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING count(*) > 1
 ), g AS (
@@ -123,24 +123,28 @@ WITH t AS (
          unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
   FROM documents
 ), w AS (
-  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t
+  SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM t
+), x AS (
+  SELECT lang, p, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM w
 ), g AS (
-  SELECT lang, unnest(w) AS phrase, 1 AS k FROM w
-  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM w
-  UNION ALL SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), 3 FROM w
+  SELECT lang, a, lead(a) OVER (PARTITION BY p ORDER BY i) AS b, lead(a, 2) OVER (PARTITION BY p ORDER BY i) AS c FROM x
 ), f AS (
-  SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL
+  SELECT lang, 1 AS k, a AS phrase, count(*) AS f FROM g GROUP BY ALL
+  UNION ALL SELECT lang, 2, a || ' ' || b, count(*) FROM g WHERE b IS NOT NULL GROUP BY ALL
+  UNION ALL SELECT lang, 3, a || ' ' || b || ' ' || c, count(*) FROM g WHERE c IS NOT NULL GROUP BY ALL
 ), n AS (
   SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
 ), c AS (
   SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10
 ), s AS (
-  SELECT lang, k, phrase, a, cut, array_to_string(w[1:cut], ' ') AS head, array_to_string(w[cut + 1:], ' ') AS rest
+  SELECT lang, k, phrase, a, cut, lang || chr(10) || array_to_string(w[1:cut], ' ') AS head, lang || chr(10) || array_to_string(w[cut + 1:], ' ') AS rest
   FROM c, unnest(range(1, k)) AS u(cut)
+), h AS MATERIALIZED (  -- one key, so that no join is on the language alone
+  SELECT lang || chr(10) || phrase AS key, f FROM f
 ), v AS (
-  SELECT s.lang, s.phrase, a, cut, x.f AS l, y.f AS r,
-         CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
-  FROM s JOIN f x ON s.lang = x.lang AND s.head = x.phrase JOIN f y ON s.lang = y.lang AND s.rest = y.phrase
+  SELECT s.lang, s.phrase, a, cut, p1.f AS l, p2.f AS r,
+         CAST(CAST(1000000 AS HUGEINT) * a * a // (CAST(p1.f AS HUGEINT) * p2.f) AS BIGINT) AS score
+  FROM s JOIN h p1 ON s.head = p1.key JOIN h p2 ON s.rest = p2.key
 ), b AS (
   SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1
 ), o AS (
