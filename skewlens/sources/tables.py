@@ -56,7 +56,7 @@ class TableStore:
     #: ... and columns of many values that the order does not serve have Bloom filters in every row group.
     BLOOM: Mapping[str, list[str]] = {"wanted_persons": ["uid"], "crime_statistics": [], "bias_analysis_results": []}
     ROW_GROUP_BYTES = 16 << 20
-    KEY_BUCKETS = 64
+    KEY_BUCKETS = 16
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -170,7 +170,8 @@ class TableStore:
         self._check_mode("wanted_persons", if_exists)
         batch = self._stage(df, "wanted_persons")
         index = self._index(batch)
-        bad, buckets = index.agg(F.count_if(F.col("uid").isNull() | (F.col("n") > 1)), F.collect_set("bucket")).first()
+        bad, keys, buckets = index.agg(
+            F.count_if(F.col("uid").isNull() | (F.col("n") > 1)), F.count(F.lit(1)), F.collect_set("bucket")).first()
         if bad:
             raise ValueError("notices without a uid, or with the same one")
         log, tested = self._log("wanted_persons"), set()
@@ -185,13 +186,16 @@ class TableStore:
                         raise ValueError("a notice with this uid is stored already")
                 else:
                     there = stored(there, "known")
-                    if there.limit(1).count():
+                    found = there.count()
+                    if found == keys:
+                        return
+                    if found:
                         rest = self._batches("wanted_persons", [batch]).join(there.select("uid"), "uid", "left_anti")
                         batch = self._stage(rest, "wanted_persons")
                         index = self._index(batch)
-                        buckets = index.agg(F.collect_set("bucket")).first()[0]
+                        keys, buckets = index.agg(F.count(F.lit(1)), F.collect_set("bucket")).first()
             tested |= set(new)
-            if if_exists == "append" and not buckets and entries:
+            if if_exists == "append" and not keys and entries:
                 return
             if log.try_commit(len(entries) + 1, {"mode": _MODES[if_exists], "batch": batch if buckets else None}):
                 return
