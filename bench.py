@@ -22,7 +22,8 @@ HEADLINE = [
     "distinct_customers", "geographic_test", "category_test", "family_trends", "customer_trends", "case_persistence",
     "case_persistence_test", "delay_by_part_type", "delay_anova", "price_quantiles", "weapon_comparison",
     "weapon_summary", "chart_persistence_box", "latest_notices", "distinct_documents", "document_quality", "validation",
-    "audit_results", "stored_notices", "csv_round_trip",
+    "audit_results", "stored_notices", "csv_round_trip", "audit_results_of_batches", "charts_from_one_pass",
+    "customers_from_sketches",
 ]
 
 

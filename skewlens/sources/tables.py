@@ -9,7 +9,7 @@ from operator import and_
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from ..schemas import BASELINE_TABLE, RESULT_TABLE, WANTED_TABLE
@@ -143,20 +143,25 @@ class TableStore:
     def _index_path(self, batch: str) -> str:
         return f"{self.path('wanted_persons')}/keys/batch={batch}"
 
-    def _index(self, batch: str) -> DataFrame:
-        """Write and read back the keys of a staged batch: uid, n, bucket. Reads one column of it."""
+    def _index(self, batch: str) -> tuple[DataFrame, dict[str, Any]]:
+        """Write the keys of a staged batch (uid, n, bucket) in order of bucket; what was seen on the way. Reads one column of it."""
         uids = self._batches("wanted_persons", [batch]).groupBy("uid").agg(F.count(F.lit(1)).alias("n"))
         bucket = F.pmod(F.xxhash64("uid"), F.lit(self.KEY_BUCKETS)).cast("int")
-        uids.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(self._index_path(batch))
-        return self._keys([batch])
+        seen = Observation()
+        watched = uids.withColumn("bucket", bucket).observe(
+            seen, F.count(F.lit(1)).alias("keys"), F.count_if(F.col("uid").isNull() | (F.col("n") > 1)).alias("bad"),
+            F.bit_or(F.expr("shiftleft(1L, bucket)")).alias("buckets"))
+        watched.repartition("bucket").sortWithinPartitions("bucket").write.parquet(self._index_path(batch))
+        bits = seen.get["buckets"] or 0
+        return self._keys([batch]), {
+            "keys": seen.get["keys"], "bad": seen.get["bad"], "buckets": [b for b in range(self.KEY_BUCKETS) if bits >> b & 1]}
 
     def _keys(self, batches: list[str]) -> DataFrame:
-        reader = self.spark.read.schema("uid string, n long, bucket int, batch string").option(
-            "basePath", f"{self.path('wanted_persons')}/keys")
+        reader = self.spark.read.schema("uid string, n long, bucket int")
         return reader.parquet(*[self._index_path(b) for b in batches])
 
     def _known(self, index: DataFrame, buckets: list[int], batches: list[str]) -> DataFrame:
-        """The keys of ``index`` that ``batches`` hold, from their buckets of the committed index."""
+        """The keys of ``index`` that ``batches`` hold, from their buckets of the committed index (other row groups are skipped)."""
         there = self._keys(batches).where(F.col("bucket").isin(buckets)).select("uid", "bucket")
         return index.select("uid", "bucket").join(there, ["bucket", "uid"], "left_semi")
 
@@ -169,35 +174,32 @@ class TableStore:
             raise ValueError(f"known must be refuse or skip, not {known}")
         self._check_mode("wanted_persons", if_exists)
         batch = self._stage(df, "wanted_persons")
-        index = self._index(batch)
-        bad, keys, buckets = index.agg(
-            F.count_if(F.col("uid").isNull() | (F.col("n") > 1)), F.count(F.lit(1)), F.collect_set("bucket")).first()
-        if bad:
+        index, seen = self._index(batch)
+        if seen["bad"]:
             raise ValueError("notices without a uid, or with the same one")
         log, tested = self._log("wanted_persons"), set()
         while True:
             entries = log.entries()
             self._check_mode("wanted_persons", if_exists, entries)
             new = [b for b in self._live(entries) if b not in tested] if if_exists == "append" else []
-            if new and buckets:
-                there = self._known(index, buckets, new)
+            if new and seen["keys"]:
+                there = self._known(index, seen["buckets"], new)
                 if known == "refuse":
                     if there.limit(1).count():
                         raise ValueError("a notice with this uid is stored already")
                 else:
                     there = stored(there, "known")
                     found = there.count()
-                    if found == keys:
+                    if found == seen["keys"]:
                         return
                     if found:
                         rest = self._batches("wanted_persons", [batch]).join(there.select("uid"), "uid", "left_anti")
                         batch = self._stage(rest, "wanted_persons")
-                        index = self._index(batch)
-                        keys, buckets = index.agg(F.count(F.lit(1)), F.collect_set("bucket")).first()
+                        index, seen = self._index(batch)
             tested |= set(new)
-            if if_exists == "append" and not keys and entries:
+            if if_exists == "append" and not seen["keys"] and entries:
                 return
-            if log.try_commit(len(entries) + 1, {"mode": _MODES[if_exists], "batch": batch if buckets else None}):
+            if log.try_commit(len(entries) + 1, {"mode": _MODES[if_exists], "batch": batch if seen["keys"] else None}):
                 return
 
     def save_baseline(self, df: DataFrame, if_exists: str = "append") -> None:

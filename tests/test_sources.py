@@ -170,16 +170,18 @@ def test_a_save_derives_its_rows_once(spark):
 
 def test_an_append_reads_its_own_key_buckets(spark):
     store = TableStore(spark, shared_folder(spark))
-    store.save_wanted(_few(spark, [f"u{i}" for i in range(2000)]))
+    store.save_wanted(_few(spark, [f"u{i}" for i in range(4000)]))
     batch = store._live(store._log("wanted_persons").entries())
-    index = store._index(store._stage(_few(spark, ["u7"]), "wanted_persons"))
-    buckets = [r.bucket for r in index.collect()]
-    known = store._known(index, buckets, batch)
+    index, seen = store._index(store._stage(_few(spark, ["u7"]), "wanted_persons"))
+    assert (seen["keys"], seen["bad"], len(seen["buckets"])) == (1, 0, 1)
+    known = store._known(index, seen["buckets"], batch)
     assert [r.uid for r in known.collect()] == ["u7"]
-    there = store._keys(batch).where(F.col("bucket").isin(buckets))
-    assert 1 <= len(there.inputFiles()) and there.count() < 2000 / store.KEY_BUCKETS * 3
-    plan = known._jdf.queryExecution().executedPlan().toString()
-    assert "bucket#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert "PushedFilters: [IsNotNull(bucket), EqualTo(bucket" in known._jdf.queryExecution().executedPlan().toString()
+    there = store._keys(batch)
+    in_order = [r.bucket for r in there.select("bucket", F.input_file_name().alias("f")).collect()]
+    assert set(in_order) == set(range(store.KEY_BUCKETS)) and sum(a > b for a, b in zip(in_order, in_order[1:])) < 8  # files are in order
+    all_keys, own = there.count(), there.where(F.col("bucket").isin(seen["buckets"]))
+    assert all_keys == 4000 and own.count() < 2 * 4000 / store.KEY_BUCKETS
 
 
 def _rows_scanned(df):
