@@ -319,7 +319,7 @@ def anova(
     df: DataFrame, key: str = "crime_family", value: str = "case_age_days", confidence: float = K.CONFIDENCE
 ) -> DataFrame:
     """One-way ANOVA of ``value`` over categories, in one pass."""
-    return anova_from_moments(raw_moments(df, key, value), key, confidence)
+    return anova_from_moments(raw_moments(df, key, value).drop("min", "max"), key, confidence)
 
 
 def analyze_persistence(
@@ -334,5 +334,5 @@ def analyze_persistence(
         table, middle = raw_moments(df, key, value), quantiles(df, key, value, (0.5,))
     return {
         "persistence_by_category": _statistics(table, middle, key),
-        "test": anova_from_moments(table, key, confidence),
+        "test": anova_from_moments(table.drop("min", "max"), key, confidence),
     }
