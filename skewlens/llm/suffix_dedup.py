@@ -45,6 +45,7 @@ from .common import column, partitions, stored
 MIN_LENGTH = 50
 BLOCK_BYTES = 4 << 20
 TABLE_BYTES = 32 << 20  # texts in one bucket of the table of blocks
+MOST_TABLE_BUCKETS = 1 << 16  # Spark refuses tables of over 100,000
 PER_BUCKET = 1 << 22  # strings in one suffix bucket
 # Difference covers, modulus and residues.
 COVERS = {3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9), 21: (0, 1, 4, 14, 16), 31: (0, 1, 3, 8, 12, 18), 57: (0, 1, 3, 13, 32, 36, 43, 52)}
@@ -309,7 +310,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     v, residues = cover(min_length)
     d = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
     size = d.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(partitions(spark), size // TABLE_BYTES + 1)
+    n = min(MOST_TABLE_BUCKETS, max(partitions(spark), size // TABLE_BYTES + 1))
     blocks = bucketed(d.mapInArrow(_blocks, "block bigint, ids binary, lengths binary, digests binary, body binary"), "blocks", n, "block")
     # Buckets for the cover strings serve the suffixes too, which are fewer; a chance hit in a thousand cover keys at most.
     strings = max(1, size * len(residues) // v)
