@@ -785,16 +785,17 @@ def customers_by_appearance(spark, sf):
 
 @query
 def customers_from_sketches(spark, sf):
-    """Distinct customers and clerks of a year, estimated from a cube of sketches, within their stated error of the exact counts."""
+    """Distinct customers and orders of a year, estimated from a cube of sketches, within their stated error of the exact counts."""
     o = R.table(spark, sf, "orders").withColumn("year", F.year("o_orderdate"))
     cube = cnt.sketched_counts(o, ["year", "o_orderstatus", "o_orderpriority"], ["o_custkey", "o_orderkey"])
     told = cnt.distinct_estimates(cube, ["year"], ["o_custkey", "o_orderkey"])
-    exact = o.groupBy("year").agg(F.countDistinct("o_custkey").alias("customers"), F.count(F.lit(1)).alias("orders"))
+    exact = o.groupBy(F.col("year").alias("_year")).agg(F.countDistinct("o_custkey").alias("customers"), F.countDistinct("o_orderkey").alias("orders"))
 
     def near(estimate, n):
         return F.abs(F.col(estimate) - F.col(n)) <= F.col("distinct_error") * F.col(n)
 
-    return told.join(exact, "year").select("year", "n", "customers", near("o_custkey", "customers").alias("customers_near"), near("o_orderkey", "orders").alias("orders_near"))
+    joined = told.join(exact, F.col("year").eqNullSafe(F.col("_year")))  # orders without a date are a year of their own
+    return joined.select("year", "n", "customers", near("o_custkey", "customers").alias("customers_near"), near("o_orderkey", "orders").alias("orders_near"))
 
 
 @query
