@@ -47,7 +47,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import column
+from .common import column, giving_back
 
 MAX_EDIT_SHARE = 0.08
 MIN_CHARS = 20
@@ -472,7 +472,7 @@ class Block:
         classes = []
         if rows:
             dealt = spark.createDataFrame(rows, "number int, payload binary").repartition(len(rows), "number")
-            built = dict(dealt.mapInArrow(_classes(share, recall), "number int, built binary").collect())
+            built = dict(dealt.mapInArrow(giving_back(_classes(share, recall)), "number int, built binary").collect())
             classes = [bytes(built[n]) for n in range(len(rows))]
         self.shared = spark.sparkContext.broadcast((items, share, recall, classes))
 
@@ -519,7 +519,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     schema = "doc_id bigint, item_id bigint, distance bigint, start bigint, end bigint"
     out = None
     for block in item_blocks(items):
-        found = d.mapInArrow(_leaks(Block(spark, block, share, recall), pa.int64()), schema)
+        found = d.mapInArrow(giving_back(_leaks(Block(spark, block, share, recall), pa.int64())), schema)
         out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -541,6 +541,6 @@ def clean_rows(docs: DataFrame, items: DataFrame, text_col: str = "text", share:
     wide = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("_row"), column(docs, text_col).alias("_text"))
     row = wide.select("_row").schema
     for block in item_blocks(items):
-        wide = wide.mapInArrow(_clean(Block(spark, block, share, recall)), row)
+        wide = wide.mapInArrow(giving_back(_clean(Block(spark, block, share, recall))), row)
         wide = wide.select("_row", F.col("_row").getField(text_col).alias("_text"))
     return wide.select("_row.*")

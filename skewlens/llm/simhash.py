@@ -35,7 +35,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import column, partitions, stored
+from .common import column, giving_back, partitions, stored
 
 SHINGLE = 3
 SEED = 42
@@ -76,7 +76,7 @@ def _fingerprints(batches):
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long), a row per row of ``docs``."""
     d = docs.select(column(docs, id_col).cast("long").alias("doc_id"), column(docs, text_col).alias("text"))
-    return d.mapInArrow(_fingerprints, "doc_id bigint, fp bigint")
+    return d.mapInArrow(giving_back(_fingerprints), "doc_id bigint, fp bigint")
 
 
 # --- comparison --------------------------------------------------------------
@@ -186,7 +186,7 @@ def candidate_links(prints: DataFrame, tile: int = TILE) -> DataFrame:
     bucket = F.xxhash64("key", F.least("chunk", "other"), F.greatest("chunk", "other"))
     rows = rows.select(bucket.alias("bucket"), "fp")
     n = partitions(prints.sparkSession)
-    return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_links, "a bigint, b bigint").distinct()
+    return rows.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(giving_back(_links), "a bigint, b bigint").distinct()
 
 
 # --- groups ------------------------------------------------------------------

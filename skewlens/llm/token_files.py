@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skewlens.session import shared_folder
 
-from .common import column, partitions
+from .common import column, giving_back, partitions
 from .phrases import word_images
 
 END_ID = 1
@@ -305,7 +305,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str | None = None, id_
     order = F.col("doc_id").asc_nulls_last()
     # rows that share an id, or have none, are dealt by the start of their text
     ranged = d.repartitionByRange(n, order, F.substring("text", 1, 64)).sortWithinPartitions(order, "text")
-    rows = ranged.mapInArrow(_write(folder, tokenizer or default_tokenizer()), "part int, docs bigint, ids bigint, nulls bigint").collect()
+    rows = ranged.mapInArrow(giving_back(_write(folder, tokenizer or default_tokenizer())), "part int, docs bigint, ids bigint, nulls bigint").collect()
     out, base = [], 0
     sizes = {r[0]: tuple(r)[1:] for r in rows}
     for p in range(max(sizes, default=-1) + 1):
@@ -357,7 +357,7 @@ def read_tokens(spark: SparkSession, folder: str, parts: list[tuple[int, int, in
     schema = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<int>" * with_ids
     if not parts:
         return spark.createDataFrame([], schema)
-    return spark.range(0, len(parts), 1, len(parts)).mapInArrow(_read(folder, parts, dtype, with_ids), schema)
+    return spark.range(0, len(parts), 1, len(parts)).mapInArrow(giving_back(_read(folder, parts, dtype, with_ids)), schema)
 
 
 def token_files(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

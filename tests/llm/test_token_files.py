@@ -84,3 +84,32 @@ def test_empty_table(make_docs, tmp_path):
 @pytest.mark.parametrize("address, path", [("/a/b", "/a/b"), ("file:///a/b", "/a/b"), ("file:/a/b", "/a/b")])
 def test_folders(address, path):
     assert f.open_folder(address)[1] == path
+
+
+def test_idle_workers_hold_what_they_keep_only(spark, monkeypatch):
+    """Workers wait beside the tasks of later stages: what a task has freed must not stay with them."""
+    from pyspark.sql import functions as F
+
+    def freed_by(batches):
+        """MB that a worker holds and could give back to the system."""
+        import ctypes
+        import re
+
+        import pyarrow as pa
+
+        def held():
+            with open("/proc/self/smaps_rollup") as m:
+                return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", m.read()))) / 1024
+
+        before = held()
+        pa.default_memory_pool().release_unused()
+        ctypes.CDLL(None).malloc_trim(0)
+        yield pa.RecordBatch.from_arrays([pa.array([before - held()])], ["mb"])
+
+    monkeypatch.setitem(spark.sparkContext.environment, "SKEWLENS_TEST_WORKERS", "own")  # workers that no other test has used
+    words = F.transform(F.sequence(F.lit(1), F.lit(400)), lambda i: F.translate(F.substring(F.hex(F.xxhash64("id", i)), 1, 4), "0123456789", "ghijklmnop"))
+    monkeypatch.setattr(f, "partitions", lambda spark: 2)
+    docs = spark.range(24_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", words).alias("text"))
+    assert f.token_files(docs).count() == 24_000
+    freed = [r.mb for r in spark.range(0, 2, 1, 2).mapInArrow(freed_by, "mb double").collect()]
+    assert max(freed) < 20, freed
