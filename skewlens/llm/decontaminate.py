@@ -107,7 +107,7 @@ class Walk:
         rng = np.random.default_rng([SEED, length, number])
         steps = max(samples, int(1.6 * length))  # half the steps move on: four fifths of the window
         self.sampled = np.sort(rng.choice(steps, samples, replace=False))
-        self.moves = rng.integers(0, 2, (int(self.sampled[-1]) + 1, 256), dtype=np.uint8).astype(np.intp)
+        self.moves = rng.integers(0, 2, (int(self.sampled[-1]) + 1, 256), dtype=np.uint8)
         self.marks = rng.integers(0, 1 << 64, (samples, 256), dtype=np.uint64)
 
     def __reduce__(self):
@@ -116,17 +116,18 @@ class Walk:
     def hashes(self, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """The table's hash of the window at each start; ``chars`` (as indices) must go on beyond the last window."""
         out = np.empty(len(starts), np.uint64)
+        moves = self.moves.astype(np.intp)
         for i in range(0, len(starts), WALKERS):
             at = starts[i:i + WALKERS].astype(np.intp)
             h = np.zeros(len(at), np.uint64)
             here, move = np.empty_like(at), np.empty_like(at)
             k = 0
-            for step, moves in enumerate(self.moves):
+            for step, row in enumerate(moves):
                 np.take(chars, at, out=here, mode="clip")
                 if step == self.sampled[k]:
                     h += self.marks[k][here]
                     k += 1
-                np.take(moves, here, out=move, mode="clip")
+                np.take(row, here, out=move, mode="clip")
                 at += move
             out[i:i + WALKERS] = h
         return out
@@ -488,7 +489,7 @@ def _leaks(block: Block, item_type):
     def run(batches):
         index = block.index()
         for b in batches:
-            found = index.search([normalise(t) for t in b.column(1).to_pylist()])
+            found = index.search([normalise(t.as_py()) for t in b.column(1)])
             rows = [(t, item, d, x, y) for t, i, d, x, y in found for item in index.ids[i]]
             if rows:
                 at, item, d, x, y = zip(*rows)
@@ -524,13 +525,14 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     return out if out is not None else spark.createDataFrame([], schema)
 
 
-def _clean(block: Block):
+def _clean(block: Block, text: int):
     def run(batches):
         index = block.index()
         for b in batches:
+            rows = b.column(0)
             keep = np.ones(b.num_rows, bool)
-            keep[[m[0] for m in index.search([normalise(t) for t in b.column(1).to_pylist()])]] = False
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep))], ["_row"])
+            keep[[m[0] for m in index.search([normalise(t.as_py()) for t in rows.field(text)])]] = False
+            yield pa.RecordBatch.from_arrays([rows.filter(pa.array(keep))], ["_row"])
 
     return run
 
@@ -538,9 +540,9 @@ def _clean(block: Block):
 def clean_rows(docs: DataFrame, items: DataFrame, text_col: str = "text", share: float = MAX_EDIT_SHARE, recall: float = TARGET_RECALL) -> DataFrame:
     """The rows of ``docs`` that leak no item, with all their columns; no shuffle."""
     spark = docs.sparkSession
-    wide = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("_row"), column(docs, text_col).alias("_text"))
-    row = wide.select("_row").schema
+    wide = docs.select(F.struct(*[column(docs, c) for c in docs.columns]).alias("_row"))
+    row = wide.schema
+    text = next(i for i, c in enumerate(docs.columns) if c == text_col or text_col not in docs.columns and c.lower() == text_col.lower())
     for block in item_blocks(items):
-        wide = wide.mapInArrow(giving_back(_clean(Block(spark, block, share, recall))), row)
-        wide = wide.select("_row", F.col("_row").getField(text_col).alias("_text"))
+        wide = wide.mapInArrow(giving_back(_clean(Block(spark, block, share, recall), text)), row)
     return wide.select("_row.*")

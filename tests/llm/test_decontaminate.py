@@ -173,3 +173,19 @@ def test_copies_agree_in_a_table(length):
         h = walk.hashes(chars, starts)
         found |= np.array([numbers[np.flatnonzero(hashes == x)].tolist().count(i) > 0 for i, x in enumerate(h)])
     assert found.all()
+
+
+def test_walks_take_little_memory():
+    """What a worker keeps of a class: 46 MB for these items when every move took eight bytes."""
+    rnd = random.Random(6)
+    texts = [d.normalise(words(rnd, 120))[:300 + i].strip() for i in range(20)]
+    walks = [w for w, *_ in d.LengthClass(texts, list(range(20)), d.MAX_EDIT_SHARE, d.TARGET_RECALL).tables]
+    assert sum(a.nbytes for w in walks for a in vars(w).values() if isinstance(a, np.ndarray)) < 8e6
+
+
+def test_rows_go_to_the_workers_with_one_text(spark, make_docs):
+    items = spark.createDataFrame([(1, PASSAGE)], "item_id bigint, text string")
+    docs = make_docs([(1, f"x {PASSAGE}"), (2, "clean"), (3, None)]).withColumnRenamed("text", "Text")
+    clean = d.clean_rows(docs, items)
+    assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3]
+    assert "AS _text" not in clean._jdf.queryExecution().optimizedPlan().toString()
