@@ -24,6 +24,8 @@ Windows. Each class of item lengths (a factor of 1.25) has windows of its size,
 starting at every character where they could reach an item at all: an item of
 m characters keeps at least m - 7 - 8k of its 8-grams through k edits, so a
 window with fewer 8-grams of items of its class cannot be near one (no loss).
+A gram counts no more often than an item holds it, so a window that repeats one
+word of an item has few.
 
 Verification. Candidates are checked with Myers' bit-vector edit distance over
 the text around them; each (document, item) is returned with its best match.
@@ -65,8 +67,11 @@ SEED = 11
 BLOCK_CHARS = 4_000_000
 PIECE_CHARS = 1_000_000  # searched for grams at once
 STRIDE = 16
+NEAR = 32             # places back to which repeats of a gram are looked for
+MANY = 127            # repeats of a gram in an item beyond which they are not counted
 STEP = 3              # starts of the tables that need not see every start
 WALKERS = 1 << 16
+MEET = 8              # the step at which walks that have met are first joined
 POSTINGS = 1 << 20    # looked up at once
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -114,21 +119,31 @@ class Walk:
         return Walk, self.drawn_by  # drawn again where it is needed
 
     def hashes(self, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The table's hash of the window at each start; ``chars`` (as indices) must go on beyond the last window."""
+        """The table's hash of the window at each start; ``chars`` (as indices) must go on beyond the last window.
+
+        Where a walk leads depends on the step and the place alone: walks of neighbouring starts that have met go on
+        as one, and few are left after some dozen steps. ``first`` is the first start of each.
+        """
         out = np.empty(len(starts), np.uint64)
-        moves = self.moves.astype(np.intp)
+        moves, sampled = self.moves.astype(np.intp), set(self.sampled.tolist())
         for i in range(0, len(starts), WALKERS):
             at = starts[i:i + WALKERS].astype(np.intp)
-            h = np.zeros(len(at), np.uint64)
+            n, first = len(at), np.arange(len(at))
+            h = np.zeros(n, np.uint64)
             here, move = np.empty_like(at), np.empty_like(at)
-            k = 0
+            k, meet = 0, MEET
             for step, row in enumerate(moves):
-                np.take(chars, at, out=here, mode="clip")
-                if step == self.sampled[k]:
-                    h += self.marks[k][here]
+                chars.take(at, out=here, mode="clip")
+                if step in sampled:
+                    h += np.repeat(self.marks[k][here], np.diff(first, append=n))
                     k += 1
-                np.take(row, here, out=move, mode="clip")
+                row.take(here, out=move, mode="clip")
                 at += move
+                if step == meet:
+                    own = np.r_[True, at[1:] != at[:-1]]
+                    at, first = at[own], first[own]
+                    here, move = here[:len(at)], move[:len(at)]
+                    meet += meet // 2
             out[i:i + WALKERS] = h
         return out
 
@@ -276,8 +291,10 @@ class Index:
         all_grams = np.unique(np.concatenate([grams(folded(t)) for t in self.texts])) if self.texts else np.empty(0, np.uint64)
         bits = max(16, int(len(all_grams) * 32).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.known = np.zeros(1 << bits, np.int8)
-        self.known[self.slots(all_grams)] = 1
+        self.known = np.zeros(1 << bits, np.int8)  # how often an item holds the gram, at most
+        for t in self.texts:
+            own, times = np.unique(self.slots(grams(folded(t))), return_counts=True)
+            self.known[own] = np.maximum(self.known[own], np.minimum(times, MANY))
         self.members = np.zeros(1 << bits, np.uint64)  # bit c: a gram of an item of class c
         for c, r in enumerate(ranges):
             own = self.slots(np.concatenate([grams(folded(self.texts[i])) for i in r]))
@@ -286,15 +303,30 @@ class Index:
     def slots(self, g: np.ndarray) -> np.ndarray:
         return ((g * MULTIPLIER) >> self.shift).astype(np.intp)
 
-    def windows(self, number: int, slots: np.ndarray, total: np.ndarray, n: int) -> np.ndarray:
-        """Starts of windows with enough grams of the class: of any item first, then, around those, of its own."""
+    def repeats(self, slots: np.ndarray, held: np.ndarray) -> np.ndarray:
+        """Whether a place repeats a gram that stands within ``NEAR`` before it as often as any item holds it."""
+        at = np.flatnonzero(held)
+        gram, at = np.divmod(np.sort(slots[at] * len(slots) + at), len(slots))
+        most = held[at]
+        before = np.arange(len(at)) - most
+        again = np.zeros(len(slots), bool)
+        again[at] = (before >= 0) & (gram[before] == gram) & (at - at[before] <= NEAR) & (most < MANY)
+        return again
+
+    def windows(self, number: int, slots: np.ndarray, again: np.ndarray, total: np.ndarray, fresh: np.ndarray, n: int) -> np.ndarray:
+        """Starts of windows with enough grams of the class: of any item first, then, around those, of its own.
+
+        ``total`` sums the grams before each place and ``fresh`` those that are no repeats: a repeat at least ``NEAR``
+        within a window has the places it repeats in the window, too, and does not count.
+        """
         c = self.classes[number]
         width = c.reach - GRAM + 1
-        coarse = np.arange(0, n, STRIDE)  # one test for the starts up to the next
-        coarse = coarse[total[np.minimum(coarse + width + STRIDE, len(total) - 1)] - total[coarse] >= c.need]
+        near, far = min(NEAR, width), min(NEAR + STRIDE, width)
+        some = total[far:far + n:STRIDE] - total[:n:STRIDE] + fresh[width + STRIDE:width + STRIDE + n:STRIDE] - fresh[far:far + n:STRIDE]
+        coarse = np.flatnonzero(some >= c.need) * STRIDE  # one test for the starts up to the next
         at = (coarse[:, None] + np.arange(STRIDE)).ravel()
         at = at[at < n]
-        at = at[total[at + width] - total[at] >= c.need]
+        at = at[total[at + near] - total[at] + fresh[at + width] - fresh[at + near] >= c.need]
         if not len(at):
             return at
         new = np.r_[True, at[1:] - at[:-1] > width]
@@ -302,15 +334,15 @@ class Index:
         size = np.r_[at[:-1][new[1:]], at[-1]] + width - first
         base = np.cumsum(size) - size
         stretch = np.repeat(first - base, size) + np.arange(size.sum())
-        own = (self.members[slots[stretch]] >> np.uint64(min(number, 63))) & np.uint64(1)
-        upto = np.r_[0, np.cumsum(own.astype(np.int64))]
+        own = (self.members[slots[stretch]] & np.uint64(1 << min(number, 63))) > 0
+        upto, anew = (np.r_[0, np.cumsum(x)] for x in (own, own & ~again[stretch]))
         run = np.cumsum(new) - 1
         here = at - first[run] + base[run]
-        return at[upto[here + width] - upto[here] >= c.need]
+        return at[upto[here + near] - upto[here] + anew[here + width] - anew[here + near] >= c.need]
 
     def candidates(self, texts: list[str]):
         """Arrays of (item, text, position) that agree in a table."""
-        tail = 2 * max(c.reach for c in self.classes) + GRAM
+        tail = 2 * max(c.reach for c in self.classes) + GRAM + STRIDE
         open_ = [Open() for _ in self.classes]
         for s, e in pieces(texts):
             sizes = np.array([len(t) + 1 for t in texts[s:e]], np.int64)
@@ -318,10 +350,13 @@ class Index:
             chars = folded("\0".join(texts[s:e]) + "\0" * tail)
             codes = grams(chars)
             slots = self.slots(codes)
-            total = np.zeros(len(slots) + 1, np.int32)
-            np.cumsum(self.known[slots], out=total[1:], dtype=np.int32)
+            held = self.known[slots]
+            again = self.repeats(slots, held)
+            total, fresh = np.zeros((2, len(slots) + 1), np.int32)
+            np.cumsum(held > 0, out=total[1:], dtype=np.int32)
+            np.cumsum((held > 0) & ~again, out=fresh[1:], dtype=np.int32)
             for number, c in enumerate(self.classes):
-                at = self.windows(number, slots, total, len(chars) - tail)
+                at = self.windows(number, slots, again, total, fresh, len(chars) - tail)
                 if c.exact:
                     for i, good in c.sharing(codes, at):
                         text = np.searchsorted(starts, good, "right") - 1

@@ -189,3 +189,40 @@ def test_rows_go_to_the_workers_with_one_text(spark, make_docs):
     clean = d.clean_rows(docs, items)
     assert clean.columns == docs.columns and sorted(r.doc_id for r in clean.collect()) == [2, 3]
     assert "AS _text" not in clean._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_walks_that_have_met_are_walked_once():
+    class Counted(np.ndarray):
+        taken = 0
+
+        def take(self, at, **kwargs):
+            Counted.taken += len(at)
+            return np.asarray(self).take(at, **kwargs)
+
+    chars = d.folded(words(random.Random(8), 1500)[:4000]).astype(np.intp)
+    walk, starts = d.Walk(300, 1, 4), np.r_[0:1500, 1700:3300:3]
+    want = np.concatenate([walk.hashes(chars, starts[i:i + 1]) for i in range(len(starts))])
+    assert (walk.hashes(chars.view(Counted), starts) == want).all()
+    assert Counted.taken < 0.3 * len(starts) * len(walk.moves)
+
+
+def test_windows_that_repeat_a_word_are_left_out_and_none_is_lost(monkeypatch):
+    seen, add = set(), d.Open.add
+
+    def noted(self, *args):
+        before = len(self.at)
+        add(self, *args)
+        seen.update((int(t), int(p)) for ts, ps in zip(self.text[before:], self.position[before:]) for t, p in zip(ts, ps))
+
+    monkeypatch.setattr(d.Open, "add", noted)
+    rnd, rng = random.Random(2), np.random.default_rng(2)
+    once = words(rnd, 12) + " the the the " + words(rnd, 12)
+    list(d.Index([(1, once)]).candidates(["the " * 2000]))
+    assert not seen
+    # items of few words, some of one only: every edited passage starts a window
+    few = ["the", "of", "the of", "a", "thor thor thor"]
+    items = [" ".join(rnd.choice(few) for _ in range(rnd.randrange(15, 50))) for _ in range(20)] + ["the " * 24 + "the", "x" * 300]
+    before = [rnd.choice(["the " * 30, "of the " * 9, words(rnd, 9) + " "]) for _ in range(3 * len(items))]
+    texts = [b + d.edited(items[n % len(items)], n // len(items) * d.allowed(len(items[n % len(items)])) // 2, rng) + " the" * 20 for n, b in enumerate(before)]
+    list(d.Index(list(enumerate(items))).candidates(texts))
+    assert {(n, len(b)) for n, b in enumerate(before)} <= seen
