@@ -80,7 +80,8 @@ def day_quantiles(counted: DataFrame, key: str, value: str, probabilities: Seque
 
 
 OCTAVE = 1024   # first cells per factor of two
-CELLS = 4096    # cells that a later round cuts a cell into
+CELLS = 4096    # cells that a later round cuts a cell into, at least
+MOST_CELLS = 16 * CELLS
 SMALL = 5_000   # rows of a cell that are put in order in one go
 SALTS = 64
 
@@ -121,8 +122,9 @@ def quantiles(
     cell, whose least and greatest value are known. Rows inside those cells are kept,
     folded by value, and counted again in ``CELLS`` equal steps between these
     values, until a cell holds one value only or at most ``small`` rows, which are
-    put in order. Each round narrows a cell by the factor ``CELLS``, so five end any
-    case; the driver sees one number per round. No task orders more than ``small`` rows.
+    put in order. Each round narrows a cell by the factor ``CELLS`` at least, so five end any
+    case, and cuts large cells finer (up to ``MOST_CELLS``), so that rows spread evenly
+    need no other round for a few above ``small``; the driver sees one number per round. No task orders more than ``small`` rows.
 
     The first rounds run when this is called. NaN counts as greater than any number.
     """
@@ -155,7 +157,8 @@ def quantiles(
         "_k", "_i", "_at", "_lo", "_hi", "_v").agg(F.count(F.lit(1)).alias("n"))
     while most > small:
         held = stored(held, "held")
-        step = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS)
+        parts = min(MOST_CELLS, max(CELLS, 4 * most // small))
+        step = F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * parts)
         cells = _counted(held.withColumn("_cell", step), ["_k", "_i", "_at"], F.sum("n"))
         inner = stored(_chosen(cells, ["_k", "_i", "_at"], lambda c: F.array(F.struct(F.col("_i"), F.col("_at").alias("_rank")))).drop(
             "_total"), "cells")

@@ -198,6 +198,17 @@ def test_rank_selection_keeps_every_task_bounded(spark, monkeypatch):
     assert len(most) >= 2 and most == sorted(most, reverse=True) and most[0] > n / 2 and most[-1] <= small
 
 
+def test_rank_selection_ends_in_one_round_where_rows_are_spread_evenly(spark, monkeypatch):
+    """4,096 cells would leave 13 of these rows in each, 3 too many, and one more round."""
+    n, small = 50_000, 10
+    df = spark.range(n).select(F.lit("k").alias("k"), (1000 + F.col("id") * 1e-11).alias("x"))
+    names, store = [], per.stored
+    monkeypatch.setattr(per, "stored", lambda t, name: names.append(name) or store(t, name))
+    got = per.quantiles(df, "k", "x", (0.1, 0.5), small=small).first().quantiles
+    assert got == pytest.approx([1000 + 0.1 * (n - 1) * 1e-11, 1000 + 0.5 * (n - 1) * 1e-11], rel=1e-14)
+    assert names.count("cells") == 2  # of magnitude, and those cut from one of them
+
+
 def test_rank_selection_of_odd_values(spark):
     inf, nan = float("inf"), float("nan")
     values = {"a": [0.0, -0.0, 1e-310, -1e-310, 5e-324, -5e-324], "b": [-inf, -1e308, 1e308, inf], "c": [1.0, nan], "d": [3.0], "e": [2.0, 2.0]}
